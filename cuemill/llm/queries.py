@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuemill.llm import decontamination, packing
+from cuemill.llm import decontamination, packing, simhash
 
 PACK_VOCABULARY = "word_bpe_49k.json"
 
@@ -23,6 +23,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(PACK_VOCABULARY))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep_cols=["doc_id"])
     return decontamination.with_counts(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -56,6 +60,7 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 
 QUERIES = {
     "op5_packing": op5_packing,
+    "op6_simhash": op6_simhash,
     "op10_decontamination": op10_decontamination,
 }
 
