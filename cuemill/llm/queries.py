@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, packing, simhash
+from cuemill.llm import decontamination, language, packing, simhash
 
 PACK_VOCABULARY = "word_bpe_49k.json"
 
@@ -27,6 +28,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.train(docs.where("not held_out"))
+    return language.identify(docs, model, keep_cols=["doc_id", "held_out"])
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep_cols=["doc_id"])
     return decontamination.with_counts(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -61,6 +68,7 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 QUERIES = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
+    "op7_language": op7_language,
     "op10_decontamination": op10_decontamination,
 }
 
