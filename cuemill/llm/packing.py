@@ -13,7 +13,8 @@ nothing is padded. Documents are cut only when they are longer than a window, or
 
 from __future__ import annotations
 
-import re
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -26,11 +27,17 @@ WINDOW = 4096
 END_ID = 2
 #: Open windows that a task holds at most before it merges them; each holds up to 16 KB of ids.
 MAX_OPEN = 2048
-#: Words whose ids a Python worker remembers; longer words than LONG_WORD are never kept.
-CACHED_WORDS, LONG_WORD = 400_000, 64
+#: Words and pieces whose ids a Python worker remembers, in about 250 MB; none longer than LONG_WORD.
+CACHED_WORDS, CACHED_PIECES, LONG_WORD = 800_000, 600_000, 64
 
 #: Python splits at these; the tokenizer does not count them as white space.
-_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
+#: Python lowers these with an eye to their place, or to two characters; the tokenizer does it itself.
+_OWN_LOWER = "\u03a3\u0130"
+
+#: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for 256 and up.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,37 +47,51 @@ _encoders: dict[str, "WordEncoder"] = {}
 class WordEncoder:
     """Token ids of texts as little-endian bytes.
 
-    The tokenizer drops white space and never joins characters across it, so the ids of a text are
-    those of its words in turn and each word is encoded once while it is remembered.
+    The tokenizer drops white space and cuts words into pieces that it encodes one by one, so the
+    ids of a text are those of its words' pieces in turn. Words and pieces are remembered.
     """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        listed = list(words)
-        made = self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)
-        return {w: np.array(x.ids, "<u4").tobytes() for w, x in zip(listed, made, strict=True)}
+        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
+        self.pieces_of = regex.compile(split["pattern"]["Regex"]).findall
+        self.normal, self.tokens = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str, normal: bool) -> bytes:
+        found, pieces = [], self.pieces
+        for piece in self.pieces_of(word if normal else self.normal(word)):
+            ids = pieces.get(piece)
+            if ids is None:
+                spelled = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = np.array([t.id for t in self.tokens(spelled)], "<u4").tobytes()
+                if len(piece) <= LONG_WORD:
+                    pieces[piece] = ids
+            found.append(ids)
+        ids = b"".join(found)
+        if len(word) <= LONG_WORD:
+            self.words[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
-        if _NOT_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = self._learn({w for w in words if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new |= self._learn(set(words) - new.keys())
-        found = b"".join([new[w] if w in new else known[w] for w in words])
-        known.update((w, x) for w, x in new.items() if len(w) <= LONG_WORD)
-        return found
+        if any(c in text for c in _NOT_SPACE):
+            return self._whole(text)
+        normal = not any(c in text for c in _OWN_LOWER) and unicodedata.is_normalized("NFC", text)
+        if normal:
+            text = text.lower()
+        for known, most in ((self.words, CACHED_WORDS), (self.pieces, CACHED_PIECES)):
+            if len(known) > most:
+                known.clear()
+        get, word = self.words.get, self._word
+        return b"".join([get(w) or word(w, normal) for w in text.split()])
 
 
 def encoder(path: str) -> WordEncoder:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, language, packing, simhash
+from cuemill.llm import decontamination, language, line_dedup, packing, simhash
 
 PACK_VOCABULARY = "word_bpe_49k.json"
 
@@ -20,6 +20,39 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, k - 1 AS line, list_distinct(list_filter(string_split_regex(lower(lines[k]), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS w
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))),
+s AS (SELECT sorted, any_value(w) AS w, min({'d': doc_id, 'l': line}) AS first FROM (SELECT *, list_sort(w) AS sorted FROM l WHERE len(w) > 0) GROUP BY sorted),
+n AS (SELECT row_number() OVER () AS id, w, sorted, first, len(w) AS n FROM s),
+t AS (SELECT id, n, unnest(w) AS word FROM n),
+c AS (SELECT word, count(*) AS times FROM t GROUP BY word),
+p AS (SELECT * FROM (SELECT id, n, t.word, row_number() OVER (PARTITION BY id ORDER BY times, t.word) AS pos FROM t JOIN c ON t.word = c.word) WHERE pos <= n // 5 + 1),
+pairs AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.word = b.word AND a.id < b.id WHERE 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+alike AS (
+  SELECT x.id AS x, y.id AS y, x.first AS fx, y.first AS fy
+  FROM pairs JOIN n x ON x.id = a JOIN n y ON y.id = b
+  WHERE 9 * len(list_intersect(x.w, y.w)) >= 4 * (x.n + y.n)),
+gone AS (SELECT DISTINCT CASE WHEN fx > fy THEN x ELSE y END AS id FROM alike),
+r AS (
+  SELECT doc_id, line FROM (SELECT *, list_sort(w) AS sorted FROM l WHERE len(w) > 0) l JOIN n ON l.sorted = n.sorted
+  WHERE {'d': doc_id, 'l': line} > first OR id IN (SELECT id FROM gone)),
+g AS (SELECT doc_id, list(line) AS removed FROM r GROUP BY doc_id),
+f AS (SELECT d.doc_id, text, string_split(text, chr(10)) AS lines, coalesce(removed, []) AS removed FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id)
+SELECT doc_id,
+  CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(list_transform(list_filter(range(len(lines)), lambda k: NOT list_contains(removed, k)), lambda k: lines[k + 1]), chr(10)), '') END AS text,
+  CASE WHEN text IS NULL THEN 0 ELSE len(lines) END AS n_lines, len(removed) AS n_removed
+FROM f
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(PACK_VOCABULARY))
 
@@ -66,6 +99,7 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
@@ -73,5 +107,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_line_dedup": OP2_SQL,
     "op10_decontamination": OP10_SQL,
 }
