@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +78,14 @@ class Matcher:
         return np.cumsum(edges[:-1]) > 0, items
 
 
+def matcher_of(key: str, items: Broadcast, window: int) -> Matcher:
+    """The automaton of a broadcast, built once in each Python worker."""
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = Matcher(items.value, window)
+    return _automata[key]
+
+
 def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     """Runs of hit words, with their offsets in the original text."""
     change = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
@@ -90,10 +99,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
     key = uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _automata:
-            _automata.clear()
-            _automata[key] = Matcher(shared.value, window)
-        matcher = _automata[key]
+        matcher = matcher_of(key, shared, window)
         for batch in batches:
             texts = batch.column("text")
             rows = list(zip(texts, batch.column("spans"), batch.column("items"), strict=True))

@@ -35,6 +35,8 @@ _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: Python lowers these with an eye to their place, or to two characters; the tokenizer does it itself.
 _OWN_LOWER = "\u03a3\u0130"
 
+#: From here on Unicode versions may differ on what is a letter, so the tokenizer itself is asked.
+_BEYOND_LATIN = "\u0250"
 #: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for 256 and up.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
@@ -67,6 +69,8 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str, normal: bool) -> bytes:
+        if max(word) >= _BEYOND_LATIN:
+            return self._keep(word, self._whole(word))
         found, pieces = [], self.pieces
         for piece in self.pieces_of(word if normal else self.normal(word)):
             ids = pieces.get(piece)
@@ -76,7 +80,9 @@ class WordEncoder:
                 if len(piece) <= LONG_WORD:
                     pieces[piece] = ids
             found.append(ids)
-        ids = b"".join(found)
+        return self._keep(word, b"".join(found))
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= LONG_WORD:
             self.words[word] = ids
         return ids
