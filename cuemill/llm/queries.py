@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, language, line_dedup, packing, simhash
+from cuemill.llm import decontamination, language, line_dedup, packing, simhash, warc
 
 PACK_VOCABULARY = "word_bpe_49k.json"
 
@@ -53,6 +53,28 @@ FROM f
 """
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, read(spark, sf_dir, "pages")).drop("record_id")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS hex FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111',
+    '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '') AS bits,
+    max(page_id) OVER (PARTITION BY hex) AS first
+  FROM h)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    16 * CAST(substr(bits, 5 * k + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * k + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * k + 3, 1) AS INT)
+    + 2 * CAST(substr(bits, 5 * k + 4, 1) AS INT) + CAST(substr(bits, 5 * k + 5, 1) AS INT) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path(PACK_VOCABULARY))
 
@@ -100,6 +122,7 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
@@ -108,5 +131,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_line_dedup": OP2_SQL,
+    "op4_warc": OP4_SQL,
     "op10_decontamination": OP10_SQL,
 }
