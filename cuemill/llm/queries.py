@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, language, line_dedup, packing, simhash, warc
+from cuemill.llm import decontamination, language, line_dedup, packing, pii, simhash, warc
 
 PACK_VOCABULARY = "word_bpe_49k.json"
 
@@ -53,6 +53,11 @@ FROM f
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(read(spark, sf_dir, "documents"), keep_cols=["doc_id"])
+    return pii.with_counts(found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read(spark, sf_dir, "pages")).drop("record_id")
 
@@ -122,6 +127,7 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
