@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, language, line_dedup, packing, pii, simhash, warc
+from cuemill.llm import decontamination, embedding_dedup, language, line_dedup, packing, pii, simhash, warc
 
 PACK_VOCABULARY = "word_bpe_49k.json"
 
@@ -94,6 +94,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep_cols=["doc_id", "held_out"])
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep_cols=["doc_id"])
     return decontamination.with_counts(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -132,6 +136,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_decontamination": op10_decontamination,
 }
 
