@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, embedding_dedup, language, line_dedup, packing, pii, simhash, warc
+from cuemill.llm import decontamination, embedding_dedup, language, line_dedup, packing, pii, quality, simhash, warc
 
 PACK_VOCABULARY = "word_bpe_49k.json"
 
@@ -94,6 +94,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep_cols=["doc_id", "held_out"])
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -136,6 +142,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_simhash": op6_simhash,
     "op7_language": op7_language,
+    "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_decontamination": op10_decontamination,
 }
