@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, embedding_dedup, language, line_dedup, packing, pii, quality, simhash, warc
+from cuemill.llm import decontamination, embedding_dedup, language, licenses, line_dedup, packing, pii, quality, simhash, warc
 
 PACK_VOCABULARY = "word_bpe_49k.json"
 
@@ -20,6 +20,44 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical text of an SQL expression, with its line ends."""
+    out = f"regexp_replace(regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINE)}, '\\1', 'g'), {_quoted(licenses.NOT_WORD)}, ' ', 'g')"
+    for spelling, usual in licenses.SPELLINGS:
+        out = f"replace({out}, {_quoted(spelling)}, {_quoted(usual)})"
+    return out
+
+
+def _one_line_sql(text: str) -> str:
+    return f"trim(regexp_replace({text}, '[ \\n]+', ' ', 'g'))"
+
+
+OP1_SQL = f"""
+WITH k AS (
+  SELECT digest, min(license_id) AS license_id
+  FROM (SELECT license_id, sha256({_one_line_sql(_canonical_sql('text'))}) AS digest
+        FROM (VALUES {', '.join(f'({_quoted(name)}, {_quoted(text)})' for name, text in licenses.KNOWN)}) AS v(license_id, text))
+  GROUP BY digest),
+c AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS lines FROM documents),
+w AS (SELECT doc_id, sha256({_one_line_sql('lines')}) AS text_digest FROM c),
+n AS (
+  SELECT doc_id, string_agg(license_id, ',' ORDER BY license_id) AS notices
+  FROM (SELECT DISTINCT doc_id, license_id
+        FROM (SELECT doc_id, trim(unnest(string_split(lines, chr(10)))) AS unit FROM c) JOIN k ON sha256(unit) = digest WHERE unit <> '')
+  GROUP BY doc_id)
+SELECT w.doc_id, text_digest, license_id, coalesce(notices, '') AS notices
+FROM w LEFT JOIN k ON text_digest = digest LEFT JOIN n ON w.doc_id = n.doc_id
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -136,6 +174,7 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_line_dedup": op2_line_dedup,
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
@@ -148,6 +187,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_licenses": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op10_decontamination": OP10_SQL,

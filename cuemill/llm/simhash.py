@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.llm import golay
@@ -50,7 +50,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, id_type: str = "long") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long. A null text, or one with no word, has 0."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             made = np.array([fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text")).mapInArrow(task, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast(id_type).alias("doc_id"), docs[text_col].cast("binary").alias("text")).mapInArrow(task, f"doc_id {id_type}, fp long")
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +101,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     than the two named are ignored.
     """
     prints = keep(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
-    distinct = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    keyed = _with_keys(distinct).withColumn("code", F.col("id"))
-    linked = components(bucket_edges(keyed, ["code"], within(MOST_BITS)))
-    grouped = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    grouped = keep(_grouped(prints), "fingerprint-groups")
     firsts = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(firsts, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
+    """(fp, first_id, root) of each distinct fingerprint: its smallest doc_id, and its component's smallest fingerprint."""
+    distinct = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    keyed = _with_keys(distinct).withColumn("code", F.col("id"))
+    linked = components(bucket_edges(keyed, ["code"], within(MOST_BITS)))
+    return distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+    """The rows of docs, one of each component: the one with the smallest identifier.
+
+    Null identifiers come last; rows alike in identifier and text are one document, and stay once.
+    All columns are kept, whatever their names.
+    """
+    twin = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    work = docs.select(docs[id_col].cast("long").alias("doc_id"), twin.alias("twin"), row)
+    named = fingerprints(docs.select(F.struct(docs[id_col].cast("long").alias("doc_id"), twin.alias("twin")).alias("doc_id"), docs[text_col].alias("text")), shingle=shingle, id_type="struct<doc_id:long,twin:long>")
+    prints = keep(named.select("doc_id.doc_id", "doc_id.twin", "fp"), "fingerprints")
+    roots = prints.join(_grouped(prints).select("fp", "root"), "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "twin")
+    chosen = roots.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("k_doc"), F.col("o.twin").alias("k_twin"))
+    # A document has one place at most, so the rows of a place are as few as its repeats.
+    kept = work.join(chosen, work.doc_id.eqNullSafe(chosen.k_doc) & (work.twin == chosen.k_twin))
+    first = Window.partitionBy("doc_id", "twin").orderBy("doc_id")
+    return kept.withColumn("n", F.row_number().over(first)).where("n = 1").select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(docs.columns)])
