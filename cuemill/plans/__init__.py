@@ -1 +1,3 @@
 """Whole jobs, and the queries over the test tables."""
+
+from cuemill.plans import corpus_queries, track_queries  # noqa: F401  they register themselves
