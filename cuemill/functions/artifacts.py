@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cuemill.functions.text import SPACE, SPACE_INSIDE, let, tokenize
+from cuemill.functions.text import SPACE, SPACE_INSIDE, let
 
 #: Fixed values.
 CREDIT = r"(?i)^(?:Transcriber|Reviewer|Translator|Subtitles by|Captions by|Amara)(?![A-Za-z0-9_])"
@@ -44,8 +44,9 @@ def strip_sound_events(text: Column, notation: str) -> Column:
 def mark_speaker(line: Column, notation: str) -> Column:
     """The line with its speaker marker turned into a turn mark; a continuation's just goes."""
     if notation == "auto":
-        return F.regexp_replace(line, AUTO_MARKER, TURN + " ")
-    return F.regexp_replace(line, MANUAL_MARKER, F.when(line.rlike(CONTINUATION), "").otherwise(TURN + " "))
+        return F.when(line.startswith(">"), F.regexp_replace(line, AUTO_MARKER, TURN + " ")).otherwise(line)
+    marked = F.regexp_replace(line, MANUAL_MARKER, F.when(line.rlike(CONTINUATION), "").otherwise(TURN + " "))
+    return F.when(line.startswith("-"), marked).otherwise(line)
 
 
 def _starts(tokens: Column, mark: str) -> Column:
@@ -57,7 +58,7 @@ def _starts(tokens: Column, mark: str) -> Column:
 
 def _stripped(lines: Column, notation: str) -> Column:
     own = F.transform(lines, lambda x: F.concat(F.lit(LINE + " "), mark_speaker(F.translate(x, _MARKS, ""), notation)))
-    tokens = tokenize(strip_sound_events(F.array_join(own, " "), notation))
+    tokens = F.filter(F.split(strip_sound_events(F.array_join(own, " "), notation), " "), lambda t: t != "")
     return let(
         tokens,
         lambda t: F.struct(F.filter(t, lambda w: ~w.isin(TURN, LINE)).alias("words"), _starts(t, TURN).alias("turn_starts"), _starts(t, LINE).alias("line_starts")),
@@ -70,7 +71,7 @@ def is_credit(lines: Column) -> Column:
 
 def drop_credits(cues: Column) -> Column:
     """Without a credit that is the first or the last cue; dropping one makes no other first or last."""
-    return F.filter(cues, lambda lines, k: ~(((k == 0) | (k == F.size(cues) - 1)) & is_credit(lines)))
+    return let(cues, lambda all_cues: F.filter(all_cues, lambda lines, k: ~(((k == 0) | (k == F.size(all_cues) - 1)) & is_credit(lines))))
 
 
 def strip_artifacts(cues: Column, notation: Column) -> Column:

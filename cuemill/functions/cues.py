@@ -10,7 +10,7 @@ from cuemill.functions.text import TIMING, clean_line, let, to_milliseconds, tri
 
 def _block_cues(lines: Column, ids: bool) -> Column:
     """Cues of a block of trimmed lines: one for each timing line, with the lines up to the next."""
-    places = F.filter(F.transform(lines, lambda line, k: F.when(line.rlike(TIMING), k)), lambda k: k.isNotNull())
+    places = F.filter(F.transform(lines, lambda line, k: F.when(line.contains("-->") & line.rlike(TIMING), k)), lambda k: k.isNotNull())
 
     def cues(at: Column) -> Column:
         def cue(start: Column, k: Column) -> Column:

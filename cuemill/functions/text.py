@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Fixed values.
 SPACE = r"[\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 SPACE_INSIDE = SPACE[1:-1]
+SPACES = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_RARE = r"\t-\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 TIMING = r"(\d{2}:\d{2}:\d{2}[.,]\d{3})" + SPACE + r"*-->" + SPACE + r"*(\d{2}:\d{2}:\d{2}[.,]\d{3})"
 AUTO_SIGNAL = r"<c[\s.>]|align:start position:0%"
 NAMED_TRACK = r"^[A-Za-z]{2,3}-[A-Za-z0-9_-]{11}\z"
@@ -28,12 +30,12 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def trim(text: Column) -> Column:
     """Without white space at the ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+\\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    """Runs of white space as one space, none at the ends. A single space is no match: most texts have nothing to replace."""
+    return F.trim(F.regexp_replace(text, f"[{_RARE}][ {_RARE}]*| [ {_RARE}]+", " "))
 
 
 def tokenize(text: Column) -> Column:
@@ -46,16 +48,23 @@ def normalize_word(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}_]", "")
 
 
+def normalize_words(words: Column) -> Column:
+    """The same of an array's words, which hold no spaces, all at once."""
+    norms = F.split(F.regexp_replace(F.lower(F.array_join(words, " ")), r"[^\p{L}\p{N}_ ]+", ""), " ")
+    return F.when(F.size(words) > 0, norms).otherwise(F.array().cast("array<string>"))
+
+
 def strip_tags(text: Column) -> Column:
     """Without anything from `<` to the next `>`."""
-    return F.regexp_replace(text, "<[^>]*>", "")
+    return F.when(text.contains("<"), F.regexp_replace(text, "<[^>]*>", "")).otherwise(text)
 
 
 def decode_entities(text: Column) -> Column:
     """The five entities, the ampersand first, so that a doubly escaped one is decoded twice."""
+    decoded = text
     for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+        decoded = F.replace(decoded, F.lit(entity), F.lit(plain))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def clean_line(line: Column) -> Column:

@@ -6,7 +6,7 @@ and order are shuffled with the words, once, by meeting.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cuemill.functions.artifacts import TURN, strip_artifacts
@@ -69,12 +69,13 @@ def _ordered(found: DataFrame) -> DataFrame:
     return found.repartition("meeting").withColumn("first_position", first).where("words is not null")
 
 
-_ORDER = Window.partitionBy("meeting").orderBy("first_position", "part", "position", "credit_no")
+def _order() -> WindowSpec:
+    return Window.partitionBy("meeting").orderBy("first_position", "part", "position", "credit_no")
 
 
 def _numbered(found: DataFrame, breaks: Column, name: str) -> DataFrame:
     marked = found.withColumn("_break", F.coalesce(breaks, F.lit(True)).cast("int"))
-    return marked.withColumn(name, (F.sum("_break").over(_ORDER) - 1).cast("int")).drop("_break")
+    return marked.withColumn(name, (F.sum("_break").over(_order()) - 1).cast("int")).drop("_break")
 
 
 def _joined(found: DataFrame, *by: str) -> DataFrame:
@@ -88,13 +89,13 @@ def rebuild_utterances(found: DataFrame) -> DataFrame:
     Utterances come in the order of their first cues. Within one, neighbours of one speaker are one
     entry; those without a speaker too.
     """
-    same = (F.lag("utterance_key").over(_ORDER) == F.col("utterance_key")) & F.lag("speaker").over(_ORDER).eqNullSafe(F.col("speaker"))
+    same = (F.lag("utterance_key").over(_order()) == F.col("utterance_key")) & F.lag("speaker").over(_order()).eqNullSafe(F.col("speaker"))
     return _joined(_numbered(_ordered(found), ~same, "entry_no"), "entry_no", "utterance_key", "speaker")
 
 
 def meeting_turns(found: DataFrame) -> DataFrame:
     """(meeting, turn_no, speaker, words): neighbouring entries of one named speaker are a turn."""
-    before, key = F.lag("speaker").over(_ORDER), F.lag("utterance_key").over(_ORDER)
+    before, key = F.lag("speaker").over(_order()), F.lag("utterance_key").over(_order())
     unnamed = F.col("speaker").isNull() & before.isNull() & (key == F.col("utterance_key"))
     same = F.coalesce(unnamed | (before == F.col("speaker")), F.lit(False))
     return _joined(_numbered(_ordered(found), ~same, "turn_no"), "turn_no", "speaker")
