@@ -14,7 +14,7 @@ also of fixed size, keep rows that cannot matter out of the last joins; they nev
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.llm.shared import keep
@@ -74,51 +74,74 @@ def _lines(docs: DataFrame, rarity: Column) -> DataFrame:
     )
 
 
-def _similar_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b): sets of different words that may be 4/5 alike, a and b being (sig, sig2)."""
-    rows = sets.select("sig", "sig2", "n", "digest", F.posexplode("prefix").alias("at", "word"))
+#: A line's place: its document, a hash of the document's text, its number.
+PLACE = ["doc_id", "twin", "line"]
+#: Of a set's prefix, the rarest words by which it is first held against the earliest set of each.
+LEADING = 3
+
+# Of two sets with n and m words, 4/5 alike means that 9 times the common ones is at least 4 (n + m).
+_POSSIBLE = (
+    "5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n)"
+    " and 9 * (least({a}.at, {b}.at) + least({a}.n - {a}.at, {b}.n - {b}.at)) >= 4 * ({a}.n + {b}.n)"
+    " and 9 * bit_count({a}.digest ^ {b}.digest) <= {a}.n + {b}.n"
+)
+
+
+def _place(side: str) -> list[Column]:
+    return [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in PLACE]
+
+
+def _prefixes(sets: DataFrame, words: Column, *more: str) -> DataFrame:
+    return sets.select(*PLACE, "n", "digest", *more, F.posexplode(words).alias("at", "word"))
+
+
+def _leaders(sets: DataFrame) -> DataFrame:
+    """For each set b the earliest set a of one of its rarest words that it is nearest to and may be like."""
+    rows = _prefixes(sets, F.slice("prefix", 1, LEADING))
+    own = F.struct(*PLACE, "n", "digest", "at")
+    first = F.first(own).over(Window.partitionBy("word").orderBy(*PLACE))
+    met = rows.select(own.alias("b"), first.alias("a")).where("struct(a.doc_id, a.twin, a.line) < struct(b.doc_id, b.twin, b.line) and " + _POSSIBLE.format(a="a", b="b"))
+    best = met.select(*_place("b"), F.struct(F.expr("bit_count(a.digest ^ b.digest)").alias("apart"), *_place("a")).alias("best"))
+    return best.groupBy(*[f"b_{c}" for c in PLACE]).agg(F.min("best").alias("best")).select(*[f"b_{c}" for c in PLACE], *[f"best.a_{c}" for c in PLACE])
+
+
+def _others(sets: DataFrame) -> DataFrame:
+    """For each set b that is not settled, all earlier sets a that it may be like."""
+    rows = _prefixes(sets, F.col("prefix"), "settled")
     a, b = rows.alias("a"), rows.alias("b")
-    # Of two sets with n and m words, 4/5 alike means 9 times the common ones is at least 4 (n + m).
-    possible = (
-        "a.sig < b.sig and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"
-        " and 9 * (least(a.at, b.at) + 1 + least(a.n - a.at, b.n - b.at) - 1) >= 4 * (a.n + b.n)"
-        " and 9 * bit_count(a.digest ^ b.digest) <= a.n + b.n"
-    )
-    found = a.join(b, F.expr(f"a.word = b.word and {possible}"))
-    return found.select(F.col("a.sig").alias("a"), F.col("a.sig2").alias("a2"), F.col("b.sig").alias("b"), F.col("b.sig2").alias("b2")).distinct()
+    earlier = "not b.settled and struct(a.doc_id, a.twin, a.line) < struct(b.doc_id, b.twin, b.line) and "
+    return a.join(b, F.expr("a.word = b.word and " + earlier + _POSSIBLE.format(a="a", b="b"))).select(*_place("b"), *_place("a")).distinct()
 
 
-def _removed_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sig, sig2) of the sets that are alike to one that occurs earlier."""
-    first = sets.select("sig", "sig2", "first")
-    pairs = keep(_similar_pairs(sets), "line-pairs")
-    sides = pairs.select(F.col("a").alias("sig"), F.col("a2").alias("sig2")).union(pairs.select("b", "b2")).distinct()
-    needed = keep(sides.join(first, ["sig", "sig2"]).select("sig", "sig2", F.col("first.*")), "line-sets")
-    by_doc = needed.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("line", "sig", "sig2")).alias("wanted"))
+def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Places b of the pairs (b, a) that are alike by their words."""
+    sides = pairs.select(*[F.col(f"a_{c}").alias(c) for c in PLACE]).union(pairs.select(*[f"b_{c}" for c in PLACE])).distinct()
+    needed = keep(sides, "line-places")
     maybe = docs.where(_filter(needed, F.xxhash64("doc_id", "twin")))
-    joined = maybe.join(by_doc, maybe.doc_id.eqNullSafe(by_doc.doc_id) & (maybe.twin == by_doc.twin)).select("wanted", "text")
-    picked = joined.select(F.col("wanted"), F.posexplode(F.split("text", "\n")).alias("line", "line_text")).select(
-        "line_text", F.explode(F.filter("wanted", lambda w: w["line"] == F.col("line"))).alias("w")
-    )
-    words = picked.select(F.col("w.sig").alias("sig"), F.col("w.sig2").alias("sig2"), F.array_remove(F.array_distinct(_words(F.col("line_text"))), "").alias("words"))
-    known = keep(needed.select("sig", "sig2", F.struct("doc_id", "twin", "line").alias("first")).join(words, ["sig", "sig2"]), "line-words")
-    side = lambda x, y: known.select(F.col("sig").alias(x), F.col("sig2").alias(y), F.col("first").alias(f"first_{x}"), F.col("words").alias(f"words_{x}"))
-    checked = pairs.join(side("a", "a2"), ["a", "a2"]).join(side("b", "b2"), ["b", "b2"])
-    alike = checked.where("9 * size(array_intersect(words_a, words_b)) >= 4 * (size(words_a) + size(words_b))")
-    later = F.when(F.col("first_a") > F.col("first_b"), F.struct(F.col("a").alias("sig"), F.col("a2").alias("sig2"))).otherwise(F.struct(F.col("b").alias("sig"), F.col("b2").alias("sig2")))
-    return alike.select(later.alias("s")).select("s.sig", "s.sig2").distinct()
+    lines = maybe.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("line", "line_text")).where(_filter(needed, F.xxhash64(*PLACE)))
+    words = F.array_remove(F.array_distinct(_words(F.col("line_text"))), "")
+    known = keep(lines.join(needed, PLACE).select(*PLACE, words.alias("words")), "line-words")
+    side = lambda x: known.select(*[F.col(c).alias(f"{x}_{c}") for c in PLACE], F.col("words").alias(f"words_{x}"))
+    both = pairs.join(side("a"), [f"a_{c}" for c in PLACE]).join(side("b"), [f"b_{c}" for c in PLACE])
+    alike = both.where("9 * size(array_intersect(words_a, words_b)) >= 4 * (size(words_a) + size(words_b))")
+    return keep(alike.select(*[F.col(f"b_{c}").alias(c) for c in PLACE]).distinct(), "alike-lines")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, twin, removed): numbers, from 0, of the lines of docs (doc_id, twin, text) that go."""
+    """(doc_id, twin, removed): numbers, from 0, of the lines of docs (doc_id, twin, text) that go.
+
+    Near copies are mostly like the first of them. So each set is first held against the earliest set
+    that shares one of its rarest words, and only sets that this does not settle are joined with all.
+    """
     lines = keep(_lines(docs, _rarity(docs)), "lines")
-    one = lines.groupBy("sig", "sig2").agg(
-        F.min(F.struct("doc_id", "twin", "line")).alias("first"), F.first("n").alias("n"), F.first("digest").alias("digest"), F.first("prefix").alias("prefix")
-    )
-    removed = _removed_sets(docs, one).withColumn("gone", F.lit(True))
-    fate = lines.select("sig", "sig2", F.struct("doc_id", "twin", "line").alias("id")).groupBy("sig", "sig2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times"))
-    marked = fate.join(removed, ["sig", "sig2"], "left").where("gone or times > 1").select("sig", "sig2", "first", F.coalesce("gone", F.lit(False)).alias("gone"))
-    gone = lines.select("doc_id", "twin", "line", "sig", "sig2").join(marked, ["sig", "sig2"]).where("gone or struct(doc_id, twin, line) > first")
+    grouped = lines.groupBy("sig", "sig2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("digest").alias("digest"), F.first("prefix").alias("prefix"))
+    sets = keep(grouped.select("first.*", "sig", "sig2", "times", "n", "digest", "prefix"), "line-sets")
+    settled = _alike(docs, keep(_leaders(sets), "line-leaders"))
+    flagged = sets.join(settled.withColumn("settled", F.lit(True)), PLACE, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    removed = settled.union(_alike(docs, keep(_others(flagged), "line-pairs"))).withColumn("gone", F.lit(True))
+    fate = sets.select(*PLACE, "sig", "sig2", "times").join(removed, PLACE, "left").where("gone or times > 1")
+    marked = fate.select("sig", "sig2", F.struct(*PLACE).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    gone = lines.select(*PLACE, "sig", "sig2").join(marked, ["sig", "sig2"]).where("gone or struct(doc_id, twin, line) > first")
     return gone.groupBy("doc_id", "twin").agg(F.collect_set("line").alias("removed"))
 
 
@@ -130,8 +153,9 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     they lose the same lines, and none to each other. A null identifier comes first. Columns of any
     name are kept, an empty table gives no rows.
     """
-    twin = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    work = docs.select(docs[id_col].alias("doc_id"), twin.alias("twin"), docs[text_col].alias("text"), F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
+    twin = F.hash(F.coalesce(docs[text_col], F.lit("")))
+    doc_id = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
+    work = docs.select(doc_id.alias("doc_id"), twin.alias("twin"), docs[text_col].alias("text"), F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
     removed = keep(removed_lines(work.select("doc_id", "twin", "text")), "removed-lines")
     touched = _filter(removed, F.xxhash64("doc_id", "twin"))
     removed = removed.select(F.col("doc_id").alias("r_doc"), F.col("twin").alias("r_twin"), "removed")
@@ -143,5 +167,5 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     whole = work.where(~touched).select(*out(F.col("text"), F.lit(0)))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: F.array_contains("removed", k) == F.lit(False)), "\n")
-    cut = work.where(touched).join(removed, work.doc_id.eqNullSafe(removed.r_doc) & (work.twin == removed.r_twin), "left")
+    cut = work.where(touched).join(removed, (work.doc_id == removed.r_doc) & (work.twin == removed.r_twin), "left")
     return whole.union(cut.select(*out(F.when(F.col("removed").isNull(), F.col("text")).otherwise(left), F.coalesce(F.size("removed"), F.lit(0)))))
