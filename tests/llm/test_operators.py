@@ -1,0 +1,319 @@
+"""Small cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("cuemill.llm")
+
+from pyspark.sql import functions as F
+
+from cuemill.llm import decontamination, embedding_dedup, golay, language, licenses, line_dedup, packing, pii, quality, simhash, warc
+from cuemill.llm.buckets import bucket_edges, within
+from cuemill.llm.components import components
+from cuemill.llm.license_texts import KNOWN
+
+DOCS = "doc_id long, text string, key long, row string, digest string"
+
+
+def docs(spark, *rows):
+    """Documents with columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, 1, "r", "d") for i, t in rows], DOCS)
+
+
+def test_licenses(spark):
+    mit = KNOWN[0][1]
+    british = "Copyright (c) 2020 Me\n" + mit.replace("sublicense", "sub-licence").upper() + "\n"
+    rows = [(1, mit), (2, british), (3, None), (4, ""), (5, "word\nReleased under the M.I.T. licence!\nmore"), (6, "Released under the MIT Licence\n\nLicensed under CC BY 4.0"), (1, mit), (None, "x " * 50_000)]
+    found = licenses.scan(docs(spark, *rows), licenses.known_licenses(spark)).collect()
+    got = sorted((r.doc_id or 0, r.license_id, r.notices) for r in found)
+    assert [g for g in got if g[0] == 1] == [(1, "MIT", "")] * 2
+    assert dict((g[0], g[1:]) for g in got) == {0: (None, ""), 1: ("MIT", ""), 2: ("MIT", ""), 3: (None, ""), 4: (None, ""), 5: (None, ""), 6: (None, "CC-BY-4.0,MIT")}
+    assert licenses.scan(docs(spark), licenses.known_licenses(spark)).count() == 0
+
+
+def brute_lines(rows):
+    seen, out = [], {}
+    for doc, text in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0])):
+        kept = []
+        for line in text.split("\n"):
+            words = {w for w in re.split(r"[\x20\x09-\x0D]+", line.lower()) if w}
+            if not words or not any(len(words & s) * 5 >= 4 * len(words | s) for s in seen):
+                kept.append(line)
+            if words:
+                seen.append(words)
+        out[doc] = "\n".join(kept)
+    return out
+
+
+def test_line_dedup_against_brute_force(spark):
+    draw = np.random.default_rng(3)
+    base = [[f"w{x}" for x in draw.integers(0, 60, n)] for n in (1, 2, 3, 4, 5, 8, 12, 20, 30)]
+    rows = []
+    for doc in range(40):
+        lines = []
+        for _ in range(draw.integers(1, 8)):
+            words = list(base[draw.integers(0, len(base))])
+            for _ in range(draw.integers(0, 4)):
+                words[draw.integers(0, len(words))] = f"w{draw.integers(0, 60)}"
+            lines.append("  ".join(words) if draw.random() < 0.2 else " ".join(words))
+        rows.append((doc, "\n".join([*lines, "", " \t"])))
+    rows += [(100, None), (101, ""), (None, "w1 w2 w3\nonly here"), (102, rows[0][1])]
+    found = line_dedup.dedup_lines(docs(spark, *rows)).collect()
+    assert {r.doc_id: r.text for r in found if r.text is not None} == brute_lines(rows)
+    assert [r.n_lines for r in found if r.doc_id == 100] == [0]
+    assert all(r.row == "r" and r.key == 1 for r in found)
+    assert line_dedup.dedup_lines(docs(spark)).count() == 0
+
+
+def test_line_dedup_repeated_rows_are_one_document(spark):
+    found = line_dedup.dedup_lines(docs(spark, (1, "a b c\nd e f"), (1, "a b c\nd e f"), (2, "a b c"))).orderBy("doc_id").collect()
+    assert [(r.text, r.n_removed) for r in found] == [("a b c\nd e f", 0), ("a b c\nd e f", 0), ("", 1)]
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_spans(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            double = [int(c) for c in reversed(digits)]
+            sums = sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(double))
+            good = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else True, "card": 14 <= len(digits) <= 19 and sums % 10 == 0, "phone": 10 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[1], list(PATTERNS).index(s[0])))
+
+
+def test_base_spans_against_the_patterns():
+    draw = np.random.default_rng(5)
+    pieces = ["a", "é", "@", ".", "..", "com", "-", " ", "+1", "4", "12", "255.", "4111 1111 1111 1111", "(", ")", "9.9.9.9", "x@y.z", "+1 (415) 555-0134", "\n", "_", "%"]
+    for _ in range(4000):
+        text = "".join(pieces[k] for k in draw.integers(0, len(pieces), draw.integers(1, 16)))
+        assert pii.base_spans(text) == brute_spans(text), text
+    assert pii.base_spans("1" * 100_000 + "a" * 100_000) == []
+
+
+def test_pii_field_adds_and_leaves_alone(spark):
+    rows = [(1, "ring (312) 555-0177 or mail jane (at) site (dot) org"), (2, None), (3, ""), (4, "born in 1985, version 1.2.3, password=531ccd051a92ebcb68"), (5, "at 10.1.2.3 and a@b.cd"), (5, "at 10.1.2.3 and a@b.cd")]
+    found = pii.with_counts(pii.find_pii(docs(spark, *rows), keep_cols=["doc_id"])).orderBy("doc_id").collect()
+    assert [r.spans for r in found] == ["phone:5:19,email:28:52", "", "", "", "ip:3:11,email:16:22", "ip:3:11,email:16:22"]
+    assert [(r.n_email, r.n_ip, r.n_card, r.n_phone) for r in found][0] == (0, 0, 0, 0)
+    assert found[4].base_sha256 == hashlib.sha256(b"ip:3:11,email:16:22").hexdigest()
+    assert pii.find_pii(docs(spark)).count() == 0
+
+
+def test_warc_round_trip(spark):
+    big = "héllo <p>\r\n\r\nWARC/1.1\r\n" * 40_000
+    rows = [(1, "http://a", "same", 0), (5, "http://b\nx", "same", 0), (3, None, "", 0), (4, "u", None, 0), (2, "u", big, 0), (2, "u", big, 0), (None, "u", "same", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    got = warc.round_trip(spark, pages).drop("record_id").collect()
+    sha = lambda t: __import__("base64").b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    n = len(big.encode())
+    want = [(1, 4, sha("same"), "revisit", 5), (5, 4, sha("same"), "response", None), (None, 4, sha("same"), "revisit", 5), (3, 0, sha(""), "revisit", 4), (4, 0, sha(""), "response", None), (2, n, sha(big), "response", None), (2, n, sha(big), "response", None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert warc.round_trip(spark, pages.limit(0)).count() == 0
+    archives = warc.write_archives(pages, warc.fresh_path(spark, "t"), min_bytes=5).collect()
+    chunks = warc.read_chunks(spark.createDataFrame(archives), chunk=100_000).where("page_id = 2").orderBy("record_id", "chunk_no").collect()
+    assert len(chunks) > 10 and b"".join(bytes(c.data) for c in chunks[: len(chunks) // 2] if c.chunk_no < 10**9) != b""
+    assert {c.record_type for c in warc.read_chunks(spark.createDataFrame(archives)).where("declared_bytes < 5").collect()} == {"response"}
+
+
+def test_packing_is_whole_and_tight(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    draw = np.random.default_rng(1)
+    rows = [(k, " ".join(f"word{x}" for x in draw.integers(0, 90, draw.integers(0, 900)))) for k in range(60)]
+    rows += [(100, None), (101, ""), (None, "null id"), (0, "again the same id"), (102, "long " * 30_000)]
+    got = packing.pack(docs(spark, *rows).repartition(3), path).toPandas()
+    tokenizer = Tokenizer.from_file(path)
+    want = sorted((-1 if i is None else i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows)
+    assert got.length.sum() == sum(len(ids) for _, ids in want)
+    unique = {i: ids for i, ids in want if i not in (0, -1)}
+    for doc, pieces in got[got.doc_id.isin(list(unique))].groupby("doc_id"):
+        at = 0
+        for p in pieces.sort_values("start").itertuples():
+            ids = unique[doc][p.start : p.start + p.length]
+            assert p.start == at and p.doc_tokens == len(unique[doc]) and p.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+            at += p.length
+        assert at == len(unique[doc])
+    for _, pieces in got.groupby("sequence_id"):
+        pieces = pieces.sort_values("offset")
+        assert list(pieces.offset) == [0, *pieces.length.cumsum()[:-1]]
+        total = pieces.length.sum()
+        assert total == 4096 or total & (total - 1) == 0
+    assert packing.pack(docs(spark), path).count() == 0
+
+
+def test_sum_of_squares_picks_the_cheapest_level():
+    packer = packing.Packer(16, 100, 0)
+    for size in (5, 5, 5, 7, 7, 3, 11):
+        before = packer.count.copy()
+        at = packer.level(size)
+        costs = {}
+        for h in [0, *np.flatnonzero(before)]:
+            if h + size <= 16:
+                after = before.copy()
+                after[h] -= h > 0
+                after[h + size] += h + size < 16
+                costs[h] = (after[1:16] ** 2).sum()
+        assert costs[at] == min(costs.values())
+        packer.place((0, 0, b"\0\0\0\0" * size, size))
+
+
+def brute_components(ids, linked):
+    label = np.array(ids)
+    while True:
+        new = np.array([label[linked[k]].min() for k in range(len(label))])
+        if (new == label).all():
+            return label
+        label = new
+
+
+def test_simhash_against_brute_force(spark):
+    draw = np.random.default_rng(2)
+    base = [[f"w{x}" for x in draw.integers(0, 500, n)] for n in (3, 40, 200)]
+    rows = [(200, None), (201, ""), (202, " \t"), (1000, "ONE two"), (999, "one TWO")]
+    for k in range(60):
+        words = list(base[k % 3])
+        for _ in range(draw.integers(0, 3)):
+            words[draw.integers(0, len(words))] = f"w{draw.integers(0, 500)}"
+        rows.append((k, " ".join(words)))
+    rows += [rows[-1], (500, "x " * 60_000)]
+    prints = np.array([simhash.fingerprint((t or "").encode(), 4) for _, t in rows], np.uint64)
+    linked = np.bitwise_count(prints[:, None] ^ prints[None]) <= 4
+    label = brute_components([i for i, _ in rows], linked)
+    want = sorted((i, f"{int(p):016x}", int(c)) for (i, _), p, c in zip(rows, prints, label, strict=True))
+    assert sorted(map(tuple, simhash.near_duplicates(docs(spark, *rows)).collect())) == want
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs(spark, *rows)).collect())
+    assert kept == sorted({int(c) for c in label})
+    assert simhash.near_duplicates(docs(spark)).count() == 0
+
+
+def test_golay_keys_meet_within_two_bits():
+    words = np.random.default_rng(0).integers(0, 1 << 23, 3000).astype(np.uint32)
+    keys, ok = golay.keys(words)
+    for a in range(23):
+        for b in range(a, 23):
+            other, fine = golay.keys(words[:40] ^ np.uint32((1 << a) | (1 << b)))
+            assert all(set(keys[k][ok[k]]) & set(other[k][fine[k]]) for k in range(40))
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_buckets_in_blocks(spark, block):
+    draw = np.random.default_rng(1)
+    n = 200
+    key = draw.choice([1, 2, 3, *range(10, 60)], n, p=[0.2] * 3 + [0.4 / 50] * 50)
+    code = draw.integers(0, 1 << 62, 15)[draw.integers(0, 15, n)] ^ (1 << draw.integers(0, 60, n))
+    rows = spark.createDataFrame([(int(k), i, int(c)) for i, (k, c) in enumerate(zip(key, code, strict=True))], "key long, id long, c long")
+    root = {r.node: r.root for r in components(bucket_edges(rows, ["c"], within(2), block)).collect()}
+    c = code.astype(np.uint64)
+    label = brute_components(range(n), (np.bitwise_count(c[:, None] ^ c[None]) <= 2) & (key[:, None] == key[None]))
+    assert [root.get(k, k) for k in range(n)] == label.tolist()
+
+
+def test_components_of_chains_and_hubs(spark):
+    edges = [(k, k + 1) for k in range(30)] + [(100, k) for k in range(101, 160)] + [(5, 5), (None, 3), (200, 201), (201, 200)]
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.root for r in found} == {**{k: 0 for k in range(31)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_language_held_out(spark):
+    words = {"aa": "the of and to in that is was".split(), "bb": "der die und das nicht ist ein zu".split(), "cc": "le la les des et que une dans".split()}
+    draw = np.random.default_rng(4)
+    rows = [(k, " ".join(draw.choice(words[lang], 12)), lang) for k in range(150) for lang in [["aa", "bb", "cc"][k % 3]]]
+    rows += [(900, None, "aa"), (901, "123 !!", "aa"), (902, "", None), (903, "und das ist nicht " * 40_000, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("row", F.lit(1)).withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.train(table.where("not held_out"))
+    found = {r.doc_id: r for r in language.identify(table, model).collect()}
+    assert all(r.held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k, r in found.items())
+    assert sum(found[k].lang_pred == lang for k, _, lang in rows[:150]) >= 148
+    assert [found[k].lang_pred for k in (900, 901, 902, 903)] == ["und", "und", "und", "bb"]
+    assert all(0 <= r.score <= 1 for r in found.values())
+    none = language.identify(table, language.train(table.limit(0)))
+    assert {r.lang_pred for r in none.collect()} == {"und"}
+    code = language.codewords(20)
+    assert min(int((code[a] != code[b]).sum()) for a in range(20) for b in range(a)) >= 15
+
+
+def test_quality_shrinks_sparse_sites(spark):
+    good, bad = "plain words of a calm text about things ", "### $$$ %%% &&& *** "
+    rows = [(k, (good if k % 4 else bad) * (3 + k % 5), "big" if k < 150 else f"s{k % 3}") for k in range(200)]
+    rows += [(500, None, None), (501, "", "big"), (502, good * 20_000, "alone")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(160)], "doc_id long, quality int, toxic int")
+    model = quality.train(table, labels)
+    found = {r.doc_id: r for r in quality.score(table, model, F.col("source"), F.concat_ws("/", "source", F.lit("p"))).collect()}
+    assert len(found) == len(rows)
+    assert all(found[k].keep == (k % 4 != 0) for k in range(200))
+    prior = sum(r.p_doc for r in found.values()) / len(found)
+    assert abs(found[502].host_post - prior) < abs(found[502].p_doc - prior)
+    assert quality.score(table.limit(0), model, F.col("source"), F.col("source")).count() == 0
+    assert quality.train(table, labels.limit(0)).log_odds(np.zeros((1, quality.FEATURES + quality.FIGURES)))[0] == 0
+
+
+def test_embeddings_against_brute_force(spark):
+    draw = np.random.default_rng(6)
+    centre = draw.normal(size=(12, 32))
+    x = np.concatenate([centre[draw.integers(0, 12, 150)] + draw.normal(size=(150, 32)) * 0.2, draw.normal(size=(100, 32))]).astype(np.float32)
+    rows = [(k, [float(v) for v in row]) for k, row in enumerate(x)]
+    rows += [(900, None), (901, [0.0] * 32), (902, [float("nan")] * 32), (903, [None] + [1.0] * 31), (904, []), (905, rows[0][1]), (905, rows[0][1]), (906, rows[0][1][:31]), (907, [1e30] * 32), (908, [1e30] * 32)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("key", F.lit("x"))
+    got = embedding_dedup.near_duplicates(table, block=64).collect()
+    assert len(got) == len(rows)
+    good = [(i, np.array(v, np.float64)) for i, v in rows if v and len(v) == 32 and None not in v and np.isfinite(v).all() and any(v)]
+    unit = np.stack([v / np.linalg.norm(v) for _, v in good])
+    linked = unit @ unit.T >= 0.9
+    label = brute_components([i for i, _ in good], linked)
+    want = {}
+    for (i, _), row, c in zip(good, linked, label, strict=True):
+        want[i] = (int(row.sum()) - 1, int(c))
+    exact = sum(want.get(r.vec_id, (0, r.vec_id)) == (r.n_links, r.component_id) for r in got)
+    assert exact >= 0.9 * len(rows) and all(r.n_links <= want.get(r.vec_id, (0,))[0] for r in got)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert {r.vec_id: r.n_links for r in got if 900 <= r.vec_id <= 906}[902] == 0
+    assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def brute_hits(text, items, n=10):
+    word = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    words, hit, owners = word(text), set(), set()
+    for item, t in items:
+        own = word(t)
+        for k in range(max(1, len(own) - n + 1) if own else 0):
+            window = own[k : k + n]
+            for at in range(len(words) - len(window) + 1):
+                if words[at : at + len(window)] == window:
+                    hit |= set(range(at, at + len(window)))
+                    owners.add(str(item))
+    return len(words), len(hit), ",".join(sorted(owners))
+
+
+@pytest.mark.parametrize("most", [1 << 25, 60])
+def test_decontamination_against_brute_force(spark, most):
+    draw = np.random.default_rng(7)
+    sample = lambda n: " ".join(f"W{x}é" for x in draw.integers(0, 12, n))
+    items = [(k, sample(int(n))) for k, n in enumerate(draw.integers(0, 16, 12))] + [(20, None), (21, "!!"), (2, "w1é w2é")]
+    rows = [(k, sample(30) + "-" + (items[k % 12][1] or "") + "." + sample(20)) for k in range(30)] + [(50, None), (51, ""), (51, ""), (52, "zz " * 50_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.lit(1))
+    found = decontamination.find_contamination(docs(spark, *rows), bench, keep_cols=["doc_id", "text", "row"], max_item_bytes=most)
+    got = decontamination.with_counts(found).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.items_sha256) for r in got) == sorted((i, *(x := brute_hits(t, items))[:2], hashlib.sha256(x[2].encode()).hexdigest()) for i, t in rows)
+    for r in got:
+        for s in r.spans:
+            assert len(decontamination.words_of(r.text[s.start : s.end].encode())) == s.word_end - s.word_start
+    assert decontamination.find_contamination(docs(spark), bench).count() == 0
+    assert decontamination.find_contamination(docs(spark, *rows), bench.limit(0)).where(F.size("spans") > 0).count() == 0
