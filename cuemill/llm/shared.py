@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,10 +26,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def keep(frame: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them again: a lost executor costs no lineage."""
+    """Write the rows to the shared folder and read them again: a lost executor costs no lineage.
+
+    Spark drops the shuffle files of finished work when the driver collects its garbage, which a
+    driver with little to do may put off for long; so it is asked to.
+    """
     spark = frame.sparkSession
     path = fresh_path(spark, name)
     frame.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 
