@@ -129,7 +129,7 @@ def unquote(value: Column) -> Column:
 
 
 def format_duration(ms: Column) -> Column:
-    """`M:SS`, or `H:MM:SS` from an hour on; half a second rounds up."""
+    """`M:SS`, or `H:MM:SS` from an hour on; half a second rounds up. Null stays null."""
     total = F.round(ms / 1000).cast("long")
     minutes = F.floor(total / 60) % 60
-    return F.when(total >= 3600, F.format_string("%d:%02d:%02d", F.floor(total / 3600), minutes, total % 60)).otherwise(F.format_string("%d:%02d", minutes, total % 60))
+    return F.when(total.isNull(), F.lit(None).cast("string")).when(total >= 3600, F.format_string("%d:%02d:%02d", F.floor(total / 3600), minutes, total % 60)).otherwise(F.format_string("%d:%02d", minutes, total % 60))

@@ -12,7 +12,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     root = path.rstrip("/").split("://")[-1].rstrip("/") + "/"
     whole = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/")
     relative = F.substring(F.url_decode(F.regexp_replace(whole, r"\+", "%2B")), F.lit(len(root) + 1), F.length(whole))
-    found = files.select(relative.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    found = files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("text"))
     return found.where(F.size(F.split("path", "/")) <= 2)
 
 

@@ -30,7 +30,7 @@ def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     name = file_name(F.col("path"))
     files = _files(spark, path).where("length > 0")
     return files.select(
-        video_id(name).alias("video_id"), track_key(name).alias("track_key"), F.substring_index(name, ".", -1).alias("ext"), "path", F.col("length").alias("size"), F.decode("content", F.lit("UTF-8")).alias("raw")
+        video_id(name).alias("video_id"), track_key(name).alias("track_key"), F.substring_index(name, ".", -1).alias("ext"), "path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("raw")
     )
 
 
@@ -38,7 +38,7 @@ def read_meetings(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, title, modified_at, raw) of exported meetings."""
     name = file_name(F.col("path"))
     files = _files(spark, path, "*.[vV][tT][tT]")
-    return files.select(name.alias("file_name"), F.regexp_replace(name, r"(?i)\.vtt\z", "").alias("title"), F.col("modificationTime").alias("modified_at"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    return files.select(name.alias("file_name"), F.regexp_replace(name, r"(?i)\.vtt\z", "").alias("title"), F.col("modificationTime").alias("modified_at"), F.decode("content", "UTF-8").alias("raw"))
 
 
 def parse_metadata(stdout: Column) -> Column:

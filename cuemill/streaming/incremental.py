@@ -19,7 +19,7 @@ def clean_batch(files: DataFrame) -> DataFrame:
     """Transcripts, by the store's columns, of a batch of caption files."""
     name = file_name(F.col("path"))
     tracks = files.where("length > 0").select(
-        video_id(name).alias("video_id"), track_key(name).alias("track_key"), F.col("modificationTime").alias("fetched"), F.decode("content", F.lit("UTF-8")).alias("raw"), "path"
+        video_id(name).alias("video_id"), track_key(name).alias("track_key"), F.col("modificationTime").alias("fetched"), F.decode("content", "UTF-8").alias("raw"), "path"
     )
     named = clean_tracks(tracks).select(
         F.lit("unknown-channel").alias("channel_folder"),
