@@ -91,6 +91,10 @@ def _place(side: str) -> list[Column]:
     return [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in PLACE]
 
 
+def _apart() -> Column:
+    return F.expr("bit_count(a.digest ^ b.digest)").alias("apart")
+
+
 def _prefixes(sets: DataFrame, words: Column, *more: str) -> DataFrame:
     return sets.select(*PLACE, "n", "digest", *more, F.posexplode(words).alias("at", "word"))
 
@@ -101,8 +105,7 @@ def _leaders(sets: DataFrame) -> DataFrame:
     own = F.struct(*PLACE, "n", "digest", "at")
     first = F.first(own).over(Window.partitionBy("word").orderBy(*PLACE))
     met = rows.select(own.alias("b"), first.alias("a")).where("struct(a.doc_id, a.twin, a.line) < struct(b.doc_id, b.twin, b.line) and " + _POSSIBLE.format(a="a", b="b"))
-    best = met.select(*_place("b"), F.struct(F.expr("bit_count(a.digest ^ b.digest)").alias("apart"), *_place("a")).alias("best"))
-    return best.groupBy(*[f"b_{c}" for c in PLACE]).agg(F.min("best").alias("best")).select(*[f"b_{c}" for c in PLACE], *[f"best.a_{c}" for c in PLACE])
+    return _nearest(met.select(*_place("b"), *_place("a"), _apart()))
 
 
 def _others(sets: DataFrame) -> DataFrame:
@@ -110,7 +113,14 @@ def _others(sets: DataFrame) -> DataFrame:
     rows = _prefixes(sets, F.col("prefix"), "settled")
     a, b = rows.alias("a"), rows.alias("b")
     earlier = "not b.settled and struct(a.doc_id, a.twin, a.line) < struct(b.doc_id, b.twin, b.line) and "
-    return a.join(b, F.expr("a.word = b.word and " + earlier + _POSSIBLE.format(a="a", b="b"))).select(*_place("b"), *_place("a")).distinct()
+    met = a.join(b, F.expr("a.word = b.word and " + earlier + _POSSIBLE.format(a="a", b="b")))
+    return met.select(*_place("b"), *_place("a"), _apart()).distinct()
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of each set b's pairs the one whose digests are the least apart."""
+    b, a = [f"b_{c}" for c in PLACE], [f"a_{c}" for c in PLACE]
+    return pairs.groupBy(*b).agg(F.min(F.struct("apart", *a)).alias("best")).select(*b, *[f"best.{c}" for c in a])
 
 
 def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -131,14 +141,18 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, twin, removed): numbers, from 0, of the lines of docs (doc_id, twin, text) that go.
 
     Near copies are mostly like the first of them. So each set is first held against the earliest set
-    that shares one of its rarest words, and only sets that this does not settle are joined with all.
+    that shares one of its rarest words, and only sets that this does not settle are joined with all;
+    of what they meet, the nearest is held against them first.
     """
     lines = keep(_lines(docs, _rarity(docs)), "lines")
     grouped = lines.groupBy("sig", "sig2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("digest").alias("digest"), F.first("prefix").alias("prefix"))
     sets = keep(grouped.select("first.*", "sig", "sig2", "times", "n", "digest", "prefix"), "line-sets")
     settled = _alike(docs, keep(_leaders(sets), "line-leaders"))
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), PLACE, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    removed = settled.union(_alike(docs, keep(_others(flagged), "line-pairs"))).withColumn("gone", F.lit(True))
+    pairs = keep(_others(flagged), "line-pairs")
+    near = _alike(docs, _nearest(pairs))
+    rest = pairs.join(near.select(*[F.col(c).alias(f"b_{c}") for c in PLACE]), [f"b_{c}" for c in PLACE], "left_anti").drop("apart")
+    removed = settled.union(near).union(_alike(docs, keep(rest, "line-pairs"))).withColumn("gone", F.lit(True))
     fate = sets.select(*PLACE, "sig", "sig2", "times").join(removed, PLACE, "left").where("gone or times > 1")
     marked = fate.select("sig", "sig2", F.struct(*PLACE).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     gone = lines.select(*PLACE, "sig", "sig2").join(marked, ["sig", "sig2"]).where("gone or struct(doc_id, twin, line) > first")
