@@ -58,12 +58,13 @@ def auto_tracks(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFr
     words = words_of(F.col("text"))
     if tagged:
         words = F.transform(words, lambda w, k: F.concat(F.lit("w"), k.cast("string"), F.lit("_"), w))
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("en").alias("track_key"), rolling_track(words).alias("raw"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # the test tables are single files
+    return docs.select("doc_id", F.lit("en").alias("track_key"), rolling_track(words).alias("raw"))
 
 
 def manual_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, track_key, raw): a cue for each line; a credit comes first, last or second by doc_id."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id")
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     kind = F.col("doc_id") % 3
     credit = F.array(F.lit("Transcriber: Some One"))
