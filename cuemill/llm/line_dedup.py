@@ -4,7 +4,7 @@ A line is a set of words (lower case, split at ASCII white space). Words are ord
 their hash bucket occurs in the corpus (``BUCKETS`` counts, the only thing that reaches the driver),
 then by hash. Lines with equal sets are one set, of which only the first occurrence can stay. Sets
 whose rarest words meet (prefix filter) are paired unless their sizes, the places of the word or
-64-bit digests of the sets rule a Jaccard similarity of 4/5 out (length, positional and bitmap
+digests of the sets rule a Jaccard similarity of 4/5 out (length, positional and bitmap
 filters). The words themselves then decide. A line goes if any earlier line is as similar as that,
 whether or not that line stays itself. Earlier means a smaller (doc_id, hash of the text, line).
 
@@ -21,6 +21,8 @@ from cuemill.llm.shared import keep
 
 BUCKETS = 1 << 16
 FILTER_BITS = 1 << 21
+#: Words of 64 bits of a set's digest: of two sets it tells, at least, how many words they do not share.
+DIGESTS = 3
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -68,7 +70,7 @@ def _lines(docs: DataFrame, rarity: Column) -> DataFrame:
             F.xxhash64("ranked").alias("sig"),
             F.hash("ranked").alias("sig2"),
             F.size("ranked").alias("n"),
-            F.expr("aggregate(ranked, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))").alias("digest"),
+            *[F.expr(f"aggregate(ranked, 0L, (a, h) -> if((h >>> 6 & 1023) % {DIGESTS} = {k}, a ^ shiftleft(1L, cast(h & 63 as int)), a))").alias(f"d{k}") for k in range(DIGESTS)],
             F.expr("transform(slice(ranked, 1, if(size(ranked) > 3, size(ranked) div 5 + 1, 0)), h -> hash(h))").alias("prefix"),
         )
     )
@@ -79,11 +81,13 @@ PLACE = ["doc_id", "twin", "line"]
 #: Of a set's prefix, the rarest words by which it is first held against the earliest set of each.
 LEADING = 3
 
+_OWN = ["n", *[f"d{k}" for k in range(DIGESTS)]]
+_DIFFER = " + ".join(f"bit_count(a.d{k} ^ b.d{k})" for k in range(DIGESTS))
 # Of two sets with n and m words, 4/5 alike means that 9 times the common ones is at least 4 (n + m).
 _POSSIBLE = (
-    "5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n)"
-    " and 9 * (least({a}.at, {b}.at) + least({a}.n - {a}.at, {b}.n - {b}.at)) >= 4 * ({a}.n + {b}.n)"
-    " and 9 * bit_count({a}.digest ^ {b}.digest) <= {a}.n + {b}.n"
+    "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"
+    " and 9 * (least(a.at, b.at) + least(a.n - a.at, b.n - b.at)) >= 4 * (a.n + b.n)"
+    f" and 9 * ({_DIFFER}) <= a.n + b.n"
 )
 
 
@@ -91,21 +95,19 @@ def _place(side: str) -> list[Column]:
     return [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in PLACE]
 
 
-def _apart() -> Column:
-    return F.expr("bit_count(a.digest ^ b.digest)").alias("apart")
-
-
 def _prefixes(sets: DataFrame, words: Column, *more: str) -> DataFrame:
-    return sets.select(*PLACE, "n", "digest", *more, F.posexplode(words).alias("at", "word"))
+    return sets.select(*PLACE, *_OWN, *more, F.posexplode(words).alias("at", "word"))
 
 
 def _leaders(sets: DataFrame) -> DataFrame:
     """For each set b the earliest set a of one of its rarest words that it is nearest to and may be like."""
     rows = _prefixes(sets, F.slice("prefix", 1, LEADING))
-    own = F.struct(*PLACE, "n", "digest", "at")
+    own = F.struct(*PLACE, *_OWN, "at")
     first = F.first(own).over(Window.partitionBy("word").orderBy(*PLACE))
-    met = rows.select(own.alias("b"), first.alias("a")).where("struct(a.doc_id, a.twin, a.line) < struct(b.doc_id, b.twin, b.line) and " + _POSSIBLE.format(a="a", b="b"))
-    return _nearest(met.select(*_place("b"), *_place("a"), _apart()))
+    met = rows.select(own.alias("b"), first.alias("a")).where("struct(a.doc_id, a.twin, a.line) < struct(b.doc_id, b.twin, b.line) and " + _POSSIBLE)
+    b, a = [f"b_{c}" for c in PLACE], [f"a_{c}" for c in PLACE]
+    pairs = met.select(*_place("b"), *_place("a"), F.expr(_DIFFER).alias("apart"))
+    return pairs.groupBy(*b).agg(F.min(F.struct("apart", *a)).alias("best")).select(*b, *[f"best.{c}" for c in a])
 
 
 def _others(sets: DataFrame) -> DataFrame:
@@ -113,14 +115,7 @@ def _others(sets: DataFrame) -> DataFrame:
     rows = _prefixes(sets, F.col("prefix"), "settled")
     a, b = rows.alias("a"), rows.alias("b")
     earlier = "not b.settled and struct(a.doc_id, a.twin, a.line) < struct(b.doc_id, b.twin, b.line) and "
-    met = a.join(b, F.expr("a.word = b.word and " + earlier + _POSSIBLE.format(a="a", b="b")))
-    return met.select(*_place("b"), *_place("a"), _apart()).distinct()
-
-
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Of each set b's pairs the one whose digests are the least apart."""
-    b, a = [f"b_{c}" for c in PLACE], [f"a_{c}" for c in PLACE]
-    return pairs.groupBy(*b).agg(F.min(F.struct("apart", *a)).alias("best")).select(*b, *[f"best.{c}" for c in a])
+    return a.join(b, F.expr("a.word = b.word and " + earlier + _POSSIBLE)).select(*_place("b"), *_place("a")).distinct()
 
 
 def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -141,18 +136,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, twin, removed): numbers, from 0, of the lines of docs (doc_id, twin, text) that go.
 
     Near copies are mostly like the first of them. So each set is first held against the earliest set
-    that shares one of its rarest words, and only sets that this does not settle are joined with all;
-    of what they meet, the nearest is held against them first.
+    that shares one of its rarest words, and only sets that this does not settle are joined with all.
     """
     lines = keep(_lines(docs, _rarity(docs)), "lines")
-    grouped = lines.groupBy("sig", "sig2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("digest").alias("digest"), F.first("prefix").alias("prefix"))
-    sets = keep(grouped.select("first.*", "sig", "sig2", "times", "n", "digest", "prefix"), "line-sets")
+    grouped = lines.groupBy("sig", "sig2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in [*_OWN, "prefix"]])
+    sets = keep(grouped.select("first.*", "sig", "sig2", "times", *_OWN, "prefix"), "line-sets")
     settled = _alike(docs, keep(_leaders(sets), "line-leaders"))
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), PLACE, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    pairs = keep(_others(flagged), "line-pairs")
-    near = _alike(docs, _nearest(pairs))
-    rest = pairs.join(near.select(*[F.col(c).alias(f"b_{c}") for c in PLACE]), [f"b_{c}" for c in PLACE], "left_anti").drop("apart")
-    removed = settled.union(near).union(_alike(docs, keep(rest, "line-pairs"))).withColumn("gone", F.lit(True))
+    removed = settled.union(_alike(docs, keep(_others(flagged), "line-pairs"))).withColumn("gone", F.lit(True))
     fate = sets.select(*PLACE, "sig", "sig2", "times").join(removed, PLACE, "left").where("gone or times > 1")
     marked = fate.select("sig", "sig2", F.struct(*PLACE).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     gone = lines.select(*PLACE, "sig", "sig2").join(marked, ["sig", "sig2"]).where("gone or struct(doc_id, twin, line) > first")
