@@ -18,10 +18,11 @@ def word_streams(tracks: DataFrame, raw: str = "raw", key: str | None = "track_k
     notation = choose_notation(F.col("track_kind"), F.col(key) if key else F.lit(None).cast("string"))
     return (
         tracks.withColumn("track_kind", classify_track(F.col(raw)))
-        .withColumn("_cues", strip_artifacts(spoken_lines(parse_cues(F.col(raw))), notation))
+        .withColumn("_lines", spoken_lines(parse_cues(F.col(raw))))
+        .withColumn("_cues", strip_artifacts(F.col("_lines"), notation))
         .withColumn("_found", rolled(F.col("_cues"), F.col("track_kind") == "auto"))
         .withColumn("_stream", merge_cues(F.col("_cues"), F.col("_found")))
-        .drop("_cues", "_found")
+        .drop("_lines", "_cues", "_found")
     )
 
 
