@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,12 @@ from cuemill.llm import pii_examples
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_LABELLED = 5000
-#: Tokens that a window keeps on both sides of its triggers; the most that one window holds before it is cut between tokens.
-REACH, MOST = 6, 200
-BATCH = 512
+#: Tokens that a window keeps on both sides of its triggers.
+REACH = 6
+#: Windows decoded together, and tokens that they may take with their padding; a longer window is decoded by itself, whole.
+BATCH, CELLS = 512, 100_000
+#: Tokens whose features are named at once, and how far the features look.
+PIECE, LOOK = 4096, 3
 
 LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
@@ -139,7 +143,12 @@ class Field:
 
     def scores(self, tokens: list[tuple[str, bool]]) -> np.ndarray:
         place, emit = self.place, self.emit
-        return np.stack([emit[[place[f] for f in names if f in place]].sum(axis=0) for names in token_features(tokens)])
+        out = np.empty((len(tokens), len(LABELS)))
+        for at in range(0, len(tokens), PIECE):
+            lead = min(at, LOOK)
+            named = token_features(tokens[at - lead : at + PIECE + LOOK])[lead : lead + PIECE]
+            out[at : at + len(named)] = [emit[[place[f] for f in names if f in place]].sum(axis=0) for names in named]
+        return out
 
     def decode(self, score: list[np.ndarray]) -> list[np.ndarray]:
         """The best labels of a batch of sequences, by Viterbi over all of them at once."""
@@ -226,8 +235,7 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 150,
 
 
 def windows(text: str) -> Iterator[list[tuple[str, int, int]]]:
-    """Tokens around triggers, never across lines; long windows are cut."""
-    found = None
+    """Tokens around triggers, never across lines; windows are whole, whatever their length."""
     for line in re.finditer(r"[^\n]+", text) if "\n" in text else [re.match(r"(?s).*", text)]:
         places = [m.start() for m in _TRIGGER.finditer(text, *line.span())]
         if not places:
@@ -242,9 +250,7 @@ def windows(text: str) -> Iterator[list[tuple[str, int, int]]]:
             else:
                 near.append([k - REACH, k + REACH])
         for a, b in near:
-            found = tokens[max(0, a) : b + 1]
-            for at in range(0, len(found), MOST):
-                yield found[at : at + MOST]
+            yield tokens[max(0, a) : b + 1]
 
 
 def plausible(kind: str, text: str) -> bool:
@@ -261,8 +267,14 @@ def plausible(kind: str, text: str) -> bool:
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], field: Field) -> list[list[tuple[str, int, int]]]:
-    """The field's own spans of each text, in batches of windows."""
+    """The field's own spans of each text, in batches of windows of like length. Windows share no tokens, so added spans never overlap."""
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    reached = [list(accumulate((y for _, _, y in base), max)) for base in bases]
+
+    def free(k: int, a: int, b: int) -> bool:
+        """Whether no base span of the text, which are in order of start, overlaps."""
+        n = bisect_left(bases[k], b, key=lambda s: s[1])
+        return not n or reached[k][n - 1] <= a
 
     def settle(held: list[tuple[int, list[tuple[str, int, int]]]]) -> None:
         for (k, tokens), labels in zip(held, field.decode([field.scores(_gaps(w)) for _, w in held]), strict=True):
@@ -274,21 +286,31 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], field
                     end += 1
                 if label != "O":
                     kind, a, b = label[2:], tokens[at][1], tokens[end - 1][2]
-                    if plausible(kind, texts[k][a:b]) and not any(x < b and a < y for _, x, y in (*bases[k], *out[k])):
+                    if plausible(kind, texts[k][a:b]) and free(k, a, b):
                         out[k].append((kind, a, b))
                 at = end
 
+    def settle_all(held: list[tuple[int, list[tuple[str, int, int]]]]) -> None:
+        held.sort(key=lambda x: len(x[1]))
+        start = 0
+        for at in range(1, len(held) + 1):
+            if at == len(held) or (at + 1 - start) * len(held[at][1]) > CELLS:
+                settle(held[start:at])
+                start = at
+
     held: list[tuple[int, list[tuple[str, int, int]]]] = []
+    size = 0
     for k, text in enumerate(texts):
         if _TRIGGER.search(text):
             for window in windows(text):
                 if window:
                     held.append((k, window))
-                if len(held) == BATCH:
-                    settle(held)
-                    held = []
+                    size += len(window)
+                if len(held) == BATCH or size > CELLS:
+                    settle_all(held)
+                    held, size = [], 0
     if held:
-        settle(held)
+        settle_all(held)
     return out
 
 

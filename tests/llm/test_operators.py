@@ -113,6 +113,19 @@ def test_pii_field_adds_and_leaves_alone(spark):
     assert pii.find_pii(docs(spark)).count() == 0
 
 
+def test_pii_long_lines_are_decoded_whole():
+    field = pii.train(pii.labelled_table(None))
+    for lead, unit in (("mail ", "jane (at) site (dot) org"), ("list of all: ", "ring (312) 555-0177")):
+        for n in (100, 1500):
+            text = lead + ", ".join([unit] * n) + ".\nmail jane (at) site (dot) org"
+            at = [len(lead) + k * (len(unit) + 2) + unit.find("(312)") * (unit[0] == "r") for k in range(n)]
+            want = [(a, a + len(unit.removeprefix("ring "))) for a in at] + [(len(text) - 24, len(text))]
+            assert sorted(s[1:] for s in pii.added_spans([text], [[]], field)[0]) == want
+    long = [(t, k % 2 == 0) for k, t in enumerate(["jane", "(", "at", ")", "7"] * 2000)]
+    whole = [field.emit[[field.place[f] for f in names if f in field.place]].sum(axis=0) for names in pii.token_features(long)]
+    assert (field.scores(long) == np.array(whole)).all()
+
+
 def test_warc_round_trip(spark):
     big = "héllo <p>\r\n\r\nWARC/1.1\r\n" * 40_000
     rows = [(1, "http://a", "same", 0), (5, "http://b\nx", "same", 0), (3, None, "", 0), (4, "u", None, 0), (2, "u", big, 0), (2, "u", big, 0), (None, "u", "same", 0)]
