@@ -1,7 +1,8 @@
 """Licence scans by canonical digests, in DataFrame functions.
 
-A text is put in lower case, lines that open with a copyright notice are dropped, punctuation and
-white space become single spaces, and equivalent spellings are made one. The SHA-256 of the result is
+Lines that open with a copyright notice are dropped, the text is put in lower case, punctuation and
+white space become single spaces, and equivalent spellings are made one. Wrapped prose that happens to
+open a line with 'copyright' or '(c)' is no notice: a sign, a year or a name must follow. The SHA-256 of the result is
 joined to those of the known licences. Two kinds of entire texts are looked up: the document, and
 each of its lines, where one-line notices stand.
 """
@@ -16,13 +17,26 @@ from cuemill.llm.license_texts import KNOWN, SPELLINGS
 #: Licences that are broadcast; a longer table is joined by shuffling.
 MOST_BROADCAST = 100_000
 
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+_YEAR = r"(?:19|20)\d\d\b"
+#: What follows 'copyright' in prose.
+_PROSE = r"(?i:holders?|owners?|notices?|licen[cs]es?|laws?|acts?|treat(?:y|ies)|statements?|rights?|interests?|protection|infringements?|permissions?|and|or|in|on|of|to|is|as|for|under|with)\b"
+_NOTICES = [
+    rf"(?i:copyright)[^\p{{L}}\p{{N}}\n]*(?:\((?i:c)\)|©|&copy;|{_YEAR}|[\[<{{](?i:year|yyyy))",
+    rf"(?i:copyright)[ \t]+(?!{_PROSE})[^\n]*\b{_YEAR}",
+    rf"(?:Copyright|COPYRIGHT)[ \t]+(?!{_PROSE})(?:(?i:by|the)[ \t]+)*\p{{Lu}}(?=[^\n]*\p{{Ll}})",
+    rf"\((?i:c)\)[ \t]*(?:(?i:copyright)[ \t]*)?(?:©|{_YEAR})",
+    # Items of a list open with '(c)' too: in a name, all words are capitalised.
+    r"\((?i:c)\)[ \t]*(?=[^\n]*\p{Ll})(?:(?:\p{Lu}[^\s]*|&|and|by|the|of|contributors|authors|(?i:all rights reserved)\.?)[ \t\r]*)+(?=\n|\z)",
+    r"©",
+    r"(?i:all rights reserved)",
+]
+COPYRIGHT_LINE = rf"(^|\n)[ \t]*(?:{'|'.join(_NOTICES)})[^\n]*"
 NOT_WORD = r"[^\p{L}\p{N}\n]+"
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical text, with its line ends."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1"), NOT_WORD, " ")
+    out = F.regexp_replace(F.lower(F.regexp_replace(text, COPYRIGHT_LINE, "$1")), NOT_WORD, " ")
     for spelling, usual in SPELLINGS:
         out = F.replace(out, F.lit(spelling), F.lit(usual))
     return out

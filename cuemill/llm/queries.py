@@ -24,13 +24,17 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
 
 
+#: As OP1_SQL has it.
+SQL_COPYRIGHT_LINE = r"(^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
 def _canonical_sql(text: str) -> str:
     """The canonical text of an SQL expression, with its line ends."""
-    out = f"regexp_replace(regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINE)}, '\\1', 'g'), {_quoted(licenses.NOT_WORD)}, ' ', 'g')"
+    out = f"regexp_replace(regexp_replace(lower({text}), {_quoted(SQL_COPYRIGHT_LINE)}, '\\1', 'g'), {_quoted(licenses.NOT_WORD)}, ' ', 'g')"
     for spelling, usual in licenses.SPELLINGS:
         out = f"replace({out}, {_quoted(spelling)}, {_quoted(usual)})"
     return out

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -35,6 +36,23 @@ def test_licenses(spark):
     assert licenses.scan(docs(spark), licenses.known_licenses(spark)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    rows, want = [], []
+    for name, text in KNOWN:
+        for width in range(30, 101) if "\n\n" in text else ():
+            wrapped = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False) for p in text.split("\n\n"))
+            notice = ["Copyright (c) 2020 Me", "Copyright 2020-2024, me", "(c) 2021 Me", "© Me", "Copyright The Me Authors. All rights reserved.", "(C) Jane Doe and Contributors", "COPYRIGHT ME 2020", "Copyright © Me", "Copyright [yyyy] [name of copyright owner]"][width % 9]
+            rows += [(len(rows), f"{notice}\nAll rights reserved.\n\n{wrapped}\n")]
+            want.append(name)
+    opened = [line for _, t in rows for line in t.split("\n") if line.lower().startswith("copyright")]
+    assert {"copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE FOR"} <= {" ".join(x.split()[: 6 if x[0] == "c" else 5]) for x in opened}
+    found = licenses.scan(docs(spark, *rows), licenses.known_licenses(spark)).collect()
+    assert {r.doc_id: r.license_id for r in found} == dict(enumerate(want))
+    items = "(c) You must retain, in the Source form, all notices\ncopyright license to reproduce, under 2020 rules\nCopyright Holder means you\ncopyright law"
+    own = spark.createDataFrame([("own", items.replace("\n", " "))], "license_id string, text string")
+    assert [r.license_id for r in licenses.scan(docs(spark, (1, items)), own).collect()] == ["own"]
+
+
 def brute_lines(rows):
     seen, out = [], {}
     for doc, text in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is not None, r[0])):
