@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,10 @@ from pyspark.sql import functions as F
 
 from cuemill.operators.corpus import is_meeting_file, with_frontmatter
 
+#: Rounds in which names that meet are given by joins.
+ROUNDS = 8
+NUMBERED = r"(?s)\A(.*)-([1-9][0-9]{0,30})\.md\z"
+
 
 def identity_of(path: Column, values: Column) -> Column:
     """struct<identity_kind, identity> of a file: its url, else a meeting's title, else both null."""
@@ -37,15 +43,18 @@ def _head(name: Column) -> Column:
 
 def _named(pdf: pd.DataFrame) -> pd.DataFrame:
     """File names of a group of transcripts that could meet, one after the other; held: files that are there."""
-    held = {r.filename: (r.identity_kind, r.identity) if r.identity_kind is not None else None for r in pdf[pdf.there].itertuples()}
+    held = {r.filename: (r.identity_kind, r.identity) for r in pdf[pdf.there].itertuples() if r.identity_kind is not None}
+    names_of: dict[tuple, list[str]] = {}
+    for n, owner in held.items():
+        names_of.setdefault(owner, []).append(n)
     new = pdf[~pdf.there].sort_values(["fetched", "identity_kind", "identity", "slug"], kind="stable")
     names = []
     for r in new.itertuples():
         own = (r.identity_kind, r.identity)
-        name = next(n for n in _candidates(r.slug, r.collision_id) if n not in held or held[n] is None or held[n] == own)
-        for other in [n for n, owner in held.items() if owner == own]:
+        name = next(n for n in _candidates(r.slug, r.collision_id) if n not in held or held[n] == own)
+        for other in names_of.get(own, ()):
             del held[other]
-        held[name] = own
+        held[name], names_of[own] = own, [name]
         names.append(name)
     return new.assign(filename=names)
 
@@ -59,24 +68,93 @@ def _candidates(slug: str, collision_id: str) -> Iterator[str]:
         n += 1
 
 
+def _suffixed() -> Column:
+    return F.concat("slug", F.lit("-"), "collision_id")
+
+
+def _candidate(k: Column) -> Column:
+    """The k-th of _candidates, from 0."""
+    return F.concat(F.when(k == 0, F.col("slug")).when(k == 1, _suffixed()).otherwise(F.concat(_suffixed(), F.lit("-"), k.cast("string"))), F.lit(".md"))
+
+
+def _proposed(claims: DataFrame, held: DataFrame) -> DataFrame:
+    """Claims (folder, own, slug, collision_id, turn, holds, k) with the k-th name and its holder so far: who owns the file there, else the earliest that asks."""
+    asked = claims.withColumn("name", _candidate(F.col("k")))
+    first = asked.groupBy("folder", "name").agg(F.min(F.struct("turn", "own"))["own"].alias("earliest"))
+    owner = first.join(held, ["folder", "name"], "left").select("folder", "name", F.coalesce("owner", "earliest").alias("holder"))
+    return asked.join(owner, ["folder", "name"])
+
+
+def _next_turn(proposed: DataFrame) -> DataFrame:
+    """Who was turned down asks for a later name: of equal lists of names, each a place further than the one before.
+
+    Who holds a file already goes on by one name, which may be its own.
+    """
+    down = F.col("holder") != F.col("own")
+    alike = Window.partitionBy("folder", "slug", "collision_id", "k").orderBy("turn", "own")
+    step = F.when(~down, 0).when(F.col("holds"), 1).otherwise(F.count_if(down & ~F.col("holds")).over(alike))
+    return proposed.withColumn("step", step.cast("int")).withColumn("k", F.col("k") + F.col("step")).drop("name", "holder", "step")
+
+
+def _keep(frame: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again, so that plans do not grow by rounds."""
+    context = frame.sparkSession.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if base is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
+        base = context.getCheckpointDir()
+    path = f"{base.rstrip('/')}/names-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def resolve_filenames(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """(channel_folder, identity_kind, identity, slug, collision_id, fetched, filename).
 
     incoming lacks the filename; existing is (channel_folder, filename, identity_kind, identity). A
-    transcript takes the first name that is free, its own, or held by a file without an identity.
-    Only where names could meet are transcripts named one by one, in order of fetched and identity;
-    all others keep their slug without being gathered.
+    transcript takes the first name that is free, its own, or held by a file without an identity, in
+    order of fetched and identity. All ask at once for their first name, the earliest is given it,
+    and the others ask for the next, in ROUNDS rounds of joins. That is the same as one after the
+    other unless a name becomes free in between; where one was asked for that might, or where names
+    are still asked for after the rounds, the transcripts of the folder whose names start alike are
+    gathered and named one by one.
     """
-    keys = ["channel_folder", "head"]
-    new = incoming.select("channel_folder", "identity_kind", "identity", "slug", "collision_id", "fetched").withColumn("head", _head(F.col("slug")))
-    old = existing.withColumn("head", _head(F.col("filename"))).join(new.select(keys).distinct(), keys, "left_semi")
-    claims = new.select(*keys).unionByName(old.where("identity_kind is not null").select(*keys))
-    met = claims.groupBy(*keys).count().where("count > 1").select(*keys)
-    alone = new.join(met, keys, "left_anti").withColumn("filename", F.concat("slug", F.lit(".md")))
-    both = new.withColumn("filename", F.lit(None).cast("string")).withColumn("there", F.lit(False)).unionByName(old.withColumn("there", F.lit(True)), allowMissingColumns=True).join(met, keys, "left_semi")
+    keys, names = ["channel_folder", "head"], ["channel_folder", "identity_kind", "identity", "slug", "collision_id", "fetched"]
+    own = F.to_json(F.struct("identity_kind", "identity"))
+    new = incoming.select(*names).withColumn("head", _head(F.col("slug"))).withColumn("own", own)
+    old = existing.select("channel_folder", "filename", "identity_kind", "identity").withColumn("head", _head(F.col("filename")))
+    held = old.where("identity_kind is not null").select(F.struct(*keys).alias("folder"), F.col("filename").alias("name"), own.alias("owner"))
+    turn = F.struct(F.col("fetched").isNull().alias("a"), "fetched", F.col("identity_kind").isNull().alias("b"), "identity_kind", F.col("identity").isNull().alias("c"), "identity", "slug").alias("turn")
+    claims = new.select(F.struct(*keys).alias("folder"), "own", "slug", "collision_id", turn).groupBy("folder", "own", "slug", "collision_id").agg(F.min("turn").alias("turn"))
+    holders = held.select("folder", F.col("owner").alias("own")).distinct().withColumn("holds", F.lit(True))
+    claims = claims.join(holders, ["folder", "own"], "left").withColumn("holds", F.coalesce("holds", F.lit(False))).withColumn("k", F.lit(0))
+    settled = _keep(_proposed(_keep(claims), held))
+    for _ in range(ROUNDS):
+        if settled.where("holder != own").isEmpty():
+            break
+        settled = _keep(_proposed(_keep(_next_turn(settled)), held))
+    claims = settled
+    # A name becomes free only if its owner has a file there and takes another name, or asks with several slugs.
+    given = settled.where("holder = own").select("folder", "name", F.col("own").alias("owner"))
+    several = claims.groupBy("folder", F.col("own").alias("owner")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    coming = claims.where("holds").select("folder", F.col("own").alias("owner")).distinct()
+    left = held.join(coming, ["folder", "owner"], "left_semi").join(given, ["folder", "name", "owner"], "left_anti")
+    moving = left.select("folder", "name", "owner").union(given.union(held).join(several, ["folder", "owner"], "left_semi").select("folder", "name", "owner"))
+    moving = moving.groupBy("folder", "name").agg(F.min("owner").alias("owner"))
+    asked = claims.select("folder", "own", F.explode(F.array(_candidate(F.lit(0)), F.when(F.col("k") > 0, _candidate(F.lit(1))))).alias("name")).distinct()
+    stem = F.struct("folder", F.regexp_extract("name", NUMBERED, 1).alias("stem")).alias("family")
+    numbered = moving.where(F.col("name").rlike(NUMBERED)).groupBy(stem).agg(F.min(F.regexp_extract("name", NUMBERED, 2).cast("decimal(38,0)")).alias("least"))
+    families = claims.where("k > 1").groupBy(F.struct("folder", _suffixed().alias("stem")).alias("family")).agg(F.max("k").alias("most"))
+    unsure = asked.join(moving, ["folder", "name"]).where("own != owner").select("folder")
+    unsure = unsure.union(families.join(numbered, "family").where("least <= most").select("family.folder"))
+    met = _keep(unsure.union(settled.where("holder != own").select("folder")).distinct().select("folder.*"))
+    found = settled.select(F.struct("folder", "own", "slug", "collision_id").alias("claim"), F.col("name").alias("filename"))
+    claim = F.struct(F.struct(*keys).alias("folder"), "own", "slug", "collision_id").alias("claim")
+    told = new.join(met, keys, "left_anti").select(*names, "head", claim).join(found, "claim")
+    both = new.drop("own").withColumn("filename", F.lit(None).cast("string")).withColumn("there", F.lit(False)).unionByName(old.withColumn("there", F.lit(True)), allowMissingColumns=True).join(met, keys, "left_semi")
     schema = both.drop("there").schema
     named = both.groupBy(*keys).applyInPandas(lambda pdf: _named(pdf)[schema.names], schema)
-    return alone.unionByName(named).drop("head")
+    return told.select(*schema.names).unionByName(named).drop("head")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -140,6 +140,53 @@ def test_file_names_step_over_others(spark):
     assert got == {"u1": "talk.md", "u2": "talk-x.md", "u3": "talk-y.md", "u4": "talk-x-2.md", "u5": "talk-x-z.md", "u6": "other-o.md", "u7": "talk.md"}
 
 
+def _one_after_the_other(incoming, existing):
+    """Names of incoming (folder, kind, identity, slug, collision_id, fetched), by plain loops over folders and first words."""
+    head, out = lambda name: name.removesuffix(".md").split("-")[0], []
+    for key in {(r[0], head(r[3])) for r in incoming}:
+        held = {e[1]: e[2:] for e in existing if (e[0], head(e[1])) == key and e[2] is not None}
+        for r in sorted((r for r in incoming if (r[0], head(r[3])) == key), key=lambda r: (r[5], r[1:4])):
+            tries = [f"{r[3]}.md", f"{r[3]}-{r[4]}.md", *[f"{r[3]}-{r[4]}-{n}.md" for n in range(2, 500)]]
+            name = next(n for n in tries if held.get(n, r[1:3]) == r[1:3])
+            held = {n: owner for n, owner in held.items() if owner != r[1:3]} | {name: r[1:3]}
+            out.append((*r, name))
+    return sorted(out)
+
+
+INCOMING = "channel_folder string, identity_kind string, identity string, slug string, collision_id string, fetched int"
+EXISTING = "channel_folder string, filename string, identity_kind string, identity string"
+
+
+def test_file_names_against_loops(spark):
+    draw = __import__("random").Random(5)
+    incoming, existing = [], {}
+    for f in range(150):
+        slugs = draw.choices(["a", "a-x", "a-x-2", "a-b", "b"], k=3)
+        ids = [f"u{k}" for k in range(8)]
+        for n in range(draw.randint(1, 7)):
+            i = ids[n] if draw.random() < 0.8 else draw.choice(ids)
+            incoming.append((f"f{f}", "url", i, draw.choice(slugs), draw.choice(["x", "x", "b", "y"]), draw.randint(0, 9)))
+        for _ in range(draw.choice([0, 0, 1, 3])):
+            name = draw.choice(slugs) + draw.choice(["", "-x", "-x-2", "-y"]) + ".md"
+            existing[f"f{f}", name] = draw.choice([("url", draw.choice(ids)), ("url", "other"), (None, None)])
+    rows = [(*k, *v) for k, v in existing.items()]
+    unique = {(r[0], *r[2:3], r[3], r[5]): r for r in incoming}
+    incoming = list(unique.values())
+    got = store.resolve_filenames(spark.createDataFrame(incoming, INCOMING), spark.createDataFrame(rows, EXISTING)).collect()
+    assert sorted(map(tuple, got)) == _one_after_the_other(incoming, rows)
+
+
+def test_file_names_of_a_hot_word_are_not_gathered(spark, monkeypatch):
+    def gathered(pdf):
+        raise AssertionError("gathered")
+
+    incoming = [("f", "url", f"u{k:03}", f"the-{k % 3}", "c" if k < 90 else f"c{k}", k) for k in range(300)]
+    existing = [("f", "the-0.md", "url", "u150"), ("f", "the-1.md", "url", "other")]
+    monkeypatch.setattr(store, "_named", gathered)
+    got = store.resolve_filenames(spark.createDataFrame(incoming, INCOMING), spark.createDataFrame(existing, EXISTING)).collect()
+    assert sorted(map(tuple, got)) == _one_after_the_other(incoming, existing)
+
+
 def test_batches(spark):
     expanded = spark.createDataFrame([(0, "a"), (1, "b"), (2, "a"), (3, "c"), (4, None)], "pos int, url string")
     existing = spark.createDataFrame([("b",), ("z",), (None,)], "url string")
