@@ -8,8 +8,11 @@ digests of the sets rule a Jaccard similarity of 4/5 out (length, positional and
 filters). The words themselves then decide. A line goes if any earlier line is as similar as that,
 whether or not that line stays itself. Earlier means a smaller (doc_id, hash of the text, line).
 
-Hot lines collapse before they are shuffled, and no group is gathered. Filters of ``FILTER_BITS`` bits,
-also of fixed size, keep rows that cannot matter out of the last joins; they never decide anything.
+Of a set, one thin row for each of its rarest words is shuffled, once for both sides of the join: the
+word, a 64-bit name of the set, its size and the word's place in one number, and two digests. Hot lines
+collapse before that, hot words are split by classes of size of which only neighbours can be alike, and
+no group is gathered. Filters of ``FILTER_BITS`` bits, of fixed size, keep rows that cannot matter out
+of the last joins; they never decide anything.
 """
 
 from __future__ import annotations
@@ -17,21 +20,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuemill.llm.shared import keep
+from cuemill.llm.shared import drop_finished_shuffles, keep
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 FILTER_BITS = 1 << 21
-#: Words of 64 bits of a set's digest: of two sets it tells, at least, how many words they do not share.
-DIGESTS = 3
-SPACE = r"[\x20\x09-\x0D]+"
+SPACE, SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
+#: Occurrences in the corpus from which a word is hot, as a power of two.
+HOT = 20
+#: Of a set's prefix, the rarest words by which it is first held against the earliest set of each.
+LEADING = 3
+#: A line's place: its document, a hash of the document's text, its number.
+PLACE = ["doc_id", "twin", "line"]
+#: What lines with equal sets have in common.
+SET = ["sig", "n", "d0", "d1"]
 
 
 def _words(text: Column) -> Column:
-    return F.split(F.lower(text), SPACE)
+    """The words of a text; of one with none, an empty word."""
+    return F.split(F.btrim(F.lower(text), F.lit(SPACES)), SPACE)
 
 
 def _literal(values: list[int], kind: str) -> Column:
-    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<{kind}>)")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _rarity(docs: DataFrame) -> Column:
@@ -55,98 +65,118 @@ def _filter(rows: DataFrame, hashed: Column) -> Column:
     return F.getbit(word, place.bitwiseAND(63).cast("int")) == 1
 
 
+def _once(column: Column) -> Column:
+    """The same column, computed once a row however often it is used later: Spark doesn't merge it into its uses."""
+    return F.explode(F.array(column))
+
+
 def _lines(docs: DataFrame, rarity: Column) -> DataFrame:
-    """One row per line with a word: id (doc_id, twin, line), its set's hashes, size, digest and prefix."""
-    hashed = F.array_remove(F.array_distinct(F.transform(_words(F.col("line_text")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    """One row per line with a word: its place, its set's name, size and digests, and its prefix, rarest first."""
+    hashed = F.array_distinct(F.transform(_words(F.col("text_of_line")), lambda w: F.xxhash64(w)))
     ranked = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     return (
-        docs.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
-        .select("doc_id", "twin", "line", ranked.alias("ranked"))
-        .where("size(ranked) > 0")
+        docs.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("line", "text_of_line"))
+        .where(F.btrim("text_of_line", F.lit(SPACES)) != "")
+        .select(*PLACE, _once(ranked).alias("ranked"))
         .select(
-            "doc_id",
-            "twin",
-            "line",
+            *PLACE,
             F.xxhash64("ranked").alias("sig"),
-            F.hash("ranked").alias("sig2"),
             F.size("ranked").alias("n"),
-            *[F.expr(f"aggregate(ranked, 0L, (a, h) -> if((h >>> 6 & 1023) % {DIGESTS} = {k}, a ^ shiftleft(1L, cast(h & 63 as int)), a))").alias(f"d{k}") for k in range(DIGESTS)],
-            F.expr("transform(slice(ranked, 1, if(size(ranked) > 3, size(ranked) div 5 + 1, 0)), h -> hash(h))").alias("prefix"),
+            # Each word turns one of 128 bits; of two sets, the differing bits are at most the words they do not share.
+            F.expr("aggregate(ranked, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))").alias("d0"),
+            F.expr("aggregate(ranked, 0L, (a, h) -> a ^ shiftleft(shiftrightunsigned(h, 6) & 1L, cast(h & 63 as int)))").alias("d1"),
+            F.expr(f"transform(slice(ranked, 1, if(size(ranked) > 3, size(ranked) div 5 + 1, 0)), h -> struct(hash(h) as word, shiftrightunsigned(h, 56) >= {4 * HOT} as hot))").alias("prefix"),
         )
+        .withColumn("d0", F.col("d0").bitwiseXOR(F.col("d1")))
     )
 
 
-#: A line's place: its document, a hash of the document's text, its number.
-PLACE = ["doc_id", "twin", "line"]
-#: Of a set's prefix, the rarest words by which it is first held against the earliest set of each.
-LEADING = 3
-
-_OWN = ["n", *[f"d{k}" for k in range(DIGESTS)]]
-_DIFFER = " + ".join(f"bit_count(a.d{k} ^ b.d{k})" for k in range(DIGESTS))
 # Of two sets with n and m words, 4/5 alike means that 9 times the common ones is at least 4 (n + m).
 _POSSIBLE = (
-    "5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"
-    " and 9 * (least(a.at, b.at) + least(a.n - a.at, b.n - b.at)) >= 4 * (a.n + b.n)"
-    f" and 9 * ({_DIFFER}) <= a.n + b.n"
-)
+    "5 * least({n}, {m}) >= 4 * greatest({n}, {m})"
+    " and 9 * (bit_count(a.d0 ^ b.d0) + bit_count(a.d1 ^ b.d1)) <= {n} + {m}"
+    " and 9 * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= 4 * ({n} + {m})"
+).format(n="shiftright(a.size_at, 32)", m="shiftright(b.size_at, 32)", i="(a.size_at & 2147483647)", j="(b.size_at & 2147483647)")
+
 
+def _size_class() -> Column:
+    """Sets of which one is at most 5/4 as large as the other are in the same class or in neighbouring ones."""
+    return F.floor(F.log("n") / F.log(F.lit(1.25)) + F.lit(1e-9)).cast("int")
 
-def _place(side: str) -> list[Column]:
-    return [F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in PLACE]
 
+#: Marks a set that is known to go, in the number that holds size and place.
+_SETTLED = "2147483648"
 
-def _prefixes(sets: DataFrame, words: Column, *more: str) -> DataFrame:
-    return sets.select(*PLACE, *_OWN, *more, F.posexplode(words).alias("at", "word"))
+
+def _size_at(settled: Column | None = None) -> Column:
+    both = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    return (both if settled is None else both.bitwiseOR(F.when(settled, F.expr(_SETTLED + "L")).otherwise(0))).alias("size_at")
 
 
 def _leaders(sets: DataFrame) -> DataFrame:
-    """For each set b the earliest set a of one of its rarest words that it is nearest to and may be like."""
-    rows = _prefixes(sets, F.slice("prefix", 1, LEADING))
-    own = F.struct(*PLACE, *_OWN, "at")
-    first = F.first(own).over(Window.partitionBy("word").orderBy(*PLACE))
-    met = rows.select(own.alias("b"), first.alias("a")).where("struct(a.doc_id, a.twin, a.line) < struct(b.doc_id, b.twin, b.line) and " + _POSSIBLE)
-    b, a = [f"b_{c}" for c in PLACE], [f"a_{c}" for c in PLACE]
-    pairs = met.select(*_place("b"), *_place("a"), F.expr(_DIFFER).alias("apart"))
-    return pairs.groupBy(*b).agg(F.min(F.struct("apart", *a)).alias("best")).select(*b, *[f"best.{c}" for c in a])
+    """(sa, sb): sets that may be alike, a being the earliest of b's size that has one of b's rarest words."""
+    rows = sets.select("doc_id", *SET, F.posexplode(F.slice("prefix", 1, LEADING)).alias("at", "p")).select(F.xxhash64("p.word", _size_class()).alias("key"), "doc_id", "sig", _size_at(), "d0", "d1")
+    own = F.struct("sig", "size_at", "d0", "d1")
+    first = F.first(own).over(Window.partitionBy("key").orderBy("doc_id", "sig"))
+    met = rows.select(own.alias("b"), first.alias("a")).where("a.sig != b.sig and " + _POSSIBLE)
+    return met.select(F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct()
 
 
 def _others(sets: DataFrame) -> DataFrame:
-    """For each set b that is not settled, all earlier sets a that it may be like."""
-    rows = _prefixes(sets, F.col("prefix"), "settled")
-    a, b = rows.alias("a"), rows.alias("b")
-    earlier = "not b.settled and struct(a.doc_id, a.twin, a.line) < struct(b.doc_id, b.twin, b.line) and "
-    return a.join(b, F.expr("a.word = b.word and " + earlier + _POSSIBLE)).select(*_place("b"), *_place("a")).distinct()
+    """(sa, sb): all pairs of sets that may be alike, unless both are settled.
+
+    The conditions are all on both sides, so that both sides of the join read one shuffle.
+    """
+    rows = sets.select(*SET, "settled", F.posexplode("prefix").alias("at", "p"))
+    # A hot word's row goes under its class of size, and as a visitor under the next one.
+    visits = F.explode(F.when(F.col("p.hot"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("visit")
+    dealt = rows.select("*", visits).select(
+        F.when(F.col("p.hot"), F.xxhash64("p.word", _size_class() + F.col("visit")).bitwiseOR(F.expr("1L << 32"))).otherwise(F.col("p.word").cast("long").bitwiseAND(F.expr("4294967295L"))).alias("word"),
+        "sig",
+        _size_at(F.col("settled")),
+        F.col("d0"),
+        F.col("d1"),
+    )
+    a, b = dealt.alias("a"), dealt.alias("b")
+    ordered = "(shiftright(a.size_at, 32) < shiftright(b.size_at, 32) or shiftright(a.size_at, 32) = shiftright(b.size_at, 32) and a.sig < b.sig)"
+    met = a.join(b, F.expr(f"a.word = b.word and {ordered} and a.size_at & b.size_at & {_SETTLED}L = 0 and {_POSSIBLE}"))
+    return met.select(F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct()
 
 
-def _alike(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Places b of the pairs (b, a) that are alike by their words."""
-    sides = pairs.select(*[F.col(f"a_{c}").alias(c) for c in PLACE]).union(pairs.select(*[f"b_{c}" for c in PLACE])).distinct()
-    needed = keep(sides, "line-places")
+def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Places of the later set of each of the pairs that are alike by their words."""
+    sides = pairs.select(F.col("sa").alias("s")).union(pairs.select("sb")).distinct()
+    needed = keep(sets.select("sig", *PLACE).join(sides, F.col("sig") == F.col("s"), "left_semi"), "line-places")
     maybe = docs.where(_filter(needed, F.xxhash64("doc_id", "twin")))
-    lines = maybe.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("line", "line_text")).where(_filter(needed, F.xxhash64(*PLACE)))
-    words = F.array_remove(F.array_distinct(_words(F.col("line_text"))), "")
-    known = keep(lines.join(needed, PLACE).select(*PLACE, words.alias("words")), "line-words")
-    side = lambda x: known.select(*[F.col(c).alias(f"{x}_{c}") for c in PLACE], F.col("words").alias(f"words_{x}"))
-    both = pairs.join(side("a"), [f"a_{c}" for c in PLACE]).join(side("b"), [f"b_{c}" for c in PLACE])
-    alike = both.where("9 * size(array_intersect(words_a, words_b)) >= 4 * (size(words_a) + size(words_b))")
-    return keep(alike.select(*[F.col(f"b_{c}").alias(c) for c in PLACE]).distinct(), "alike-lines")
+    lines = maybe.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("line", "text_of_line")).where(_filter(needed, F.xxhash64(*PLACE)))
+    # Rows alike in identifier and text give a place more than once, with the same words.
+    known = keep(lines.join(needed, PLACE).select("sig", *PLACE, F.array_distinct(_words(F.col("text_of_line"))).alias("words")), "line-words")
+    side = lambda x: known.select(F.col("sig").alias(f"s{x}"), F.struct(*PLACE).alias(f"place_{x}"), F.col("words").alias(f"words_{x}"))
+    both = pairs.join(side("a"), "sa").join(side("b"), "sb")
+    alike = both.where("place_a != place_b and 9 * size(array_intersect(words_a, words_b)) >= 4 * (size(words_a) + size(words_b))")
+    later = F.greatest("place_a", "place_b")
+    return keep(alike.select(later.alias("p")).select("p.*").distinct(), "alike-lines")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, twin, removed): numbers, from 0, of the lines of docs (doc_id, twin, text) that go.
 
     Near copies are mostly like the first of them. So each set is first held against the earliest set
-    that shares one of its rarest words, and only sets that this does not settle are joined with all.
+    that shares one of its rarest words, and pairs of which this settles both are left out of the join
+    of all.
     """
     lines = keep(_lines(docs, _rarity(docs)), "lines")
-    grouped = lines.groupBy("sig", "sig2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), *[F.first(c).alias(c) for c in [*_OWN, "prefix"]])
-    sets = keep(grouped.select("first.*", "sig", "sig2", "times", *_OWN, "prefix"), "line-sets")
-    settled = _alike(docs, keep(_leaders(sets), "line-leaders"))
+    grouped = lines.groupBy(*SET).agg(F.min(F.struct(*PLACE)).alias("first"), F.count(F.lit(1)).alias("times"), F.first("prefix").alias("prefix"))
+    sets = keep(grouped.select("first.*", *SET, "times", "prefix"), "line-sets")
+    settled = _alike(docs, sets, keep(_leaders(sets), "line-leaders"))
+    drop_finished_shuffles(docs.sparkSession)
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), PLACE, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    removed = settled.union(_alike(docs, keep(_others(flagged), "line-pairs"))).withColumn("gone", F.lit(True))
-    fate = sets.select(*PLACE, "sig", "sig2", "times").join(removed, PLACE, "left").where("gone or times > 1")
-    marked = fate.select("sig", "sig2", F.struct(*PLACE).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    gone = lines.select(*PLACE, "sig", "sig2").join(marked, ["sig", "sig2"]).where("gone or struct(doc_id, twin, line) > first")
+    pairs = keep(_others(flagged), "line-pairs")
+    drop_finished_shuffles(docs.sparkSession)
+    removed = settled.union(_alike(docs, sets, pairs)).withColumn("gone", F.lit(True)).distinct()
+    fate = sets.select(*PLACE, *SET, "times").join(removed, PLACE, "left").where("gone or times > 1")
+    marked = fate.select(*SET, F.struct(*PLACE).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    gone = lines.select(*PLACE, *SET).join(marked, SET).where("gone or struct(doc_id, twin, line) > first")
     return gone.groupBy("doc_id", "twin").agg(F.collect_set("line").alias("removed"))
 
 

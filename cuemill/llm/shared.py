@@ -26,17 +26,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def keep(frame: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them again: a lost executor costs no lineage.
-
-    Spark drops the shuffle files of finished work when the driver collects its garbage, which a
-    driver with little to do may put off for long; so it is asked to.
-    """
+    """Write the rows to the shared folder and read them again: a lost executor costs no lineage."""
     spark = frame.sparkSession
     path = fresh_path(spark, name)
     frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done, before a step that writes large ones.
+
+    It deletes them when the driver collects its garbage, which a driver with little to do may put off for long.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(frame.schema).parquet(path)
 
 
 def column_names(frame: DataFrame, wanted: dict[str, str]) -> DataFrame:
