@@ -8,9 +8,8 @@ digests of the sets rule a Jaccard similarity of 4/5 out (length, positional and
 filters). The words themselves then decide. A line goes if any earlier line is as similar as that,
 whether or not that line stays itself. Earlier means a smaller (doc_id, hash of the text, line).
 
-Of a set, one thin row for each of its rarest words is shuffled, once for both sides of the join: the
-word, a 64-bit name of the set, its size and the word's place in one number, and two digests. Hot lines
-collapse before that, hot words are split by classes of size of which only neighbours can be alike, and
+Of a set, one thin row for each of its rarest words is shuffled: the word, the set's document and 64-bit
+name, its size and the word's place in one number, and two digests. Hot lines collapse before that, hot words are split by classes of size of which only neighbours can be alike, and
 no group is gathered. Filters of ``FILTER_BITS`` bits, of fixed size, keep rows that cannot matter out
 of the last joins; they never decide anything.
 """
@@ -24,20 +23,34 @@ from cuemill.llm.shared import drop_finished_shuffles, keep
 
 BUCKETS = 1 << 18
 FILTER_BITS = 1 << 21
-SPACE, SPACES = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r"
+#: White space within a line, but for the plain space.
+SPACES = "\t\x0b\f\r"
 #: Occurrences in the corpus from which a word is hot, as a power of two.
 HOT = 20
 #: Of a set's prefix, the rarest words by which it is first held against the earliest set of each.
 LEADING = 3
+#: How many of the earliest sets of each of these words.
+LEADERS = 4
+#: The large join is done for so many parts of the words in turn, so that only a part's rows take disk.
+PASSES = 3
 #: A line's place: its document, a hash of the document's text, its number.
 PLACE = ["doc_id", "twin", "line"]
 #: What lines with equal sets have in common.
 SET = ["sig", "n", "d0", "d1"]
 
 
-def _words(text: Column) -> Column:
-    """The words of a text; of one with none, an empty word."""
-    return F.split(F.btrim(F.lower(text), F.lit(SPACES)), SPACE)
+def _plain(text: Column) -> Column:
+    """In lower case, with plain spaces within lines. Rarely has a text other ones, which is cheap to see."""
+    lower = F.lower(text)
+    rare = F.contains(text, F.lit(SPACES[0]))
+    for c in SPACES[1:]:
+        rare = rare | F.contains(text, F.lit(c))
+    return F.when(rare, F.translate(lower, SPACES, " " * len(SPACES))).otherwise(lower)
+
+
+def _words(line: Column) -> Column:
+    """The words of a plain line, and empty ones where spaces meet."""
+    return F.split(line, " ")
 
 
 def _literal(values: list[int], kind: str) -> Column:
@@ -45,13 +58,16 @@ def _literal(values: list[int], kind: str) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """For each bucket of word hashes a class that grows with its count, in a constant array."""
+    """For each bucket of word hashes a class that grows with its count, in the highest bits of a constant array."""
     bucket = F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")
-    counts = docs.select(F.explode(_words(F.col("text"))).alias("word")).select(bucket).groupBy("bucket").count()
+    words = _words(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")))
+    counts = docs.select(F.explode(words).alias("word")).select(bucket).groupBy("bucket").count()
+    each = F.least(F.lit(127), F.floor(4 * F.log2("count"))).cast("long")
+    eight = counts.groupBy(F.shiftright("bucket", 3).alias("k")).agg(F.bit_or(F.call_function("shiftleft", each, (F.col("bucket").bitwiseAND(7) * 8).cast("int"))).alias("classes"))
     classes = [0] * BUCKETS
-    for row in counts.select("bucket", F.least(F.lit(127), F.floor(4 * F.log2("count"))).cast("int").alias("class")).collect():
-        classes[row[0]] = row[1]
-    return _literal(classes, "tinyint")
+    for k, packed in eight.collect():
+        classes[8 * k : 8 * k + 8] = packed.to_bytes(8, "little")
+    return _literal([c << 56 for c in classes], "bigint")
 
 
 def _filter(rows: DataFrame, hashed: Column) -> Column:
@@ -72,11 +88,11 @@ def _once(column: Column) -> Column:
 
 def _lines(docs: DataFrame, rarity: Column) -> DataFrame:
     """One row per line with a word: its place, its set's name, size and digests, and its prefix, rarest first."""
-    hashed = F.array_distinct(F.transform(_words(F.col("text_of_line")), lambda w: F.xxhash64(w)))
-    ranked = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    hashed = F.array_remove(F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    ranked = F.sort_array(F.transform(hashed, lambda h: F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))))
     return (
-        docs.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("line", "text_of_line"))
-        .where(F.btrim("text_of_line", F.lit(SPACES)) != "")
+        docs.select("doc_id", "twin", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "words"))
+        .where(F.btrim("words") != "")
         .select(*PLACE, _once(ranked).alias("ranked"))
         .select(
             *PLACE,
@@ -85,18 +101,19 @@ def _lines(docs: DataFrame, rarity: Column) -> DataFrame:
             # Each word turns one of 128 bits; of two sets, the differing bits are at most the words they do not share.
             F.expr("aggregate(ranked, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))").alias("d0"),
             F.expr("aggregate(ranked, 0L, (a, h) -> a ^ shiftleft(shiftrightunsigned(h, 6) & 1L, cast(h & 63 as int)))").alias("d1"),
-            F.expr(f"transform(slice(ranked, 1, if(size(ranked) > 3, size(ranked) div 5 + 1, 0)), h -> struct(hash(h) as word, shiftrightunsigned(h, 56) >= {4 * HOT} as hot))").alias("prefix"),
+            # The last bit of a word says whether it is hot.
+            F.expr(f"transform(slice(ranked, 1, if(size(ranked) > 3, size(ranked) div 5 + 1, 0)), h -> if(h >= {4 * HOT << 56}L, hash(h) | 1, hash(h) & -2))").alias("prefix"),
         )
         .withColumn("d0", F.col("d0").bitwiseXOR(F.col("d1")))
     )
 
 
 # Of two sets with n and m words, 4/5 alike means that 9 times the common ones is at least 4 (n + m).
-_POSSIBLE = (
-    "5 * least({n}, {m}) >= 4 * greatest({n}, {m})"
-    " and 9 * (bit_count(a.d0 ^ b.d0) + bit_count(a.d1 ^ b.d1)) <= {n} + {m}"
-    " and 9 * (least({i}, {j}) + least({n} - {i}, {m} - {j})) >= 4 * ({n} + {m})"
-).format(n="shiftright(a.size_at, 32)", m="shiftright(b.size_at, 32)", i="(a.size_at & 2147483647)", j="(b.size_at & 2147483647)")
+_DIFFER = "bit_count(a.d0 ^ b.d0) + bit_count(a.d1 ^ b.d1)"
+_N, _M = "shiftright(a.size_at, 32)", "shiftright(b.size_at, 32)"
+_AT, _BT = "(a.size_at & 2147483647)", "(b.size_at & 2147483647)"
+_SIZES = f"5 * least({_N}, {_M}) >= 4 * greatest({_N}, {_M})"
+_POSSIBLE = f"9 * ({_DIFFER}) <= {_N} + {_M} and 9 * (least({_AT}, {_BT}) + least({_N} - {_AT}, {_M} - {_BT})) >= 4 * ({_N} + {_M})"
 
 
 def _size_class() -> Column:
@@ -114,32 +131,36 @@ def _size_at(settled: Column | None = None) -> Column:
 
 
 def _leaders(sets: DataFrame) -> DataFrame:
-    """(sa, sb): sets that may be alike, a being the earliest of b's size that has one of b's rarest words."""
-    rows = sets.select("doc_id", *SET, F.posexplode(F.slice("prefix", 1, LEADING)).alias("at", "p")).select(F.xxhash64("p.word", _size_class()).alias("key"), "doc_id", "sig", _size_at(), "d0", "d1")
-    own = F.struct("sig", "size_at", "d0", "d1")
-    first = F.first(own).over(Window.partitionBy("key").orderBy("doc_id", "sig"))
-    met = rows.select(own.alias("b"), first.alias("a")).where("a.sig != b.sig and " + _POSSIBLE)
-    return met.select(F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct()
-
-
-def _others(sets: DataFrame) -> DataFrame:
-    """(sa, sb): all pairs of sets that may be alike, unless both are settled.
-
-    The conditions are all on both sides, so that both sides of the join read one shuffle.
-    """
-    rows = sets.select(*SET, "settled", F.posexplode("prefix").alias("at", "p"))
+    """(sa, sb): for each set b the nearest, by digests, of the earliest sets of about its size that have one of its rarest words."""
+    rows = sets.select("doc_id", *SET, F.posexplode(F.slice("prefix", 1, LEADING)).alias("at", "word")).select(F.xxhash64("word", _size_class()).alias("key"), "doc_id", "sig", _size_at(), "d0", "d1")
+    own = F.struct("doc_id", "sig", "size_at", "d0", "d1")
+    sofar = Window.partitionBy("key").orderBy("doc_id", "sig")
+    firsts = F.array(*[F.nth_value(own, k).over(sofar) for k in range(1, LEADERS + 1)])
+    met = rows.select(own.alias("b"), firsts.alias("firsts")).where("firsts[0].sig != b.sig").select("b", F.explode("firsts").alias("a")).where(f"a.sig != b.sig and {_SIZES} and {_POSSIBLE}")
+    nearest = met.groupBy(F.col("b.sig").alias("sb")).agg(F.min(F.struct(F.expr(_DIFFER).alias("apart"), F.col("a.sig").alias("sa"))).alias("best"))
+    return nearest.select("best.sa", "sb")
+
+
+def _others(sets: DataFrame, part: int) -> DataFrame:
+    """(sa, sb): all pairs of sets that may be alike by a part of the words, unless the later one is settled."""
+    rows = sets.select("doc_id", *SET, "settled", F.posexplode("prefix").alias("at", "word")).where(F.pmod(F.shiftright("word", 1), F.lit(PASSES)) == part)
     # A hot word's row goes under its class of size, and as a visitor under the next one.
-    visits = F.explode(F.when(F.col("p.hot"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("visit")
+    hot = F.col("word").bitwiseAND(1) == 1
+    visits = F.explode(F.when(hot, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("visit")
     dealt = rows.select("*", visits).select(
-        F.when(F.col("p.hot"), F.xxhash64("p.word", _size_class() + F.col("visit")).bitwiseOR(F.expr("1L << 32"))).otherwise(F.col("p.word").cast("long").bitwiseAND(F.expr("4294967295L"))).alias("word"),
+        F.when(hot, F.hash("word", _size_class() + F.col("visit"))).otherwise(F.col("word")).alias("word"),
+        "doc_id",
         "sig",
         _size_at(F.col("settled")),
-        F.col("d0"),
-        F.col("d1"),
+        "d0",
+        "d1",
     )
-    a, b = dealt.alias("a"), dealt.alias("b")
-    ordered = "(shiftright(a.size_at, 32) < shiftright(b.size_at, 32) or shiftright(a.size_at, 32) = shiftright(b.size_at, 32) and a.sig < b.sig)"
-    met = a.join(b, F.expr(f"a.word = b.word and {ordered} and a.size_at & b.size_at & {_SETTLED}L = 0 and {_POSSIBLE}"))
+    # Of two sets that are alike, the smaller one has a common word in its first ninth, the larger one in its first fifth.
+    a, b = dealt.where("9 * (size_at & 2147483647) <= shiftright(size_at, 32)").alias("a"), dealt.alias("b")
+    ordered = f"{_N} <= {_M} and ({_N} < {_M} or a.sig < b.sig)"
+    # Within a document the lines decide which is earlier, and are looked up later.
+    settled = [f"a.doc_id > b.doc_id and a.size_at & {_SETTLED}L != 0", f"b.doc_id > a.doc_id and b.size_at & {_SETTLED}L != 0", f"a.size_at & b.size_at & {_SETTLED}L != 0"]
+    met = a.join(b, F.expr(f"a.word = b.word and {ordered} and {_SIZES} and {_POSSIBLE} and not ({' or '.join(settled)})"))
     return met.select(F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct()
 
 
@@ -148,9 +169,9 @@ def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     sides = pairs.select(F.col("sa").alias("s")).union(pairs.select("sb")).distinct()
     needed = keep(sets.select("sig", *PLACE).join(sides, F.col("sig") == F.col("s"), "left_semi"), "line-places")
     maybe = docs.where(_filter(needed, F.xxhash64("doc_id", "twin")))
-    lines = maybe.select("doc_id", "twin", F.posexplode(F.split("text", "\n")).alias("line", "text_of_line")).where(_filter(needed, F.xxhash64(*PLACE)))
+    lines = maybe.select("doc_id", "twin", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "words")).where(_filter(needed, F.xxhash64(*PLACE)))
     # Rows alike in identifier and text give a place more than once, with the same words.
-    known = keep(lines.join(needed, PLACE).select("sig", *PLACE, F.array_distinct(_words(F.col("text_of_line"))).alias("words")), "line-words")
+    known = keep(lines.join(needed, PLACE).select("sig", *PLACE, F.array_remove(F.array_distinct(_words(F.col("words"))), "").alias("words")), "line-words")
     side = lambda x: known.select(F.col("sig").alias(f"s{x}"), F.struct(*PLACE).alias(f"place_{x}"), F.col("words").alias(f"words_{x}"))
     both = pairs.join(side("a"), "sa").join(side("b"), "sb")
     alike = both.where("place_a != place_b and 9 * size(array_intersect(words_a, words_b)) >= 4 * (size(words_a) + size(words_b))")
@@ -171,9 +192,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     settled = _alike(docs, sets, keep(_leaders(sets), "line-leaders"))
     drop_finished_shuffles(docs.sparkSession)
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), PLACE, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    pairs = keep(_others(flagged), "line-pairs")
-    drop_finished_shuffles(docs.sparkSession)
-    removed = settled.union(_alike(docs, sets, pairs)).withColumn("gone", F.lit(True)).distinct()
+    pairs = None
+    for part in range(PASSES):
+        found = keep(_others(flagged, part), "line-pairs")
+        pairs = found if pairs is None else pairs.union(found)
+        drop_finished_shuffles(docs.sparkSession)
+    removed = settled.union(_alike(docs, sets, pairs.distinct())).withColumn("gone", F.lit(True)).distinct()
     fate = sets.select(*PLACE, *SET, "times").join(removed, PLACE, "left").where("gone or times > 1")
     marked = fate.select(*SET, F.struct(*PLACE).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
     gone = lines.select(*PLACE, *SET).join(marked, SET).where("gone or struct(doc_id, twin, line) > first")
