@@ -16,8 +16,9 @@ URL = r"^(?i:[a-z][a-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]+)(?::\d*)?(?:[/]([^?#]*
 STATUS = r"^(i/web|[A-Za-z0-9_]+)/status/(\d+)(?:/(video|photo)/([1-9]\d*))?/?\z"
 HOSTS = r"^(?:youtu\.be|(?:.+\.)?youtube\.com|t\.co|(?:(?:www|m|mobile)\.)?(?:x|twitter)\.com)\z"
 SITE = "https://www.youtube.com/"
-REFUSED = "Not a YouTube video, playlist or channel, or an X post: "
-NO_SUBTITLES = "X Broadcasts and Spaces carry no subtitles, so there is nothing to fetch: "
+#: What a user is told, before the input itself.
+REFUSED = "No video, list, channel or post is known by this name: "
+NO_SUBTITLES = "Live talks have no captions that could be read: "
 
 _FIELDS = {"kind": "string", "url": "string", "video_id": "string", "video_number": "int", "path": "string", "error": "string"}
 

@@ -35,7 +35,7 @@ def clean_tracks(tracks: DataFrame, layout: str = "auto", raw: str = "raw", key:
     whole = F.filter(F.array(F.col("_stream.words")), lambda w: F.size(w) > 0)
     single = (F.size("turns") == 1) & ~F.col("marks_turns")
     name = F.col(url) if url else F.lit("the track")
-    warning = F.array(F.concat(F.lit("--layout dialog: "), name, F.lit(" marks no speaker changes, so its dialog is a single turn.")))
+    warning = F.array(F.concat(F.lit("A dialog was asked for, but no change of speaker is marked in "), name))
     return (
         word_streams(tracks, raw, key)
         .withColumn("_turns", cut_turns(F.col("_stream.words"), F.col("_stream.turn_starts")))

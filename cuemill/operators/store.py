@@ -101,6 +101,8 @@ def _keep(frame: DataFrame) -> DataFrame:
     context = frame.sparkSession.sparkContext
     base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if base is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
         base = context.getCheckpointDir()
     path = f"{base.rstrip('/')}/names-{uuid.uuid4().hex}"

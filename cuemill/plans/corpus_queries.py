@@ -84,7 +84,7 @@ FILES = r"""f AS (SELECT page_id, page_id % 10 AS kind, regexp_extract(html, '<t
   'https://www.youtube.com/watch?v=v' || page_id // 2 AS url, 'Channel \ "' || page_id % 6 || '"' AS channel, page_id % 60 || ':07' AS duration,
   strftime(DATE '2020-01-01' + CAST(page_id % 700 AS INTEGER), '%Y-%m-%d') AS upload_date, strftime(make_timestamp((1600000000 + page_id * 60) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS fetched,
   CASE WHEN page_id % 2 = 0 THEN 'auto' ELSE 'manual' END AS subtitles, CASE WHEN page_id % 3 = 0 THEN 'dialog' ELSE 'prose' END AS layout FROM pages),
-v AS (SELECT *, CASE kind WHEN 1 THEN 'its frontmatter block is never closed' WHEN 2 THEN 'its frontmatter is missing channel' WHEN 4 THEN 'its frontmatter is not readable' END AS error FROM f WHERE kind <> 0)"""
+v AS (SELECT *, CASE kind WHEN 1 THEN 'no line ends its frontmatter' WHEN 2 THEN 'its frontmatter lacks channel' WHEN 4 THEN 'its frontmatter has a line that is neither empty nor a key with a value' END AS error FROM f WHERE kind <> 0)"""
 
 
 @query(
@@ -109,8 +109,8 @@ def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "catalog_warnings",
-    f"""WITH {FILES} SELECT path, 'Skipped ' || path || ': ' || error || '. Re-download it to restore it.' AS warning FROM v WHERE error IS NOT NULL
-UNION ALL SELECT path, path || ' is outside a channel folder. Move it into its channel folder.' FROM v WHERE error IS NULL AND kind = 7""",
+    f"""WITH {FILES} SELECT path, 'Left out: ' || path || ', as ' || error AS warning FROM v WHERE error IS NOT NULL
+UNION ALL SELECT path, path || ' lies in no channel''s folder' FROM v WHERE error IS NULL AND kind = 7""",
 )
 def catalog_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.catalog_warnings(G.corpus_files(spark, sf_dir))
@@ -260,7 +260,7 @@ SELECT page_id, CASE WHEN form IN (0, 2, 3, 4, 14) THEN 'video' WHEN form IN (1,
     WHEN form = 6 THEN 'https://www.youtube.com/@h' || n || '/videos' WHEN form = 7 THEN 'https://www.youtube.com/channel/UC' || n || '/shorts' WHEN form = 8 THEN 'https://twitter.com/Some/status/' || n || '/photo/2'
     WHEN form = 9 THEN 'https://x.com/i/web/status/' || n WHEN form = 10 THEN 'https://t.co/a' || n END AS url,
   CASE WHEN form IN (0, 2, 3, 4, 14) THEN vid END AS video_id, CASE WHEN form = 8 THEN 2 WHEN form IN (9, 10) THEN 1 END AS video_number, CASE WHEN form = 13 THEN 'dir/m ' || n || '.VTT' END AS path,
-  CASE WHEN form = 11 THEN 'X Broadcasts and Spaces carry no subtitles, so there is nothing to fetch: https://x.com/i/spaces/' || n WHEN form = 12 THEN 'Not a YouTube video, playlist or channel, or an X post: https://example.com/' || n END AS error
+  CASE WHEN form = 11 THEN 'Live talks have no captions that could be read: https://x.com/i/spaces/' || n WHEN form = 12 THEN 'No video, list, channel or post is known by this name: https://example.com/' || n END AS error
 FROM i""",
 )
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
