@@ -327,9 +327,9 @@ def find_pii(docs: DataFrame, *, field: Field | None = None, text_col: str = "te
 
     Spans are in order of start, then kind. A null text is empty and has none. Whole texts are read,
     whatever their length. Repeated rows are read each by itself; an empty table gives no rows;
-    columns of any name can be kept.
+    columns of any name can be kept, but for one named spans, whose place the result takes.
     """
-    kept = [c for c in docs.columns if c != text_col] if keep_cols is None else keep_cols
+    kept = [c for c in (docs.columns if keep_cols is None else keep_cols) if c != "spans" and (keep_cols is not None or c != text_col)]
     shared = docs.sparkSession.sparkContext.broadcast(field or train(labelled_table(None)))
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
@@ -343,13 +343,12 @@ def find_pii(docs: DataFrame, *, field: Field | None = None, text_col: str = "te
                 both = [(*s, True) for s in base] + [(*s, False) for s in more]
                 both.sort(key=lambda s: (s[1], KINDS.index(s[0])))
                 rows.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in both])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, span_type)], ["row", "text", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span_type)], ["row", "spans"])
 
     row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(kept)], F.lit(0).alias("unused")).alias("row")
     work = docs.select(row, docs[text_col].alias("text"))
-    out = work.mapInArrow(task, f"row {work.schema['row'].dataType.simpleString()}, text string, spans {SPANS}")
-    columns = [(F.col("text") if c == text_col else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(kept)]
-    return out.select(*columns, "spans")
+    out = work.mapInArrow(task, f"row {work.schema['row'].dataType.simpleString()}, spans {SPANS}")
+    return out.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)], "spans")
 
 
 def joined(spans: Column) -> Column:
