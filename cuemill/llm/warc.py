@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from cuemill.llm.shared import fresh_path, keep
 
 CHUNK = 1 << 18
+#: Payloads with copies whose digests are broadcast, at about 100 bytes each.
+MOST_BROADCAST = 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -52,9 +54,12 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     Of payloads that are equal and have min_bytes at least, the one with the largest page_id is the
     response (every row that has this identifier, if it is repeated); the others revisit it. Null
     payloads are empty, null identifiers the smallest. Rows alike in both are one record written more
-    than once. Only digests of copies join the pages, and an empty table gives no archive.
+    than once. Only digests of copies join the pages; payloads of any size pass in chunks, and an empty
+    table gives no archive. Columns other than the three named are ignored, whatever their names.
     """
-    groups = _copies(pages, id_col, payload_col, min_bytes)
+    groups = keep(_copies(pages, id_col, payload_col, min_bytes), "warc-copies")
+    if groups.count() <= MOST_BROADCAST:
+        groups = F.broadcast(groups)  # payloads stay where they are; more copies are met by a shuffle
     payload = F.coalesce(pages[payload_col].cast("binary"), F.lit(b""))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     joined = rows.join(groups, ["digest"], "left")
