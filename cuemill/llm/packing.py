@@ -6,8 +6,9 @@ algorithm for bin packing"). A level array holds, for each fill, how many open w
 Each task packs its own rows, so no row is shuffled and no state leaves a task; windows are numbered
 within the task's partition.
 
-When a task ends, or holds ``max_open`` open windows, the emptiest windows are cut up to fill the
-fullest. What remains at the end is one window, which becomes sequences of powers of two, so that
+When a task ends, the emptiest open windows are cut up to fill the fullest; until then all that is left
+over is placed by the sum of squares, and a task holds no more than the ids of what it read. What
+remains at the end is one window, which becomes sequences of powers of two, so that
 nothing is padded. Documents are cut only when they are longer than a window, or in that last step.
 """
 
@@ -25,8 +26,6 @@ from pyspark.sql import DataFrame
 
 WINDOW = 4096
 END_ID = 2
-#: Open windows that a task holds at most before it merges them; each holds up to 16 KB of ids.
-MAX_OPEN = 2048
 #: Words and pieces whose ids a Python worker remembers, in about 250 MB; none longer than LONG_WORD.
 CACHED_WORDS, CACHED_PIECES, LONG_WORD = 800_000, 600_000, 64
 
@@ -58,7 +57,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
         self.pieces_of = regex.compile(split["pattern"]["Regex"]).findall
         self.normal, self.tokens = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
@@ -82,13 +81,18 @@ class WordEncoder:
             found.append(ids)
         return self._keep(word, b"".join(found))
 
+    def _names_special(self, text: str) -> bool:
+        """Whether the text may spell a special token, which is an id of its own wherever it stands."""
+        lower = text.lower()
+        return any(t in lower for t in self.special)
+
     def _keep(self, word: str, ids: bytes) -> bytes:
         if len(word) <= LONG_WORD:
             self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in _NOT_SPACE):
+        if any(c in text for c in _NOT_SPACE) or self._names_special(text):
             return self._whole(text)
         normal = not any(c in text for c in _OWN_LOWER) and unicodedata.is_normalized("NFC", text)
         if normal:
@@ -109,11 +113,10 @@ def encoder(path: str) -> WordEncoder:
 class Packer:
     """Windows of one task. A piece is (doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, window: int, max_open: int, first_sequence: int) -> None:
-        self.window, self.max_open, self.next = window, max_open, first_sequence
+    def __init__(self, window: int, first_sequence: int) -> None:
+        self.window, self.next = window, first_sequence
         self.count = np.zeros(window + 1, np.int64)  # the level array: open windows by fill
         self.open: dict[int, list[list]] = {}
-        self.n_open = 0
         self.rows: list[tuple] = []
 
     def close(self, pieces: list) -> None:
@@ -149,13 +152,10 @@ class Packer:
         if at:
             pieces = self.open[at].pop()
             self.count[at] -= 1
-            self.n_open -= 1
         else:
             pieces = []
         pieces.append(piece)
         self.settle(pieces, at + size)
-        if self.n_open >= self.max_open:
-            self.settle(*self.merge())
 
     def settle(self, pieces: list, fill: int) -> None:
         if fill == self.window:
@@ -163,12 +163,11 @@ class Packer:
         elif fill:
             self.open.setdefault(fill, []).append(pieces)
             self.count[fill] += 1
-            self.n_open += 1
 
     def merge(self) -> tuple[list, int]:
         """Fill the fullest open windows with cuts of the emptiest; what one window is left with."""
         found = [(fill, pieces) for fill in sorted(self.open) for pieces in self.open[fill]]
-        self.open, self.n_open = {}, 0
+        self.open = {}
         self.count[:] = 0
         low = 0
         while found and low < len(found):
@@ -212,10 +211,10 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece of a document: where it lies in its document and in its sequence.
 
-    Null and empty texts are documents of the end id alone. Rows are packed one by one: repeated
+    Null and empty texts are documents of the end id alone; texts of any length are encoded whole. Rows are packed one by one: repeated
     rows and repeated or null identifiers are separate documents. An empty table gives no rows.
     Other columns are ignored, whatever their names. Every id lies in exactly one piece.
     """
@@ -223,7 +222,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
-        packer = Packer(window, max_open, TaskContext.get().partitionId() << 40)
+        packer = Packer(window, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc, encode(text.as_py() or "") + end)
