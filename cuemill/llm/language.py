@@ -1,9 +1,9 @@
 """Language identification by error-correcting output codes.
 
 Each language has a codeword; each bit of the code is a binary classifier over hashed byte n-grams
-(of one to three bytes, of lower-cased letters). Decoding is loss-weighted: the loss of each bit counts by how well that
-bit's classifier did on the language in training, and the language with the smallest loss is chosen.
-A document is ambiguous if the second smallest is nearly as small.
+(of one to three bytes, of lower-cased letters). Decoding is loss-weighted: the loss of each bit counts by how well
+classifiers of that bit told the language on rows that they were not fitted on, and the language with the
+smallest loss is chosen. A document is ambiguous if the second smallest is nearly as small.
 
 The classifiers are fitted (ridge regression in its dual form) on at most ``max_rows`` labelled rows,
 drawn by hash evenly over the languages; counts of labels cover all rows. Only feature vectors reach
@@ -28,12 +28,15 @@ RIDGE = 1.0
 EXHAUSTIVE, BITS_A_DOUBLING = 7, 12
 #: Loss gap, of the mean loss per bit, under which a document is ambiguous.
 AMBIGUOUS = 0.02
-#: Softness of the score.
-SHARPNESS = 6.0
+#: Parts of the sample that are left out in turn, to weigh the bits and to calibrate the score.
+FOLDS = 5
+#: Softness of the score: the likeliest of these on rows left out.
+SHARPNESS = (1.0, 2.0, 4.0, 6.0, 8.0, 12.0, 16.0, 24.0)
 UNKNOWN = "und"
 #: Bytes of a text that are counted at once.
 AT_ONCE = 1 << 20
 
+_OUT = ["lang_pred", "score", "ambiguous"]
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
@@ -68,6 +71,11 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
+def weighted_losses(margin: np.ndarray, code: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted exponential loss of each language, rows by languages, from the margins of rows by bits."""
+    return np.einsum("nlb,lb->nl", np.exp(-np.clip(margin, -2, 2)[:, None, :] * code[None]), weight)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -75,11 +83,11 @@ class Model:
     weight: np.ndarray  # languages by bits, rows sum to 1
     linear: np.ndarray  # features by bits
     bias: np.ndarray
+    sharpness: float = 6.0
 
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Weighted exponential loss of each language, rows by languages."""
-        margin = np.clip(x @ self.linear + self.bias, -2, 2)
-        return np.einsum("nlb,lb->nl", np.exp(-margin[:, None, :] * self.code[None]), self.weight)
+        return weighted_losses(x @ self.linear + self.bias, self.code, self.weight)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, ambiguous) of each text."""
@@ -89,7 +97,7 @@ class Model:
             return out
         loss = self.losses(np.stack([features(texts[k]) for k in rows]))
         order = np.argsort(loss, axis=1, kind="stable")
-        share = np.exp(-SHARPNESS * (loss - loss.min(axis=1, keepdims=True)))
+        share = np.exp(-self.sharpness * (loss - loss.min(axis=1, keepdims=True)))
         best = 1 / share.sum(axis=1)
         for n, k in enumerate(rows):
             second = loss[n, order[n, 1]] if len(self.languages) > 1 else np.inf
@@ -97,18 +105,32 @@ class Model:
         return out
 
 
+def _linear(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of ridge regression, all bits at once."""
+    mean = x.mean(axis=0)
+    z = (x - mean).astype(np.float64)
+    linear = z.T @ np.linalg.solve(z @ z.T + RIDGE * np.eye(len(z)), y - y.mean(axis=0))
+    return linear, y.mean(axis=0) - mean @ linear
+
+
 def fit(x: np.ndarray, labels: list[str]) -> Model:
+    """A model of the rows; each fifth of them is judged by classifiers of the other four fifths, for weights and sharpness."""
     languages = sorted(set(labels))
     code = codewords(len(languages))
-    y = code[[languages.index(v) for v in labels]]
-    mean = x.mean(axis=0)
-    z = (x - mean).astype(np.float64)
-    dual = np.linalg.solve(z @ z.T + RIDGE * np.eye(len(z)), y - y.mean(axis=0))
-    linear = z.T @ dual
-    bias = y.mean(axis=0) - mean @ linear
-    right = ((x @ linear + bias) * y > 0).astype(float)
-    weight = np.stack([right[[v == name for v in labels]].mean(axis=0) for name in languages]) + 1e-3
-    return Model(languages, code, weight / weight.sum(axis=1, keepdims=True), linear.astype(np.float32), bias.astype(np.float32))
+    own = np.array([languages.index(v) for v in labels])
+    y, margin = code[own], np.zeros((len(x), code.shape[1]))
+    part = np.arange(len(x)) % FOLDS
+    for k in range(FOLDS if len(x) > FOLDS else 0):
+        linear, bias = _linear(x[part != k], y[part != k])
+        margin[part == k] = x[part == k] @ linear + bias
+    right = (margin * y > 0).astype(float)
+    # How much better than chance each bit is on each language; a bit that is no better still counts a little.
+    weight = np.maximum(np.stack([right[own == k].mean(axis=0) for k in range(len(languages))]) - 0.5, 0) + 1e-3
+    weight /= weight.sum(axis=1, keepdims=True)
+    loss = weighted_losses(margin, code, weight)
+    likely = [np.mean(s * loss[np.arange(len(own)), own] + np.log(np.exp(-s * loss).sum(axis=1))) for s in SHARPNESS]
+    linear, bias = _linear(x, y)
+    return Model(languages, code, weight, linear.astype(np.float32), bias.astype(np.float32), SHARPNESS[int(np.argmin(likely))])
 
 
 def held_out(id_col: Column) -> Column:
@@ -141,10 +163,11 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_cols
     """The kept columns (all but the text unless named) with lang_pred, score (0 to 1) and ambiguous.
 
     A null text, or one with no letter, is `und` with score 0, as is every text if the model knows no
-    language. Texts of any length are read whole. Repeated rows are judged alike; an empty table
-    gives no rows; columns of any name can be kept.
+    language. Texts of any length are read whole. Of languages that tie, the first by name is given,
+    as ambiguous. Repeated rows are judged alike; an empty table gives no rows; columns of any name
+    can be kept, but for those that are named like one of the three, whose place these take.
     """
-    kept = [c for c in docs.columns if c != text_col] if keep_cols is None else keep_cols
+    kept = [c for c in (docs.columns if keep_cols is None else keep_cols) if c not in _OUT and (keep_cols is not None or c != text_col)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +175,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_cols
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 langs, scores, vague = zip(*shared.value.predict(part.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs), pa.array(scores, pa.float64()), pa.array(vague)], ["row", "text", "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(vague)], ["row", *_OUT])
 
     row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(kept)], F.lit(0).alias("unused")).alias("row")
     work = docs.select(row, docs[text_col].alias("text"))
-    schema = "row " + work.schema["row"].dataType.simpleString() + ", text string, lang_pred string, score double, ambiguous boolean"
-    out = work.mapInArrow(task, schema)
-    columns = [(F.col("text") if c == text_col else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(kept)]
-    return out.select(*columns, "lang_pred", "score", "ambiguous")
+    out = work.mapInArrow(task, "row " + work.schema["row"].dataType.simpleString() + ", lang_pred string, score double, ambiguous boolean")
+    return out.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)], *_OUT)
