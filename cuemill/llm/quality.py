@@ -5,7 +5,8 @@ shape figures, fitted on a bounded sample of labelled rows and calibrated by its
 and the paths below them get posteriors: the sum of their documents' probabilities as good ones out
 of all, under a Beta prior whose strength is estimated from the spread between the sites (method of
 moments), so that sparse sites shrink towards their host and sparse hosts towards the whole corpus.
-The score of a document adds the log odds of its path, relative to the corpus, to its own.
+The score of a document adds to its own log odds those of its path's other documents, relative to the
+corpus: on a site of one document the score is that document's own evidence under its host's prior.
 
 The text is read once; sites are small sums, grouped in two steps, and come back by joins that a host
 with most of the rows does not hold up.
@@ -118,7 +119,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Classifier:
     w, b = _logistic(x[~held].astype(np.float64), y[~held], EPOCHS, RATE, DECAY)
     z = (x @ w + b)[held] if held.any() else x @ w + b
     t = y[held] if held.any() else y
-    best, grid = None, np.linspace(0.25, 3, 12)
+    best, grid = None, np.geomspace(0.25, 16, 13)
     for scale in grid:
         shift = 0.0
         for _ in range(20):  # Newton's steps for the shift
@@ -166,25 +167,32 @@ def _strength(sites: DataFrame, mean: Column, prior: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), (1 - r) / r)), F.lit(STRENGTH[1]))
 
 
+def _posterior(good: Column, n: Column, strength: Column, prior: Column) -> Column:
+    return (good + strength * prior) / (n + strength)
+
+
 def posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, n_path, n_host, host_post, path_post, prior) of scored (host, path, p), null-safe."""
+    """(host, path, n_path, good_path, n_host, good_host, k_host, k_path, host_post, path_post, prior) of scored (host, path, p), null-safe."""
     paths = keep(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = hosts.agg(F.sum("n"), F.sum("good")).first()
-    prior = min(1 - EDGE, max(EDGE, (whole[1] or 0.0) / (whole[0] or 1)))
-    k = hosts.agg(_strength(hosts, F.col("good") / F.col("n"), F.lit(prior))).first()[0]
-    host = hosts.select(F.col("host").alias("h"), F.col("n").alias("n_host"), ((F.col("good") + k * prior) / (F.col("n") + k)).alias("host_post"))
+    prior = F.lit(min(1 - EDGE, max(EDGE, (whole[1] or 0.0) / (whole[0] or 1))))
+    k_host = F.lit(hosts.agg(_strength(hosts, F.col("good") / F.col("n"), prior)).first()[0])
+    host = hosts.select(F.col("host").alias("h"), F.col("n").alias("n_host"), F.col("good").alias("good_host"), _posterior(F.col("good"), F.col("n"), k_host, prior).alias("host_post"))
     both = paths.join(host, F.col("host").eqNullSafe(F.col("h"))).drop("h")
-    k = both.agg(_strength(both, F.col("good") / F.col("n"), F.col("host_post"))).first()[0]
-    return both.select("host", "path", F.col("n").alias("n_path"), "n_host", "host_post", ((F.col("good") + k * F.col("host_post")) / (F.col("n") + k)).alias("path_post"), F.lit(prior).alias("prior"))
+    k_path = F.lit(both.agg(_strength(both, F.col("good") / F.col("n"), F.col("host_post"))).first()[0])
+    post = _posterior(F.col("good"), F.col("n"), k_path, F.col("host_post"))
+    own = [F.col("n").alias("n_path"), F.col("good").alias("good_path"), "n_host", "good_host", k_host.alias("k_host"), k_path.alias("k_path")]
+    return both.select("host", "path", *own, "host_post", post.alias("path_post"), prior.alias("prior"))
 
 
 def score(docs: DataFrame, model: Classifier, host: Column, path: Column, *, id_col: str = "doc_id", text_col: str = "text", min_quality: float = 0.5) -> DataFrame:
     """(doc_id, host, path, p_doc, host_post, path_post, quality, keep) for every row.
 
-    A null or wordless text has the evidence of an empty one; null hosts and paths are sites of their
-    own. Repeated rows count each. An empty table gives no rows. keep is quality of min_quality or
-    more.
+    A null or wordless text has the evidence of an empty one, very long ones are read whole; null hosts
+    and paths are sites of their own. Repeated rows count each and are scored alike. An empty table
+    gives no rows; columns other than those named are ignored, whatever their names. keep is quality
+    of min_quality or more, so that a tie is kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -197,9 +205,12 @@ def score(docs: DataFrame, model: Classifier, host: Column, path: Column, *, id_
 
     work = docs.select(docs[id_col].cast("long").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), docs[text_col].alias("text"))
     scored = keep(work.mapInArrow(task, "doc_id long, host string, path string, p double"), "document-scores")
-    sites = keep(posteriors(scored), "sites").select(F.col("host").alias("h"), F.col("path").alias("q"), "host_post", "path_post", "prior")
+    sites = keep(posteriors(scored), "sites").withColumnsRenamed({"host": "h", "path": "q"})
     joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("q")), "left")
     odds = lambda c: F.log(c / (1 - c))
-    total = odds(F.col("p")) + odds(F.col("path_post")) - odds(F.col("prior"))
+    # What the other documents of the host and of the path say: a document's own evidence counts once.
+    host_rest = _posterior(F.col("good_host") - F.col("p"), F.col("n_host") - 1, F.col("k_host"), F.col("prior"))
+    path_rest = _posterior(F.col("good_path") - F.col("p"), F.col("n_path") - 1, F.col("k_path"), host_rest)
+    total = odds(F.col("p")) + odds(F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), path_rest))) - odds(F.col("prior"))
     out = joined.select("doc_id", "host", "path", F.col("p").alias("p_doc"), "host_post", "path_post", (1 / (1 + F.exp(-total))).alias("quality"))
     return out.withColumn("keep", F.col("quality") >= min_quality)
