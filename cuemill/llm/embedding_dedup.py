@@ -1,10 +1,11 @@
 """Embedding near-duplicates through iterative quantisation and multi-index Hamming tables.
 
-Iterative quantisation (Gong and Lazebnik, 2011) learns rotations of the unit vectors, on a bounded
-sample, that make their signs balanced and faithful binary codes. Tables of bits drawn from the codes
-are the index: every vector is put in every table, vectors in one bucket are compared by their whole
-codes, and what is near enough joins a group. Within groups, all pairs are then reranked with the
-original vectors in double precision, in blocks; no pair of rows is ever emitted.
+Equal vectors are one, with a count. Iterative quantisation (Gong and Lazebnik, 2011) learns rotations
+of the centred unit vectors, on a bounded sample, that make their signs balanced and faithful binary
+codes. Tables of bits drawn from the codes are the index: every vector is put in every table, vectors
+in one bucket are compared by their whole codes, and what is near enough joins a group. Within groups,
+all pairs are then reranked with the original vectors in double precision, in blocks; no pair of rows
+is ever emitted.
 
 The bits of a key grow with the logarithm of the rows, so that buckets stay small, and the number of
 tables follows from them and from the recall wanted of pairs at the threshold.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,10 @@ CODE_BITS = 256
 RECALL = 0.97
 #: Vectors of a group that one task compares with as many others.
 BLOCK = 2048
+#: Of the mean, as much is taken off as leaves this squared length on average: nearness survives that.
+LEAST_SQUARE = 2 / 3
+#: Vectors with copies that are broadcast, at about 50 bytes each; more are joined.
+MOST_BROADCAST = 200_000
 
 
 @dataclass
@@ -38,15 +44,14 @@ class Index:
     """Projections by number of components, and how codes become keys."""
 
     projections: dict[int, np.ndarray]
+    centres: dict[int, np.ndarray]
     tables: np.ndarray  # tables by bits: places in the code
     most_bits: int
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """Rows by four words of 64 bits."""
-        projection = self.projections.get(vectors.shape[1])
-        if projection is None:
-            projection = random_projection(vectors.shape[1])
-        return np.packbits(vectors @ projection > 0, axis=1, bitorder="little").view(np.uint64)
+        d = vectors.shape[1]
+        return np.packbits((vectors - self.centres[d]) @ self.projections[d] > 0, axis=1, bitorder="little").view(np.uint64)
 
     def keys(self, codes: np.ndarray, components: int) -> np.ndarray:
         """Rows by tables: 62-bit keys, the number of components in them."""
@@ -58,10 +63,6 @@ class Index:
         return ((mixed ^ mixed >> np.uint64(29)) >> np.uint64(1)).astype(np.int64)
 
 
-def random_projection(components: int) -> np.ndarray:
-    return np.random.default_rng(components).normal(size=(components, CODE_BITS))
-
-
 def learn_rotation(x: np.ndarray, seed: int) -> np.ndarray:
     """Iterative quantisation: signs of the rotated vectors, then the rotation nearest to them."""
     start = np.random.default_rng(seed).normal(size=(x.shape[1], x.shape[1]))
@@ -73,10 +74,8 @@ def learn_rotation(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def learn_projection(x: np.ndarray) -> np.ndarray:
-    """As many rotations as the code has bits for; random directions where it has bits to spare."""
+    """As many rotations as the code has bits for, or the first bits of one."""
     d = x.shape[1]
-    if d < 8 or len(x) < d:
-        return random_projection(d)
     parts = [learn_rotation(x, seed) for seed in range(max(ROTATIONS, -(-CODE_BITS // d)))]
     return np.concatenate(parts, axis=1)[:, :CODE_BITS] if d <= CODE_BITS else parts[0][:, :CODE_BITS]
 
@@ -110,28 +109,43 @@ def _matrix(column: pa.Array) -> list[np.ndarray | None]:
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    """(uid, components, unit): rows (uid, embedding) that can link."""
+    """(uid, components, unit, same): rows (uid, embedding) that can link; same is a digest of the unit vector."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(u, v) for u, v in zip(batch.column(0).to_pylist(), _matrix(batch.column(1)), strict=True) if v is not None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([u for u, _ in found], pa.int64()), pa.array([len(v) for _, v in found], pa.int32()), pa.array([v for _, v in found], pa.list_(pa.float64()))], ["uid", "components", "unit"]
+                [pa.array([u for u, _ in found], pa.int64()), pa.array([len(v) for _, v in found], pa.int32()), pa.array([v for _, v in found], pa.list_(pa.float64())), pa.array([md5((v + 0.0).tobytes(), usedforsecurity=False).digest() for _, v in found], pa.binary())],
+                ["uid", "components", "unit", "same"],
             )
 
-    return rows.select("uid", "embedding").mapInArrow(task, "uid long, components int, unit array<double>")
+    return rows.select("uid", "embedding").mapInArrow(task, "uid long, components int, unit array<double>, same binary")
+
+
+def learn_centre(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """What is taken off the unit vectors, and the mean squared length that is left of them."""
+    mean = x.mean(axis=0)
+    m = float(mean @ mean)
+    share = 1.0 if 1 - m >= LEAST_SQUARE else 1 - math.sqrt(max(0.0, 1 - (1 - LEAST_SQUARE) / m))
+    return share * mean, 1 - 2 * share * m + share * share * m
 
 
 def learn_index(units: DataFrame, threshold: float, sample: int = SAMPLE) -> Index:
-    """Rotations from at most so many rows, drawn by hash; counts cover all rows."""
-    counts = {r[0]: r[1] for r in units.groupBy("components").count().orderBy(F.desc("count")).limit(16).collect()}
-    total, projections = sum(counts.values()), {}
+    """Centres and rotations for each number of components, from at most so many rows of it, drawn by hash; counts cover all rows.
+
+    Vectors of a cosine c and squared length q after centring have a cosine of about 1 - (1 - c) / q.
+    """
+    counts = {r[0]: r[1] for r in units.groupBy("components").count().collect()}
+    projections, centres, nearest = {}, {}, threshold
     for d, n in counts.items():
         share = min(1.0, sample / n)
         drawn = units.where((F.col("components") == d) & (F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int(share * (1 << 30)))).limit(sample)
-        x = np.array([r[0] for r in drawn.select("unit").collect()])
-        projections[d] = learn_projection(x) if len(x) else random_projection(d)
-    return Index(projections, plan_tables(total, threshold), _most_bits(threshold))
+        x = np.array([r[0] for r in drawn.select("unit").collect()]).reshape(-1, d)
+        x = x if len(x) else np.random.default_rng(d).normal(size=(1, d))
+        centres[d], square = learn_centre(x) if n > d else (np.zeros(d), 1.0)
+        projections[d] = learn_projection(x - centres[d])
+        nearest = min(nearest, 1 - (1 - threshold) / square)
+    return Index(projections, centres, plan_tables(sum(counts.values()), nearest), _most_bits(nearest))
 
 
 def _keyed(units: DataFrame, index: Index) -> DataFrame:
@@ -152,18 +166,18 @@ def _keyed(units: DataFrame, index: Index) -> DataFrame:
                     spread = np.repeat(codes, n, axis=0).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(uids[part], n)), *[pa.array(spread[:, k]) for k in range(4)]], ["key", "id", "c0", "c1", "c2", "c3"])
 
-    return units.mapInArrow(task, "key long, id long, c0 long, c1 long, c2 long, c3 long")
+    return units.select("uid", "components", "unit").mapInArrow(task, "key long, id long, c0 long, c1 long, c2 long, c3 long")
 
 
 def _rerank(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(uid, n, root) for members (root, uid, components, unit, blocks) of groups, block by block.
+    """(uid, n, root) for members (root, uid, components, unit, copies, blocks) of groups, block by block.
 
-    n counts a member's links in a pair of blocks, root is the smallest member that links there lead
+    n counts a member's links in a pair of blocks, with copies of the others, root is the smallest member that links there lead
     to. A group's members are dealt into blocks; each pair of blocks meets in one task.
     """
     own = F.pmod(F.xxhash64("uid", F.lit(3)), F.col("blocks")).cast("int")
     spread = members.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = spread.select(F.col("root").alias("key"), "components", "uid", "unit", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = spread.select(F.col("root").alias("key"), "components", "uid", "unit", "copies", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     marks = ["key", "components", "i", "j"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +186,17 @@ def _rerank(members: DataFrame, threshold: float, block: int) -> DataFrame:
             own = np.concatenate([p.column("own").to_numpy() for p in parts])
             x = np.concatenate([p.column("unit").flatten().to_numpy().reshape(p.num_rows, -1) for p in parts])
             order = np.argsort(uid, kind="stable")
-            uid, own, x = uid[order], own[order], x[order]
+            copies = np.concatenate([p.column("copies").to_numpy() for p in parts])
+            uid, own, x, copies = uid[order], own[order], x[order], copies[order]
             count, root = np.zeros(len(uid), np.int64), np.arange(len(uid))
             a = np.flatnonzero(own == mark[2])
             b = a if mark[2] == mark[3] else np.flatnonzero(own == mark[3])
             linked = x[a] @ x[b].T >= threshold
             if mark[2] == mark[3]:
                 np.fill_diagonal(linked, False)
-                count[a] = linked.sum(axis=1)
+                count[a] = linked @ copies[a]
             else:
-                count[a], count[b] = linked.sum(axis=1), linked.sum(axis=0)
+                count[a], count[b] = linked @ copies[b], copies[a] @ linked
             root = _roots(a, b, linked, len(uid))
             on = np.flatnonzero(count)
             return pa.RecordBatch.from_arrays([pa.array(uid[on]), pa.array(count[on]), pa.array(uid[root[on]])], ["uid", "n", "root"])
@@ -228,17 +243,23 @@ def near_duplicates(table: DataFrame, *, id_col: str = "vec_id", vector_col: str
     one never being the smallest. An empty table gives no rows.
     """
     rows = keep(table.select(table[id_col].cast("long").alias("vec_id"), table[vector_col].alias("embedding")).withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    units = keep(_units(rows), "unit-vectors")
+    all_units = keep(_units(rows), "unit-vectors")
+    same = keep(all_units.groupBy("same").agg(F.min("uid").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"), "equal-vectors")
+    if same.count() <= MOST_BROADCAST:
+        same = F.broadcast(same)
+    marked = all_units.join(same, "same", "left")
+    alone = F.col("rep").isNull() | (F.col("rep") == F.col("uid"))
+    units = keep(marked.where(alone).select("uid", "components", "unit", F.coalesce("copies", F.lit(1)).cast("long").alias("copies")), "distinct-vectors")
     index = learn_index(units, threshold, sample)
     groups = keep(components(bucket_edges(_keyed(units, index), ["c0", "c1", "c2", "c3"], within(index.most_bits))), "vector-groups")
     sizes = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = groups.join(sizes, "root").withColumnRenamed("node", "uid").join(units, "uid")
     found = keep(_rerank(members, threshold, block), "vector-links")
-    counts = found.groupBy("uid").agg(F.sum("n").alias("n"))
-    linked = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "uid")
-    named = rows.select("uid", "vec_id").join(counts, "uid", "left").join(linked, "uid", "left").select("vec_id", "n", F.coalesce("root", "uid").alias("root"))
+    counts = found.groupBy(F.col("uid").alias("rep")).agg(F.sum("n").alias("n"))
+    linked = components(found.select(F.col("uid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    stands_for = marked.where("copies > 1").select("uid", F.col("rep").alias("of"), "copies")
+    own = rows.select("uid", "vec_id").join(stands_for, "uid", "left").select("vec_id", F.coalesce("of", "uid").alias("rep"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("equal"))
+    named = own.join(counts, "rep", "left").join(linked, "rep", "left").select("vec_id", (F.coalesce("n", F.lit(0)) + F.col("equal")).alias("n"), F.coalesce("root", "rep").alias("root"))
     firsts = named.where("n > 0").groupBy("root").agg(F.min("vec_id").alias("first"))
-    out = named.join(firsts, "root", "left").select(
-        "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("vec_id")).alias("component_id")
-    )
+    out = named.join(firsts, "root", "left").select("vec_id", F.col("n").cast("long").alias("n_links"), F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
