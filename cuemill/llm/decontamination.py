@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from cuemill.llm.shared import keep
 
 WINDOW = 10
+_OUT = ["n_words", "spans", "items"]
 MAX_ITEM_BYTES = 32 << 20
 
 #: Bytes of separators become spaces, A-Z become a-z, all others stay.
@@ -93,8 +94,8 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"word_start": a, "word_end": b, "start": places[a][0], "end": places[b - 1][1]} for a, b in change.reshape(-1, 2).tolist()]
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """Adds a part's hits to n_words, spans and items of the docs (row, text, n_words, spans, items)."""
+def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, names: list[str]) -> DataFrame:
+    """The named columns of the docs (row, text, n_words, spans, items), with a part's hits added."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     key = uuid.uuid4().hex
 
@@ -118,9 +119,9 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
                     spans[-1] = spans_of(text, hit)
                     owners[-1] = sorted({*owners[-1], *ids})
             made = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(_SPAN_TYPE)), "items": pa.array(owners, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([made.get(name, batch.column(name)) for name in batch.schema.names], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([made[name] if name in made else batch.column(name) for name in names], names)
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(task, docs.select(*names).schema)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep_cols: list[str] | None = None, window: int = WINDOW, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
@@ -129,9 +130,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     spans: runs of hit words, as word and code point ranges. items: identifiers, as strings, of the
     items with an occurring window, sorted. A null text has no words; an item with a null identifier
     is named "null". Repeated rows are scanned each by itself; with an empty benchmark or an empty
-    table nothing is hit. Columns of any name can be kept.
+    table nothing is hit. Texts of any length are read whole. Columns of any name can be kept, but for
+    those that are named like one of the three, whose place these take.
     """
-    kept = [c for c in docs.columns if c != text_col] if keep_cols is None else keep_cols
+    kept = [c for c in (docs.columns if keep_cols is None else keep_cols) if c not in _OUT and (keep_cols is not None or c != text_col)]
     items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("null")).alias("item"), benchmark[item_text_col].alias("words")).where("words is not null")
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = max(1, -(-size // max_item_bytes))
@@ -144,11 +146,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     )
     for part in range(parts):
         chosen = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part)
-        work = _scan(work if part == 0 else keep(work, "decontamination"), [tuple(x) for x in chosen.collect()], window)
-    out: list[Column] = [F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)]
-    if text_col in kept:
-        out[kept.index(text_col)] = F.col("text").alias(text_col)
-    return work.select(*out, "n_words", "spans", "items")
+        names = [c for c in work.columns if c != "text" or part + 1 < parts]  # after the last pass nobody reads the text
+        work = _scan(work if part == 0 else keep(work, "decontamination"), [tuple(x) for x in chosen.collect()], window, names)
+    return work.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)], *_OUT)
 
 
 def with_counts(found: DataFrame) -> DataFrame:
