@@ -209,8 +209,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Lines end at newlines. Lines with no word stay. A document that loses all its lines has an empty
     text; a null text stays null, with no lines. Rows alike in identifier and text are one document:
-    they lose the same lines, and none to each other. A null identifier comes first. Columns of any
-    name are kept, an empty table gives no rows.
+    they lose the same lines, and none to each other. A null identifier comes first. Texts of
+    any length are read whole; of lines that tie in place none goes for the other. Columns of any name
+    are kept, but for those named n_lines or n_removed, whose place the counts take; an empty table
+    gives no rows.
     """
     twin = F.hash(F.coalesce(docs[text_col], F.lit("")))
     doc_id = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
@@ -220,7 +222,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     removed = removed.select(F.col("doc_id").alias("r_doc"), F.col("twin").alias("r_twin"), "removed")
 
     def out(text: Column, n_removed: Column) -> list[Column]:
-        columns = [(text if c == text_col else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(docs.columns)]
+        columns = [(text if c == text_col else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")]
         n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
         return [*columns, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")]
 
