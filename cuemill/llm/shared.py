@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where it is unset, as in tests, a temporary one."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, as in tests, a temporary one, but never on a cluster."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         base = context.getCheckpointDir()
         if base is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
             base = context.getCheckpointDir()
     return base.rstrip("/")
