@@ -1,6 +1,7 @@
 """Small cases of every operator: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import re
 import textwrap
 import zlib
@@ -12,7 +13,7 @@ pytest.importorskip("cuemill.llm")
 
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, embedding_dedup, golay, language, licenses, line_dedup, packing, pii, quality, simhash, warc
+from cuemill.llm import decontamination, embedding_dedup, golay, language, licenses, line_dedup, packing, pii, quality, queries, simhash, warc
 from cuemill.llm.buckets import bucket_edges, within
 from cuemill.llm.components import components
 from cuemill.llm.license_texts import KNOWN
@@ -167,7 +168,7 @@ def test_packing_is_whole_and_tight(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     draw = np.random.default_rng(1)
     rows = [(k, " ".join(f"word{x}" for x in draw.integers(0, 90, draw.integers(0, 900)))) for k in range(60)]
-    rows += [(100, None), (101, ""), (None, "null id"), (0, "again the same id"), (102, "long " * 30_000)]
+    rows += [(100, None), (101, ""), (None, "null id"), (0, "again the same id"), (102, "long " * 30_000), (103, "x <|startoftext|> y"), (104, "a<|EndOfText|>b <|endoftext|>")]
     got = packing.pack(docs(spark, *rows).repartition(3), path).toPandas()
     tokenizer = Tokenizer.from_file(path)
     want = sorted((-1 if i is None else i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows)
@@ -189,7 +190,7 @@ def test_packing_is_whole_and_tight(spark):
 
 
 def test_sum_of_squares_picks_the_cheapest_level():
-    packer = packing.Packer(16, 100, 0)
+    packer = packing.Packer(16, 0)
     for size in (5, 5, 5, 7, 7, 3, 11):
         before = packer.count.copy()
         at = packer.level(size)
@@ -319,6 +320,76 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_recall_off_centre(spark):
+    """Vectors around a common direction, with copies and near copies: at least nine in ten links are found, and none that is no link."""
+    draw = np.random.default_rng(11)
+    x = 1.2 * np.ones(64) / 8 + draw.normal(size=(1500, 64)) / 8
+    near = x[:300] + draw.normal(size=(300, 64)) * 0.08
+    x = np.concatenate([x, near, np.repeat(x[:1], 400, axis=0)])
+    table = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert want.sum() > 100_000 and all(got[k] <= n for k, n in enumerate(want))
+    assert sum(got.values()) >= 0.9 * want.sum()
+    apart = np.arange(300, 1800)
+    assert sum(got[k] for k in apart) >= 0.9 * want[apart].sum() > 0
+
+
+def test_names_that_clash_with_outputs(spark):
+    names = ["lang_pred", "score", "spans", "n_words", "n_lines", "n_removed", "quality", "fingerprint", "component_id", "text_digest"]
+    table = spark.createDataFrame([(1, "plain words here\nplain words here", "aa"), (2, None, "bb")], "doc_id long, text string, lang string").withColumns({n: F.lit(7) for n in names})
+    model = language.train(table)
+    assert language.identify(table, model).select("lang_pred", "score").count() == 2
+    assert pii.find_pii(table).select("spans").count() == 2
+    bench = spark.createDataFrame([(1, "plain words")], "item_id long, text string")
+    assert decontamination.find_contamination(table, bench).orderBy("doc_id").select("n_words", "spans").first()[0] == 6
+    assert [r.n_removed for r in line_dedup.dedup_lines(table).orderBy("doc_id").select("n_removed").collect()] == [1, 0]
+    assert simhash.near_duplicates(table).select("fingerprint").count() == simhash.keep_one(table).select("fingerprint").count() == 2
+    assert packing.pack(table, queries.tokenizer_path(queries.PACK_VOCABULARY)).select("doc_id").distinct().count() == 2
+    assert quality.score(table, quality.train(table, table.select("doc_id", F.lit(1).alias("quality"))), F.col("lang"), F.col("lang")).select("quality").count() == 2
+    assert licenses.scan(table, licenses.known_licenses(spark)).select("text_digest").count() == 2
+
+
+def test_language_decoding_by_loops():
+    draw = np.random.default_rng(9)
+    x = draw.normal(size=(60, 40)).astype(np.float32)
+    labels = [f"l{k % 4}" for k in range(60)]
+    x[np.arange(60), np.arange(60) % 4] += 3
+    model = language.fit(x, labels)
+    assert not np.allclose(model.weight, model.weight[:, :1])
+    loss = model.losses(x)
+    for n in range(60):
+        margin = [float(np.clip(sum(float(x[n, f]) * float(model.linear[f, b]) for f in range(40)) + float(model.bias[b]), -2, 2)) for b in range(model.code.shape[1])]
+        for k in range(4):
+            assert abs(loss[n, k] - sum(model.weight[k, b] * np.exp(-model.code[k, b] * m) for b, m in enumerate(margin))) < 1e-3
+        assert model.languages[int(np.argmin(loss[n]))] == labels[n]
+
+
+def test_quality_posteriors_by_loops(spark):
+    draw = np.random.default_rng(10)
+    rows = [(k, "abc"[k % 3], f"{'abc'[k % 3]}/{k % 7 % 2}", float(draw.uniform(0.05, 0.95))) for k in range(90)] + [(90, None, None, 0.3), (91, "one", "one/x", 0.7)]
+    got = {(r.host, r.path): r for r in quality.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, p double")).collect()}
+    prior = sum(r[3] for r in rows) / len(rows)
+    for (host, path), r in got.items():
+        of_host, of_path = [x[3] for x in rows if x[1] == host], [x[3] for x in rows if x[2] == path]
+        post = (sum(of_host) + r.k_host * prior) / (len(of_host) + r.k_host)
+        assert abs(r.prior - prior) < 1e-12 and abs(r.host_post - post) < 1e-12 and (r.n_host, r.n_path) == (len(of_host), len(of_path))
+        assert abs(r.path_post - (sum(of_path) + r.k_path * post) / (len(of_path) + r.k_path)) < 1e-12
+    assert len(got) == len({x[2] for x in rows})
+
+
+def test_viterbi_against_all_paths():
+    draw, field = np.random.default_rng(12), pii.Field()
+    field.step = field.step + draw.normal(size=field.step.shape)
+    score = [draw.normal(size=(n, len(pii.LABELS))) for n in (1, 2, 4, 3)]
+    for s, found in zip(score, field.decode(score), strict=True):
+        def worth(path):
+            return field.first[path[0]] + sum(s[t, y] for t, y in enumerate(path)) + sum(field.step[a, b] for a, b in zip(path, path[1:], strict=False))
+        best = max(itertools.product(range(len(pii.LABELS)), repeat=len(s)), key=worth)
+        assert tuple(found) == best
+
+
 def brute_hits(text, items, n=10):
     word = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     words, hit, owners = word(text), set(), set()
