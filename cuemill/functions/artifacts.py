@@ -24,7 +24,7 @@ _MARKS = TURN + LINE
 _BRACKETS = {"auto": (r"\[", r"\]"), "manual": (r"\(", r"\)")}
 
 
-def _event(notation: str) -> str:
+def event_pattern(notation: str) -> str:
     """A bracketed token of at most four words without a full stop; marks count as space."""
     opening, closing = _BRACKETS[notation]
     space = f"[{SPACE_INSIDE}{_MARKS}]"
@@ -35,7 +35,7 @@ def _event(notation: str) -> str:
 def strip_sound_events(text: Column, notation: str) -> Column:
     """Without bracketed events; the marks inside of one stay."""
     opening = _BRACKETS[notation][0]
-    event = _event(notation)
+    event = event_pattern(notation)
     pieces = F.regexp_extract_all(text, F.lit(f"{event}|[^{opening}]+|{opening}"), F.lit(0))
     kept = F.transform(pieces, lambda p: F.when(p.rlike(f"^(?:{event})\\z"), F.concat(F.lit(" "), F.regexp_replace(p, f"[^{_MARKS}]+", " "), F.lit(" "))).otherwise(p))
     return F.when(text.contains(opening[1]), F.array_join(kept, "")).otherwise(text)

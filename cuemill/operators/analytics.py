@@ -66,13 +66,13 @@ def align_turns(ours: DataFrame, theirs: DataFrame, window_ms: int) -> DataFrame
 
 
 def alignment(auto: DataFrame, manual: DataFrame, windows: tuple[int, ...] = (2000, 4000, 8000)) -> DataFrame:
-    """(window_ms, precision, recall) of automatic turn starts against manual ones."""
-    out = None
+    """(window_ms, precision, recall) of automatic turn starts against manual ones; null where there are no starts."""
+    out = auto.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, windows))).alias("window_ms"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("r"))
+    met, none = F.col("distance_ms").isNotNull().cast("double"), F.lit(None).cast("double")
     for window in windows:
-        share = lambda a, b, name, w=window: align_turns(a, b, w).agg(F.avg(F.col("distance_ms").isNotNull().cast("double")).alias(name))
-        row = share(auto.distinct(), manual, "precision").crossJoin(share(manual.distinct(), auto, "recall")).select(F.lit(window).alias("window_ms"), "precision", "recall")
-        out = row if out is None else out.unionByName(row)
-    return out
+        out = out.union(align_turns(auto.distinct(), manual, window).select(F.lit(window), met, none))
+        out = out.union(align_turns(manual.distinct(), auto, window).select(F.lit(window), none, met))
+    return out.groupBy("window_ms").agg(F.avg("p").alias("precision"), F.avg("r").alias("recall"))
 
 
 def key_census(keys: DataFrame, key: str = "track_key") -> DataFrame:
@@ -82,11 +82,18 @@ def key_census(keys: DataFrame, key: str = "track_key") -> DataFrame:
 
 
 def word_conservation(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(track, lost, gained): words of before and after (track, words array<string>) that do not pair up, as counts."""
-    words = lambda df, sign: df.select("track", F.explode("words").alias("word"), F.lit(sign).alias("sign"))
-    left = words(before, 1).unionByName(words(after, -1)).groupBy("track", "word").agg(F.sum("sign").alias("n"))
+    """(track, lost, gained): words of before and after (track, words array<string>) that do not pair up, as counts.
+
+    Both have one row for a track. Rows are compared whole, and only where they differ are words counted.
+    """
+    both = before.select("track", F.col("words").alias("b")).join(after.select("track", F.col("words").alias("a")), "track", "left")
+    both = both.select("track", F.coalesce("b", F.array()).alias("b"), F.coalesce("a", F.array()).alias("a")).withColumn("same", F.array_sort("b") == F.array_sort("a"))
+    signed = lambda side, sign: F.transform(side, lambda w: F.struct(w.alias("word"), F.lit(sign).alias("sign")))
+    differing = both.where("not same").select("track", F.explode(F.concat(signed("b", 1), signed("a", -1))).alias("x"))
+    left = differing.groupBy("track", "x.word").agg(F.sum("x.sign").alias("n"))
     counted = left.groupBy("track").agg(F.sum(F.greatest("n", F.lit(0))).alias("lost"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("gained"))
-    return before.select("track").distinct().join(counted, "track", "left").select("track", F.coalesce("lost", F.lit(0)).alias("lost"), F.coalesce("gained", F.lit(0)).alias("gained"))
+    zero = F.lit(0).cast("long")
+    return both.where("same").select("track", zero.alias("lost"), zero.alias("gained")).union(counted)
 
 
 def residual_repetition(body: Column) -> Column:

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.functions.artifacts import strip_artifacts
-from cuemill.functions.cues import parse_cues, spoken_lines
+from cuemill.functions.cues import parse_cues
+from cuemill.functions.speech import paragraphed, spoken
 from cuemill.functions.text import choose_notation, classify_track
-from cuemill.functions.turns import choose_layout, cut_turns, merge_cues, paragraphs, rolled
-
-_OWN = ["_cues", "_found", "_stream", "_turns"]
+from cuemill.functions.turns import choose_layout, cut_turns
 
 
 def word_streams(tracks: DataFrame, raw: str = "raw", key: str | None = "track_key") -> DataFrame:
@@ -18,11 +16,10 @@ def word_streams(tracks: DataFrame, raw: str = "raw", key: str | None = "track_k
     notation = choose_notation(F.col("track_kind"), F.col(key) if key else F.lit(None).cast("string"))
     return (
         tracks.withColumn("track_kind", classify_track(F.col(raw)))
-        .withColumn("_lines", spoken_lines(parse_cues(F.col(raw))))
-        .withColumn("_cues", strip_artifacts(F.col("_lines"), notation))
-        .withColumn("_found", rolled(F.col("_cues"), F.col("track_kind") == "auto"))
-        .withColumn("_stream", merge_cues(F.col("_cues"), F.col("_found")))
-        .drop("_lines", "_cues", "_found")
+        # Exploded from an array of one, so that Python is given a column and no expression.
+        .select("*", F.explode(F.array(F.transform(parse_cues(F.col(raw), times=False), lambda c: c["lines"]))).alias("_lines"))
+        .withColumn("_stream", spoken(F.col("_lines"), notation, F.col("track_kind") == "auto"))
+        .drop("_lines")
     )
 
 
@@ -41,7 +38,8 @@ def clean_tracks(tracks: DataFrame, layout: str = "auto", raw: str = "raw", key:
         .withColumn("_turns", cut_turns(F.col("_stream.words"), F.col("_stream.turn_starts")))
         .withColumn("layout", choose_layout(layout, F.col("_turns")))
         .withColumn("marks_turns", F.size("_stream.turn_starts") > 0)
-        .withColumn("turns", F.transform(F.when(F.col("layout") == "dialog", F.col("_turns")).otherwise(whole), lambda t: paragraphs(t)))
+        .select("*", F.explode(F.array(F.when(F.col("layout") == "dialog", F.col("_turns")).otherwise(whole))).alias("_said"))
+        .withColumn("turns", paragraphed(F.col("_said")))
         .withColumn("warnings", F.when(single & F.lit(layout == "dialog"), warning).otherwise(F.array().cast("array<string>")))
-        .drop(*_OWN)
+        .drop("_stream", "_turns", "_said")
     )

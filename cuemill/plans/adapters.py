@@ -58,13 +58,13 @@ def auto_tracks(spark: SparkSession, sf_dir: str, tagged: bool = True) -> DataFr
     words = words_of(F.col("text"))
     if tagged:
         words = F.transform(words, lambda w, k: F.concat(F.lit("w"), k.cast("string"), F.lit("_"), w))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # the test tables are single files
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")  # the test tables are single files
     return docs.select("doc_id", F.lit("en").alias("track_key"), rolling_track(words).alias("raw"))
 
 
 def manual_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, track_key, raw): a cue for each line; a credit comes first, last or second by doc_id."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id")
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     kind = F.col("doc_id") % 3
     credit = F.array(F.lit("Transcriber: Some One"))
@@ -103,7 +103,7 @@ def page_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.element_at(F.array(*map(F.lit, TRACK_KEYS)), (page % 7 + 1).cast("int"))
     video = F.floor(page / 5)
     path = F.concat(video.cast("string"), F.lit("."), key, F.lit("."), F.element_at(F.array(F.lit("vtt"), F.lit("srt"), F.lit("vtt")), (page % 3 + 1).cast("int")))
-    return table(spark, sf_dir, "pages").select(video.alias("video_id"), key.alias("track_key"), F.when(page % 2 == 0, "auto").otherwise("manual").alias("track_kind"), F.concat(path, F.lit("?"), page.cast("string")).alias("path"), F.concat(F.lit("x"), (page % 4).cast("string")).alias("raw"))
+    return table(spark, sf_dir, "pages").select(video.alias("video_id"), key.alias("track_key"), F.when(page % 2 == 0, "auto").otherwise("manual").alias("track_kind"), F.concat(path, F.lit("?"), page.cast("string")).alias("path"), F.col("html").alias("raw"))
 
 
 def title_of(html: Column) -> Column:

@@ -13,7 +13,7 @@ from cuemill.sources.tracks import parse_listing, parse_metadata
 
 #: The adapters' page tracks in SQL.
 TRACKS = """t AS (SELECT page_id // 5 AS video_id, ['en', 'en-orig', 'en-US', 'en-GB', 'en-JkeT_87f4cc', 'en-uYU-mmqFLq8', 'fr'][page_id % 7 + 1] AS track_key,
-  CASE WHEN page_id % 2 = 0 THEN 'auto' ELSE 'manual' END AS track_kind, page_id, 'x' || page_id % 4 AS raw FROM pages),
+  CASE WHEN page_id % 2 = 0 THEN 'auto' ELSE 'manual' END AS track_kind, page_id, html AS raw FROM pages),
 k AS (SELECT *, video_id || '.' || track_key || '.' || ['vtt', 'srt', 'vtt'][page_id % 3 + 1] || '?' || page_id AS path,
   track_key IN ('en-JkeT_87f4cc', 'en-uYU-mmqFLq8') AS named, coalesce(list_position(['en', 'en-orig', 'en-US', 'en-GB'], track_key), 5) AS variant FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY track_kind <> 'manual', variant, NOT ends_with(lower(path), '.vtt'), path) AS rank FROM k)"""
@@ -206,8 +206,8 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 IDENTITIES = f"{FILES}, i AS (SELECT page_id, path, fetched, CASE WHEN kind = 8 THEN 'title' ELSE 'url' END AS identity_kind, CASE WHEN kind = 8 THEN title ELSE url END AS identity FROM v WHERE kind <> 1 AND NOT (kind = 8 AND title = ''))"
 
 
-def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = G.corpus_files(spark, sf_dir)
+def _identified(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    files = files if files is not None else G.corpus_files(spark, sf_dir)
     fetched = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id") * 60)
     return store.file_identity(files).withColumn("fetched", fetched)
 
@@ -229,7 +229,7 @@ SELECT page_id, path, identity_kind, identity FROM n
 UNION ALL SELECT page_id, path, identity_kind, identity FROM o WHERE path NOT IN (SELECT path FROM n) AND NOT EXISTS (SELECT 1 FROM n WHERE n.identity_kind = o.identity_kind AND n.identity = o.identity)""",
 )
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _identified(spark, sf_dir).where("page_id % 10 != 0").select("page_id", F.regexp_replace("path", "[^/]*$", "").alias("channel_folder"), F.substring_index("path", "/", -1).alias("filename"), "identity_kind", "identity")
+    files = _identified(spark, sf_dir, corpus.with_frontmatter(G.corpus_files(spark, sf_dir)).where("frontmatter.is_transcript").drop("frontmatter")).select("page_id", F.regexp_replace("path", "[^/]*$", "").alias("channel_folder"), F.substring_index("path", "/", -1).alias("filename"), "identity_kind", "identity")
     done = store.upsert(files.where("page_id % 4 != 1"), files.where("page_id % 4 = 1 and identity_kind is not null"))
     return done.select("page_id", F.concat("channel_folder", "filename").alias("path"), "identity_kind", "identity")
 

@@ -202,7 +202,7 @@ def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, count(*) AS labels, count(*) FILTER (n > 1) AS recurring, count(*) FILTER (n > 1) >= 2 AS named FROM c GROUP BY conv_id""",
 )
 def label_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = G.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("track"), F.concat(F.upper("role"), F.lit(": x")).alias("line"))
+    lines = G.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("track"), F.concat(F.upper("role"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("line"))
     return analytics.label_census(lines).withColumnRenamed("track", "conv_id")
 
 
