@@ -14,13 +14,13 @@ from cuemill.llm.shared import keep
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, text, lang): whole rows in one column, so that none of their names meets an operator's own."""
-    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")
+    """(row, doc_id, text, lang): rows but for their text in one column, so that none of their names meets an operator's own."""
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"], F.lit(0).alias("unused")).alias("row")
     return docs.select(row, *[docs[c] for c in ("doc_id", "text", "lang") if c in docs.columns])
 
 
 def _unwrapped(wrapped: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
-    return wrapped.select(*[changed.get(c, F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(columns)])
+    return wrapped.select(*[(changed[c] if c in changed else F.col("text") if c == "text" else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(columns)])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     work = _wrapped(docs)
     model = language.train(work.where(~language.held_out(F.col("doc_id"))))
-    known = language.identify(work, model, keep_cols=["row"]).where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous"))
+    known = language.identify(work, model, keep_cols=["row", "text"]).where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous"))
     return _unwrapped(known, docs.columns)
 
 
@@ -42,7 +42,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id and text are one document and fare alike. Columns of any name come through.
     """
     left = line_dedup.dedup_lines(_wrapped(docs)).where("n_removed = 0 or n_removed < n_lines")
-    return _unwrapped(left, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
+    return _unwrapped(left, docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and wordless texts stay; texts of any length are scanned whole, repeated rows each by
     itself. With an empty benchmark all stay. Columns of any name come through.
     """
-    found = decontamination.find_contamination(_wrapped(docs), queries.read(spark, sf_dir, "benchmark"), keep_cols=["row"])
+    found = decontamination.find_contamination(_wrapped(docs), queries.read(spark, sf_dir, "benchmark"), keep_cols=["row", "text"])
     return _unwrapped(found.where(F.size("spans") == 0), docs.columns)
 
 

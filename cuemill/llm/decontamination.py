@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.shared import keep
+from cuemill.llm.shared import keep, rows_and_texts
 
 WINDOW = 10
 _OUT = ["n_words", "spans", "items"]
@@ -94,7 +94,7 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"word_start": a, "word_end": b, "start": places[a][0], "end": places[b - 1][1]} for a, b in change.reshape(-1, 2).tolist()]
 
 
-def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, names: list[str]) -> DataFrame:
+def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, names: list[str], texts_of: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """The named columns of the docs (row, text, n_words, spans, items), with a part's hits added."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
     key = uuid.uuid4().hex
@@ -102,7 +102,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, names: lis
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = matcher_of(key, shared, window)
         for batch in batches:
-            texts = batch.column("text")
+            texts = texts_of(batch)
             rows = list(zip(texts, batch.column("spans"), batch.column("items"), strict=True))
             counts, spans, owners = [], [], []
             for text, had_spans, had_items in rows:
@@ -137,9 +137,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     items = benchmark.select(F.coalesce(benchmark[item_col].cast("string"), F.lit("null")).alias("item"), benchmark[item_text_col].alias("words")).where("words is not null")
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     parts = max(1, -(-size // max_item_bytes))
-    work = docs.select(
-        F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(kept)], F.lit(0).alias("unused")).alias("row"),
-        docs[text_col].alias("text"),
+    work, texts_of = rows_and_texts(docs, kept, text_col)
+    work = work.select(
+        "*",
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast(f"array<{SPAN}>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
@@ -147,7 +147,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     for part in range(parts):
         chosen = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == part)
         names = [c for c in work.columns if c != "text" or part + 1 < parts]  # after the last pass nobody reads the text
-        work = _scan(work if part == 0 else keep(work, "decontamination"), [tuple(x) for x in chosen.collect()], window, names)
+        work = _scan(work if part == 0 else keep(work, "decontamination"), [tuple(x) for x in chosen.collect()], window, names, texts_of)
     return work.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)], *_OUT)
 
 

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuemill.llm.shared import rows_and_texts
+
 FEATURES = 4096
 MAX_ROWS = 2000
 RIDGE = 1.0
@@ -174,10 +176,9 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_cols
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                langs, scores, vague = zip(*shared.value.predict(part.column(1).to_pylist()), strict=True)
+                langs, scores, vague = zip(*shared.value.predict(texts_of(part).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(vague)], ["row", *_OUT])
 
-    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(kept)], F.lit(0).alias("unused")).alias("row")
-    work = docs.select(row, docs[text_col].alias("text"))
+    work, texts_of = rows_and_texts(docs, kept, text_col)
     out = work.mapInArrow(task, "row " + work.schema["row"].dataType.simpleString() + ", lang_pred string, score double, ambiguous boolean")
     return out.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)], *_OUT)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.llm import pii_examples
+from cuemill.llm.shared import rows_and_texts
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_LABELLED = 5000
@@ -335,7 +336,7 @@ def find_pii(docs: DataFrame, *, field: Field | None = None, text_col: str = "te
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in texts_of(batch).to_pylist()]
             bases = [base_spans(t) for t in texts]
             added = added_spans(texts, bases, shared.value)
             rows = []
@@ -345,8 +346,7 @@ def find_pii(docs: DataFrame, *, field: Field | None = None, text_col: str = "te
                 rows.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in both])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span_type)], ["row", "spans"])
 
-    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(kept)], F.lit(0).alias("unused")).alias("row")
-    work = docs.select(row, docs[text_col].alias("text"))
+    work, texts_of = rows_and_texts(docs, kept, text_col)
     out = work.mapInArrow(task, f"row {work.schema['row'].dataType.simpleString()}, spans {SPANS}")
     return out.select(*[F.col("row")[f"c{k}"].alias(c) for k, c in enumerate(kept)], "spans")
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -44,6 +47,18 @@ def drop_finished_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def rows_and_texts(docs: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """(row[, text]) of docs for a task: the kept columns in one, so that no name meets another, and how a batch gives its texts.
+
+    A text that is kept is sent once.
+    """
+    row = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(kept)], F.lit(0).alias("unused")).alias("row")
+    if text_col in kept:
+        place = kept.index(text_col)
+        return docs.select(row), lambda batch: batch.column("row").field(place)
+    return docs.select(row, docs[text_col].alias("text")), lambda batch: batch.column("text")
+
+
 def column_names(frame: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Only the wanted columns, under the names that an operator uses inside."""
     return frame.select(*[frame[have].alias(name) for name, have in wanted.items()])
