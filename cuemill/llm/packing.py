@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 
 WINDOW = 4096
 END_ID = 2
-#: Words and pieces whose ids a Python worker remembers, in about 250 MB; none longer than LONG_WORD.
-CACHED_WORDS, CACHED_PIECES, LONG_WORD = 800_000, 600_000, 64
+#: Words and pieces whose ids a Python worker remembers, in about 125 MB; none longer than LONG_WORD.
+CACHED_WORDS, CACHED_PIECES, LONG_WORD = 400_000, 300_000, 64
 
 #: Python splits at these; the tokenizer does not count them as white space.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
