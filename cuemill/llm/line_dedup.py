@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from cuemill.llm.shared import drop_finished_shuffles, keep
 
 BUCKETS = 1 << 18
-FILTER_BITS = 1 << 21
+FILTER_BITS = 1 << 20
+#: Rows, of at most about 100 bytes, that are broadcast to a join; more are shuffled.
+MOST_BROADCAST = 400_000
 #: White space within a line, but for the plain space.
 SPACES = "\t\x0b\f\r"
 #: Occurrences in the corpus from which a word is hot, as a power of two.
@@ -58,7 +60,7 @@ def _literal(values: list[int], kind: str) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """For each bucket of word hashes a class that grows with its count, in the highest bits of a constant array."""
+    """For each bucket of word hashes a class that grows with its count, in a constant array."""
     bucket = F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")
     words = _words(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")))
     counts = docs.select(F.explode(words).alias("word")).select(bucket).groupBy("bucket").count()
@@ -67,7 +69,7 @@ def _rarity(docs: DataFrame) -> Column:
     classes = [0] * BUCKETS
     for k, packed in eight.collect():
         classes[8 * k : 8 * k + 8] = packed.to_bytes(8, "little")
-    return _literal([c << 56 for c in classes], "bigint")
+    return _literal(classes, "bigint")
 
 
 def _filter(rows: DataFrame, hashed: Column) -> Column:
@@ -81,6 +83,11 @@ def _filter(rows: DataFrame, hashed: Column) -> Column:
     return F.getbit(word, place.bitwiseAND(63).cast("int")) == 1
 
 
+def _small(kept: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is counted to be small."""
+    return F.broadcast(kept) if kept.count() <= MOST_BROADCAST else kept
+
+
 def _once(column: Column) -> Column:
     """The same column, computed once a row however often it is used later: Spark doesn't merge it into its uses."""
     return F.explode(F.array(column))
@@ -89,7 +96,7 @@ def _once(column: Column) -> Column:
 def _lines(docs: DataFrame, rarity: Column) -> DataFrame:
     """One row per line with a word: its place, its set's name, size and digests, and its prefix, rarest first."""
     hashed = F.array_remove(F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    ranked = F.sort_array(F.transform(hashed, lambda h: F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    ranked = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
     return (
         docs.select("doc_id", "twin", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "words"))
         .where(F.btrim("words") != "")
@@ -135,9 +142,11 @@ def _leaders(sets: DataFrame) -> DataFrame:
     rows = sets.select("doc_id", *SET, F.posexplode(F.slice("prefix", 1, LEADING)).alias("at", "word")).select(F.xxhash64("word", _size_class()).alias("key"), "doc_id", "sig", _size_at(), "d0", "d1")
     own = F.struct("doc_id", "sig", "size_at", "d0", "d1")
     sofar = Window.partitionBy("key").orderBy("doc_id", "sig")
-    firsts = F.array(*[F.nth_value(own, k).over(sofar) for k in range(1, LEADERS + 1)])
-    met = rows.select(own.alias("b"), firsts.alias("firsts")).where("firsts[0].sig != b.sig").select("b", F.explode("firsts").alias("a")).where(f"a.sig != b.sig and {_SIZES} and {_POSSIBLE}")
-    nearest = met.groupBy(F.col("b.sig").alias("sb")).agg(F.min(F.struct(F.expr(_DIFFER).alias("apart"), F.col("a.sig").alias("sa"))).alias("best"))
+    met = rows.select(own.alias("b"), *[F.nth_value(own, k).over(sofar).alias(f"a{k}") for k in range(1, LEADERS + 1)])
+    of = lambda text, k: F.expr(text.replace("a.", f"a{k}."))
+    near = [F.when(of(f"a.sig != b.sig and {_SIZES} and {_POSSIBLE}", k), F.struct(of(_DIFFER, k).alias("apart"), of("a.sig", k).alias("sa"))) for k in range(1, LEADERS + 1)]
+    later = met.where("a1.sig != b.sig").select(F.col("b.sig").alias("sb"), _once(F.least(*near)).alias("near"))
+    nearest = later.where("near is not null").groupBy("sb").agg(F.min("near").alias("best"))
     return nearest.select("best.sa", "sb")
 
 
@@ -166,14 +175,14 @@ def _others(sets: DataFrame, part: int) -> DataFrame:
 
 def _alike(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """Places of the later set of each of the pairs that are alike by their words."""
-    sides = pairs.select(F.col("sa").alias("s")).union(pairs.select("sb")).distinct()
-    needed = keep(sets.select("sig", *PLACE).join(sides, F.col("sig") == F.col("s"), "left_semi"), "line-places")
+    sides = keep(pairs.select(F.col("sa").alias("s")).union(pairs.select("sb")).distinct(), "line-sides")
+    needed = keep(sets.select("sig", *PLACE).join(_small(sides), F.col("sig") == F.col("s"), "left_semi"), "line-places")
     maybe = docs.where(_filter(needed, F.xxhash64("doc_id", "twin")))
     lines = maybe.select("doc_id", "twin", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "words")).where(_filter(needed, F.xxhash64(*PLACE)))
     # Rows alike in identifier and text give a place more than once, with the same words.
-    known = keep(lines.join(needed, PLACE).select("sig", *PLACE, F.array_remove(F.array_distinct(_words(F.col("words"))), "").alias("words")), "line-words")
+    known = keep(lines.join(_small(needed), PLACE).select("sig", *PLACE, F.array_remove(F.array_distinct(_words(F.col("words"))), "").alias("words")), "line-words")
     side = lambda x: known.select(F.col("sig").alias(f"s{x}"), F.struct(*PLACE).alias(f"place_{x}"), F.col("words").alias(f"words_{x}"))
-    both = pairs.join(side("a"), "sa").join(side("b"), "sb")
+    both = side("a").join(_small(pairs), "sa").join(side("b"), "sb")
     alike = both.where("place_a != place_b and 9 * size(array_intersect(words_a, words_b)) >= 4 * (size(words_a) + size(words_b))")
     later = F.greatest("place_a", "place_b")
     return keep(alike.select(later.alias("p")).select("p.*").distinct(), "alike-lines")
@@ -191,16 +200,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sets = keep(grouped.select("first.*", *SET, "times", "prefix"), "line-sets")
     settled = _alike(docs, sets, keep(_leaders(sets), "line-leaders"))
     drop_finished_shuffles(docs.sparkSession)
-    flagged = sets.join(settled.withColumn("settled", F.lit(True)), PLACE, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    flagged = sets.join(_small(settled).withColumn("settled", F.lit(True)), PLACE, "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
     pairs = None
     for part in range(PASSES):
         found = keep(_others(flagged, part), "line-pairs")
         pairs = found if pairs is None else pairs.union(found)
         drop_finished_shuffles(docs.sparkSession)
-    removed = settled.union(_alike(docs, sets, pairs.distinct())).withColumn("gone", F.lit(True)).distinct()
-    fate = sets.select(*PLACE, *SET, "times").join(removed, PLACE, "left").where("gone or times > 1")
-    marked = fate.select(*SET, F.struct(*PLACE).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    gone = lines.select(*PLACE, *SET).join(marked, SET).where("gone or struct(doc_id, twin, line) > first")
+    pairs = keep(pairs.distinct(), "line-pairs")
+    removed = keep(settled.union(_alike(docs, sets, pairs)).distinct(), "removed-sets")
+    fate = sets.select(*PLACE, *SET, "times").join(_small(removed).withColumn("gone", F.lit(True)), PLACE, "left").where("gone or times > 1")
+    marked = keep(fate.select(*SET, F.struct(*PLACE).alias("first"), F.coalesce("gone", F.lit(False)).alias("gone")), "line-fates")
+    gone = lines.select(*PLACE, *SET).join(_small(marked), SET).where("gone or struct(doc_id, twin, line) > first")
     return gone.groupBy("doc_id", "twin").agg(F.collect_set("line").alias("removed"))
 
 
@@ -219,7 +229,10 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work = docs.select(doc_id.alias("doc_id"), twin.alias("twin"), docs[text_col].alias("text"), F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
     removed = keep(removed_lines(work.select("doc_id", "twin", "text")), "removed-lines")
     touched = _filter(removed, F.xxhash64("doc_id", "twin"))
+    n_gone = removed.agg(F.sum(F.size("removed"))).first()[0] or 0
     removed = removed.select(F.col("doc_id").alias("r_doc"), F.col("twin").alias("r_twin"), "removed")
+    if n_gone <= 4 * MOST_BROADCAST:  # documents are no more than lines, so this bounds the rows too
+        removed = F.broadcast(removed)
 
     def out(text: Column, n_removed: Column) -> list[Column]:
         columns = [(text if c == text_col else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")]
