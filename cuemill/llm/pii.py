@@ -4,6 +4,7 @@ The patterns give the base spans. The field labels tokens by word-shape features
 trained by gradient ascent on a small labelled table; windows of tokens around digits, at-signs and
 spelled-out ones are decoded by Viterbi in numpy batches, and tokens outside of all windows are
 outside of all spans. A decoded span is added if it overlaps no other and passes its kind's check.
+Besides the kinds of the patterns the field knows secrets: keys, tokens and passwords.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -22,15 +24,19 @@ from cuemill.llm import pii_examples
 from cuemill.llm.shared import rows_and_texts
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kinds of the field: secrets are found by their shape and by the words before them.
+FIELD_KINDS = (*KINDS, "secret")
+#: Rounds of `drawn` lines, seventeen lines each, that the built-in table has besides those written down.
+DRAWN = 45
 MAX_LABELLED = 5000
 #: Tokens that a window keeps on both sides of its triggers.
 REACH = 6
 #: Windows decoded together, and tokens that they may take with their padding; a longer window is decoded by itself, whole.
 BATCH, CELLS = 512, 100_000
 #: Tokens whose features are named at once, and how far the features look.
-PIECE, LOOK = 4096, 3
+PIECE, LOOK = 4096, 5
 
-LABELS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
+LABELS = ("O", *[f"{p}-{k}" for k in FIELD_KINDS for p in "BI"])
 SPANS = "array<struct<kind:string,start:long,end:long,base:boolean>>"
 
 # ---- plain patterns ----
@@ -88,9 +94,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # ---- the field ----
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
-_TRIGGER = re.compile(r"[0-9@]|[(\[] ?(?:at|dot) ?[)\]]|\bdot\b", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]|[(\[] ?(?:at|dot) ?[)\]]|\bdot\b|\bpass(?:word|wd)\b|\btoken\b|\bsecret\b|\ba[ks]ia[a-z2-7]{16}\b", re.IGNORECASE)
 _RUN = re.compile(r"(.)\1+")
-_NAMED = frozenset("at dot com org net de es io fr tel phone call fax mobile line number ip host server card visa mastercard amex mail email".split())
+_NAMED = frozenset("at dot com org net de es io fr tel phone call fax mobile line number ip host server card visa mastercard amex mail email password passwd pwd pass token secret key apikey bearer sha commit ghp xoxb".split())
+_HEX = frozenset("0123456789abcdef")
+#: How the identifiers of access keys begin; a fixed value.
+_KEY_STARTS = ("AKIA", "ASIA")
 
 
 def shape(token: str) -> str:
@@ -101,19 +110,46 @@ def shape(token: str) -> str:
     return _RUN.sub(r"\1+", drawn)
 
 
+def _runs(tokens: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """For each token, what the letters and digits that it is joined to are like, as far as the features look, and whether it is their first."""
+    words = [t[0].isalnum() for t, _ in tokens]
+    joined = [k > 0 and not gap and words[k] and words[k - 1] for k, (_, gap) in enumerate(tokens)]
+    out = []
+    for k, (token, _) in enumerate(tokens):
+        if not words[k] or not (joined[k] or (k + 1 < len(tokens) and joined[k + 1])):
+            out.append(("", not words[k] or not joined[k]))
+            continue
+        a = b = k
+        while k - a < LOOK and joined[a]:
+            a -= 1
+        while b - k < LOOK and b + 1 < len(tokens) and joined[b + 1]:
+            b += 1
+        run = "".join(t for t, _ in tokens[a : b + 1])
+        size = "few" if len(run) < 7 else "some" if len(run) < 12 else "many"
+        out.append((f"{size}{'hex' if set(run) <= _HEX else 'upper' if run.isupper() else 'any'}", not joined[k]))
+    return out
+
+
 def token_features(tokens: list[tuple[str, bool]]) -> list[list[str]]:
-    """Names of each token's features: shapes and named words nearby; (token, whether space is before)."""
+    """Names of each token's features: shapes and named words nearby, and the run of letters and digits; (token, whether space is before)."""
     shapes = [shape(t) for t, _ in tokens]
-    words = [t.lower() if t.lower() in _NAMED else "" for t, _ in tokens]
-    edge = ["^"] * 3
-    padded, named = [*edge, *shapes, *edge], ["", "", "", *words, "", "", ""]
+    words = ["access-key" if t.startswith(_KEY_STARTS) else t.lower() if t.lower() in _NAMED else "" for t, _ in tokens]
+    runs = _runs(tokens)
+    edge = ["^"] * LOOK
+    padded, named = [*edge, *shapes, *edge], [*[""] * LOOK, *words, *[""] * LOOK]
     out = []
     for k, (_, gap) in enumerate(tokens):
-        at = k + 3
+        at = k + LOOK
         names = ["bias", f"gap={gap}"]
         names += [f"s{d}={padded[at + d]}" for d in range(-3, 4)]
-        names += [f"w{d}={named[at + d]}" for d in range(-3, 4) if named[at + d]]
+        names += [f"w{d}={named[at + d]}" for d in range(-LOOK, 4) if named[at + d]]
         names += [f"s-1,0={padded[at - 1]}|{padded[at]}", f"s0,1={padded[at]}|{padded[at + 1]}|{gap}", f"s0,2={padded[at]}|{padded[at + 2]}", f"s-2,0={padded[at - 2]}|{padded[at]}"]
+        run, first = runs[k]
+        if run:
+            before = next((named[at - d] for d in range(LOOK + 1) if named[at - d]), "") if first else ""
+            names += [f"run={run}", f"run={run}|{first}", f"run={run[:4]}|{before}|{first}"]
+        else:
+            names += [f"single|{padded[at - 1]}"]
         out.append(names)
     return out
 
@@ -182,7 +218,7 @@ def _labels(tokens: list[tuple[str, int, int]], spans: list[tuple[str, int, int]
     return out
 
 
-def train(rows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 150, rate: float = 0.2, decay: float = 1e-3) -> Field:
+def train(rows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 150, rate: float = 0.2, decay: float = 1e-4) -> Field:
     """Maximum likelihood by Adam on all rows (text, spans) at once, forward and backward in numpy."""
     field = Field()
     rows = [(t, s) for t, s in ((tokens_of(text), spans) for text, spans in rows) if t]
@@ -199,33 +235,44 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 150,
     on = np.arange(most)[None] < length[:, None]
     cell = np.array([r * most + t for r, x in enumerate(named) for t, names in enumerate(x) for _ in names])
     feature = np.array([field.place[f] for x in named for names in x for f in names])
+    by_cell = np.flatnonzero(np.diff(cell, prepend=-1))  # where the features of the next token begin
+    order = np.argsort(feature, kind="stable")
+    by_feature = np.flatnonzero(np.diff(feature[order], prepend=-1))
     fixed_step, fixed_first = field.step, field.first
     one = np.eye(k)[truth] * on[:, :, None]
     pairs = np.einsum("rta,rtb->ab", one[:, :-1], one[:, 1:])
     weights = [np.zeros((len(field.place), k)), np.zeros((k, k)), np.zeros(k)]
     first_moment, second_moment = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
 
-    def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+    def from_top(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of e relative to the largest of each row, and that one."""
+        top = x.max(axis=-1, keepdims=True)
+        return np.exp(x - top), top
 
     for epoch in range(1, epochs + 1):
         emit, step, first = weights[0], weights[1] + fixed_step, weights[2] + fixed_first
         score = np.zeros((n * most, k))
-        np.add.at(score, cell, emit[feature])
+        score[cell[by_cell]] = np.add.reduceat(emit[feature], by_cell)
         score = score.reshape(n, most, k)
         alpha, beta = np.zeros((n, most, k)), np.zeros((n, most, k))
         alpha[:, 0] = score[:, 0] + first
-        for t in range(1, most):
-            alpha[:, t] = np.where(on[:, t, None], log_sum(alpha[:, t - 1, :, None] + step, 1) + score[:, t], alpha[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            beta[:, t] = np.where(on[:, t + 1, None], log_sum(step + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0)
-        total = log_sum(alpha[:, -1], 1)
-        chance = np.exp(alpha + beta - total[:, None, None]) * on[:, :, None]
-        joint = alpha[:, :-1, :, None] + step + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]
-        expected = (np.exp(np.minimum(joint, 0)) * on[:, 1:, None, None]).sum(axis=(0, 1))
-        slope = [np.zeros_like(emit), pairs - expected, (one[:, 0] - chance[:, 0]).sum(axis=0)]
-        np.add.at(slope[0], feature, (one - chance).reshape(-1, k)[cell])
+        reach = np.exp(step)
+        with np.errstate(divide="ignore"):  # of a label that no path leads to
+            for t in range(1, most):
+                power, top = from_top(alpha[:, t - 1])
+                alpha[:, t] = np.where(on[:, t, None], np.log(power @ reach) + top + score[:, t], alpha[:, t - 1])
+            for t in range(most - 2, -1, -1):
+                power, top = from_top(score[:, t + 1] + beta[:, t + 1])
+                beta[:, t] = np.where(on[:, t + 1, None], np.log(power @ reach.T) + top, 0)
+        power, top = from_top(alpha[:, -1])
+        total = (np.log(power.sum(axis=-1, keepdims=True)) + top)[:, None]
+        chance = np.exp(alpha + beta - total) * on[:, :, None]
+        before, top_before = from_top(alpha[:, :-1])
+        after, top_after = from_top(score[:, 1:] + beta[:, 1:])
+        before = before * np.exp(np.minimum(top_before + top_after - total, 700)) * on[:, 1:, None]
+        expected = reach * (before.reshape(-1, k).T @ after.reshape(-1, k))
+        missed = (one - chance).reshape(-1, k)[cell[order]]
+        slope = [np.add.reduceat(missed, by_feature), pairs - expected, (one[:, 0] - chance[:, 0]).sum(axis=0)]
         for w, g, m, v in zip(weights, slope, first_moment, second_moment, strict=True):
             g = g / n - decay * w
             m += 0.1 * (g - m)
@@ -238,18 +285,18 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 150,
 def windows(text: str) -> Iterator[list[tuple[str, int, int]]]:
     """Tokens around triggers, never across lines; windows are whole, whatever their length."""
     for line in re.finditer(r"[^\n]+", text) if "\n" in text else [re.match(r"(?s).*", text)]:
-        places = [m.start() for m in _TRIGGER.finditer(text, *line.span())]
+        places = [m.span() for m in _TRIGGER.finditer(text, *line.span())]
         if not places:
             continue
         tokens = tokens_of(text, *line.span())
         ends = [b for _, _, b in tokens]
         near: list[list[int]] = []
-        for p in places:
-            k = bisect_left(ends, p + 1)
+        for p, q in places:
+            k, last = bisect_left(ends, p + 1), bisect_left(ends, q)
             if near and k - REACH <= near[-1][1]:
-                near[-1][1] = k + REACH
+                near[-1][1] = last + REACH
             else:
-                near.append([k - REACH, k + REACH])
+                near.append([k - REACH, last + REACH])
         for a, b in near:
             yield tokens[max(0, a) : b + 1]
 
@@ -264,6 +311,8 @@ def plausible(kind: str, text: str) -> bool:
         return len(parts) == 4 and _small_parts(parts)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits) and len(digits) * 2 > len(text)
+    if kind == "secret":
+        return bool(re.fullmatch(r"[A-Za-z0-9_+/.=-]{8,}", text)) and (bool(digits) and bool(re.search("[A-Za-z]", text)) or text.startswith(_KEY_STARTS))
     return 10 <= len(digits) <= 15 and not re.search(r"[^\W\d_]", text)
 
 
@@ -318,11 +367,17 @@ def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], field
 def labelled_table(df: DataFrame | None, *, text_col: str = "text", spans_col: str = "spans", max_rows: int = MAX_LABELLED) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Rows for training: of a table with spans array<struct<kind,start,end>>, at most max_rows; the built-in ones without a table."""
     if df is None:
-        return [pii_examples.parse(x) for x in pii_examples.MARKED]
+        return [pii_examples.parse(x) for x in [*pii_examples.MARKED, *pii_examples.drawn(DRAWN)]]
     rows = df.select(F.col(text_col).alias("t"), F.col(spans_col).alias("s")).where("t is not null").limit(max_rows).collect()
     return [(r.t, [(s.kind, s.start, s.end) for s in r.s or []]) for r in rows]
 
 
+@cache
+def default_field() -> Field:
+    """The field of the built-in table."""
+    return train(labelled_table(None))
+
+
 def find_pii(docs: DataFrame, *, field: Field | None = None, text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:
     """The kept columns (all but the text unless named) and spans: kind, start, end (code points), base.
 
@@ -331,7 +386,7 @@ def find_pii(docs: DataFrame, *, field: Field | None = None, text_col: str = "te
     columns of any name can be kept, but for one named spans, whose place the result takes.
     """
     kept = [c for c in (docs.columns if keep_cols is None else keep_cols) if c != "spans" and (keep_cols is not None or c != text_col)]
-    shared = docs.sparkSession.sparkContext.broadcast(field or train(labelled_table(None)))
+    shared = docs.sparkSession.sparkContext.broadcast(field or default_field())
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +397,7 @@ def find_pii(docs: DataFrame, *, field: Field | None = None, text_col: str = "te
             rows = []
             for base, more in zip(bases, added, strict=True):
                 both = [(*s, True) for s in base] + [(*s, False) for s in more]
-                both.sort(key=lambda s: (s[1], KINDS.index(s[0])))
+                both.sort(key=lambda s: (s[1], FIELD_KINDS.index(s[0])))
                 rows.append([dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in both])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, span_type)], ["row", "spans"])
 
@@ -361,7 +416,12 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 
 def with_counts(found: DataFrame) -> DataFrame:
-    """Adds n_email, n_ip, n_card, n_phone and base_sha256 of the base spans; spans become a string."""
+    """Adds n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, n_secret and secrets; spans become a string.
+
+    n_secret counts the secrets; they stand in secrets, all other spans in spans.
+    """
     base = F.filter("spans", lambda s: s["base"])
     counted = {f"n_{k}": F.size(F.filter(base, _is(k))).cast("long") for k in KINDS}
-    return found.withColumns(counted | {"base_sha256": F.sha2(joined(base).cast("binary"), 256)}).withColumn("spans", joined(F.col("spans")))
+    secret = F.filter("spans", _is("secret"))
+    counted |= {"base_sha256": F.sha2(joined(base).cast("binary"), 256), "n_secret": F.size(secret).cast("long"), "secrets": joined(secret)}
+    return found.withColumns(counted).withColumn("spans", joined(F.filter("spans", lambda s: s["kind"] != "secret")))

@@ -97,7 +97,7 @@ FROM f
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(read(spark, sf_dir, "documents"), keep_cols=["doc_id"])
-    return pii.with_counts(found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    return pii.with_counts(found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "secrets")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
