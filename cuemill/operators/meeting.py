@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from cuemill.functions.artifacts import TURN, strip_artifacts
 from cuemill.functions.cues import parse_cues
-from cuemill.functions.text import MEETING_SENTENCE_END, SPACE_INSIDE, clean_line, collapse, decode_entities, format_duration, let
+from cuemill.functions.render import render_body, render_contents, render_frontmatter
+from cuemill.functions.slug import MEETINGS, usable_slug
+from cuemill.functions.text import MEETING_SENTENCE_END, SPACE_INSIDE, clean_line, collapse, decode_entities, format_duration, let, local_date
 from cuemill.functions.turns import paragraphs
 
 #: Fixed values.
@@ -125,3 +127,24 @@ def clean_meetings(meetings: DataFrame, layout: str = "auto", meeting: str = "me
     joined = base.join(own, "meeting", "left").withColumn("layout", chosen)
     empty = F.array().cast("array<struct<turn_no:int,speaker:string,words:array<string>>>")
     return joined.select("meeting", "layout", format_duration(F.col("last_end")).alias("duration"), let(F.coalesce("all_turns", empty), laid_out).alias("turns"))
+
+
+def meeting_documents(meetings: DataFrame, fetched: Column, layout: str = "auto", meeting: str = "meeting") -> DataFrame:
+    """(meeting, filename, channel_folder, collision_id, layout, contents) of meetings (meeting, title, modified_at, raw).
+
+    The date of a meeting is the day it was last changed, in the session's time zone; it has no url
+    and no channel. Where the title makes no usable slug, filename is null, and the meeting is not to
+    be stored.
+    """
+    own = meetings.select(F.col(meeting).alias("meeting"), "title", local_date(F.col("modified_at")).alias("date"))
+    found = clean_meetings(meetings, layout, meeting).join(own, "meeting")
+    none = F.lit(None).cast("string")
+    block = render_frontmatter(F.col("title"), none, F.lit(""), F.col("duration"), F.col("date"), fetched, F.lit("auto"), F.col("layout"))
+    return found.select(
+        "meeting",
+        F.concat(usable_slug(F.col("title")), F.lit(".md")).alias("filename"),
+        F.lit(MEETINGS).alias("channel_folder"),
+        F.substring(F.sha1(F.col("title").cast("binary")), 1, 8).alias("collision_id"),
+        "layout",
+        render_contents(block, render_body(F.col("turns"), F.col("layout"))).alias("contents"),
+    )

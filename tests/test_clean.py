@@ -107,3 +107,17 @@ def test_overlaps_that_hold_turn_starts():
     assert roll([cue("a", [0, 1]), cue("a b", [0], [0, 1])])[0] == [0, 0]  # the stream's end has a start that the cue does not repeat
     assert roll([cue("a a a"), cue("a a a")])[0] == [0, 3]
     assert roll([{"norms": ["", ""], "turn_starts": [], "line_starts": [0]}, {"norms": [""], "turn_starts": [], "line_starts": [0]}])[0] == [0, 0]
+
+
+def test_meeting_documents_without_a_slug_have_no_name(spark):
+    from pyspark.sql import functions as F
+
+    from cuemill.operators.meeting import meeting_documents
+
+    raw = "WEBVTT\n\na/1-0\n00:00:00.000 --> 00:00:02.500\n<v Ann>Hello there.</v>\n\na/2-0\n00:00:03.000 --> 00:00:04.500\n<v Bo>Yes.</v>\n"
+    rows = [(1, "Weekly Sync", raw), (2, "会議", raw), (3, "Empty", "WEBVTT\n")]
+    table = spark.createDataFrame(rows, "meeting int, title string, raw string").withColumn("modified_at", F.lit("2021-03-04 12:00:00").cast("timestamp"))
+    found = {r.meeting: r for r in meeting_documents(table, F.timestamp_seconds(F.lit(1_600_000_000))).collect()}
+    assert found[1].filename == "weekly-sync.md" and found[2].filename is None
+    assert found[1].contents.endswith('duration: "0:05"\nupload_date: 2021-03-04\nfetched: 2020-09-13T12:26:40Z\nsubtitles: auto\nlayout: meeting\n---\n\n— **Ann:** Hello there.\n\n— **Bo:** Yes.\n')
+    assert found[3].contents.endswith("layout: dialog\n---\n\n\n")
