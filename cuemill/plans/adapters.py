@@ -182,9 +182,9 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(post_id, stdout): for each post all but every eighth of its videos, with noise between."""
+    """(post_id, stdout): for each post its videos, every eighth of all under another name, with noise between."""
     page = F.col("page_id")
-    line = F.concat(F.lit('{"id": "m'), page.cast("string"), F.lit('", "playlist_index": '), F.when(page % 6 == 1, "null").otherwise((page % 3 + 1).cast("string")), F.lit("}"))
-    rows = table(spark, sf_dir, "pages").where("page_id % 8 != 0").select(F.floor(page / 3).cast("string").alias("post_id"), F.struct("page_id", line.alias("line")).alias("l"))
+    line = F.concat(F.lit('{"id": "'), F.when(page % 8 == 0, "other-").otherwise("m"), page.cast("string"), F.lit('", "playlist_index": '), F.when(page % 6 == 1, "null").otherwise((page % 3 + 1).cast("string")), F.lit("}"))
+    rows = table(spark, sf_dir, "pages").select(F.floor(page / 3).cast("string").alias("post_id"), F.struct("page_id", line.alias("line")).alias("l"))
     joined = rows.groupBy("post_id").agg(F.sort_array(F.collect_list("l")).alias("l"))
     return joined.select("post_id", F.concat(F.lit("[info] x\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\r\n{broken\n"), F.lit("\n")).alias("stdout"))

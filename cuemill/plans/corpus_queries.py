@@ -282,8 +282,8 @@ def expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 POSTS = """p AS (SELECT page_id, page_id // 3 AS post, page_id % 3 + 1 AS place, CASE WHEN page_id % 5 = 0 THEN page_id % 3 + 1 WHEN page_id % 4 = 0 THEN 1 END AS reported FROM pages),
-l AS (SELECT page_id, page_id // 3 AS post, CASE WHEN page_id % 6 <> 1 THEN page_id % 3 + 1 END AS idx, count(*) OVER (PARTITION BY page_id // 3) AS entries FROM pages WHERE page_id % 8 <> 0),
-k AS (SELECT page_id, coalesce(idx, CASE WHEN entries = 1 THEN 1 END) AS rank FROM l),
+l AS (SELECT page_id, page_id // 3 AS post, CASE WHEN page_id % 6 <> 1 THEN page_id % 3 + 1 END AS idx, count(*) OVER (PARTITION BY page_id // 3) AS entries FROM pages),
+k AS (SELECT page_id, coalesce(idx, CASE WHEN entries = 1 THEN 1 END) AS rank FROM l WHERE page_id % 8 <> 0),
 r AS (SELECT p.page_id, post, CAST(coalesce(reported, rank) AS INTEGER) AS rank FROM p LEFT JOIN k ON p.page_id = k.page_id)"""
 
 
