@@ -437,3 +437,17 @@ def test_decontamination_against_brute_force(spark, most):
             assert len(decontamination.words_of(r.text[s.start : s.end].encode())) == s.word_end - s.word_start
     assert decontamination.find_contamination(docs(spark), bench).count() == 0
     assert decontamination.find_contamination(docs(spark, *rows), bench.limit(0)).where(F.size("spans") > 0).count() == 0
+
+
+def test_simhash_fingerprints_by_hand(spark):
+    import xxhash
+
+    texts = {1: None, 2: "", 3: "One", 4: "one two THREE", 5: "Ä b c d e\tf  g\x0bh\u00a0i", 6: "a b c d " * 50, 7: "x" * 50_000 + " y z w v"}
+    got = {r.doc_id: r.fingerprint for r in simhash.near_duplicates(docs(spark, *texts.items())).collect()}
+    for k, text in texts.items():
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall("[^\x20\x09-\x0D]+", lower)
+        shingles = [" ".join(words[a : a + 4]) for a in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert got[k] == f"{want:016x}", k
