@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, embedding_dedup, language, licenses, line_dedup, packing, pii, quality, simhash, warc
+from cuemill.llm import decontamination, embedding_dedup, language, licenses, line_dedup, merkle, packing, pii, quality, simhash, warc
+from cuemill.llm.shared import keep
 
 PACK_VOCABULARY = "word_bpe_49k.json"
 
@@ -177,6 +178,69 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, and which rows it finds changed after a known change to some of them."""
+    docs = read(spark, sf_dir, "documents")
+    fields = lambda n_chars: [docs["doc_id"], docs["source"], docs["lang"], n_chars, docs["text"]]
+    changed = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 7 == 0
+    leaf = merkle.leaf_digest(*fields(docs["n_chars"]))
+    now = F.when(changed & docs["n_chars"].isNotNull(), merkle.leaf_digest(*fields(docs["n_chars"] + 1)))
+    leaves = keep(docs.select(docs["lang"].alias("group"), docs["doc_id"].alias("order"), leaf.alias("leaf"), now.alias("now")), "digests")
+    found = merkle.manifest(leaves, "now")
+    root = merkle.folded(F.coalesce("now", "leaf"), F.col("siblings"), (F.col("position"), F.col("size")), (F.col("group_position"), F.col("groups")))
+    found = found.select(F.col("order").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"), root.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: CRC-32 of a list of bytes, by a table of 256 entries made by the rule.
+SQL_CRC32 = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc)"""
+
+
+def sql_crc32(data: str) -> str:
+    """Over a list of bytes; the table of SQL_CRC32 must be in reach."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(crc[CAST(xor(c & 255, b) AS INT) + 1], c >> 8)))"
+
+
+_DIGITS = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT))"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    one = lambda x: f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+    return "sha256(" + " || ".join(map(one, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: Groups are named by a letter and the language, so that null comes first.
+OP12_SQL = f"""
+WITH RECURSIVE {SQL_CRC32},
+d AS (
+  SELECT doc_id, coalesce('v' || lang, '') AS g, {_leaf_sql('n_chars')} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND {sql_crc32(_DIGITS)} % 7 = 0 THEN {_leaf_sql('n_chars + 1')} ELSE {_leaf_sql('n_chars')} END AS now
+  FROM documents, crc),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM d),
+t AS (
+  SELECT g, 0 AS lvl, i, m, leaf AS h FROM n
+  UNION ALL SELECT g, lvl + 1, i // 2, any_value((m + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE m > 1 GROUP BY g, lvl, i // 2),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM t WHERE m = 1),
+u AS (
+  SELECT 0 AS lvl, i, m, subroot AS h FROM s
+  UNION ALL SELECT lvl + 1, i // 2, any_value((m + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE m > 1 GROUP BY lvl, i // 2),
+r AS (SELECT h AS root FROM u WHERE m = 1),
+p AS (
+  SELECT n.g, n.i, coalesce(string_agg(t.h, '' ORDER BY t.lvl), '') AS siblings
+  FROM n LEFT JOIN t ON n.g = t.g AND t.m > 1 AND t.i = xor(n.i >> t.lvl, 1) GROUP BY n.g, n.i),
+q AS (SELECT s.g, s.i, s.m, s.subroot, coalesce(string_agg(u.h, '' ORDER BY u.lvl), '') AS siblings FROM s LEFT JOIN u ON u.m > 1 AND u.i = xor(s.i >> u.lvl, 1) GROUP BY ALL),
+f AS (
+  SELECT g, i AS leaf_no, 0 AS lvl, i, m, now AS h FROM n
+  UNION ALL SELECT f.g, leaf_no, f.lvl + 1, f.i // 2, (f.m + 1) // 2, sha256(CASE WHEN t.h IS NULL THEN f.h WHEN f.i % 2 = 1 THEN t.h || f.h ELSE f.h || t.h END)
+  FROM f LEFT JOIN t ON t.g = f.g AND t.lvl = f.lvl AND t.i = xor(f.i, 1) WHERE f.m > 1),
+k AS (
+  SELECT f.g, leaf_no, 0 AS lvl, q.i, q.m, h FROM f JOIN q ON f.g = q.g WHERE f.m = 1
+  UNION ALL SELECT k.g, leaf_no, k.lvl + 1, k.i // 2, (k.m + 1) // 2, sha256(CASE WHEN u.h IS NULL THEN k.h WHEN k.i % 2 = 1 THEN u.h || k.h ELSE k.h || u.h END)
+  FROM k LEFT JOIN u ON u.lvl = k.lvl AND u.i = xor(k.i, 1) WHERE k.m > 1)
+SELECT n.doc_id, n.leaf, q.subroot, root, sha256(p.siblings || q.siblings) AS proof_sha256, k.h AS folded_root, k.h = root AS verified
+FROM n JOIN p ON n.g = p.g AND n.i = p.i JOIN q ON n.g = q.g JOIN k ON n.g = k.g AND n.i = k.leaf_no AND k.m = 1, r
+"""
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_line_dedup": op2_line_dedup,
@@ -188,6 +252,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_decontamination": op10_decontamination,
+    "op12_manifest": op12_manifest,
 }
 
 ORACLES = {
@@ -195,4 +260,5 @@ ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op10_decontamination": OP10_SQL,
+    "op12_manifest": OP12_SQL,
 }
