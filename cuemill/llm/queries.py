@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, embedding_dedup, language, licenses, line_dedup, merkle, packing, pii, quality, simhash, warc
+from cuemill.llm import decontamination, embedding_dedup, language, licenses, line_dedup, merkle, packing, pii, quality, simhash, spelling, warc
 from cuemill.llm.shared import keep
 
 PACK_VOCABULARY = "word_bpe_49k.json"
@@ -178,6 +178,10 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of documents, and which rows it finds changed after a known change to some of them."""
     docs = read(spark, sf_dir, "documents")
@@ -241,6 +245,29 @@ SELECT n.doc_id, n.leaf, q.subroot, root, sha256(p.siblings || q.siblings) AS pr
 FROM n JOIN p ON n.g = p.g AND n.i = p.i JOIN q ON n.g = q.g JOIN k ON n.g = k.g AND n.i = k.leaf_no AND k.m = 1, r
 """
 
+#: Near words by the table of all words with one character left out: of one, the other; or of both, the same at the same place.
+OP11_SQL = f"""
+WITH RECURSIVE {SQL_CRC32},
+x AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{spelling.UPPER}', '{spelling.LOWER}'), '[A-Za-z\u00C0-\u00FF]{{6,}}')) AS run FROM documents WHERE text IS NOT NULL),
+y AS (SELECT doc_id, run, count(*) AS n FROM x GROUP BY doc_id, run),
+z AS (
+  SELECT *, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c: CAST(unicode(c) AS BIGINT)) AS points FROM y),
+b AS (SELECT doc_id, run, n, {sql_crc32('flatten(list_transform(points, lambda p: CASE WHEN p < 128 THEN [p] ELSE [192 + (p >> 6), 128 + (p & 63)] END))')} AS h FROM z, crc),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM b),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+l AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (
+  SELECT l.word AS a, w.word AS b FROM l JOIN w ON l.less = w.word
+  UNION SELECT w.word, l.word FROM l JOIN w ON l.less = w.word
+  UNION SELECT p.word, q.word FROM l p JOIN l q ON p.less = q.less AND p.i = q.i AND p.word <> q.word),
+k AS (SELECT a, count(*) AS n_near, min({{'less': -n, 'near': b}}) AS best FROM e JOIN w ON b = word GROUP BY a),
+f AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 5 * n THEN best.near END AS form, CASE WHEN -best.less >= 5 * n THEN -best.less END AS form_n
+  FROM w LEFT JOIN k ON word = a),
+r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON f.word = r.word JOIN f g ON r.at = g.word WHERE g.form IS NULL
+"""
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_line_dedup": op2_line_dedup,
@@ -252,6 +279,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling": op11_spelling,
     "op12_manifest": op12_manifest,
 }
 
@@ -260,5 +288,6 @@ ORACLES = {
     "op2_line_dedup": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op10_decontamination": OP10_SQL,
+    "op11_spelling": OP11_SQL,
     "op12_manifest": OP12_SQL,
 }
