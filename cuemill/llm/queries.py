@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.llm import decontamination, embedding_dedup, language, licenses, line_dedup, merkle, packing, pii, quality, simhash, spelling, warc
+from cuemill.llm import decontamination, embedding_dedup, language, licenses, line_dedup, merkle, packing, pii, quality, secrets, simhash, spelling, warc
 from cuemill.llm.shared import keep
 
 PACK_VOCABULARY = "word_bpe_49k.json"
@@ -196,6 +196,11 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read(spark, sf_dir, "documents"), keep_cols=["doc_id"])
+    return secrets.with_counts(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_linked")
+
+
 #: CRC-32 of a list of bytes, by a table of 256 entries made by the rule.
 SQL_CRC32 = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc)"""
 
@@ -281,6 +286,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_spelling": op11_spelling,
     "op12_manifest": op12_manifest,
+    "op13_secrets": op13_secrets,
 }
 
 ORACLES = {
