@@ -6,7 +6,7 @@ then by hash. Lines with equal sets are one set, of which only the first occurre
 whose rarest words meet (prefix filter) are paired unless their sizes, the places of the word or
 digests of the sets rule a Jaccard similarity of 4/5 out (length, positional and bitmap
 filters). The words themselves then decide. A line goes if any earlier line is as similar as that,
-whether or not that line stays itself. Earlier means a smaller (doc_id, hash of the text, line).
+whether or not that line stays itself. Earlier means a smaller (doc_id, digest of the text, line).
 
 Of a set, one thin row for each of its rarest words is shuffled: the word, the set's document and 64-bit
 name, its size and the word's place in one number, and two digests. Hot lines collapse before that, hot words are split by classes of size of which only neighbours can be alike, and
@@ -35,7 +35,7 @@ LEADING = 3
 LEADERS = 4
 #: The large join is done for so many parts of the words in turn, so that only a part's rows take disk.
 PASSES = 3
-#: A line's place: its document, a hash of the document's text, its number.
+#: A line's place: its document, a digest of the document's text, its number.
 PLACE = ["doc_id", "twin", "line"]
 #: What lines with equal sets have in common.
 SET = ["sig", "n", "d0", "d1"]
@@ -224,7 +224,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     are kept, but for those named n_lines or n_removed, whose place the counts take; an empty table
     gives no rows.
     """
-    twin = F.hash(F.coalesce(docs[text_col], F.lit("")))
+    # 128 bits of the text, and whether the identifier is null: its stand-in may be another row's identifier.
+    twin = F.unhex(F.md5(F.concat(F.when(docs[id_col].isNull(), "n").otherwise("i"), F.coalesce(docs[text_col], F.lit(""))).cast("binary")))
     doc_id = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
     work = docs.select(doc_id.alias("doc_id"), twin.alias("twin"), docs[text_col].alias("text"), F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
     removed = keep(removed_lines(work.select("doc_id", "twin", "text")), "removed-lines")
