@@ -39,10 +39,15 @@ UNKNOWN = "und"
 AT_ONCE = 1 << 20
 
 _OUT = ["lang_pred", "score", "ambiguous"]
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _SPACES = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by its Unicode category; what only counts, as '½', 'Ⅷ' or '²', is none."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of the shares of hashed n-grams: a vector of length 1, or zeros."""
     raw = b" " + text.lower().encode().translate(_SPACES) + b" "
@@ -94,7 +99,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, ambiguous) of each text."""
         out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, False)] * len(texts)
-        rows = [k for k, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+        rows = [k for k, t in enumerate(texts) if t is not None and has_letter(t)]
         if not rows or not self.languages:
             return out
         loss = self.losses(np.stack([features(texts[k]) for k in rows]))
