@@ -26,7 +26,9 @@ from cuemill.llm.shared import keep, rows_and_texts
 
 WINDOW = 10
 _OUT = ["n_words", "spans", "items"]
-MAX_ITEM_BYTES = 32 << 20
+#: Texts of items in one automaton. Every word opens a window of ten, which takes about 300 bytes of each
+#: worker's memory for a byte of text: 300 MB in all.
+MAX_ITEM_BYTES = 1 << 20
 
 #: Bytes of separators become spaces, A-Z become a-z, all others stay.
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
