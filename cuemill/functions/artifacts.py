@@ -1,83 +1,72 @@
 """What a track carries besides speech: credits, speaker marks and sound events.
 
-Cues come in as arrays of cleaned lines, and go out as structs of words, of the word positions where
-a turn starts, and of those where a line starts. Two private-use characters stand for the starts
-while lines are joined; they are taken out of the text first.
+Everything works from places in a cue's text: what a marker or an event takes up is blanked out where
+it stands, and turns and lines start after as many words as stand before their places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import re
+from bisect import bisect_left
+from itertools import accumulate
 
-from cuemill.functions.text import SPACE, SPACE_INSIDE, let
+from cuemill.functions.text import SPACE, SPACE_INSIDE
 
 #: Fixed values.
 CREDIT = r"(?i)^(?:Transcriber|Reviewer|Translator|Subtitles by|Captions by|Amara)(?![A-Za-z0-9_])"
-AUTO_MARKER = f"^>>>?{SPACE}*"
-MANUAL_MARKER = f"^-{SPACE}+"
-CONTINUATION = f"^-{SPACE}+(?:\\.{{3}}|…)"
+MARKER = {"auto": "(?m)^>>>? *", "manual": "(?m)^- +"}
+CONTINUATION = ("...", "…")
 MOST_EVENT_WORDS = 4
+BRACKETS = {"auto": "[]", "manual": "()"}
 
-TURN, LINE = "\ue000", "\ue001"
-_MARKS = TURN + LINE
-_BRACKETS = {"auto": (r"\[", r"\]"), "manual": (r"\(", r"\)")}
+#: (words, turn starts, line starts), the starts as numbers of words before them.
+Stripped = tuple[list[str], list[int], list[int]]
 
 
 def event_pattern(notation: str) -> str:
-    """A bracketed token of at most four words without a full stop; marks count as space."""
-    opening, closing = _BRACKETS[notation]
-    space = f"[{SPACE_INSIDE}{_MARKS}]"
-    word = f"[^{opening}{closing}.?!{SPACE_INSIDE}{_MARKS}]+"
-    return f"{opening}{space}*(?:{word}(?:{space}+{word}){{0,{MOST_EVENT_WORDS - 1}}})?{space}*{closing}"
+    """A bracketed token of at most four words without a full stop."""
+    opening, closing = map(re.escape, BRACKETS[notation])
+    word = f"[^{opening}{closing}.?!{SPACE_INSIDE}]+"
+    return f"{opening}{SPACE}*(?:{word}(?:{SPACE}+{word}){{0,{MOST_EVENT_WORDS - 1}}})?{SPACE}*{closing}"
 
 
-def strip_sound_events(text: Column, notation: str) -> Column:
-    """Without bracketed events; the marks inside of one stay."""
-    opening = _BRACKETS[notation][0]
-    event = event_pattern(notation)
-    pieces = F.regexp_extract_all(text, F.lit(f"{event}|[^{opening}]+|{opening}"), F.lit(0))
-    kept = F.transform(pieces, lambda p: F.when(p.rlike(f"^(?:{event})\\z"), F.concat(F.lit(" "), F.regexp_replace(p, f"[^{_MARKS}]+", " "), F.lit(" "))).otherwise(p))
-    return F.when(text.contains(opening[1]), F.array_join(kept, "")).otherwise(text)
+_MARKER = {kind: re.compile(x) for kind, x in MARKER.items()}
+_EVENT = {kind: re.compile(event_pattern(kind)) for kind in BRACKETS}
+_CREDIT, _WORD = re.compile(CREDIT), re.compile("[^ \n]+")
 
 
-def mark_speaker(line: Column, notation: str) -> Column:
-    """The line with its speaker marker turned into a turn mark; a continuation's just goes."""
-    if notation == "auto":
-        return F.when(line.startswith(">"), F.regexp_replace(line, AUTO_MARKER, TURN + " ")).otherwise(line)
-    marked = F.regexp_replace(line, MANUAL_MARKER, F.when(line.rlike(CONTINUATION), "").otherwise(TURN + " "))
-    return F.when(line.startswith("-"), marked).otherwise(line)
+def _blank(found: re.Match) -> str:
+    """As many spaces; a line's end stays one."""
+    return "\n".join(" " * len(line) for line in found[0].split("\n"))
 
 
-def _starts(tokens: Column, mark: str) -> Column:
-    """Positions, in words, of a mark. The k-th mark at token i has i - k words before it."""
-    marks = F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(TURN, LINE))
-    placed = F.transform(marks, lambda m, k: F.when(m["t"] == mark, m["i"] - k))
-    return F.filter(placed, lambda p: p.isNotNull())
+def strip_cue(text: str, notation: str) -> Stripped:
+    """Words of a cue of clean lines, without its markers and events, and where its turns and lines start."""
+    marks = [m for m in _MARKER[notation].finditer(text)] if text[0] in ">-" or "\n>" in text or "\n-" in text else []
+    opening = BRACKETS[notation][0]
+    if not marks and opening not in text:
+        by_line = [line.split(" ") for line in text.split("\n")]
+        return [w for line in by_line for w in line], [], [0, *accumulate(map(len, by_line[:-1]))]
+    lines = [0, *[m.end() for m in re.finditer("\n", text)]]
+    turns = [m.start() for m in marks if notation == "auto" or not text.startswith(CONTINUATION, m.end())]
+    for m in marks:
+        text = text[: m.start()] + " " * (m.end() - m.start()) + text[m.end() :]
+    if opening in text:
+        text = _EVENT[notation].sub(_blank, text)
+    found = [(m.start(), m[0]) for m in _WORD.finditer(text)]
+    places = [at for at, _ in found]
+    return [w for _, w in found], [bisect_left(places, at) for at in turns], [bisect_left(places, at) for at in lines]
 
 
-def _stripped(lines: Column, notation: str) -> Column:
-    own = F.transform(lines, lambda x: F.concat(F.lit(LINE + " "), mark_speaker(F.translate(x, _MARKS, ""), notation)))
-    tokens = F.filter(F.split(strip_sound_events(F.array_join(own, " "), notation), " "), lambda t: t != "")
-    return let(
-        tokens,
-        lambda t: F.struct(F.filter(t, lambda w: ~w.isin(TURN, LINE)).alias("words"), _starts(t, TURN).alias("turn_starts"), _starts(t, LINE).alias("line_starts")),
-    )
+def is_credit(text: str) -> bool:
+    return any(map(_CREDIT.match, text.split("\n")))
 
 
-def is_credit(lines: Column) -> Column:
-    return F.exists(lines, lambda x: x.rlike(CREDIT))
+def strip_artifacts(cues: list[str], notation: str) -> list[Stripped]:
+    """Of cues, each the text of its clean lines: those that have words or a turn start.
 
-
-def drop_credits(cues: Column) -> Column:
-    """Without a credit that is the first or the last cue; dropping one makes no other first or last."""
-    return let(cues, lambda all_cues: F.filter(all_cues, lambda lines, k: ~(((k == 0) | (k == F.size(all_cues) - 1)) & is_credit(lines))))
-
-
-def strip_artifacts(cues: Column, notation: Column) -> Column:
-    """array<struct<words, turn_starts, line_starts>> of cues with words or with a turn start."""
-
-    def of(kind: str, own: Column) -> Column:
-        return F.filter(F.transform(own, lambda lines: _stripped(lines, kind)), lambda c: (F.size(c["words"]) > 0) | (F.size(c["turn_starts"]) > 0))
-
-    return F.when(notation == "auto", of("auto", cues)).otherwise(of("manual", drop_credits(cues)))
+    A manual track's credit goes if it is the first or the last cue; none becomes so by that.
+    """
+    ends = {0, len(cues) - 1} if notation == "manual" else ()
+    stripped = (strip_cue(text, notation) for k, text in enumerate(cues) if k not in ends or not is_credit(text))
+    return [s for s in stripped if s[0] or s[1]]

@@ -1,128 +1,55 @@
-"""From the lines of a track's cues to its words and paragraphs, track by track, in Arrow functions.
+"""From the clean lines of a track's cues to its words: one Arrow function, and the text that it reads.
 
-A row is read, folded and given back by itself, so a task holds one track at a time. White space is
-Unicode-wide, as in `text`; the rules are those of `artifacts`, whose patterns are used.
+Built-in functions clean a whole track's lines as one text; Python is given that text and gives back
+words, as the removal of rolling repeats is a fold that they cannot say. A row is read by itself, so a task holds
+the words of one batch of tracks.
 """
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuemill.functions.artifacts import CREDIT, LINE, TURN, event_pattern
-from cuemill.functions.text import ENTITIES, SENTENCE_END, SPACE
-from cuemill.functions.turns import PARAGRAPH_WORDS, roll
-
-_TAG, _SPACES, _NOT_WORD, _NOT_MARK = re.compile("<[^>]*>"), re.compile(SPACE + "+"), re.compile(r"[^\w ]+"), re.compile(f"[^{TURN}{LINE}]+")
-_CREDIT = re.compile(CREDIT)
-_MARKER = {"auto": re.compile("^>>>? ?"), "manual": re.compile(r"^- (?P<goes_on>(?=\.{3}|…))?")}
-_EVENT = {kind: (opening, re.compile(event_pattern(kind))) for kind, opening in (("auto", "["), ("manual", "("))}
-_END, _CLOSING = re.compile(SENTENCE_END.replace(r"\z", r"\Z")), frozenset(".?!\"')]")
-
-
-def tidy(line: str) -> str:
-    """Without tags, entities and spare white space."""
-    if "<" in line:
-        line = _TAG.sub("", line)
-    if "&" in line:
-        for entity, plain in ENTITIES:
-            line = line.replace(entity, plain)
-    # A printable line has no white space but the plain one.
-    return " ".join(line.split()) if line.isprintable() else " ".join(w for w in _SPACES.split(line) if w)
-
-
-def stripped(lines: list[str], kind: str) -> tuple[list[str], list[int], list[int]]:
-    """Words of a cue of tidy lines, and how many of them stand before each turn start and each line."""
-    marker, (opening, event) = _MARKER[kind], _EVENT[kind]
-    parts = []
-    for line in lines:
-        line = line.replace(TURN, "").replace(LINE, "")
-        found = marker.match(line)
-        parts.append(LINE)
-        if found:
-            if kind == "auto" or found["goes_on"] is None:
-                parts.append(TURN)
-            line = line[found.end() :]
-        parts.append(line)
-    text = " ".join(parts)
-    if opening in text:
-        text = event.sub(lambda m: " " + " ".join(_NOT_MARK.sub("", m[0])) + " ", text)
-    words: list[str] = []
-    turns: list[int] = []
-    starts: list[int] = []
-    for token in text.split(" "):
-        if token == LINE:
-            starts.append(len(words))
-        elif token == TURN:
-            turns.append(len(words))
-        elif token:
-            words.append(token)
-    return words, turns, starts
-
-
-def stream(cues: list[list[str]], kind: str, dedup: bool) -> tuple[list[str], list[int]]:
+from cuemill.functions.artifacts import strip_artifacts
+from cuemill.functions.text import clean_lines
+from cuemill.functions.turns import Stream
+
+#: Ends a cue in the text of a track; taken out of captions first.
+CUE = "\ue000"
+
+
+def cue_text(cues: Column) -> Column:
+    """The clean lines of cues (array<array<string>>) as one text: newlines end lines, CUE ends cues."""
+    return clean_lines(F.array_join(F.transform(cues, lambda lines: F.translate(F.array_join(lines, "\n"), CUE, "")), CUE), "\n" + CUE)
+
+
+def stream(text: str, notation: str, dedup: bool) -> tuple[list[str], list[int]]:
     """Words of a track without artifacts and rolling repeats, and the turn starts among them."""
-    tidied = [lines for lines in ([t for t in map(tidy, cue) if t] for cue in cues) if lines]
-    if kind == "manual":
-        last = len(tidied) - 1
-        tidied = [lines for k, lines in enumerate(tidied) if k not in (0, last) or not any(map(_CREDIT.match, lines))]
-    found = [c for c in (stripped(lines, kind) for lines in tidied) if c[0] or c[1]]
-    words: list[str] = []
-    if not dedup:
-        starts: list[int] = []
-        for own, turns, _ in found:
-            starts += [len(words) + t for t in turns]
-            words += own
-        return words, starts
-    norms = [_NOT_WORD.sub("", " ".join(own).lower()).split(" ") if own else [] for own, _, _ in found]
-    overlaps, starts = roll([{"norms": n, "turn_starts": turns, "line_starts": lines} for n, (_, turns, lines) in zip(norms, found, strict=True)])
-    for (own, _, _), overlap in zip(found, overlaps, strict=True):
-        words += own[overlap:]
-    return words, starts
-
-
-def gathered(words: list[str]) -> list[str]:
-    """Paragraphs, each of which ends with the first sentence end after its 130th word."""
-    out, start, at = [], 0, PARAGRAPH_WORDS - 1
-    while at < len(words):
-        word = words[at]
-        at += 1
-        if word[-1] in _CLOSING and _END.search(word):
-            out.append(" ".join(words[start:at]))
-            start, at = at, at + PARAGRAPH_WORDS - 1
-    return [*out, " ".join(words[start:])] if start < len(words) else out
-
-
-_STREAM = pa.struct([("words", pa.list_(pa.string())), ("turn_starts", pa.list_(pa.int32()))])
-_WORDS = T.ArrayType(T.StringType())
-_TURNS = pa.list_(pa.list_(pa.string()))
-
-
-@F.arrow_udf(T.StructType([T.StructField("words", _WORDS), T.StructField("turn_starts", T.ArrayType(T.IntegerType()))]))
-def _spoken(cues: pa.Array, kind: pa.Array, dedup: pa.Array) -> pa.Array:
-    rows = (stream(c.as_py() or [], k.as_py(), d.as_py()) for c, k, d in zip(cues, kind, dedup, strict=True))
-    return pa.chunked_array([pa.array([{"words": w, "turn_starts": s}], _STREAM) for w, s in rows], _STREAM).combine_chunks()
-
-
-@F.arrow_udf(T.ArrayType(_WORDS))
-def _paragraphed(turns: pa.Array) -> pa.Array:
-    rows = ([gathered(t) for t in row.as_py() or []] for row in turns)
-    return pa.chunked_array([pa.array([row], _TURNS) for row in rows], _TURNS).combine_chunks()
-
-
-#: Not to be worked out inside of an expression that uses them: lambdas cannot call Python.
-_spoken, _paragraphed = _spoken.asNondeterministic(), _paragraphed.asNondeterministic()
-
-
-def spoken(lines: Column, notation: Column, dedup: Column) -> Column:
-    """struct<words, turn_starts> of array<array<string>>, the lines of a track's cues."""
-    return _spoken(lines, notation, dedup)
-
-
-def paragraphed(turns: Column) -> Column:
-    """array<array<string>>: the paragraphs of turns of words."""
-    return _paragraphed(turns)
+    said = Stream()
+    cues = ("\n".join(filter(None, cue.split("\n"))) for cue in text.split(CUE))
+    for words, turns, lines in strip_artifacts([cue for cue in cues if cue], notation):
+        said.add(words, turns, lines, dedup)
+    return said.words, said.turn_starts
+
+
+def _lists(rows: list[list], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array([x for row in rows for x in row], kind))
+
+
+@F.arrow_udf(T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("turn_starts", T.ArrayType(T.IntegerType()))]))
+def _spoken(texts: pa.Array, notations: pa.Array, dedup: pa.Array) -> pa.Array:
+    rows = [stream(t or "", n, d) for t, n, d in zip(texts.to_pylist(), notations.to_pylist(), dedup.to_pylist(), strict=True)]
+    return pa.StructArray.from_arrays([_lists([w for w, _ in rows], pa.string()), _lists([s for _, s in rows], pa.int32())], ["words", "turn_starts"])
+
+
+#: Not to be worked out inside of an expression that uses it: lambdas cannot call Python.
+_spoken = _spoken.asNondeterministic()
+
+
+def spoken(text: Column, notation: Column, dedup: Column) -> Column:
+    """struct<words, turn_starts> of the text that cue_text gives."""
+    return _spoken(text, notation, dedup)

@@ -38,22 +38,6 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, f"[{_RARE}][ {_RARE}]*| [ {_RARE}]+", " "))
 
 
-def tokenize(text: Column) -> Column:
-    """The words between white space."""
-    return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
-
-
-def normalize_word(word: Column) -> Column:
-    """Letters, digits and `_` of any script, in lower case."""
-    return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}_]", "")
-
-
-def normalize_words(words: Column) -> Column:
-    """The same of an array's words, which hold no spaces, all at once."""
-    norms = F.split(F.regexp_replace(F.lower(F.array_join(words, " ")), r"[^\p{L}\p{N}_ ]+", ""), " ")
-    return F.when(F.size(words) > 0, norms).otherwise(F.array().cast("array<string>"))
-
-
 def strip_tags(text: Column) -> Column:
     """Without anything from `<` to the next `>`."""
     return F.when(text.contains("<"), F.regexp_replace(text, "<[^>]*>", "")).otherwise(text)
@@ -71,6 +55,14 @@ def clean_line(line: Column) -> Column:
     return collapse(decode_entities(strip_tags(line)))
 
 
+def clean_lines(text: Column, ends: str) -> Column:
+    """clean_line of each line of a text in which the given characters end lines; it is read as a whole, not line by line."""
+    tagless = F.when(text.contains("<"), F.regexp_replace(text, f"<[^>{ends}]*>", "")).otherwise(text)
+    rare = _RARE.replace(r"\t-\r", r"\t\x0B\f\r")  # all but the newline
+    spaced = F.regexp_replace(decode_entities(tagless), f"[{rare}][ {rare}]*| [ {rare}]+", " ")
+    return F.btrim(F.regexp_replace(spaced, f" ?([{ends}]) ?", "$1"), F.lit(" "))
+
+
 def to_milliseconds(timestamp: Column) -> Column:
     """`HH:MM:SS.mmm`, or with a comma, as a whole number."""
     part = lambda at, n: F.substring(timestamp, at, n).cast("long")

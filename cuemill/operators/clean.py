@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuemill.functions.cues import parse_cues
-from cuemill.functions.speech import paragraphed, spoken
+from cuemill.functions.speech import cue_text, spoken
 from cuemill.functions.text import choose_notation, classify_track
-from cuemill.functions.turns import choose_layout, cut_turns
+from cuemill.functions.turns import choose_layout, cut_turns, paragraphs
 
 
 def word_streams(tracks: DataFrame, raw: str = "raw", key: str | None = "track_key") -> DataFrame:
@@ -17,9 +17,9 @@ def word_streams(tracks: DataFrame, raw: str = "raw", key: str | None = "track_k
     return (
         tracks.withColumn("track_kind", classify_track(F.col(raw)))
         # Exploded from an array of one, so that Python is given a column and no expression.
-        .select("*", F.explode(F.array(F.transform(parse_cues(F.col(raw), times=False), lambda c: c["lines"]))).alias("_lines"))
-        .withColumn("_stream", spoken(F.col("_lines"), notation, F.col("track_kind") == "auto"))
-        .drop("_lines")
+        .select("*", F.explode(F.array(cue_text(F.transform(parse_cues(F.col(raw), times=False), lambda c: c["lines"])))).alias("_text"))
+        .withColumn("_stream", spoken(F.col("_text"), notation, F.col("track_kind") == "auto"))
+        .drop("_text")
     )
 
 
@@ -38,8 +38,7 @@ def clean_tracks(tracks: DataFrame, layout: str = "auto", raw: str = "raw", key:
         .withColumn("_turns", cut_turns(F.col("_stream.words"), F.col("_stream.turn_starts")))
         .withColumn("layout", choose_layout(layout, F.col("_turns")))
         .withColumn("marks_turns", F.size("_stream.turn_starts") > 0)
-        .select("*", F.explode(F.array(F.when(F.col("layout") == "dialog", F.col("_turns")).otherwise(whole))).alias("_said"))
-        .withColumn("turns", paragraphed(F.col("_said")))
+        .withColumn("turns", F.transform(F.when(F.col("layout") == "dialog", F.col("_turns")).otherwise(whole), lambda t: paragraphs(t)))
         .withColumn("warnings", F.when(single & F.lit(layout == "dialog"), warning).otherwise(F.array().cast("array<string>")))
-        .drop("_stream", "_turns", "_said")
+        .drop("_stream", "_turns")
     )

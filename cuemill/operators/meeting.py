@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from cuemill.functions.artifacts import TURN, strip_artifacts
 from cuemill.functions.cues import parse_cues
 from cuemill.functions.render import render_body, render_contents, render_frontmatter
+from cuemill.functions.speech import cue_text, spoken
 from cuemill.functions.slug import MEETINGS, usable_slug
-from cuemill.functions.text import MEETING_SENTENCE_END, SPACE_INSIDE, clean_line, collapse, decode_entities, format_duration, let, local_date
+from cuemill.functions.text import MEETING_SENTENCE_END, SPACE_INSIDE, collapse, decode_entities, format_duration, let, local_date
 from cuemill.functions.turns import paragraphs
 
 #: Fixed values.
@@ -22,47 +22,41 @@ VOICE_OPENS = f"(?i)<v(?:\\.[^{SPACE_INSIDE}>]*)*[{SPACE_INSIDE}]+([^>]*)>"
 VOICE_CLOSES = "(?i)</v>"
 
 _FROM, _NAMED = "", ""
-_CREDITS = "array<struct<speaker:string,words:array<string>>>"
-
-
-def _words(text: Column) -> Column:
-    """Words of a stretch of cue text, artifacts out as on an auto track."""
-    lines = F.filter(F.transform(F.split(text, "\n"), clean_line), lambda x: x != "")
-    found = strip_artifacts(F.filter(F.array(lines), lambda x: F.size(x) > 0), F.lit("auto"))
-    return F.flatten(F.transform(found, lambda c: c["words"]))
 
 
 def cue_credits(lines: Column) -> Column:
-    """array<struct<speaker, words>>: what each voice tag's speaker says, in order; null outside of tags."""
-    text = F.translate(F.array_join(lines, "\n"), _FROM + _NAMED + TURN, "")
+    """array<struct<speaker, text>>: what each voice tag's speaker says, in order, its lines as they are; null outside of tags."""
+    text = F.translate(F.array_join(lines, "\n"), _FROM + _NAMED, "")
     marked = F.regexp_replace(F.regexp_replace(text, VOICE_OPENS, f"{_FROM}$1{_NAMED}"), VOICE_CLOSES, _FROM + _NAMED)
 
     def credit(piece: Column, k: Column) -> Column:
         name = F.nullif(collapse(decode_entities(F.substring_index(piece, _NAMED, 1))), F.lit(""))
         rest = F.when(k == 0, piece).otherwise(F.substring_index(piece, _NAMED, -1))
-        return F.struct(F.when(k > 0, name).alias("speaker"), _words(rest).alias("words"))
+        return F.struct(F.when(k > 0, name).alias("speaker"), rest.alias("text"))
 
-    credits = F.transform(F.split(marked, _FROM), credit)
-    return F.filter(credits, lambda c: F.size(c["words"]) > 0)
+    return F.transform(F.split(marked, _FROM), credit)
 
 
 def credits(meetings: DataFrame, meeting: str = "meeting", raw: str = "raw") -> DataFrame:
     """(meeting, utterance_key, part, position, credit_no, speaker, words), a row per credit.
 
-    A cue without words has one row without them: it can be the first of its utterance. A cue
+    What has no words has null ones: its cue can be the first of its utterance all the same. A cue
     without an utterance's id is an utterance of its own.
     """
     cues = meetings.select(F.col(meeting).alias("meeting"), F.posexplode(parse_cues(F.col(raw), ids=True)).alias("position", "cue"))
     cue_id = F.coalesce(F.col("cue.id"), F.lit(""))
     key = F.nullif(F.regexp_extract(cue_id, UTTERANCE_ID, 1), F.lit(""))
     part = F.when(key.isNotNull(), F.regexp_extract(cue_id, UTTERANCE_ID, 2).cast("long")).otherwise(0)
-    return cues.select(
+    said = cues.select(
         "meeting",
         F.coalesce(key, F.concat(F.lit("cue "), F.col("position").cast("string"))).alias("utterance_key"),
         part.cast("long").alias("part"),
         "position",
         F.posexplode_outer(cue_credits(F.col("cue.lines"))).alias("credit_no", "credit"),
-    ).select("meeting", "utterance_key", "part", "position", "credit_no", F.col("credit.speaker").alias("speaker"), F.col("credit.words").alias("words"))
+    ).select("meeting", "utterance_key", "part", "position", "credit_no", "credit.speaker", F.explode(F.array(cue_text(F.array(F.split("credit.text", "\n"))))).alias("text"))
+    spoken_words = spoken(F.col("text"), F.lit("auto"), F.lit(False))["words"]
+    words = said.withColumn("words", spoken_words)
+    return words.select("meeting", "utterance_key", "part", "position", "credit_no", "speaker", F.when(F.size("words") > 0, F.col("words")).alias("words"))
 
 
 def _ordered(found: DataFrame) -> DataFrame:

@@ -74,17 +74,19 @@ def manual_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("lines", lines).select("doc_id", F.lit("en").alias("track_key"), F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(placed, cue), "\n\n")).alias("raw"))
 
 
-def _by_conversation(turns: DataFrame, block: Column) -> DataFrame:
+def by_conversation(turns: DataFrame, block: Column) -> DataFrame:
     rows = turns.select("conv_id", "order", block.alias("block")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("order", "block"))).alias("b"))
     return rows.select("conv_id", F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform("b", lambda x: x["block"]), "\n\n")).alias("raw"))
 
 
 def conversation_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, track_key, raw): a cue for each turn, opened by `>>`; every seventh is nothing but music."""
-    turns = table(spark, sf_dir, "conversations").withColumn("order", F.col("turn"))
-    said = F.when(F.col("turn") % 7 == 6, "[music]").otherwise(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    block = F.concat(timing(F.col("turn") * 5000, F.col("turn") * 5000 + 4000), F.lit("\n&gt;&gt; "), said)
-    return _by_conversation(turns, block).withColumn("track_key", F.lit(NAMED_KEY))
+    """(conv_id, track_key, raw): a cue for each turn, opened by `>>`; every seventh is followed by one that is nothing but music."""
+    turns = table(spark, sf_dir, "conversations")
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
+    cues = F.array(said, F.when(F.col("turn") % 7 == 6, F.lit("[music]")))
+    rows = turns.select("conv_id", "turn", F.posexplode(cues).alias("k", "said")).where("said is not null").withColumn("order", F.struct("turn", "k"))
+    start = F.col("turn") * 5000 + F.col("k") * 4000
+    return by_conversation(rows, F.concat(timing(start, start + F.when(F.col("k") == 0, 4000).otherwise(500)), F.lit("\n&gt;&gt; "), "said")).withColumn("track_key", F.lit(NAMED_KEY))
 
 
 def meeting_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +96,7 @@ def meeting_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     voiced = F.when(F.col("role") == "system", F.col("said")).otherwise(F.concat(F.lit("<v "), "role", F.lit(">"), "said", F.lit("</v>")))
     start = F.col("turn") * 1000 + F.col("line") * 100
     block = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit("-"), F.col("line").cast("string"), F.lit("\n"), timing(start, start + 700), F.lit("\n"), voiced)
-    return _by_conversation(lines, block)
+    return by_conversation(lines, block)
 
 
 def page_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +123,7 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         title_of(F.col("html")), url, F.concat(F.lit("Channel \\ \""), (page % 6).cast("string"), F.lit('"')), F.when(page % 10 != 8, F.concat((page % 60).cast("string"), F.lit(":07"))), date,
         F.timestamp_seconds(F.lit(1_600_000_000) + page * 60), F.when(page % 2 == 0, "auto").otherwise("manual"), F.when(page % 3 == 0, "dialog").otherwise("prose"),
     )
-    whole = F.concat(block, F.lit("\n\nbody "), n, F.lit("\n"))
+    whole = F.concat(block, F.lit("\n\n"), F.coalesce("html", F.lit("")), F.lit("\n"))
     kind = page % 10
     text = (
         F.when(kind == 0, F.concat(F.lit("# No transcript "), n))

@@ -46,7 +46,7 @@ def meeting_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dialog_bodies",
-    f"""WITH t AS (SELECT conv_id, turn, {WORDS.format(text='text')} AS w FROM conversations WHERE turn % 7 <> 6),
+    f"""WITH t AS (SELECT conv_id, turn, {WORDS.format(text='text')} AS w FROM conversations),
 h AS (SELECT conv_id, turn, w, {CUTS.format(w='w')} AS cuts FROM t WHERE len(w) > 0), q AS (SELECT *, {ENDS} FROM h),
 o AS (SELECT conv_id, string_agg('— ' || {SAID}, chr(10) || chr(10) ORDER BY turn) AS body FROM q GROUP BY conv_id)
 SELECT DISTINCT t.conv_id, 'dialog' AS layout, md5(coalesce(body, '')) AS body_md5 FROM t LEFT JOIN o ON t.conv_id = o.conv_id""",
@@ -99,14 +99,14 @@ def _greek_sql() -> str:
 
 @query(
     "greek_titles",
-    f"""WITH d AS (SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '')[1:12], ' ') AS title FROM documents),
+    f"""WITH d AS (SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> ''), ' ') AS title FROM documents),
 g AS (SELECT doc_id, translate(title, '{LATIN_KEYS}', '{GREEK_LETTERS}') AS greek FROM d), r AS (SELECT doc_id, {_greek_sql()} AS romanized FROM g)
 SELECT doc_id, romanized, replace(romanized, ' ', '-') AS slug FROM r""",
 )
 def greek_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first words of documents in Greek letters, as Latin ones and as slugs."""
+    """The words of documents in Greek letters, as Latin ones and as slugs."""
     words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+"), lambda w: w != "")
-    greek = F.translate(F.array_join(F.slice(words, 1, 12), " "), LATIN_KEYS, GREEK_LETTERS)
+    greek = F.translate(F.array_join(words, " "), LATIN_KEYS, GREEK_LETTERS)
     titles = G.table(spark, sf_dir, "documents").select("doc_id", greek.alias("title"))
     return titles.select("doc_id", romanize_greek(F.col("title")).alias("romanized"), slugify(F.col("title")).alias("slug"))
 

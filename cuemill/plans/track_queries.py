@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuemill.functions.artifacts import strip_sound_events
 from cuemill.functions.render import render_body, render_contents, render_frontmatter, unnamed
 from cuemill.functions.slug import channel_folder, transcript_slug
-from cuemill.functions.text import collapse
+from cuemill.functions.speech import cue_text, spoken
 from cuemill.functions.turns import cut_turns, paragraphs
 from cuemill.operators import analytics, meeting
 from cuemill.operators.clean import clean_tracks, word_streams
@@ -125,12 +124,14 @@ def sound_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = G.table(spark, sf_dir, "conversations")
     plain = F.regexp_replace("text", r"[\[\]]", "")
     end = F.element_at(F.array(F.lit("[loud  applause] [is it?]"), F.lit("[] [one two three four five]"), F.lit("[a b c d] then [ x ]")), (F.col("turn") % 3 + 1).cast("int"))
-    return turns.select("conv_id", "turn", collapse(strip_sound_events(F.concat(F.lit("[music] "), plain, F.lit(" "), end), "auto")).alias("said"))
+    cue = F.array(F.array(F.concat(F.lit("[music] "), plain, F.lit(" "), end)))
+    cues = turns.select("conv_id", "turn", F.explode(F.array(cue_text(cue))).alias("text"))
+    return cues.withColumn("said", spoken(F.col("text"), F.lit("auto"), F.lit(False))).select("conv_id", "turn", F.array_join("said.words", " ").alias("said"))
 
 
 @query(
     "turns_layout",
-    f"""WITH t AS (SELECT conv_id, turn, len({WORDS.format(text='text')}) AS n FROM conversations WHERE turn % 7 <> 6),
+    f"""WITH t AS (SELECT conv_id, turn, len({WORDS.format(text='text')}) AS n FROM conversations),
 s AS (SELECT conv_id, count(*) FILTER (n > 0) AS n_turns, sum(n) AS n_words FROM t GROUP BY conv_id)
 SELECT conv_id, 'manual' AS track_kind, CASE WHEN n_turns >= 10 THEN 'dialog' ELSE 'prose' END AS layout, true AS marks_turns, n_turns, CAST(n_words AS BIGINT) AS n_words FROM s""",
 )
@@ -176,7 +177,7 @@ def clean_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "turn_stats",
-    f"""WITH t AS (SELECT conv_id, len({WORDS.format(text='text')}) AS n FROM conversations WHERE turn % 7 <> 6)
+    f"""WITH t AS (SELECT conv_id, len({WORDS.format(text='text')}) AS n FROM conversations)
 SELECT conv_id, count(*) AS turns, median(n) AS median_words, max(n) AS max_words, avg(CASE WHEN n <= 3 THEN 1.0 ELSE 0.0 END) AS short_share FROM t WHERE n > 0 GROUP BY conv_id""",
 )
 def turn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,9 +188,10 @@ def turn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "marker_counts",
-    r"""WITH t AS (SELECT conv_id, turn, trim(CASE WHEN turn % 7 = 6 THEN '>> [music]' ELSE '>> ' || regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') END) AS line FROM conversations),
-b AS (SELECT *, lag(line) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t),
-s AS (SELECT conv_id, count(*) AS raw_markers, count(*) FILTER (before IS NULL OR before <> line) AS distinct_markers, count(*) FILTER ((before IS NULL OR before <> line) AND line = '>> [music]') AS noise_markers, max(turn) * 5000 + 4000 AS ms FROM b GROUP BY conv_id)
+    r"""WITH t AS (SELECT conv_id, 2 * turn AS no, trim('>> ' || regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS line, turn * 5000 + 4000 AS ends FROM conversations
+  UNION ALL SELECT conv_id, 2 * turn + 1, '>> [music]', turn * 5000 + 4500 FROM conversations WHERE turn % 7 = 6),
+b AS (SELECT *, lag(line) OVER (PARTITION BY conv_id ORDER BY no) AS before FROM t),
+s AS (SELECT conv_id, count(*) AS raw_markers, count(*) FILTER (before IS NULL OR before <> line) AS distinct_markers, count(*) FILTER ((before IS NULL OR before <> line) AND line = '>> [music]') AS noise_markers, max(ends) AS ms FROM b GROUP BY conv_id)
 SELECT conv_id, raw_markers, distinct_markers, noise_markers, (distinct_markers - noise_markers) * 3600000 / ms AS per_hour FROM s""",
 )
 def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

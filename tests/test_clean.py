@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 from cuemill.functions.cues import parse_cues
-from cuemill.functions.text import classify_track, is_named_track, normalize_word, track_key
-from cuemill.functions.turns import roll
+from cuemill.functions.text import classify_track, is_named_track, track_key
+from cuemill.functions.artifacts import strip_cue
+from cuemill.functions.turns import Stream, borders, normalized
 from cuemill.operators.clean import clean_tracks
 
 
@@ -43,8 +44,7 @@ def test_kinds_and_names(spark):
     names = spark.createDataFrame([("v.en-JkeT_87f4cc.vtt",), ("v.en-US.vtt",), ("v.en-orig.srt",), ("v.abcd-JkeT_87f4cc.vtt",)], "f string")
     found = names.select(track_key(F.col("f")).alias("k")).select("k", is_named_track(F.col("k"))).collect()
     assert [tuple(r) for r in found] == [("en-JkeT_87f4cc", True), ("en-US", False), ("en-orig", False), ("abcd-JkeT_87f4cc", False)]
-    assert one(spark, "Ναι,", normalize_word) == "ναι"
-    assert one(spark, "«...»", normalize_word) == ""
+    assert normalized(["Ναι,", "«...»", "a_1½"]) == ["ναι", "", "a_1½"] and normalized([]) == []
 
 
 def test_rolling_repeats_go(spark):
@@ -95,18 +95,101 @@ def test_paragraphs_end_after_130_words(spark):
     assert [len(p.split()) for p in found[0]] == [140, 130, 30]
 
 
+def rolled(*cues):
+    """(overlaps, turn starts) of cues (text, turn starts, line starts)."""
+    said = Stream()
+    return [said.add(text.split(), list(turns), list(lines), True) for text, turns, lines in cues], said.turn_starts
+
+
 def cue(text, starts=(), lines=(0,)):
-    return {"norms": text.split(), "turn_starts": list(starts), "line_starts": list(lines)}
+    return text, starts, lines
 
 
 def test_overlaps_that_hold_turn_starts():
-    assert roll([cue("yeah", [0]), cue("yeah sure", [0])])[0] == [0, 0]  # not a whole line: a new turn
-    assert roll([cue("yeah", [0]), cue("yeah sure", [0], [0, 1])])[0] == [0, 1]
-    assert roll([cue("a b"), cue("b c")]) == ([0, 1], [])
-    assert roll([cue("a b", [0]), cue("a b c", [0, 2], [0, 2])]) == ([0, 2], [0, 2])
-    assert roll([cue("a", [0, 1]), cue("a b", [0], [0, 1])])[0] == [0, 0]  # the stream's end has a start that the cue does not repeat
-    assert roll([cue("a a a"), cue("a a a")])[0] == [0, 3]
-    assert roll([{"norms": ["", ""], "turn_starts": [], "line_starts": [0]}, {"norms": [""], "turn_starts": [], "line_starts": [0]}])[0] == [0, 0]
+    assert rolled(cue("yeah", [0]), cue("yeah sure", [0]))[0] == [0, 0]  # not a whole line: a new turn
+    assert rolled(cue("yeah", [0]), cue("yeah sure", [0], [0, 1]))[0] == [0, 1]
+    assert rolled(cue("a b"), cue("b c")) == ([0, 1], [])
+    assert rolled(cue("a b", [0]), cue("a b c", [0, 2], [0, 2])) == ([0, 2], [0, 2])
+    assert rolled(cue("a", [0, 1]), cue("a b", [0], [0, 1]))[0] == [0, 0]  # the stream's end has a start that the cue does not repeat
+    assert rolled(cue("a a a"), cue("a a a"))[0] == [0, 3]
+    assert rolled(cue(". ."), cue("."))[0] == [0, 0]  # no word at all
+    assert rolled(cue("b a b a"), cue("b a b a b", [0, 4], [0, 2, 4]), cue("x"))[0] == [0, 0, 0]
+
+
+def test_borders_against_slices():
+    import random
+
+    draw = random.Random(2)
+    for _ in range(3000):
+        head, tail = [[draw.choice("aab") for _ in range(draw.randrange(9))] for _ in range(2)]
+        assert list(borders(head, tail)) == [k for k in range(min(len(head), len(tail)), 0, -1) if head[:k] == tail[-k:]]
+
+
+def overlap_by_trying(words, starts, cue_words, turns, lines):
+    """The rule as it is said, size by size."""
+    norm = lambda ws: normalized(ws)
+    for k in range(min(len(words), len(cue_words)), 0, -1):
+        base = len(words) - k
+        if norm(words[base:]) != norm(cue_words[:k]) or not any(norm(cue_words[:k])):
+            continue
+        taken = {t for t in turns if t < k}
+        there = {s - base for s in starts if s >= base}
+        if not taken or ((k == len(cue_words) or k in lines) and taken <= there and all(s < k or k in turns for s in there)):
+            return k
+    return 0
+
+
+def test_streams_against_the_rule():
+    import random
+
+    draw = random.Random(5)
+    for _ in range(2000):
+        said, words, starts = Stream(), [], []
+        for _ in range(draw.randrange(1, 7)):
+            own = [draw.choice(["a", "A,", "b", "..."]) for _ in range(draw.randrange(6))]
+            turns, lines = (sorted(draw.sample(range(len(own) + 1), draw.randrange(min(3, len(own) + 1)))) for _ in range(2))
+            k = overlap_by_trying(words, starts, own, turns, lines)
+            assert said.add(own, turns, lines, True) == k
+            starts += [len(words) + t - k for t in turns if t >= k]
+            words += own[k:]
+        assert (said.words, said.turn_starts) == (words, starts)
+
+
+def test_many_equal_words_end_soon():
+    import time
+
+    began = time.time()
+    said = Stream()
+    for _ in range(3):
+        said.add(["so"] * 100_000, [0, 50_000], [0, 50_000], True)
+    assert time.time() - began < 10 and len(said.words) >= 100_000
+
+
+def test_places_of_turns_and_lines():
+    assert strip_cue("one two\nthree", "auto") == (["one", "two", "three"], [], [0, 2])
+    assert strip_cue(">> one [x]\n>>> two >> three", "auto") == (["one", "two", ">>", "three"], [0, 1], [0, 1])
+    assert strip_cue(">>\n>> a", "auto") == (["a"], [0, 0], [0, 0])
+    assert strip_cue("- a\n- ... b\n-\n- … c\n-d", "manual") == (["a", "...", "b", "-", "…", "c", "-d"], [0], [0, 1, 3, 4, 6])
+    assert strip_cue("a [loud\n>> music] b\nc [d", "auto") == (["a", "b", "c", "[d"], [1], [0, 1, 2])
+    assert strip_cue("x (one two three four five) (y. z) ( )", "manual") == (["x", "(one", "two", "three", "four", "five)", "(y.", "z)"], [], [0])
+    assert strip_cue("[a [b] c] [d", "auto") == (["[a", "c]", "[d"], [], [0])
+
+
+def test_rolling_turns_as_shown(spark):
+    """Exchanges in rolling cues, with their turn starts: repeated lines count once, recurring words stay."""
+    shown = [
+        ([["So what do you think?"], ["Yeah."], ["Yeah, sure."], ["Great."]], ["So what do you think?", "Yeah.", "Yeah, sure.", "Great."]),
+        ([["So what do you think?"], ["So what do you think?", "Yeah."], ["Yeah."], ["Yeah.", "Yeah, sure."], ["Yeah, sure."], ["Yeah, sure.", "Great."]], ["So what do you think?", "Yeah.", "Yeah, sure.", "Great."]),
+        ([["Thank you."], ["[applause]"], ["Thank you."], ["Bye."]], ["Thank you.", "Thank you.", "Bye."]),
+    ]
+    for cues, turns in shown:
+        raw = track(*[[f"&gt;&gt; {line}" for line in lines] for lines in cues], setting=AUTO)
+        assert clean(spark, raw, layout="dialog").turns == [[t] for t in turns]
+    assert clean(spark, track(["I said yes."], ["&gt;&gt; Yes."], setting=AUTO), layout="dialog").turns == [["I said yes."], ["Yes."]]
+    rolling = [x for k in range(10) for x in ([f"&gt;&gt; Turn {k} opens.", f"Turn {k} goes on."], [f"Turn {k} goes on.", f"&gt;&gt; Turn {k + 1} opens."])]
+    assert clean(spark, track(*rolling[:17], setting=AUTO)).layout == "prose"
+    ten = clean(spark, track(*rolling[:19], setting=AUTO))
+    assert (ten.layout, len(ten.turns)) == ("dialog", 10)
 
 
 def test_meeting_documents_without_a_slug_have_no_name(spark):
