@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.operators.corpus import is_meeting_file, with_frontmatter
+from cuemill.sources.shared import keep
 
 #: Rounds in which names that meet are given by joins.
 ROUNDS = 8
@@ -36,7 +35,7 @@ def latest_per_identity(transcripts: DataFrame, *ties: str) -> DataFrame:
     return transcripts.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def _head(name: Column) -> Column:
+def name_head(name: Column) -> Column:
     """All names that a slug can be given start with it, so those that can meet start alike up to the first hyphen."""
     return F.substring_index(F.regexp_replace(name, r"\.md\z", ""), "-", 1)
 
@@ -96,20 +95,6 @@ def _next_turn(proposed: DataFrame) -> DataFrame:
     return proposed.withColumn("step", step.cast("int")).withColumn("k", F.col("k") + F.col("step")).drop("name", "holder", "step")
 
 
-def _keep(frame: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again, so that plans do not grow by rounds."""
-    context = frame.sparkSession.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if base is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
-        base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/names-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def resolve_filenames(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """(channel_folder, identity_kind, identity, slug, collision_id, fetched, filename).
 
@@ -123,18 +108,18 @@ def resolve_filenames(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     """
     keys, names = ["channel_folder", "head"], ["channel_folder", "identity_kind", "identity", "slug", "collision_id", "fetched"]
     own = F.to_json(F.struct("identity_kind", "identity"))
-    new = incoming.select(*names).withColumn("head", _head(F.col("slug"))).withColumn("own", own)
-    old = existing.select("channel_folder", "filename", "identity_kind", "identity").withColumn("head", _head(F.col("filename")))
+    new = incoming.select(*names).withColumn("head", name_head(F.col("slug"))).withColumn("own", own)
+    old = existing.select("channel_folder", "filename", "identity_kind", "identity").withColumn("head", name_head(F.col("filename")))
     held = old.where("identity_kind is not null").select(F.struct(*keys).alias("folder"), F.col("filename").alias("name"), own.alias("owner"))
     turn = F.struct(F.col("fetched").isNull().alias("a"), "fetched", F.col("identity_kind").isNull().alias("b"), "identity_kind", F.col("identity").isNull().alias("c"), "identity", "slug").alias("turn")
     claims = new.select(F.struct(*keys).alias("folder"), "own", "slug", "collision_id", turn).groupBy("folder", "own", "slug", "collision_id").agg(F.min("turn").alias("turn"))
     holders = held.select("folder", F.col("owner").alias("own")).distinct().withColumn("holds", F.lit(True))
     claims = claims.join(holders, ["folder", "own"], "left").withColumn("holds", F.coalesce("holds", F.lit(False))).withColumn("k", F.lit(0))
-    settled = _keep(_proposed(_keep(claims), held))
+    settled = keep(_proposed(keep(claims, "names"), held), "names")
     for _ in range(ROUNDS):
         if settled.where("holder != own").isEmpty():
             break
-        settled = _keep(_proposed(_keep(_next_turn(settled)), held))
+        settled = keep(_proposed(keep(_next_turn(settled), "names"), held), "names")
     claims = settled
     # A name becomes free only if its owner has a file there and takes another name, or asks with several slugs.
     given = settled.where("holder = own").select("folder", "name", F.col("own").alias("owner"))
@@ -149,7 +134,7 @@ def resolve_filenames(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     families = claims.where("k > 1").groupBy(F.struct("folder", _suffixed().alias("stem")).alias("family")).agg(F.max("k").alias("most"))
     unsure = asked.join(moving, ["folder", "name"]).where("own != owner").select("folder")
     unsure = unsure.union(families.join(numbered, "family").where("least <= most").select("family.folder"))
-    met = _keep(unsure.union(settled.where("holder != own").select("folder")).distinct().select("folder.*"))
+    met = keep(unsure.union(settled.where("holder != own").select("folder")).distinct().select("folder.*"), "names")
     found = settled.select(F.struct("folder", "own", "slug", "collision_id").alias("claim"), F.col("name").alias("filename"))
     claim = F.struct(F.struct(*keys).alias("folder"), "own", "slug", "collision_id").alias("claim")
     told = new.join(met, keys, "left_anti").select(*names, "head", claim).join(found, "claim")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +12,7 @@ from cuemill.operators.clean import clean_tracks
 from cuemill.plans import adapters as G
 from cuemill.plans.track_queries import CUTS, DOCS, MEETING, WORDS, query
 from cuemill.sources.corpus import write_transcripts
+from cuemill.sources.shared import fresh_path
 
 #: Paragraph ends of words w, with those of meetings, and the text of a turn made of them.
 SPLIT = f"""CASE WHEN named THEN {CUTS.format(w='w').replace('[.!?]', '[.!?;]')} ELSE {CUTS.format(w='w')} END AS cuts"""
@@ -111,21 +109,11 @@ def greek_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.select("doc_id", romanize_greek(F.col("title")).alias("romanized"), slugify(F.col("title")).alias("slug"))
 
 
-def _shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines share; a temporary one only where there is but one machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="cuemill-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("stored_transcripts", "SELECT page_id, 'channel-' || page_id % 6 AS channel_folder, 'p' || page_id || '.md' AS filename, md5(html) AS contents_md5 FROM pages")
 def stored_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as transcripts, written to the sink and read back."""
     page = F.col("page_id")
     rows = G.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("channel-"), (page % 6).cast("string")).alias("channel_folder"), F.concat(F.lit("p"), page.cast("string"), F.lit(".md")).alias("filename"), F.col("html").alias("contents"))
-    path = _shared_path(spark, "transcripts")
+    path = fresh_path(spark, "transcripts")
     write_transcripts(rows, path)
     return spark.read.parquet(path).select("page_id", "channel_folder", "filename", F.md5("contents").alias("contents_md5"))

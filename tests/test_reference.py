@@ -1,6 +1,7 @@
 """Vectors and rules of meetings, slugs, targets, outcomes, frontmatter, the store, sources and the stream."""
 
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from cuemill.functions.text import format_duration, format_fetched, format_uploa
 from cuemill.operators import analytics, corpus, meeting, outcomes, plan, select, store
 from cuemill.sources.corpus import read_corpus, write_catalog, write_transcripts
 from cuemill.sources.tracks import parse_listing, parse_metadata, read_meetings, read_tracks
-from cuemill.streaming.incremental import read_store, stream_transcripts
+from cuemill.streaming.incremental import METADATA, put, read_store, stream_transcripts
+from cuemill.streaming.incremental import _partition as incremental_partition
 
 
 def column(spark, values, f, kind="string"):
@@ -230,8 +232,50 @@ def test_files_and_the_stream(spark, tmp_path):
     (source / "v2.en.srt").write_text(TRACK.format("two"))
     (source / "v1.fr.vtt").write_text(TRACK.format("newer"))
     run()
-    rows = {r.filename: r.turns for r in read_store(spark, str(target), 1).collect()}
-    assert rows == {"v1.md": [["newer"]], "v2.md": [["two"]]}
+    rows = {r.filename: r.contents.split("\n\n")[-1] for r in read_store(spark, str(target)).collect()}
+    assert rows == {"v1.md": "newer\n", "v2.md": "two\n"}
+
+
+def stamps(folder):
+    return {str(p.relative_to(folder)): (p.stat().st_mtime_ns, p.stat().st_size) for p in folder.rglob("*.parquet")}
+
+
+def test_a_batch_rewrites_only_what_it_meets(spark, tmp_path):
+    store_path, partitions = tmp_path / "store", 16
+    content = lambda word: bytearray(TRACK.format(word).encode())
+    files = lambda *rows: spark.createDataFrame([(f"in/{n}.{key}.vtt", at, 1, content(word)) for n, key, at, word in rows], "path string, at long, length long, content binary").select("path", F.timestamp_seconds("at").alias("modificationTime"), "length", "content")
+    metadata = spark.createDataFrame([(f"v{n}", "Same Title", "C", "@c", "", "", "") for n in range(40)], METADATA)
+    put(files(*[(f"v{n}", "en", 100 + n, f"one{n}") for n in range(40)]), str(store_path), 0, metadata, partitions)
+    first = stamps(store_path)
+    rows = {r.identity[-2:].strip("="): r for r in read_store(spark, str(store_path)).collect()}
+    assert len(rows) == 40 and rows["v0"].filename == "same-title.md" and rows["v7"].filename == "same-title-v7.md"
+    again = files(("v7", "fr", 200, "worse"), ("v7", "en-US", 201, "better"), ("v7", "en-GB", 202, "other"))
+    put(again, str(store_path), 1, metadata, partitions)
+    second = stamps(store_path)
+    kept = {p: s for p, s in second.items() if p in first}
+    gone = [p.split("/")[0] for p in first if p not in second]
+    assert len(set(gone)) == 1 and gone[0].startswith("partition=") and all(first[p] == s for p, s in kept.items())
+    assert {p.split("/")[0] for p in second if p not in first} == {gone[0], "_marks"}
+    now = {r.identity: r for r in read_store(spark, str(store_path)).collect()}
+    assert len(now) == 40 and "better" in now["https://www.youtube.com/watch?v=v7"].contents and now["https://www.youtube.com/watch?v=v7"].filename == "same-title-v7.md"
+    put(again, str(store_path), 1, metadata, partitions)
+    assert stamps(store_path) == second, "a repeated batch changed something"
+    # The rows are there, the mark is not: the batch is done again and comes out the same.
+    shutil.rmtree(store_path / "_marks")
+    before = sorted(map(str, read_store(spark, str(store_path)).collect()))
+    put(again, str(store_path), 1, metadata, partitions)
+    assert sorted(map(str, read_store(spark, str(store_path)).collect())) == before
+
+
+def test_a_file_without_identity_makes_way(spark, tmp_path):
+    store_path, partitions = tmp_path / "store", 16
+    old = spark.createDataFrame([("unknown-channel", "v1.md", None, None, "mine", True), ("unknown-channel", "v2.md", None, None, "other", True)], "channel_folder string, filename string, identity_kind string, identity string, contents string, live boolean")
+    old = old.withColumns({"fetched": F.lit(None).cast("timestamp"), "layout": F.lit("prose"), "partition": incremental_partition(partitions)})
+    old.write.partitionBy("partition").parquet(str(store_path))
+    files = spark.createDataFrame([("in/v1.en.vtt", 1, bytearray(TRACK.format("said").encode()))], "path string, length long, content binary").withColumn("modificationTime", F.timestamp_seconds(F.lit(9)))
+    put(files, str(store_path), 0, partitions=partitions)
+    found = {r.filename: (r.identity, r.contents[-5:]) for r in read_store(spark, str(store_path)).collect()}
+    assert found == {"v1.md": ("https://www.youtube.com/watch?v=v1", "said\n"), "v2.md": (None, "other")}
 
 
 def test_sinks(spark, tmp_path):
