@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from cuemill.plans import adapters as G
 from cuemill.plans.track_queries import query
+from cuemill.sources.corpus import read_corpus
+from cuemill.sources.files import write_files
 from cuemill.sources.shared import fresh_path
+from cuemill.sources.tracks import read_meetings, read_tracks
 from cuemill.streaming.incremental import FILES, read_store, stream_files
 
 
@@ -57,3 +60,39 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.schema(FILES).option("maxFilesPerTrigger", 1_000_000).parquet(source)
         stream_files(stream, store, checkpoint, metadata).awaitTermination()
     return read_store(spark, store).select("channel_folder", "filename", "identity", F.md5("contents").alias("contents_md5"))
+
+
+@query(
+    "track_files",
+    """SELECT 'v' || page_id AS video_id, ['en', 'en-orig', 'en-US', 'en-GB', 'en-JkeT_87f4cc', 'en-uYU-mmqFLq8', 'fr'][page_id % 7 + 1] AS track_key, ['vtt', 'srt', 'vtt'][page_id % 3 + 1] AS ext, octet_length(encode(html)) AS size, md5(html) AS raw_md5
+FROM pages WHERE page_id % 9 <> 0 AND html <> ''""",
+)
+def track_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as caption files in folders, written and read back; every ninth file is empty and no track."""
+    page, folder = F.col("page_id"), fresh_path(spark, "tracks")
+    key, ext = F.element_at(F.array(*map(F.lit, G.TRACK_KEYS)), (page % 7 + 1).cast("int")), F.element_at(F.array(F.lit("vtt"), F.lit("srt"), F.lit("vtt")), (page % 3 + 1).cast("int"))
+    relative = F.concat(F.lit("d"), (page % 4).cast("string"), F.lit("/v"), page.cast("string"), F.lit("."), key, F.lit("."), ext)
+    write_files(G.table(spark, sf_dir, "pages").select(relative.alias("relative"), F.when(page % 9 == 0, "").otherwise(F.coalesce("html", F.lit(""))).alias("content")), folder)
+    return read_tracks(spark, folder).select("video_id", "track_key", "ext", "size", F.md5("raw").alias("raw_md5"))
+
+
+@query("meeting_files", "SELECT 'Sync ' || doc_id || ' + 50%' AS title, octet_length(encode(coalesce(text, ''))) AS size, md5(coalesce(text, '')) AS raw_md5, coalesce(text, '') = '' AS empty FROM documents")
+def meeting_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as exports of meetings, written and read back; empty ones are meetings too."""
+    folder = fresh_path(spark, "meetings")
+    name = F.concat(F.lit("Sync "), F.col("doc_id").cast("string"), F.lit(" + 50%"), F.when(F.col("doc_id") % 2 == 0, ".vtt").otherwise(".VTT"))
+    write_files(G.table(spark, sf_dir, "documents").select(name.alias("relative"), F.coalesce("text", F.lit("")).alias("content")), folder)
+    return read_meetings(spark, folder).select("title", F.octet_length("raw").cast("long").alias("size"), F.md5("raw").alias("raw_md5"), (F.col("raw") == "").alias("empty"))
+
+
+@query(
+    "corpus_files",
+    """SELECT CASE page_id % 11 WHEN 2 THEN 'p' || page_id || '.MD' ELSE 'channel ' || page_id % 6 || '/p' || page_id || '.md' END AS path, md5(coalesce(html, '')) AS text_md5 FROM pages WHERE page_id % 11 > 1""",
+)
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the files of a corpus, written and read back; those too deep, or of another kind, are none of it."""
+    page, folder = F.col("page_id"), fresh_path(spark, "corpus")
+    n, kind = page.cast("string"), page % 11
+    name = F.when(kind == 2, F.concat(F.lit("p"), n, F.lit(".MD"))).when(kind == 0, F.concat(F.lit("a/b/p"), n, F.lit(".md"))).when(kind == 1, F.concat(F.lit("a/p"), n, F.lit(".txt"))).otherwise(F.concat(F.lit("channel "), (page % 6).cast("string"), F.lit("/p"), n, F.lit(".md")))
+    write_files(G.table(spark, sf_dir, "pages").select(name.alias("relative"), F.coalesce("html", F.lit("")).alias("content")), folder)
+    return read_corpus(spark, folder).select("path", F.md5("text").alias("text_md5"))

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.sources.files import read_files
+
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of Markdown files in a folder and in the folders right below it; paths are relative."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[mM][dD]").load(path)
-    root = path.rstrip("/").split("://")[-1].rstrip("/") + "/"
-    whole = F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:/+", "/")
-    relative = F.substring(F.url_decode(F.regexp_replace(whole, r"\+", "%2B")), F.lit(len(root) + 1), F.length(whole))
-    found = files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("text"))
-    return found.where(F.size(F.split("path", "/")) <= 2)
+    return read_files(spark, path, "*.md", depth=1).select(F.col("relative").alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def write_transcripts(transcripts: DataFrame, path: str, rows_a_file: int = 100_000, mode: str = "overwrite") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.functions.text import track_key, trim, video_id
+from cuemill.sources.files import read_files
 
 METADATA = (
     "id string, title string, channel string, duration_string string, upload_date string, uploader_id string, channel_id string, "
@@ -16,11 +17,6 @@ _RENAMED = {"id": "media_id", "duration_string": "duration"}
 LISTED = "id string, playlist_index int"
 
 
-def _files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path)
-
-
 def file_name(path: Column) -> Column:
     return F.url_decode(F.regexp_replace(F.substring_index(path, "/", -1), r"\+", "%2B"))
 
@@ -28,16 +24,16 @@ def file_name(path: Column) -> Column:
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
     """(video_id, track_key, ext, path, size, raw) of every file under the path that is not empty."""
     name = file_name(F.col("path"))
-    files = _files(spark, path).where("length > 0")
+    files = read_files(spark, path).where("length > 0")
     return files.select(
         video_id(name).alias("video_id"), track_key(name).alias("track_key"), F.substring_index(name, ".", -1).alias("ext"), "path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("raw")
     )
 
 
 def read_meetings(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, title, modified_at, raw) of exported meetings."""
+    """(file_name, title, modified_at, raw) of exported meetings; an empty export is a meeting without cues."""
     name = file_name(F.col("path"))
-    files = _files(spark, path, "*.[vV][tT][tT]")
+    files = read_files(spark, path, "*.vtt")
     return files.select(name.alias("file_name"), F.regexp_replace(name, r"(?i)\.vtt\z", "").alias("title"), F.col("modificationTime").alias("modified_at"), F.decode("content", "UTF-8").alias("raw"))
 
 

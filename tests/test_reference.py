@@ -10,6 +10,7 @@ from cuemill.functions.slug import channel_folder, romanize, transcript_slug, us
 from cuemill.functions.targets import parse_target
 from cuemill.functions.text import format_duration, format_fetched, format_upload_date, quote_yaml, unquote
 from cuemill.operators import analytics, corpus, meeting, outcomes, plan, select, store
+from cuemill.sources.files import Found, dealt, read_files, write_files
 from cuemill.sources.corpus import read_corpus, write_catalog, write_transcripts
 from cuemill.sources.tracks import parse_listing, parse_metadata, read_meetings, read_tracks
 from cuemill.streaming.incremental import METADATA, put, read_store, stream_transcripts
@@ -225,7 +226,7 @@ def test_files_and_the_stream(spark, tmp_path):
     tracks = read_tracks(spark, str(source)).collect()
     assert [(t.video_id, t.track_key, t.ext) for t in tracks] == [("v1", "en", "vtt")]
     meetings = read_meetings(spark, str(source)).collect()
-    assert {m.title for m in meetings} == {"v1.en"}  # Spark's reader skips empty files
+    assert {m.title: m.raw for m in meetings} == {"v1.en": (source / "v1.en.vtt").read_text(), "empty.en": ""}
     run = lambda: stream_transcripts(spark, str(source), str(target), str(tmp_path / "check")).awaitTermination()
     run()
     os.utime(source / "v1.en.vtt", (1, 1))
@@ -290,3 +291,25 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "d" / "ch" / "deep").mkdir()
     (tmp_path / "d" / "ch" / "deep" / "no.md").write_text("c")
     assert sorted((r.path, r.text) for r in read_corpus(spark, str(tmp_path / "d")).collect()) == [("ch/with space.md", "b"), ("top.MD", "a")]
+
+
+def test_small_files_make_few_tasks(spark, tmp_path):
+    files = [("a b/ü%20+#?.MD", "odd"), ("_under.md", "u"), (".dot.md", ""), ("deep/er/x.md", "no"), *[(f"f{k % 3}/{k}.md", str(k)) for k in range(300)]]
+    rows = spark.createDataFrame(files, "relative string, content string").repartition(5)
+    write_files(rows, str(tmp_path / "in put"))
+    read = read_files(spark, str(tmp_path / "in put"), "*.md", depth=1)
+    assert {(r.relative, bytes(r.content).decode(), r.length) for r in read.collect()} == {(p, t, len(t)) for p, t in files if p != "deep/er/x.md"}
+    assert read.rdd.getNumPartitions() == 1 and read_files(spark, str(tmp_path / "in put"), task_bytes=100 * (256 << 10)).rdd.getNumPartitions() in (4, 5)
+    assert (tmp_path / "in put" / "a b" / "ü%20+#?.MD").read_text() == "odd" and not list((tmp_path / "in put").rglob("*-part"))
+    write_files(spark.createDataFrame([("_under.md", "new")], "relative string, content string"), str(tmp_path / "in put"))
+    assert (tmp_path / "in put" / "_under.md").read_text() == "new"
+    assert read_files(spark, str(tmp_path / "none")).count() == 0
+    assert [r.path for r in read_corpus(spark, str(tmp_path / "in put")).where("path like '%+%'").collect()] == ["a b/ü%20+#?.MD"]
+    for bad in ("../x", "/x", "a/../../x"):
+        with pytest.raises(Exception, match="no place below"):
+            write_files(spark.createDataFrame([(bad, "x")], "relative string, content string"), str(tmp_path / "in put"))
+
+
+def test_files_are_dealt_by_size():
+    files = [Found(str(k), str(k), 0, size) for k, size in enumerate([10, 10, 900_000, 5, 2_000_000, 0, 0])]
+    assert [[f.size for f in g.files] for g in dealt(files, 1_000_000)] == [[10, 10], [900_000], [5], [2_000_000], [0, 0]]
