@@ -1,12 +1,13 @@
 """Meetings: cue parts put together to utterances, and these to turns of named speakers.
 
-The relational form: one row per credit, ordered by windows over a meeting. Only an utterance's key
-and order are shuffled with the words, once, by meeting.
+The relational form: one row per credit, in range partitions by meeting and place. Turns are islands
+of rows that are found within each part, and stitched between parts: neither a meeting nor its order
+is ever one task's. Only the documents of `clean_meetings` are a row each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.functions.cues import parse_cues
@@ -15,6 +16,8 @@ from cuemill.functions.speech import cue_text, spoken
 from cuemill.functions.slug import MEETINGS, usable_slug
 from cuemill.functions.text import MEETING_SENTENCE_END, SPACE_INSIDE, collapse, decode_entities, format_duration, let, local_date
 from cuemill.functions.turns import paragraphs
+from cuemill.operators.ordered import island_numbers, ranged
+from cuemill.sources.shared import keep
 
 #: Fixed values.
 UTTERANCE_ID = r"^(.+/\d+)-(\d+)\z"
@@ -60,18 +63,9 @@ def credits(meetings: DataFrame, meeting: str = "meeting", raw: str = "raw") ->
 
 
 def _ordered(found: DataFrame) -> DataFrame:
-    """Credits with first_position, the place of their utterance's first cue."""
+    """Credits with first_position, the place of their utterance's first cue, in the order of their meetings; a meeting of any size is spread over tasks."""
     first = F.min("position").over(Window.partitionBy("meeting", "utterance_key"))
-    return found.repartition("meeting").withColumn("first_position", first).where("words is not null")
-
-
-def _order() -> WindowSpec:
-    return Window.partitionBy("meeting").orderBy("first_position", "part", "position", "credit_no")
-
-
-def _numbered(found: DataFrame, breaks: Column, name: str) -> DataFrame:
-    marked = found.withColumn("_break", F.coalesce(breaks, F.lit(True)).cast("int"))
-    return marked.withColumn(name, (F.sum("_break").over(_order()) - 1).cast("int")).drop("_break")
+    return ranged(found.withColumn("first_position", first).where("words is not null"), "meeting", "first_position", "part", "position", "credit_no")
 
 
 def _joined(found: DataFrame, *by: str) -> DataFrame:
@@ -85,16 +79,36 @@ def rebuild_utterances(found: DataFrame) -> DataFrame:
     Utterances come in the order of their first cues. Within one, neighbours of one speaker are one
     entry; those without a speaker too.
     """
-    same = (F.lag("utterance_key").over(_order()) == F.col("utterance_key")) & F.lag("speaker").over(_order()).eqNullSafe(F.col("speaker"))
-    return _joined(_numbered(_ordered(found), ~same, "entry_no"), "entry_no", "utterance_key", "speaker")
+    same = (F.col("before.utterance_key") == F.col("utterance_key")) & F.col("before.speaker").eqNullSafe(F.col("speaker"))
+    return _joined(island_numbers(_ordered(found), "meeting", ~same, ["utterance_key", "speaker"], "entry_no"), "entry_no", "utterance_key", "speaker")
 
 
 def meeting_turns(found: DataFrame) -> DataFrame:
     """(meeting, turn_no, speaker, words): neighbouring entries of one named speaker are a turn."""
-    before, key = F.lag("speaker").over(_order()), F.lag("utterance_key").over(_order())
+    before, key = F.col("before.speaker"), F.col("before.utterance_key")
     unnamed = F.col("speaker").isNull() & before.isNull() & (key == F.col("utterance_key"))
     same = F.coalesce(unnamed | (before == F.col("speaker")), F.lit(False))
-    return _joined(_numbered(_ordered(found), ~same, "turn_no"), "turn_no", "speaker")
+    return _joined(island_numbers(_ordered(found), "meeting", ~same, ["utterance_key", "speaker"], "turn_no"), "turn_no", "speaker")
+
+
+def turn_rows(meetings: DataFrame, layout: str = "auto", meeting: str = "meeting", raw: str = "raw") -> DataFrame:
+    """(meeting, layout, turn_no, speaker, paragraphs), a row per turn: as `clean_meetings`, and no meeting is ever in one row.
+
+    The layouts are those of turns, auto, meeting and dialog; prose is a meeting's one turn.
+    """
+    if layout not in ("auto", "meeting", "dialog"):
+        raise ValueError(f"turns have no layout {layout!r}")
+    turns = keep(meeting_turns(credits(meetings, meeting, raw)), "turns")
+    named = turns.where("speaker is not null").select(F.col("meeting").alias("_named")).distinct()
+    by_name = F.lit(False) if layout == "dialog" else F.col("_named").isNotNull()
+    told = turns.join(named, F.col("meeting").eqNullSafe(F.col("_named")) & F.lit(layout != "dialog"), "left")
+    return told.select(
+        "meeting",
+        F.when(by_name, "meeting").otherwise("dialog").alias("layout"),
+        "turn_no",
+        F.when(by_name, F.col("speaker")).alias("speaker"),
+        F.when(by_name, paragraphs(F.col("words"), MEETING_SENTENCE_END)).otherwise(paragraphs(F.col("words"))).alias("paragraphs"),
+    )
 
 
 def clean_meetings(meetings: DataFrame, layout: str = "auto", meeting: str = "meeting", raw: str = "raw") -> DataFrame:

@@ -9,6 +9,10 @@ from cuemill.functions.slug import channel_folder, usable_slug
 from cuemill.operators import analytics, corpus, identity, outcomes, plan, select, store
 from cuemill.plans import adapters as G
 from cuemill.plans.track_queries import query
+from cuemill.operators.ordered import numbered
+from cuemill.sources.corpus import write_catalog
+from cuemill.sources.files import read_files
+from cuemill.sources.shared import fresh_path
 from cuemill.sources.tracks import parse_listing, parse_metadata
 
 #: The adapters' page tracks in SQL.
@@ -116,14 +120,24 @@ def catalog_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.catalog_warnings(G.corpus_files(spark, sf_dir))
 
 
-@query(
-    "render_catalog",
-    f"""WITH {FILES}, r AS (SELECT *, '| [' || replace(title, '|', '\\|') || '](' || path || ') | ' || replace(channel, '|', '\\|') || ' | ' || CASE WHEN kind = 8 THEN '' ELSE duration END || ' | ' || upload_date || ' | ' || subtitles || ' |' AS line FROM v WHERE error IS NULL)
-SELECT count(*) AS count, md5('# Transcripts' || chr(10) || chr(10) || count(*) || ' transcripts, regenerated by cuemill catalog' || chr(10) || chr(10) || '| Title | Channel | Duration | Uploaded | Subtitles |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10)
-  || string_agg(line, chr(10) ORDER BY upload_date DESC, title, path) || chr(10)) AS markdown_md5 FROM r""",
-)
+CATALOG = f"""WITH {FILES}, r AS (SELECT upload_date, v.title AS title, path, '| [' || replace(v.title, '|', '\\|') || '](' || path || ') | ' || replace(channel, '|', '\\|') || ' | ' || CASE WHEN kind = 8 THEN '' ELSE duration END || ' | ' || upload_date || ' | ' || subtitles || ' |' AS text FROM v WHERE error IS NULL)
+SELECT unnest(range(6)) AS line, unnest(['# Transcripts', '', count(*) || ' transcripts, regenerated by cuemill catalog', '', '| Title | Channel | Duration | Uploaded | Subtitles |', '| --- | --- | --- | --- | --- |']) AS text FROM r
+UNION ALL SELECT 5 + row_number() OVER (ORDER BY upload_date DESC, title, path), text FROM r"""
+
+
+@query("render_catalog", CATALOG)
 def render_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.render_catalog(G.corpus_files(spark, sf_dir)).select("count", F.md5("markdown").alias("markdown_md5"))
+    return corpus.render_catalog(G.corpus_files(spark, sf_dir))
+
+
+@query("written_catalog", CATALOG)
+def written_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog as it is written: the lines of its text files, in the order of their names."""
+    folder = fresh_path(spark, "catalog")
+    write_catalog(corpus.render_catalog(G.corpus_files(spark, sf_dir)), folder)
+    parts = read_files(spark, folder, "part-*.txt").where("length > 0")
+    lines = parts.select("relative", F.posexplode(F.split(F.regexp_replace(F.decode("content", "UTF-8"), "\n\\z", ""), "\n")).alias("place", "text"))
+    return numbered(lines, "relative", "place").select("line", "text")
 
 
 @query("scan_urls", f"WITH {FILES} SELECT url FROM v WHERE error IS NULL AND kind <> 8")

@@ -175,6 +175,18 @@ def clean_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("meeting").alias("conv_id"), "layout", "duration", F.size("turns").alias("n_turns"), words.alias("n_words"))
 
 
+@query(
+    "turn_rows",
+    f"""WITH {MEETING}, n AS (SELECT conv_id, bool_or(speaker IS NOT NULL) AS named FROM g GROUP BY conv_id),
+c AS (SELECT g.conv_id, turn_no, speaker, w, named, CASE WHEN named THEN {CUTS.format(w='w').replace('[.!?]', '[.!?;]')} ELSE {CUTS.format(w='w')} END AS cuts FROM g JOIN n ON g.conv_id = n.conv_id)
+SELECT conv_id, CASE WHEN named THEN 'meeting' ELSE 'dialog' END AS layout, turn_no, CASE WHEN named THEN speaker END AS speaker, len(cuts) + CASE WHEN len(cuts) > 0 AND cuts[-1] = len(w) THEN 0 ELSE 1 END AS n_paragraphs, md5(array_to_string(w, ' ')) AS words_md5 FROM c""",
+)
+def turn_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W2 as rows: turns of named speakers in paragraphs, with no meeting in one row."""
+    found = meeting.turn_rows(G.meeting_tracks(spark, sf_dir), meeting="conv_id")
+    return found.select(F.col("meeting").alias("conv_id"), "layout", "turn_no", "speaker", F.size("paragraphs").cast("long").alias("n_paragraphs"), F.md5(F.array_join("paragraphs", " ")).alias("words_md5"))
+
+
 @query(
     "turn_stats",
     f"""WITH t AS (SELECT conv_id, len({WORDS.format(text='text')}) AS n FROM conversations)

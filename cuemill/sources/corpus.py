@@ -19,7 +19,6 @@ def write_transcripts(transcripts: DataFrame, path: str, rows_a_file: int = 100_
     spread.write.mode(mode).option("maxRecordsPerFile", rows_a_file).partitionBy("channel_folder").parquet(path)
 
 
-def write_catalog(catalog: DataFrame, path: str) -> None:
-    """The rendered catalog, in place of the last one."""
-    catalog.select("markdown").write.mode("overwrite").text(path)
-
+def write_catalog(lines: DataFrame, path: str) -> None:
+    """The rendered catalog (line, text), in place of the last one, as text files that make the document in the order of their names."""
+    lines.orderBy("line").select("text").write.mode("overwrite").text(path)

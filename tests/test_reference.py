@@ -2,6 +2,7 @@
 
 import os
 import shutil
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from cuemill.functions.slug import channel_folder, romanize, transcript_slug, usable_slug
 from cuemill.functions.targets import parse_target
 from cuemill.functions.text import format_duration, format_fetched, format_upload_date, quote_yaml, unquote
+from cuemill.operators.ordered import PART, numbered, ranged
 from cuemill.operators import analytics, corpus, meeting, outcomes, plan, select, store
 from cuemill.sources.files import Found, dealt, read_files, write_files
 from cuemill.sources.corpus import read_corpus, write_catalog, write_transcripts
@@ -17,6 +19,14 @@ from cuemill.streaming.incremental import METADATA, put, read_store, stream_tran
 from cuemill.streaming.incremental import _partition as incremental_partition
 
 
+@contextmanager
+def many_parts(spark):
+    """Small partitions stay apart, as large ones would."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def column(spark, values, f, kind="string"):
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], f"k int, v {kind}")
     return [r[0] for r in rows.select(f(F.col("v")), "k").orderBy("k").collect()]
@@ -133,7 +143,7 @@ def test_frontmatter_errors(spark):
     got = column(spark, texts, corpus.read_frontmatter)
     assert [(f.is_transcript, f.error, f["values"]) for f in got] == [(False, None, None), (True, corpus.UNCLOSED, None), (True, None, {"title": "c: d"}), (True, corpus.UNREADABLE, {"url": "u"}), (True, None, {"url": ""}), (False, None, None)]
     empty = spark.createDataFrame([("a/x.md", "text")], "path string, text string")
-    assert corpus.render_catalog(empty).first().markdown == "# Transcripts\n\n0 transcripts, regenerated by cuemill catalog\n"
+    assert [tuple(r) for r in corpus.render_catalog(empty).collect()] == [(0, "# Transcripts"), (1, ""), (2, "0 transcripts, regenerated by cuemill catalog")]
 
 
 def test_file_names_step_over_others(spark):
@@ -283,8 +293,12 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x.md", "text"), ("b", "y.md", "more")], "channel_folder string, filename string, contents string")
     write_transcripts(rows, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
-    write_catalog(spark.createDataFrame([("# T",)], "markdown string"), str(tmp_path / "c"))
-    assert spark.read.text(str(tmp_path / "c")).first()[0] == "# T"
+    lines = [f"line {k}" if k % 3 else "" for k in range(5000)]
+    shuffled = spark.createDataFrame(list(enumerate(lines)), "line long, text string").repartition(7)
+    with many_parts(spark):
+        write_catalog(shuffled, str(tmp_path / "c"))
+    parts = sorted((tmp_path / "c").glob("part-*"))
+    assert len(parts) > 1 and "".join(p.read_text() for p in parts) == "".join(f"{x}\n" for x in lines)
     (tmp_path / "d" / "ch").mkdir(parents=True)
     (tmp_path / "d" / "top.MD").write_text("a")
     (tmp_path / "d" / "ch" / "with space.md").write_text("b")
@@ -313,3 +327,47 @@ def test_small_files_make_few_tasks(spark, tmp_path):
 def test_files_are_dealt_by_size():
     files = [Found(str(k), str(k), 0, size) for k, size in enumerate([10, 10, 900_000, 5, 2_000_000, 0, 0])]
     assert [[f.size for f in g.files] for g in dealt(files, 1_000_000)] == [[10, 10], [900_000], [5], [2_000_000], [0, 0]]
+
+
+def test_numbers_without_one_task(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("v"), "id").repartition(6)
+    found = numbered(rows, F.desc("v"))
+    assert found.where("line != 19999 - v").count() == 0 and found.count() == 20_000
+    ties = numbered(spark.createDataFrame([(None, 1), ("a", 2), ("a", 2), (None, 1)], "s string, k int"), "s", "k")
+    assert sorted((r.line, r.s) for r in ties.collect()) == [(0, None), (1, None), (2, "a"), (3, "a")]
+    assert numbered(spark.createDataFrame([], "s string"), "s").count() == 0
+
+
+def test_a_meeting_over_many_tasks(spark):
+    """One meeting with most of the rows: its turns are islands stitched between parts, the same as one after the other."""
+    import random
+
+    draw = random.Random(3)
+    speakers = [draw.choice(["Ann", "Bo", "", "Ann"]) for _ in range(4000)]
+    credits = [("m", f"u/{k // 3}", k % 3, k, 0, who or None, [f"w{k}"]) for k, who in enumerate(speakers)] + [("n", "cue 0", 0, 0, 0, None, ["x"]), ("n", "cue 1", 0, 1, 0, "Ann", ["y"]), ("l", "cue 0", 0, 0, 0, "Ann", ["z"])]
+    found = spark.createDataFrame(credits, "meeting string, utterance_key string, part long, position int, credit_no int, speaker string, words array<string>").repartition(5)
+    turns = []
+    for k, who in enumerate(speakers):
+        joins = turns and (who and who == turns[-1][1] or not who and not turns[-1][1] and k // 3 == turns[-1][2])
+        if joins:
+            turns[-1][0].append(f"w{k}")
+            turns[-1][2] = k // 3
+        else:
+            turns.append([[f"w{k}"], who, k // 3])
+    with many_parts(spark):
+        assert ranged(found.withColumn("first_position", F.col("position")), "meeting", "first_position").where("meeting = 'm'").select(PART).distinct().count() == 4
+        got = {(r.meeting, r.turn_no): (r.speaker, r.words) for r in meeting.meeting_turns(found).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == "m"} == {n: (who or None, words) for n, (words, who, _) in enumerate(turns)}
+    assert got["n", 0] == (None, ["x"]) and got["n", 1] == ("Ann", ["y"]) and got["l", 0] == ("Ann", ["z"])
+
+
+def test_turn_rows_are_the_turns_of_meetings(spark):
+    raw = "WEBVTT\n\n" + "\n\n".join(f"00:00:{k:02d}.000 --> 00:00:{k + 1:02d}.000\n<v {'Ann' if k % 3 else 'Bo'}>w{k}; and so on.</v>" for k in range(30))
+    table = spark.createDataFrame([("a", raw), ("b", "WEBVTT\n\n00:00:00.000 --> 00:00:01.000\nnobody; said.\n"), ("c", "")], "meeting string, raw string")
+    for layout in ("auto", "meeting", "dialog"):
+        whole = {r.meeting: (r.layout, [tuple(t) for t in r.turns]) for r in meeting.clean_meetings(table, layout).collect()}
+        rows = meeting.turn_rows(table, layout).orderBy("meeting", "turn_no").collect()
+        for name in "ab":
+            own = [r for r in rows if r.meeting == name]
+            assert whole[name] == (own[0].layout, [(r.speaker, r.paragraphs) for r in own])
+    assert whole["c"][1] == [] and not [r for r in rows if r.meeting == "c"]
