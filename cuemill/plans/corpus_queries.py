@@ -43,6 +43,12 @@ def key_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.key_census(G.page_tracks(spark, sf_dir))
 
 
+@query("merged_key_census", f"WITH {TRACKS} SELECT count(DISTINCT track_key) AS keys, count(DISTINCT CASE WHEN named THEN track_key END) AS named FROM k")
+def merged_key_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track keys of batches by kind, each a sketch, and the sketches merged; of few keys they tell the number."""
+    return analytics.merged_key_census(analytics.key_sketches(G.page_tracks(spark, sf_dir), "track_kind"))
+
+
 @query("identical_tracks", f"WITH {TRACKS} SELECT video_id, sha256(raw) AS digest, string_agg(DISTINCT track_key, ',' ORDER BY track_key) AS track_keys FROM k GROUP BY video_id, raw HAVING count(*) > 1")
 def identical_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.identical_tracks(G.page_tracks(spark, sf_dir)).withColumn("track_keys", F.array_join("track_keys", ","))

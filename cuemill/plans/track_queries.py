@@ -198,6 +198,18 @@ def turn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.turn_stats(turns.select("track", F.size("t").alias("n_words"))).withColumnRenamed("track", "conv_id")
 
 
+@query(
+    "merged_turn_stats",
+    f"""WITH t AS (SELECT conv_id % 5 AS part, len({WORDS.format(text='text')}) AS n FROM conversations)
+SELECT part, count(*) AS turns, quantile_disc(n, 0.5) AS median_words, max(n) AS max_words, avg(CASE WHEN n <= 3 THEN 1.0 ELSE 0.0 END) AS short_share FROM t GROUP BY part""",
+)
+def merged_turn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in batches by role, each a sketch, and the sketches merged."""
+    n = F.size(G.words_of(F.col("text")))
+    turns = G.table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("part"), "role", n.alias("n_words"))
+    return analytics.merged_turn_stats(analytics.turn_sketches(turns, "part", "role"), "part")
+
+
 @query(
     "marker_counts",
     r"""WITH t AS (SELECT conv_id, 2 * turn AS no, trim('>> ' || regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS line, turn * 5000 + 4000 AS ends FROM conversations
@@ -220,13 +232,20 @@ def label_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.label_census(lines).withColumnRenamed("track", "conv_id")
 
 
-@query("word_conservation", f"WITH {DOCS} SELECT doc_id, 0 AS lost, 0 AS gained FROM p")
+@query(
+    "word_conservation",
+    f"""WITH {DOCS}, k AS (SELECT doc_id, w, unnest(range(len(w))) AS k FROM d),
+a AS (SELECT doc_id, w[k + 1] AS word, CASE WHEN doc_id % 3 <> 0 THEN 1 WHEN k % 7 = 3 THEN 0 WHEN k % 11 = 5 THEN 2 ELSE 1 END - 1 AS more FROM k),
+n AS (SELECT doc_id, word, sum(more) AS more FROM a GROUP BY doc_id, word),
+t AS (SELECT doc_id, sum(greatest(-more, 0)) AS lost, sum(greatest(more, 0)) AS gained FROM n GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(lost, 0) AS BIGINT) AS lost, CAST(coalesce(gained, 0) AS BIGINT) AS gained FROM d LEFT JOIN t ON d.doc_id = t.doc_id""",
+)
 def word_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No word is lost or gained between a document and what is cleaned out of its captions."""
-    words = F.transform(G.words_of(F.col("text")), lambda w, k: F.concat(F.lit("w"), k.cast("string"), F.lit("_"), w))
-    before = G.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("track"), words.alias("words"))
-    after = word_streams(G.auto_tracks(spark, sf_dir)).select(F.col("doc_id").alias("track"), F.col("_stream.words").alias("words"))
-    return analytics.word_conservation(before, after).withColumnRenamed("track", "doc_id")
+    """Words lost and gained between documents and what is left of them in another order; of one in three, words are left out and said twice."""
+    docs = G.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("track"), G.words_of(F.col("text")).alias("words"))
+    times = lambda k: F.when(F.col("track") % 3 != 0, 1).when(k % 7 == 3, 0).when(k % 11 == 5, 2).otherwise(1)
+    changed = F.reverse(F.flatten(F.transform("words", lambda w, k: F.array_repeat(w, times(k)))))
+    return analytics.word_conservation(docs, docs.select("track", changed.alias("words"))).withColumnRenamed("track", "doc_id")
 
 
 @query("body_lint", "SELECT doc_id, '' AS found FROM documents")
