@@ -50,13 +50,15 @@ def parse_target(text: Column, playlist: bool = False) -> Column:
     def of(typed: Column) -> Column:
         address = F.when(typed.rlike(r"^(?i)[a-z][a-z0-9+.-]*://"), typed).otherwise(F.concat(F.lit("https://"), typed))
         group = lambda n: F.regexp_extract(address, URL, n)
+        given = lambda name: F.regexp_extract(F.concat(F.lit("&"), group(3)), f"&{name}=([^&]*)", 1)
+        parameter = lambda name: F.coalesce(F.try_url_decode(given(name)), given(name))
         named = F.regexp_replace(F.lower(group(1)), r"^www\.", "")
         parts = F.struct(
             F.when(address.rlike(URL) & named.rlike(HOSTS), F.regexp_replace(named, r"^(?:m|mobile)\.(?=(?:x|twitter)\.com\z)", "")).alias("host"),
             group(2).alias("path"),
             F.filter(F.split(group(2), "/"), lambda s: s != "").alias("segments"),
-            F.regexp_extract(F.concat(F.lit("&"), group(3)), r"&list=([^&]*)", 1).alias("list"),
-            F.regexp_extract(F.concat(F.lit("&"), group(3)), r"&v=([^&]*)", 1).alias("v"),
+            parameter("list").alias("list"),
+            parameter("v").alias("v"),
         )
         return (
             F.when(typed == "", refused)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cuemill.functions.targets import parse_target
 from cuemill.functions.text import trim
+from cuemill.operators.ordered import places, ranged
 
 
 def parse_targets(inputs: DataFrame, column: str = "input", playlist: bool = False) -> DataFrame:
@@ -44,21 +45,15 @@ def _counted(condition: Column) -> Column:
 
 
 def summarize_batch(results: DataFrame, batch: str = "batch") -> DataFrame:
-    """(batch, fetched, skipped, failed, summary, failures) of results (batch, pos, url, status, failure).
+    """(batch, fetched, skipped, failed, summary) of results (batch, pos, url, status, failure); status is fetched, skipped or failed."""
+    one = results.groupBy(F.col(batch).alias("batch")).agg(*[_counted(F.col("status") == s).alias(s) for s in ("fetched", "skipped", "failed")])
+    return one.withColumn("summary", F.format_string("%d fetched, %d skipped, %d failed.", "fetched", "skipped", "failed"))
 
-    status is fetched, skipped or failed; failures are the lines of a roll-call, in order.
-    """
+
+def failure_lines(results: DataFrame, batch: str = "batch") -> DataFrame:
+    """(batch, line, text): the roll-call of what failed, in order, under its heading (line 0); a batch of any size is spread over tasks."""
     said = F.concat(F.lit("  "), "url", F.when(F.coalesce("failure", F.lit("")) != "", F.concat(F.lit(" ("), "failure", F.lit(")"))).otherwise(""))
-    one = results.groupBy(F.col(batch).alias("batch")).agg(
-        *[_counted(F.col("status") == s).alias(s) for s in ("fetched", "skipped", "failed")],
-        F.sort_array(F.collect_list(F.when(F.col("status") == "failed", F.struct("pos", said.alias("said"))))).alias("f"),
-    )
-    lines = F.transform("f", lambda x: x["said"])
-    return one.select(
-        "batch",
-        "fetched",
-        "skipped",
-        "failed",
-        F.format_string("%d fetched, %d skipped, %d failed.", "fetched", "skipped", "failed").alias("summary"),
-        F.when(F.size("f") > 0, F.concat(F.array(F.lit("Failed:")), lines)).otherwise(F.array().cast("array<string>")).alias("failures"),
-    )
+    failed = results.where("status = 'failed'").select(F.col(batch).alias("batch"), "pos", said.alias("text"))
+    lines = places(ranged(failed, "batch", "pos", "text"), "batch", "line").select("batch", F.col("line").cast("long").alias("line"), "text")
+    heads = failed.select("batch").distinct().select("batch", F.lit(0).cast("long").alias("line"), F.lit("Failed:").alias("text"))
+    return heads.unionByName(lines)

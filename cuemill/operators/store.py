@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuemill.operators.corpus import is_meeting_file, with_frontmatter
+from cuemill.operators.ordered import AT, PART, island_numbers, neighbours, places, ranged
 from cuemill.sources.shared import keep
 
-#: Rounds in which names that meet are given by joins.
-ROUNDS = 8
 NUMBERED = r"(?s)\A(.*)-([1-9][0-9]{0,30})\.md\z"
 
 
@@ -40,59 +36,79 @@ def name_head(name: Column) -> Column:
     return F.substring_index(F.regexp_replace(name, r"\.md\z", ""), "-", 1)
 
 
-def _named(pdf: pd.DataFrame) -> pd.DataFrame:
-    """File names of a group of transcripts that could meet, one after the other; held: files that are there."""
-    held = {r.filename: (r.identity_kind, r.identity) for r in pdf[pdf.there].itertuples() if r.identity_kind is not None}
-    names_of: dict[tuple, list[str]] = {}
-    for n, owner in held.items():
-        names_of.setdefault(owner, []).append(n)
-    new = pdf[~pdf.there].sort_values(["fetched", "identity_kind", "identity", "slug"], kind="stable")
-    names = []
-    for r in new.itertuples():
-        own = (r.identity_kind, r.identity)
-        name = next(n for n in _candidates(r.slug, r.collision_id) if n not in held or held[n] == own)
-        for other in names_of.get(own, ()):
-            del held[other]
-        held[name], names_of[own] = own, [name]
-        names.append(name)
-    return new.assign(filename=names)
-
-
-def _candidates(slug: str, collision_id: str) -> Iterator[str]:
-    yield f"{slug}.md"
-    yield f"{slug}-{collision_id}.md"
-    n = 2
-    while True:
-        yield f"{slug}-{collision_id}-{n}.md"
-        n += 1
-
-
 def _suffixed() -> Column:
     return F.concat("slug", F.lit("-"), "collision_id")
 
 
 def _candidate(k: Column) -> Column:
-    """The k-th of _candidates, from 0."""
+    """The k-th name that a transcript can be given: its slug, with its collision id, and with a number from 2 on."""
     return F.concat(F.when(k == 0, F.col("slug")).when(k == 1, _suffixed()).otherwise(F.concat(_suffixed(), F.lit("-"), k.cast("string"))), F.lit(".md"))
 
 
-def _proposed(claims: DataFrame, held: DataFrame) -> DataFrame:
-    """Claims (folder, own, slug, collision_id, turn, holds, k) with the k-th name and its holder so far: who owns the file there, else the earliest that asks."""
-    asked = claims.withColumn("name", _candidate(F.col("k")))
-    first = asked.groupBy("folder", "name").agg(F.min(F.struct("turn", "own"))["own"].alias("earliest"))
-    owner = first.join(held, ["folder", "name"], "left").select("folder", "name", F.coalesce("owner", "earliest").alias("holder"))
-    return asked.join(owner, ["folder", "name"])
+def _asked(claims: DataFrame, held: DataFrame) -> DataFrame:
+    """Claims with the name that they ask for, and given: whether it is theirs so far.
+
+    A name that somebody has a file under is for others only after its owner's own turn in the batch;
+    of those that may have it, the earliest is given it.
+    """
+    asked = claims.withColumn("name", _candidate(F.col("k"))).join(held, ["folder", "name"], "left")
+    may = F.col("owner").isNull() | (F.col("owner") == F.col("own")) | F.coalesce(F.col("turn") > F.col("owner_turn"), F.lit(False))
+    asked = keep(asked.withColumn("may", may).drop("owner", "owner_turn"), "names")
+    first = asked.where("may").groupBy("folder", "name").agg(F.min(F.struct("turn", "own"))["own"].alias("earliest"))
+    return asked.join(first, ["folder", "name"], "left").withColumn("given", F.coalesce(F.col("may") & (F.col("own") == F.col("earliest")), F.lit(False))).drop("may", "earliest")
 
 
-def _next_turn(proposed: DataFrame) -> DataFrame:
-    """Who was turned down asks for a later name: of equal lists of names, each a place further than the one before.
+def _spread(down: DataFrame, held: DataFrame) -> DataFrame:
+    """Of claims that were turned down at their slug, each a k further on among those of the same slug and collision id.
 
-    Who holds a file already goes on by one name, which may be its own.
+    The n-th of them asks for the n-th name under which nobody has a file for good (held). Both are counted in range
+    partitions: neither the claims nor the files of one slug are ever one task's.
     """
-    down = F.col("holder") != F.col("own")
-    alike = Window.partitionBy("folder", "slug", "collision_id", "k").orderBy("turn", "own")
-    step = F.when(~down, 0).when(F.col("holds"), 1).otherwise(F.count_if(down & ~F.col("holds")).over(alike))
-    return proposed.withColumn("step", step.cast("int")).withColumn("k", F.col("k") + F.col("step")).drop("name", "holder", "step")
+    family = F.struct("folder", _suffixed().alias("stem"))
+    claims = places(ranged(down.withColumn("family", family), "family", "turn", "own"), "family", "n")
+    stem = F.regexp_replace("name", r"\.md\z", "")
+    numbered = F.col("name").rlike(NUMBERED)
+    number = F.regexp_extract("name", NUMBERED, 2).cast("decimal(38,0)")
+    files = held.select("folder", stem.alias("stem"), F.lit(1).cast("long").alias("b"))
+    files = files.union(held.where(numbered & (number >= 2) & (number < 10**12)).select("folder", F.regexp_extract("name", NUMBERED, 1), number.cast("long")))
+    ours = claims.select("family").distinct()
+    blocked = files.select(F.struct("folder", "stem").alias("family"), "b").distinct().join(ours, "family", "left_semi")
+    blocked = places(ranged(blocked, "family", "b"), "family", "i")
+    # Before the i-th of the blocked numbers b there are b - i free ones: the n-th claim steps over those with b - i < n.
+    both = claims.select("family", F.col("n").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("i"), F.struct(*claims.columns).alias("claim"))
+    both = both.unionByName(blocked.select("family", (F.col("b") - F.col("i")).alias("at"), F.lit(1).alias("side"), F.col("i").cast("long").alias("i"), F.lit(None).cast(both.schema["claim"].dataType).alias("claim")))
+    swept = neighbours(ranged(both, "family", "at", "side", "i"), "family", {"skipped": F.col("i")}).where("side = 0")
+    k = F.col("claim.n") + F.coalesce("skipped_before", F.lit(0))
+    return swept.select(*[F.col(f"claim.{c}").alias(c) for c in down.columns if c != "k"], k.cast("long").alias("k")).select(*down.columns)
+
+
+def _given(claims: DataFrame, held: DataFrame) -> DataFrame:
+    """Claims (folder, own, slug, collision_id, turn), one for each owner in a folder, with the name that each is given.
+
+    held: (folder, name, owner). All ask at once, the earliest is given a name, the others go on, until
+    nobody is turned down: as one after the other, as a name goes to the earliest of those who may have it,
+    whoever asks first.
+    """
+    turns = claims.select("folder", F.col("own").alias("owner"), F.col("turn").alias("owner_turn"))
+    held = keep(held.join(turns, ["folder", "owner"], "left").groupBy("folder", "name").agg(F.min_by(F.struct("owner", "owner_turn"), "owner").alias("o")).select("folder", "name", "o.*"), "held")
+    holders = held.select("folder", F.col("owner").alias("own")).distinct().withColumn("holds", F.lit(True))
+    claims = claims.join(holders, ["folder", "own"], "left").withColumn("holds", F.coalesce("holds", F.lit(False))).withColumn("k", F.lit(0).cast("long"))
+    while True:
+        asked = keep(_asked(claims, held), "names")
+        down = asked.where("not given").drop("name", "given")
+        if down.isEmpty():
+            return asked.drop("k", "holds", "given")
+        stay = asked.where("given").drop("name", "given")
+        at_slug = (F.col("k") == 0) & ~F.col("holds")
+        step = down.where(~at_slug).withColumn("k", F.col("k") + 1)
+        claims = keep(stay.unionByName(step).unionByName(_spread(down.where(at_slug), held.where("owner_turn is null"))), "claims")
+
+
+def _segments(claims: DataFrame) -> DataFrame:
+    """Adds segment: stretches of a folder's turns in which no owner asks twice, each opened by one who asks again."""
+    nth = F.row_number().over(Window.partitionBy("folder", "own").orderBy("turn", "slug", "collision_id"))
+    placed = ranged(claims.withColumn("again", nth > 1), "folder", "turn", "own", "slug", "collision_id")
+    return island_numbers(placed, "folder", F.col("again") | F.col("before").isNull(), ["own"], "segment").drop("again", AT, PART)
 
 
 def resolve_filenames(incoming: DataFrame, existing: DataFrame) -> DataFrame:
@@ -100,48 +116,35 @@ def resolve_filenames(incoming: DataFrame, existing: DataFrame) -> DataFrame:
 
     incoming lacks the filename; existing is (channel_folder, filename, identity_kind, identity). A
     transcript takes the first name that is free, its own, or held by a file without an identity, in
-    order of fetched and identity. All ask at once for their first name, the earliest is given it,
-    and the others ask for the next, in ROUNDS rounds of joins. That is the same as one after the
-    other unless a name becomes free in between; where one was asked for that might, or where names
-    are still asked for after the rounds, the transcripts of the folder whose names start alike are
-    gathered and named one by one.
+    order of fetched and identity; taking another name than it had, it frees that one for those after
+    it. Names are asked for in rounds of joins. Those who are turned down at a slug are dealt the free
+    names of it at once; transcripts that have files go on name by name. Where an identity asks again in
+    a folder, those before it are named first: there is a pass for each time in the folder with most.
     """
     keys, names = ["channel_folder", "head"], ["channel_folder", "identity_kind", "identity", "slug", "collision_id", "fetched"]
     own = F.to_json(F.struct("identity_kind", "identity"))
-    new = incoming.select(*names).withColumn("head", name_head(F.col("slug"))).withColumn("own", own)
-    old = existing.select("channel_folder", "filename", "identity_kind", "identity").withColumn("head", name_head(F.col("filename")))
-    held = old.where("identity_kind is not null").select(F.struct(*keys).alias("folder"), F.col("filename").alias("name"), own.alias("owner"))
+    # Names that can meet start alike up to the first hyphen.
     turn = F.struct(F.col("fetched").isNull().alias("a"), "fetched", F.col("identity_kind").isNull().alias("b"), "identity_kind", F.col("identity").isNull().alias("c"), "identity", "slug").alias("turn")
-    claims = new.select(F.struct(*keys).alias("folder"), "own", "slug", "collision_id", turn).groupBy("folder", "own", "slug", "collision_id").agg(F.min("turn").alias("turn"))
-    holders = held.select("folder", F.col("owner").alias("own")).distinct().withColumn("holds", F.lit(True))
-    claims = claims.join(holders, ["folder", "own"], "left").withColumn("holds", F.coalesce("holds", F.lit(False))).withColumn("k", F.lit(0))
-    settled = keep(_proposed(keep(claims, "names"), held), "names")
-    for _ in range(ROUNDS):
-        if settled.where("holder != own").isEmpty():
-            break
-        settled = keep(_proposed(keep(_next_turn(settled), "names"), held), "names")
-    claims = settled
-    # A name becomes free only if its owner has a file there and takes another name, or asks with several slugs.
-    given = settled.where("holder = own").select("folder", "name", F.col("own").alias("owner"))
-    several = claims.groupBy("folder", F.col("own").alias("owner")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    coming = claims.where("holds").select("folder", F.col("own").alias("owner")).distinct()
-    left = held.join(coming, ["folder", "owner"], "left_semi").join(given, ["folder", "name", "owner"], "left_anti")
-    moving = left.select("folder", "name", "owner").union(given.union(held).join(several, ["folder", "owner"], "left_semi").select("folder", "name", "owner"))
-    moving = moving.groupBy("folder", "name").agg(F.min("owner").alias("owner"))
-    asked = claims.select("folder", "own", F.explode(F.array(_candidate(F.lit(0)), F.when(F.col("k") > 0, _candidate(F.lit(1))))).alias("name")).distinct()
-    stem = F.struct("folder", F.regexp_extract("name", NUMBERED, 1).alias("stem")).alias("family")
-    numbered = moving.where(F.col("name").rlike(NUMBERED)).groupBy(stem).agg(F.min(F.regexp_extract("name", NUMBERED, 2).cast("decimal(38,0)")).alias("least"))
-    families = claims.where("k > 1").groupBy(F.struct("folder", _suffixed().alias("stem")).alias("family")).agg(F.max("k").alias("most"))
-    unsure = asked.join(moving, ["folder", "name"]).where("own != owner").select("folder")
-    unsure = unsure.union(families.join(numbered, "family").where("least <= most").select("family.folder"))
-    met = keep(unsure.union(settled.where("holder != own").select("folder")).distinct().select("folder.*"), "names")
-    found = settled.select(F.struct("folder", "own", "slug", "collision_id").alias("claim"), F.col("name").alias("filename"))
-    claim = F.struct(F.struct(*keys).alias("folder"), "own", "slug", "collision_id").alias("claim")
-    told = new.join(met, keys, "left_anti").select(*names, "head", claim).join(found, "claim")
-    both = new.drop("own").withColumn("filename", F.lit(None).cast("string")).withColumn("there", F.lit(False)).unionByName(old.withColumn("there", F.lit(True)), allowMissingColumns=True).join(met, keys, "left_semi")
-    schema = both.drop("there").schema
-    named = both.groupBy(*keys).applyInPandas(lambda pdf: _named(pdf)[schema.names], schema)
-    return told.select(*schema.names).unionByName(named).drop("head")
+    new = incoming.select(*names).withColumn("head", name_head(F.col("slug")))
+    claim = [F.struct(*keys).alias("folder"), own.alias("own"), F.col("slug"), F.col("collision_id"), turn]
+    claims = keep(new.select(*claim).distinct(), "claims")
+    old = existing.where("identity_kind is not null").withColumn("head", name_head(F.col("filename")))
+    held = old.select(F.struct(*keys).alias("folder"), F.col("filename").alias("name"), own.alias("owner"))
+    last = 0
+    if not claims.groupBy("folder", "own").count().where("count > 1").isEmpty():
+        claims = keep(_segments(claims), "claims")
+        last = claims.agg(F.max("segment")).first()[0]
+    told = None
+    for segment in range(last + 1):
+        now = claims if last == 0 else claims.where(F.col("segment") == segment).drop("segment")
+        given = _given(now, held)
+        told = given if told is None else told.unionByName(given)
+        if segment < last:
+            moved = given.select("folder", F.col("own").alias("owner"))
+            held = keep(held.join(moved, ["folder", "owner"], "left_anti").unionByName(given.select("folder", "name", F.col("own").alias("owner"))), "held")
+    found = told.select(F.struct("folder", "own", "slug", "collision_id", "turn").alias("_claim"), F.col("name").alias("filename"))
+    asking = new.select(*names, F.struct(*claim).alias("_claim"))
+    return asking.join(found, "_claim").select(*names, "filename")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:

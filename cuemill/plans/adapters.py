@@ -160,8 +160,8 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page_id")
     n = page.cast("string")
     vid = F.lpad(n, 11, "v")
-    forms = [vid, F.concat(F.lit("@h."), n), F.concat(F.lit("https://youtu.be/"), vid, F.lit("?t=3")), F.concat(F.lit("youtube.com/watch?v="), vid, F.lit("&list=PL"), n), F.concat(F.lit("https://www.YouTube.com/shorts/"), vid),
-             F.concat(F.lit("https://m.youtube.com/playlist?list=PL"), n), F.concat(F.lit("https://youtube.com/@h"), n), F.concat(F.lit("https://youtube.com/channel/UC"), n, F.lit("/shorts")), F.concat(F.lit("https://mobile.twitter.com/Some/status/"), n, F.lit("/photo/2?s=1")),
+    forms = [vid, F.concat(F.lit("@h."), n), F.concat(F.lit("https://youtu.be/"), vid, F.lit("?t=3")), F.concat(F.lit("youtube.com/watch?v=%76"), F.substring(vid, 2, 10), F.lit("&list=PL"), n), F.concat(F.lit("https://www.YouTube.com/shorts/"), vid),
+             F.concat(F.lit("https://m.youtube.com/playlist?list=PL%5F"), n), F.concat(F.lit("https://youtube.com/@h"), n), F.concat(F.lit("https://youtube.com/channel/UC"), n, F.lit("/shorts")), F.concat(F.lit("https://mobile.twitter.com/Some/status/"), n, F.lit("/photo/2?s=1")),
              F.concat(F.lit("x.com/i/web/status/"), n), F.concat(F.lit("https://t.co/a"), n), F.concat(F.lit("https://x.com/i/spaces/"), n), F.concat(F.lit("https://example.com/"), n), F.concat(F.lit("dir/m "), n, F.lit(".VTT")), F.concat(F.lit("  "), vid, F.lit("\n"))]
     return table(spark, sf_dir, "pages").select("page_id", F.element_at(F.array(*forms), (page % len(forms) + 1).cast("int")).alias("input"))
 

@@ -49,9 +49,16 @@ def merged_key_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.merged_key_census(analytics.key_sketches(G.page_tracks(spark, sf_dir), "track_kind"))
 
 
-@query("identical_tracks", f"WITH {TRACKS} SELECT video_id, sha256(raw) AS digest, string_agg(DISTINCT track_key, ',' ORDER BY track_key) AS track_keys FROM k GROUP BY video_id, raw HAVING count(*) > 1")
+@query(
+    "identical_tracks",
+    f"""WITH {TRACKS}, c AS (SELECT video_id, track_key, raw FROM k UNION ALL SELECT video_id, 'copy', raw FROM k WHERE track_key IN ('en', 'fr'))
+SELECT video_id, sha256(raw) AS digest, string_agg(DISTINCT track_key, ',' ORDER BY track_key) AS track_keys FROM c GROUP BY video_id, raw HAVING count(*) > 1""",
+)
 def identical_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.identical_tracks(G.page_tracks(spark, sf_dir)).withColumn("track_keys", F.array_join("track_keys", ","))
+    """Videos' tracks, two kinds of which were copied under another key."""
+    tracks = G.page_tracks(spark, sf_dir).select("video_id", "track_key", "raw")
+    copies = tracks.where("track_key in ('en', 'fr')").withColumn("track_key", F.lit("copy"))
+    return analytics.identical_tracks(tracks.union(copies)).withColumn("track_keys", F.array_join("track_keys", ","))
 
 
 @query(
@@ -199,34 +206,53 @@ def post_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(outcomes.classify_post_fetch(G.outcomes(spark, sf_dir)))
 
 
+def _message_sql(failure: str, text: str) -> str:
+    parts = text.replace("'", "''").replace("{url}", "' || url || '").replace("{lang}", "en")
+    return f"WHEN '{failure}' THEN '{parts}'"
+
+
 @query(
     "failure_messages",
-    f"""WITH {OUTCOMES} SELECT event_id, post_failure AS failure, true AS names_url FROM c WHERE post_failure IS NOT NULL""",
+    f"""WITH {OUTCOMES}, m AS (SELECT event_id, post_failure AS failure, 'https://x.com/i/status/' || event_id AS url FROM c WHERE post_failure IS NOT NULL)
+SELECT event_id, failure, CASE failure {' '.join(_message_sql(*m) for m in outcomes.MESSAGES.items())} END AS message FROM m""",
 )
 def failure_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _flat(outcomes.classify_post_fetch(G.outcomes(spark, sf_dir))).where("failure is not null")
     url = F.concat(F.lit("https://x.com/i/status/"), F.col("event_id").cast("string"))
-    return found.select("event_id", "failure", outcomes.describe_failure(F.col("failure"), url, F.lit("en")).contains(url).alias("names_url"))
+    return found.select("event_id", "failure", outcomes.describe_failure(F.col("failure"), url, F.lit("en")).alias("message"))
+
+
+RESULTS = f"""WITH {OUTCOMES}, b AS (SELECT batch, event_id, CASE WHEN event_id % 13 = 0 THEN 'skipped' WHEN failure IS NULL THEN 'fetched' ELSE 'failed' END AS status, failure FROM c)"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = outcomes.classify_fetch(G.outcomes(spark, sf_dir))
+    status = F.when(F.col("event_id") % 13 == 0, "skipped").when(F.col("outcome.ok"), "fetched").otherwise("failed")
+    return found.select("batch", F.col("event_id").alias("pos"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("url"), status.alias("status"), F.col("outcome.failure").alias("failure"))
 
 
 @query(
     "batch_summary",
-    f"""WITH {OUTCOMES}, b AS (SELECT batch, event_id, CASE WHEN event_id % 13 = 0 THEN 'skipped' WHEN failure IS NULL THEN 'fetched' ELSE 'failed' END AS status, failure FROM c)
-SELECT batch, count(*) FILTER (status = 'fetched') AS fetched, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed,
-  count(*) FILTER (status = 'fetched') || ' fetched, ' || count(*) FILTER (status = 'skipped') || ' skipped, ' || count(*) FILTER (status = 'failed') || ' failed.' AS summary,
-  coalesce('Failed:|' || string_agg('  v' || event_id || ' (' || failure || ')', '|' ORDER BY event_id) FILTER (status = 'failed'), '') AS failures FROM b GROUP BY batch""",
+    f"""{RESULTS} SELECT batch, count(*) FILTER (status = 'fetched') AS fetched, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed,
+  count(*) FILTER (status = 'fetched') || ' fetched, ' || count(*) FILTER (status = 'skipped') || ' skipped, ' || count(*) FILTER (status = 'failed') || ' failed.' AS summary FROM b GROUP BY batch""",
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = outcomes.classify_fetch(G.outcomes(spark, sf_dir))
-    status = F.when(F.col("event_id") % 13 == 0, "skipped").when(F.col("outcome.ok"), "fetched").otherwise("failed")
-    results = found.select("batch", F.col("event_id").alias("pos"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("url"), status.alias("status"), F.col("outcome.failure").alias("failure"))
-    return plan.summarize_batch(results).withColumn("failures", F.array_join("failures", "|"))
+    return plan.summarize_batch(_results(spark, sf_dir))
+
+
+@query(
+    "batch_failures",
+    f"""{RESULTS} SELECT DISTINCT batch, 0 AS line, 'Failed:' AS text FROM b WHERE status = 'failed'
+UNION ALL SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY event_id), '  v' || event_id || ' (' || failure || ')' FROM b WHERE status = 'failed'""",
+)
+def batch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.failure_lines(_results(spark, sf_dir))
 
 
 IDENTITIES = f"{FILES}, i AS (SELECT page_id, path, fetched, CASE WHEN kind = 8 THEN 'title' ELSE 'url' END AS identity_kind, CASE WHEN kind = 8 THEN title ELSE url END AS identity FROM v WHERE kind <> 1 AND NOT (kind = 8 AND title = ''))"
 
 
-def _identified(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+def identified(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
     files = files if files is not None else G.corpus_files(spark, sf_dir)
     fetched = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id") * 60)
     return store.file_identity(files).withColumn("fetched", fetched)
@@ -234,12 +260,12 @@ def _identified(spark: SparkSession, sf_dir: str, files: DataFrame | None = None
 
 @query("file_identity", f"WITH {IDENTITIES} SELECT page_id, identity_kind, identity FROM i")
 def file_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _identified(spark, sf_dir).where("identity_kind is not null").select("page_id", "identity_kind", "identity")
+    return identified(spark, sf_dir).where("identity_kind is not null").select("page_id", "identity_kind", "identity")
 
 
 @query("latest_per_identity", f"WITH {IDENTITIES} SELECT identity_kind, identity, page_id FROM (SELECT *, row_number() OVER (PARTITION BY identity_kind, identity ORDER BY page_id DESC) AS n FROM i) WHERE n = 1")
 def latest_per_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.latest_per_identity(_identified(spark, sf_dir).where("identity_kind is not null"), "page_id").select("identity_kind", "identity", "page_id")
+    return store.latest_per_identity(identified(spark, sf_dir).where("identity_kind is not null"), "page_id").select("identity_kind", "identity", "page_id")
 
 
 @query(
@@ -249,7 +275,7 @@ SELECT page_id, path, identity_kind, identity FROM n
 UNION ALL SELECT page_id, path, identity_kind, identity FROM o WHERE path NOT IN (SELECT path FROM n) AND NOT EXISTS (SELECT 1 FROM n WHERE n.identity_kind = o.identity_kind AND n.identity = o.identity)""",
 )
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _identified(spark, sf_dir, corpus.with_frontmatter(G.corpus_files(spark, sf_dir)).where("frontmatter.is_transcript").drop("frontmatter")).select("page_id", F.regexp_replace("path", "[^/]*$", "").alias("channel_folder"), F.substring_index("path", "/", -1).alias("filename"), "identity_kind", "identity")
+    files = identified(spark, sf_dir, corpus.with_frontmatter(G.corpus_files(spark, sf_dir)).where("frontmatter.is_transcript").drop("frontmatter")).select("page_id", F.regexp_replace("path", "[^/]*$", "").alias("channel_folder"), F.substring_index("path", "/", -1).alias("filename"), "identity_kind", "identity")
     done = store.upsert(files.where("page_id % 4 != 1"), files.where("page_id % 4 = 1 and identity_kind is not null"))
     return done.select("page_id", F.concat("channel_folder", "filename").alias("path"), "identity_kind", "identity")
 
@@ -272,11 +298,31 @@ def filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.resolve_filenames(incoming, existing).select("channel_folder", "identity", "filename")
 
 
+@query(
+    "filenames_beside_files",
+    """WITH p AS (SELECT page_id, 'f' || page_id % 3 AS channel_folder, 'talk-' || page_id // 60 AS slug, 'u' || page_id AS identity FROM pages),
+n AS (SELECT *, row_number() OVER (PARTITION BY channel_folder, slug ORDER BY page_id) AS r FROM p),
+free AS (SELECT *, row_number() OVER (PARTITION BY channel_folder, slug ORDER BY i) AS r FROM (SELECT DISTINCT channel_folder, slug, unnest(range(70)) AS i FROM p) WHERE i NOT IN (0, 3, 4, 9))
+SELECT n.channel_folder, identity, CASE i WHEN 1 THEN n.slug || '-c.md' ELSE n.slug || '-c-' || i || '.md' END AS filename FROM n JOIN free f ON n.channel_folder = f.channel_folder AND n.slug = f.slug AND n.r = f.r""",
+)
+def filenames_beside_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as transcripts of different videos, sixty to a slug, where others have some of the names already and files without an identity have one."""
+    page = F.col("page_id")
+    text = lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    incoming = G.table(spark, sf_dir, "pages").select(
+        text("f", page % 3).alias("channel_folder"), F.lit("url").alias("identity_kind"), text("u", page).alias("identity"), text("talk-", F.floor(page / 60)).alias("slug"), F.lit("c").alias("collision_id"), F.timestamp_seconds(page).alias("fetched")
+    )
+    name = lambda tail: F.concat("slug", F.lit(tail))
+    files = incoming.select("channel_folder", "slug", F.explode(F.array(*[F.struct(name(t).alias("filename"), F.lit(owner).alias("owner")) for t, owner in ((".md", "a"), ("-c-3.md", "b"), ("-c-4.md", "d"), ("-c-5.md", None), ("-c-9.md", "e"), ("-c-02.md", "g"), ("-d-2.md", "h"))])).alias("f")).distinct()
+    existing = files.select("channel_folder", "f.filename", F.when(F.col("f.owner").isNotNull(), "url").alias("identity_kind"), F.concat("f.owner", "channel_folder", "slug").alias("identity"))
+    return store.resolve_filenames(incoming, existing).select("channel_folder", "identity", "filename")
+
+
 @query(
     "targets",
     """WITH i AS (SELECT page_id, CAST(page_id AS VARCHAR) AS n, lpad(CAST(page_id AS VARCHAR), 11, 'v') AS vid, page_id % 15 AS form FROM pages)
 SELECT page_id, CASE WHEN form IN (0, 2, 3, 4, 14) THEN 'video' WHEN form IN (1, 6, 7) THEN 'channel' WHEN form = 5 THEN 'playlist' WHEN form IN (8, 9, 10) THEN 'post' WHEN form = 13 THEN 'file' END AS kind,
-  CASE WHEN form IN (0, 2, 3, 4, 14) THEN 'https://www.youtube.com/watch?v=' || vid WHEN form = 1 THEN 'https://www.youtube.com/@h.' || n || '/videos' WHEN form = 5 THEN 'https://www.youtube.com/playlist?list=PL' || n
+  CASE WHEN form IN (0, 2, 3, 4, 14) THEN 'https://www.youtube.com/watch?v=' || vid WHEN form = 1 THEN 'https://www.youtube.com/@h.' || n || '/videos' WHEN form = 5 THEN 'https://www.youtube.com/playlist?list=PL_' || n
     WHEN form = 6 THEN 'https://www.youtube.com/@h' || n || '/videos' WHEN form = 7 THEN 'https://www.youtube.com/channel/UC' || n || '/shorts' WHEN form = 8 THEN 'https://twitter.com/Some/status/' || n || '/photo/2'
     WHEN form = 9 THEN 'https://x.com/i/web/status/' || n WHEN form = 10 THEN 'https://t.co/a' || n END AS url,
   CASE WHEN form IN (0, 2, 3, 4, 14) THEN vid END AS video_id, CASE WHEN form = 8 THEN 2 WHEN form IN (9, 10) THEN 1 END AS video_number, CASE WHEN form = 13 THEN 'dir/m ' || n || '.VTT' END AS path,

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuemill.operators import corpus, plan
 from cuemill.plans import adapters as G
+from cuemill.plans.corpus_queries import BATCH, IDENTITIES, identified
 from cuemill.plans.track_queries import query
 from cuemill.sources.corpus import read_corpus
 from cuemill.sources.files import write_files
 from cuemill.sources.shared import fresh_path
+from cuemill.sources.tables import IDENTITY, URL, save_bucketed, upsert_bucketed
 from cuemill.sources.tracks import read_meetings, read_tracks
 from cuemill.streaming.incremental import FILES, read_store, stream_files
 
@@ -96,3 +101,33 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(kind == 2, F.concat(F.lit("p"), n, F.lit(".MD"))).when(kind == 0, F.concat(F.lit("a/b/p"), n, F.lit(".md"))).when(kind == 1, F.concat(F.lit("a/p"), n, F.lit(".txt"))).otherwise(F.concat(F.lit("channel "), (page % 6).cast("string"), F.lit("/p"), n, F.lit(".md")))
     write_files(G.table(spark, sf_dir, "pages").select(name.alias("relative"), F.coalesce("html", F.lit("")).alias("content")), folder)
     return read_corpus(spark, folder).select("path", F.md5("text").alias("text_md5"))
+
+
+def _table(name: str) -> str:
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+@query(
+    "bucketed_upsert",
+    f"""WITH {IDENTITIES}, a AS (SELECT v.page_id, v.path, identity_kind, identity FROM v LEFT JOIN i ON v.page_id = i.page_id),
+o AS (SELECT * FROM a WHERE page_id % 4 <> 1), n AS (SELECT page_id, CASE WHEN page_id % 8 = 5 AND kind = 5 THEN 'channel-' || (page_id - 4) % 6 || '/p' || page_id - 4 || '.md' ELSE path END AS path, identity_kind, identity FROM a JOIN v USING (page_id, path) WHERE page_id % 4 = 1 AND identity IS NOT NULL)
+SELECT page_id, path, identity_kind, identity FROM n
+UNION ALL SELECT page_id, path, identity_kind, identity FROM o WHERE path NOT IN (SELECT path FROM n) AND NOT EXISTS (SELECT 1 FROM n WHERE n.identity_kind = o.identity_kind AND n.identity = o.identity)""",
+)
+def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert into a table in buckets by identity; some incoming transcripts take the names of files without one."""
+    files = identified(spark, sf_dir, corpus.with_frontmatter(G.corpus_files(spark, sf_dir)).where("frontmatter.is_transcript").drop("frontmatter"))
+    path = F.when((F.col("page_id") % 4 == 1) & (F.col("page_id") % 8 == 5) & (F.col("page_id") % 10 == 5), F.concat(F.lit("channel-"), ((F.col("page_id") - 4) % 6).cast("string"), F.lit("/p"), (F.col("page_id") - 4).cast("string"), F.lit(".md"))).otherwise(F.col("path"))
+    rows = files.withColumn("path", path).select("page_id", F.regexp_replace("path", "[^/]*$", "").alias("channel_folder"), F.substring_index("path", "/", -1).alias("filename"), *IDENTITY)
+    save_bucketed(rows.where("page_id % 4 != 1"), table := _table("stored"), IDENTITY, 8)
+    done = upsert_bucketed(spark.table(table), rows.where("page_id % 4 = 1 and identity_kind is not null"), 8)
+    return done.select("page_id", F.concat("channel_folder", "filename").alias("path"), *IDENTITY)
+
+
+@query("bucketed_plan", BATCH + " SELECT pos, url FROM e WHERE url NOT IN (SELECT url FROM s)")
+def bucketed_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a batch after the urls of the corpus, which lie in a table in buckets by url."""
+    page = F.col("page_id")
+    expanded = G.table(spark, sf_dir, "pages").select(page.alias("pos"), F.concat(F.lit("https://www.youtube.com/watch?v=v"), F.floor(page / 3).cast("string")).alias("url"))
+    save_bucketed(corpus.scan_urls(G.corpus_files(spark, sf_dir)), table := _table("urls"), URL, 8)
+    return plan.plan_batch(expanded, spark.table(table))[0]

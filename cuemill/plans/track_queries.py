@@ -94,17 +94,22 @@ def cue_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.track_profile(G.auto_tracks(spark, sf_dir), "doc_id").drop("bytes").withColumnRenamed("track", "doc_id")
 
 
+MANUAL = r"""l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, len(lines) AS n_lines, array_to_string(list_transform(lines, lambda x: regexp_replace(x, '\(\s*(?:[^().?!\s]+(?:\s+[^().?!\s]+){0,3})?\s*\)', ' ', 'g')), chr(10)) AS said FROM l)"""
+
+
 @query(
     "cue_gaps",
-    f"""WITH {DOCS} SELECT doc_id, 2 * CAST(ceil(n / 8.0) AS BIGINT) AS cues, 0 AS gaps FROM p WHERE n > 0""",
+    f"""WITH {DOCS}, {MANUAL}, g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 2 AND n_lines <= 1 THEN n_lines ELSE n_lines + 1 END AS cues FROM m)
+SELECT doc_id, 'auto' AS kind, 2 * CAST(ceil(n / 8.0) AS BIGINT) AS cues, 0 AS gaps, 0 AS gap_ms FROM p WHERE n > 0
+UNION ALL SELECT doc_id, 'manual', cues, cues - 1, 500 * (cues - 1) FROM g WHERE cues > 0""",
 )
 def cue_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = analytics.cue_gaps(analytics.cues_of(G.auto_tracks(spark, sf_dir), "doc_id").drop("lines"))
-    return gaps.groupBy(F.col("track").alias("doc_id")).agg(F.count(F.lit(1)).alias("cues"), F.count_if(F.col("gap_ms") != 0).alias("gaps"))
-
-
-MANUAL = r"""l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS lines FROM documents WHERE text IS NOT NULL),
-m AS (SELECT doc_id, len(lines) AS n_lines, array_to_string(list_transform(lines, lambda x: regexp_replace(x, '\(\s*(?:[^().?!\s]+(?:\s+[^().?!\s]+){0,3})?\s*\)', ' ', 'g')), chr(10)) AS said FROM l)"""
+    """Rolling captions have no gaps between cues, manual ones have one after each."""
+    cues = lambda tracks, kind: analytics.cues_of(tracks, "doc_id").drop("lines").withColumn("track", F.struct(F.col("track").alias("doc_id"), F.lit(kind).alias("kind")))
+    gaps = analytics.cue_gaps(cues(G.auto_tracks(spark, sf_dir), "auto").unionByName(cues(G.manual_tracks(spark, sf_dir), "manual")))
+    found = gaps.groupBy("track").agg(F.count(F.lit(1)).alias("cues"), F.count_if(F.col("gap_ms") != 0).alias("gaps"), F.sum(F.coalesce("gap_ms", F.lit(0))).alias("gap_ms"))
+    return found.select("track.doc_id", "track.kind", "cues", "gaps", "gap_ms")
 
 
 @query(
@@ -248,11 +253,20 @@ def word_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.word_conservation(docs, docs.select("track", changed.alias("words"))).withColumnRenamed("track", "doc_id")
 
 
-@query("body_lint", "SELECT doc_id, '' AS found FROM documents")
+LINTS = [(2, "\n# Part\n"), (3, " a &amp; b "), (5, " <b>bold</b> "), (7, "\n00:00:01.000 --> 00:00:02.000\n"), (11, " at 00:00:01,500 ")]
+
+
+@query(
+    "body_lint",
+    f"""WITH b AS (SELECT doc_id, coalesce(text, '') || {' || '.join(f"CASE WHEN doc_id % {k} = 0 THEN '{x.replace(chr(10), "' || chr(10) || '")}' ELSE '' END" for k, x in LINTS)} AS body FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(body, '(?m)^#') THEN 'heading' END, CASE WHEN contains(body, '-->') THEN 'timing' END, CASE WHEN regexp_matches(body, '[0-9][0-9]:[0-9][0-9]:[0-9][0-9][.,][0-9][0-9][0-9]') THEN 'timestamp' END,
+  CASE WHEN regexp_matches(body, '<[^>]*>') THEN 'markup' END, CASE WHEN regexp_matches(body, '&(amp|lt|gt|quot|#39);') THEN 'entity' END) AS found FROM b""",
+)
 def body_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = clean_tracks(G.auto_tracks(spark, sf_dir))
-    body = render_body(unnamed(F.col("turns")), F.col("layout"))
-    return cleaned.select("doc_id", F.array_join(analytics.body_lint(body), ",").alias("found"))
+    """Documents with what a body should not have, by rule."""
+    docs = G.table(spark, sf_dir, "documents")
+    body = F.concat(F.coalesce("text", F.lit("")), *[F.when(F.col("doc_id") % k == 0, x).otherwise("") for k, x in LINTS])
+    return docs.select("doc_id", F.array_join(analytics.body_lint(body), ",").alias("found"))
 
 
 @query("residual_repetition")

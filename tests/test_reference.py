@@ -2,6 +2,7 @@
 
 import os
 import shutil
+import uuid
 from contextlib import contextmanager
 
 import pytest
@@ -14,6 +15,7 @@ from cuemill.operators.ordered import PART, numbered, ranged
 from cuemill.operators import analytics, corpus, meeting, outcomes, plan, select, store
 from cuemill.sources.files import Found, dealt, read_files, write_files
 from cuemill.sources.corpus import read_corpus, write_catalog, write_transcripts
+from cuemill.sources.tables import IDENTITY, URL, save_bucketed, upsert_bucketed
 from cuemill.sources.tracks import parse_listing, parse_metadata, read_meetings, read_tracks
 from cuemill.streaming.incremental import METADATA, put, read_store, stream_transcripts
 from cuemill.streaming.incremental import _partition as incremental_partition
@@ -64,6 +66,7 @@ V = "https://www.youtube.com/watch?v=abcdefghijk"
 
 def test_targets(spark):
     accepted = {
+        "youtube.com/watch?v=%61bcdefghijk": V, "youtube.com/playlist?list=PL%5F1%2Da": "https://www.youtube.com/playlist?list=PL_1-a",
         "abcdefghijk": V, " abcdefghijk\n": V, "youtu.be/abcdefghijk?si=1": V, "https://m.youtube.com/watch?list=PL1&v=abcdefghijk#t": V, "HTTPS://WWW.YOUTUBE.COM/shorts/abcdefghijk": V, "https://music.youtube.com/watch?v=abcdefghijk": V,
         "https://youtube.com/playlist?list=PL_1-a": "https://www.youtube.com/playlist?list=PL_1-a", "@some.one": "https://www.youtube.com/@some.one/videos", "youtube.com/@a/Shorts": "https://www.youtube.com/@a/Shorts",
         "youtube.com/c/Name/": "https://www.youtube.com/c/Name/videos", "https://x.com/a_b/status/12": "https://x.com/a_b/status/12", "http://www.twitter.com/i/status/12/video/2?s=2": "https://twitter.com/i/status/12/video/2",
@@ -195,7 +198,7 @@ def test_file_names_of_a_hot_word_are_not_gathered(spark, monkeypatch):
 
     incoming = [("f", "url", f"u{k:03}", f"the-{k % 3}", "c" if k < 90 else f"c{k}", k) for k in range(300)]
     existing = [("f", "the-0.md", "url", "u150"), ("f", "the-1.md", "url", "other")]
-    monkeypatch.setattr(store, "_named", gathered)
+    monkeypatch.setattr("pyspark.sql.group.GroupedData.applyInPandas", gathered)
     got = store.resolve_filenames(spark.createDataFrame(incoming, INCOMING), spark.createDataFrame(existing, EXISTING)).collect()
     assert sorted(map(tuple, got)) == _one_after_the_other(incoming, existing)
 
@@ -371,3 +374,55 @@ def test_turn_rows_are_the_turns_of_meetings(spark):
             own = [r for r in rows if r.meeting == name]
             assert whole[name] == (own[0].layout, [(r.speaker, r.paragraphs) for r in own])
     assert whole["c"][1] == [] and not [r for r in rows if r.meeting == "c"]
+
+
+def test_many_equal_slugs(spark):
+    incoming = spark.range(100_000).select(F.lit("f").alias("channel_folder"), F.lit("url").alias("identity_kind"), F.col("id").cast("string").alias("identity"), F.lit("talk").alias("slug"), F.lit("c").alias("collision_id"), F.col("id").alias("fetched"))
+    existing = spark.createDataFrame([("f", "talk-c-7.md", "url", "x"), ("f", "talk-c-50000.md", "url", "y")], "channel_folder string, filename string, identity_kind string, identity string")
+    with many_parts(spark):
+        found = store.resolve_filenames(incoming, existing)
+        rows = dict(found.select("identity", "filename").collect())
+    assert len(set(rows.values())) == 100_000
+    want = ["talk.md", "talk-c.md", *[f"talk-c-{k}.md" for k in range(2, 100_002) if k not in (7, 50_000)]]
+    assert [rows[str(k)] for k in range(100_000)] == want
+
+
+def exchanges_below(plan, table):
+    """Whether a scan of the table has an Exchange between itself and the join above it, in the text of a plan."""
+    lines = plan.split("\n")
+    found = []
+    for k, line in enumerate(lines):
+        if "FileScan" in line and table in line:
+            depth, above = len(line) - len(line.lstrip(" :+-")), []
+            for upper in reversed(lines[:k]):
+                own = len(upper) - len(upper.lstrip(" :+-"))
+                if own < depth:
+                    depth = own
+                    above.append(upper)
+                    if "Join" in upper:
+                        break
+            found.append(any("Exchange" in x and "Broadcast" not in x for x in above))
+    return found
+
+
+def test_bucketed_tables_stay_where_they_are(spark):
+    rows = spark.range(3000).select(F.lit("c").alias("channel_folder"), F.concat(F.lit("f"), "id").alias("filename"), F.when(F.col("id") % 10 > 0, "url").alias("identity_kind"), F.when(F.col("id") % 10 > 0, F.col("id").cast("string")).alias("identity"), F.repeat(F.lit("text "), 50).alias("contents"))
+    stored, urls = (f"test_{uuid.uuid4().hex}" for _ in range(2))
+    save_bucketed(rows, stored, IDENTITY, 4)
+    incoming = spark.createDataFrame([("c", "f10", "url", "7", "new"), ("d", "x", "url", "8", "new"), ("c", "f12", "url", "9999", "new")], "channel_folder string, filename string, identity_kind string, identity string, contents string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = upsert_bucketed(spark.table(stored), incoming, 4)
+        got, want = (sorted(map(str, x.collect())) for x in (done, store.upsert(rows, incoming)))
+        assert got == want and len(got) == 3000 - 4 + 3  # 7, 8, f10 and f12 go
+        assert not any(exchanges_below(done._jdf.queryExecution().executedPlan().toString(), stored))
+        save_bucketed(rows.select(F.concat(F.lit("u"), "filename").alias("url")), urls, URL, 4)
+        expanded = spark.createDataFrame([(k, f"uf{k * 7}") for k in range(600)], "pos int, url string")
+        fetch, skip = plan.plan_batch(expanded, spark.table(urls))
+        assert skip.count() == 429 and fetch.count() == 171
+        found = exchanges_below(fetch._jdf.queryExecution().executedPlan().toString(), urls)
+        assert found and not any(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"drop table if exists {stored}")
+        spark.sql(f"drop table if exists {urls}")
