@@ -57,9 +57,12 @@ def clean_line(line: Column) -> Column:
 
 def clean_lines(text: Column, ends: str) -> Column:
     """clean_line of each line of a text in which the given characters end lines; it is read as a whole, not line by line."""
-    tagless = F.when(text.contains("<"), F.regexp_replace(text, f"<[^>{ends}]*>", "")).otherwise(text)
     rare = _RARE.replace(r"\t-\r", r"\t\x0B\f\r")  # all but the newline
-    spaced = F.regexp_replace(decode_entities(tagless), f"[{rare}][ {rare}]*| [ {rare}]+", " ")
+
+    def tagless(t: Column) -> Column:
+        return F.when(t.contains("<"), F.regexp_replace(t, f"<[^>{ends}]*>", "")).otherwise(t)
+
+    spaced = F.regexp_replace(let(let(text, tagless), decode_entities), f"[{rare}][ {rare}]*| [ {rare}]+", " ")
     return F.btrim(F.regexp_replace(spaced, f" ?([{ends}]) ?", "$1"), F.lit(" "))
 
 
