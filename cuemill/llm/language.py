@@ -113,10 +113,12 @@ class Model:
 
 
 def _linear(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias of ridge regression, all bits at once."""
-    mean = x.mean(axis=0)
-    z = (x - mean).astype(np.float64)
-    linear = z.T @ np.linalg.solve(z @ z.T + RIDGE * np.eye(len(z)), y - y.mean(axis=0))
+    """Weights and bias of ridge regression, all bits at once. Only the products of rows are doubles: the rows are many times as long."""
+    mean = x.mean(axis=0, dtype=np.float64)
+    z = x - mean.astype(np.float32)
+    gram = (z @ z.T).astype(np.float64)
+    gram[np.diag_indices(len(z))] += RIDGE
+    linear = z.T @ np.linalg.solve(gram, y - y.mean(axis=0)).astype(np.float32)
     return linear, y.mean(axis=0) - mean @ linear
 
 
@@ -163,7 +165,10 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     drawn = rows.where(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(task, "x binary, lang string").limit(max_rows).collect()
     if not drawn:
         return Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((FEATURES, 0)), np.zeros(0))
-    return fit(np.stack([np.frombuffer(r.x, np.float32) for r in drawn]), [r.lang for r in drawn])
+    labels, x = [r.lang for r in drawn], np.empty((len(drawn), FEATURES), np.float32)
+    for k in range(len(labels) - 1, -1, -1):  # the rows go as they are taken over
+        x[k] = np.frombuffer(drawn.pop().x, np.float32)
+    return fit(x, labels)
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:
