@@ -145,8 +145,8 @@ def _leaders(sets: DataFrame) -> DataFrame:
     met = rows.select(own.alias("b"), *[F.nth_value(own, k).over(sofar).alias(f"a{k}") for k in range(1, LEADERS + 1)])
     of = lambda text, k: F.expr(text.replace("a.", f"a{k}."))
     near = [F.when(of(f"a.sig != b.sig and {_SIZES} and {_POSSIBLE}", k), F.struct(of(_DIFFER, k).alias("apart"), of("a.sig", k).alias("sa"))) for k in range(1, LEADERS + 1)]
-    later = met.where("a1.sig != b.sig").select(F.col("b.sig").alias("sb"), _once(F.least(*near)).alias("near"))
-    nearest = later.where("near is not null").groupBy("sb").agg(F.min("near").alias("best"))
+    later = met.where("a1.sig != b.sig").select(F.col("b.sig").alias("sb"), F.least(*near).alias("near"))
+    nearest = later.groupBy("sb").agg(F.min("near").alias("best")).where("best is not null")
     return nearest.select("best.sa", "sb")
 
 
