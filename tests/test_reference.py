@@ -426,3 +426,24 @@ def test_bucketed_tables_stay_where_they_are(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql(f"drop table if exists {stored}")
         spark.sql(f"drop table if exists {urls}")
+
+
+def test_workers_get_the_package(tmp_path):
+    """A session in another folder, whose workers do not have the package on their path."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "\n".join([
+        f"import sys; sys.path.insert(0, {root!r})",
+        "from pyspark.sql import SparkSession",
+        "import cuemill",
+        "from cuemill.operators.clean import clean_tracks",
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()",
+        "cuemill.ship(spark)",
+        "rows = spark.createDataFrame([('00:00:01.000 --> 00:00:02.000\\nsaid here', 'en')], 'raw string, track_key string')",
+        "print('TURNS', clean_tracks(rows).first().turns)",
+    ])
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "TURNS [['said here']]" in done.stdout, done.stderr[-2000:]
