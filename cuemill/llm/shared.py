@@ -3,39 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where it is unset, as in tests, a temporary one, but never on a cluster."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        base = context.getCheckpointDir()
-        if base is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="cuemill-"))
-            base = context.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def keep(frame: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them again: a lost executor costs no lineage."""
-    spark = frame.sparkSession
-    path = fresh_path(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+from cuemill.sources.shared import fresh_path, keep, shared_folder  # noqa: F401  the operators' own
 
 
 def drop_finished_shuffles(spark: SparkSession) -> None:
