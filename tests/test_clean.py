@@ -204,3 +204,18 @@ def test_meeting_documents_without_a_slug_have_no_name(spark):
     assert found[1].filename == "weekly-sync.md" and found[2].filename is None
     assert found[1].contents.endswith('duration: "0:05"\nupload_date: 2021-03-04\nfetched: 2020-09-13T12:26:40Z\nsubtitles: auto\nlayout: meeting\n---\n\n— **Ann:** Hello there.\n\n— **Bo:** Yes.\n')
     assert found[3].contents.endswith("layout: dialog\n---\n\n\n")
+
+
+def test_words_are_conserved_through_cleaning(spark, monkeypatch, tmp_path):
+    """word_conservation compares with what cleaning gives: a cleaning that drops a word loses one, and whatever words are made of stays."""
+    from cuemill.plans import track_queries
+
+    texts = ["a [music] <b>b &amp; c</b> --> >> x- (d) e", "so so so so so so so so so so", "été %41 a+b w1_x x2_y\ue000 \u00a0", "", None]
+    rows = [(3 * k + 1, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = lambda: {r.doc_id: (r.lost, r.gained) for r in track_queries.word_conservation(spark, str(tmp_path)).collect()}
+    assert found() == {k: (0, 0) for k, _ in rows}
+    whole = track_queries.word_streams
+    short = lambda tracks: whole(tracks).withColumn("_stream", F.struct(F.slice("_stream.words", 2, 1_000_000).alias("words"), F.col("_stream.turn_starts").alias("turn_starts")))
+    monkeypatch.setattr(track_queries, "word_streams", short)
+    assert found() == {k: (1 if t else 0, 0) for k, t in rows}
