@@ -9,6 +9,9 @@ from cuemill.functions.targets import parse_target
 from cuemill.functions.text import trim
 from cuemill.operators.ordered import places, ranged
 
+#: Lines of a batch's failures that are first joined to one text.
+CHUNK = 1000
+
 
 def parse_targets(inputs: DataFrame, column: str = "input", playlist: bool = False) -> DataFrame:
     """Adds target: struct<kind, url, video_id, video_number, path, error>."""
@@ -57,3 +60,19 @@ def failure_lines(results: DataFrame, batch: str = "batch") -> DataFrame:
     lines = places(ranged(failed, "batch", "pos", "text"), "batch", "line").select("batch", F.col("line").cast("long").alias("line"), "text")
     heads = failed.select("batch").distinct().select("batch", F.lit(0).cast("long").alias("line"), F.lit("Failed:").alias("text"))
     return heads.unionByName(lines)
+
+
+def batch_report(results: DataFrame, batch: str = "batch", separator: str = "\n") -> DataFrame:
+    """What summarize_batch gives, and failures: the roll-call of failure_lines as one text, empty where nothing failed.
+
+    Lines are sorted over range partitions and joined in chunks of CHUNK, so that no group of a batch's
+    rows is gathered; the chunks' texts make the batch's.
+    """
+    def joined(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+        found = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("t"))
+        return found.select(*key, F.array_join(F.transform("t", lambda x: x["text"]), separator).alias("text"))
+
+    lines = failure_lines(results, batch).withColumn("chunk", F.floor(F.col("line") / CHUNK))
+    said = joined(joined(lines, ["batch", "chunk"], "line"), ["batch"], "chunk").select(F.col("batch").alias("_of"), F.col("text").alias("_said"))
+    counts = summarize_batch(results, batch)
+    return counts.join(said, F.col("batch").eqNullSafe(F.col("_of")), "left").select(*counts.columns, F.coalesce("_said", F.lit("")).alias("failures"))

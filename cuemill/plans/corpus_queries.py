@@ -234,10 +234,11 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "batch_summary",
     f"""{RESULTS} SELECT batch, count(*) FILTER (status = 'fetched') AS fetched, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'failed') AS failed,
-  count(*) FILTER (status = 'fetched') || ' fetched, ' || count(*) FILTER (status = 'skipped') || ' skipped, ' || count(*) FILTER (status = 'failed') || ' failed.' AS summary FROM b GROUP BY batch""",
+  count(*) FILTER (status = 'fetched') || ' fetched, ' || count(*) FILTER (status = 'skipped') || ' skipped, ' || count(*) FILTER (status = 'failed') || ' failed.' AS summary,
+  coalesce('Failed:|' || string_agg('  v' || event_id || ' (' || failure || ')', '|' ORDER BY event_id) FILTER (status = 'failed'), '') AS failures FROM b GROUP BY batch""",
 )
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan.summarize_batch(_results(spark, sf_dir))
+    return plan.batch_report(_results(spark, sf_dir), separator="|")
 
 
 @query(

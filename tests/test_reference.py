@@ -405,6 +405,26 @@ def exchanges_below(plan, table):
     return found
 
 
+def test_a_batch_reports_all_its_failures(spark):
+    """Through the query's operator: counts, and every failed url in order, over chunks and for a null batch too."""
+    n = plan.CHUNK * 2 + 5
+    rows = [("a", k, f"u{k}", "failed" if k % 2 else "fetched", "rate-limited" if k % 3 else "") for k in range(2 * n)]
+    rows += [(None, 1, "x", "failed", None), ("b", 1, "y", "skipped", None)]
+    results = spark.createDataFrame(rows, "batch string, pos long, url string, status string, failure string")
+    with many_parts(spark):
+        found = {r.batch: r for r in plan.batch_report(results.repartition(7, "pos"), separator="|").collect()}
+    assert found["a"].failures.split("|") == ["Failed:"] + [f"  u{k}" + (" (rate-limited)" if k % 3 else "") for k in range(2 * n) if k % 2]
+    assert (found["a"].fetched, found["a"].failed, found["a"].summary) == (n, n, f"{n} fetched, 0 skipped, {n} failed.")
+    assert (found[None].failed, found[None].failures) == (1, "Failed:|  x") and (found["b"].skipped, found["b"].failures) == (1, "")
+
+
+def test_the_summary_of_batches_has_its_failures(spark):
+    from cuemill.plans import corpus_queries
+
+    first = corpus_queries.batch_summary(spark, "/root/testdata/sf0.001").where("failed > 0").first()
+    assert first.failures.startswith("Failed:|  v") and first.failures.count("|") == first.failed
+
+
 def test_bucketed_tables_stay_where_they_are(spark):
     rows = spark.range(3000).select(F.lit("c").alias("channel_folder"), F.concat(F.lit("f"), "id").alias("filename"), F.when(F.col("id") % 10 > 0, "url").alias("identity_kind"), F.when(F.col("id") % 10 > 0, F.col("id").cast("string")).alias("identity"), F.repeat(F.lit("text "), 50).alias("contents"))
     stored, urls = (f"test_{uuid.uuid4().hex}" for _ in range(2))
