@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 
 WINDOW = 4096
 END_ID = 2
-#: Words and pieces whose ids a Python worker remembers, in about 125 MB; none longer than LONG_WORD.
-CACHED_WORDS, CACHED_PIECES, LONG_WORD = 400_000, 300_000, 64
+#: Words and pieces whose ids a Python worker remembers, in about 125 MB; none longer than LONG_WORD. Half are those met
+#: last: when they are full, they take the place of the other half, from which what is met again comes over.
+CACHED_WORDS, CACHED_PIECES, LONG_WORD = 600_000, 200_000, 64
 
 #: Python splits at these; the tokenizer does not count them as white space.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -63,23 +64,40 @@ class WordEncoder:
         self.normal, self.tokens = self.tokenizer.normalizer.normalize_str, self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
+        self.spelled_ids = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str, normal: bool) -> bytes:
-        if max(word) >= _BEYOND_LATIN:
+        ids = self.older_words.get(word)
+        if ids is not None:
+            self.words[word] = ids
+            return ids
+        if not word.isascii() and max(word) >= _BEYOND_LATIN:
             return self._keep(word, self._whole(word))
-        found, pieces = [], self.pieces
-        for piece in self.pieces_of(word if normal else self.normal(word)):
-            ids = pieces.get(piece)
-            if ids is None:
-                spelled = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
-                ids = np.array([t.id for t in self.tokens(spelled)], "<u4").tobytes()
-                if len(piece) <= LONG_WORD:
-                    pieces[piece] = ids
-            found.append(ids)
-        return self._keep(word, b"".join(found))
+        # Letters, and letters before one other character, are cut as the tokenizer's pattern does it.
+        if not normal:
+            pieces = self.pieces_of(self.normal(word))
+        elif word.isalpha():
+            return self._keep(word, self._piece(word))
+        elif word[:-1].isalpha() and not word[-1].isalpha():
+            pieces = (word[:-1], word[-1])
+        else:
+            pieces = self.pieces_of(word)
+        return self._keep(word, b"".join([self.pieces.get(piece) or self._piece(piece) for piece in pieces]))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece) or self.older_pieces.get(piece)
+        if ids is None:
+            spelled = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            of = self.spelled_ids
+            ids = b"".join([of[t.id] for t in self.tokens(spelled)])
+        if len(piece) <= LONG_WORD:
+            self.pieces[piece] = ids
+        return ids
 
     def _names_special(self, text: str) -> bool:
         """Whether the text may spell a special token, which is an id of its own wherever it stands."""
@@ -97,9 +115,10 @@ class WordEncoder:
         normal = not any(c in text for c in _OWN_LOWER) and unicodedata.is_normalized("NFC", text)
         if normal:
             text = text.lower()
-        for known, most in ((self.words, CACHED_WORDS), (self.pieces, CACHED_PIECES)):
-            if len(known) > most:
-                known.clear()
+        if len(self.words) > CACHED_WORDS // 2:
+            self.words, self.older_words = {}, self.words
+        if len(self.pieces) > CACHED_PIECES // 2:
+            self.pieces, self.older_pieces = {}, self.pieces
         get, word = self.words.get, self._word
         return b"".join([get(w) or word(w, normal) for w in text.split()])
 

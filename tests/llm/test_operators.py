@@ -451,3 +451,17 @@ def test_simhash_fingerprints_by_hand(spark):
         hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
         want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
         assert got[k] == f"{want:016x}", k
+
+
+def test_words_met_again_stay_known(monkeypatch):
+    """When the remembered words are full, those in use are not forgotten; and words are cut as the tokenizer cuts them."""
+    monkeypatch.setattr(packing, "CACHED_WORDS", 8)
+    monkeypatch.setattr(packing, "CACHED_PIECES", 8)
+    known = packing.WordEncoder(queries.tokenizer_path(queries.PACK_VOCABULARY))
+    split, asked = known.tokens, []
+    known.tokens = lambda spelled: asked.append(spelled) or split(spelled)
+    for k in range(40):
+        known.encode(f"common words stay {'abcdefgh'[k % 8] * (k + 2)}")
+    assert [asked.count(w) for w in ("common", "words", "stay")] == [1, 1, 1]
+    for text in ["it's don't x' 'tis", "a1 1a 22 a. .a a.. é! á ́a ́", "ǅx İ Σs", "ab² ²ab ª", "d'accord s' x'd"]:
+        assert known.encode(text) == known._whole(text)
