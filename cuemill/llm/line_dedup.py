@@ -29,8 +29,9 @@ MOST_BROADCAST = 400_000
 SPACES = "\t\x0b\f\r"
 #: Occurrences in the corpus from which a word is hot, as a power of two.
 HOT = 20
-#: Of a set's prefix, the rarest words by which it is first held against the earliest set of each.
-LEADING = 3
+#: Of a set's prefix, the words by which it is first held against other sets: the least one in each of these orders of their hashes.
+#: The rarest words would not do, as they are what a near copy has changed.
+ORDERS = [0, 0x5A5A5A5A, 0x3C6699C3, -0x69696A]
 #: How many of the earliest sets of each of these words.
 LEADERS = 4
 #: The large join is done for so many parts of the words in turn, so that only a part's rows take disk.
@@ -138,8 +139,13 @@ def _size_at(settled: Column | None = None) -> Column:
 
 
 def _leaders(sets: DataFrame) -> DataFrame:
-    """(sa, sb): for each set b the nearest, by digests, of the earliest sets of about its size that have one of its rarest words."""
-    rows = sets.select("doc_id", *SET, F.posexplode(F.slice("prefix", 1, LEADING)).alias("at", "word")).select(F.xxhash64("word", _size_class()).alias("key"), "doc_id", "sig", _size_at(), "d0", "d1")
+    """(sa, sb): for each set b the nearest, by digests, of the earliest sets of about its size with one of its words."""
+    least = lambda c: F.array_min(F.transform("prefix", lambda h: h.bitwiseXOR(F.lit(c)))).bitwiseXOR(F.lit(c))
+    words = F.when(F.size("prefix") > 0, F.array_distinct(F.array(*map(least, ORDERS))))
+    # A set goes under its class of size and the next one, so that it meets those of neighbouring classes.
+    visit = F.explode(F.array(F.lit(0), F.lit(1)))
+    # Any of a set's places may be the word's: no pair is ruled out by it.
+    rows = sets.select("doc_id", *SET, F.lit(0).alias("at"), F.explode(words).alias("word")).select("*", visit.alias("visit")).select(F.xxhash64("word", _size_class() + F.col("visit")).alias("key"), "doc_id", "sig", _size_at(), "d0", "d1")
     own = F.struct("doc_id", "sig", "size_at", "d0", "d1")
     sofar = Window.partitionBy("key").orderBy("doc_id", "sig")
     met = rows.select(own.alias("b"), *[F.nth_value(own, k).over(sofar).alias(f"a{k}") for k in range(1, LEADERS + 1)])

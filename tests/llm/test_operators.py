@@ -465,3 +465,16 @@ def test_words_met_again_stay_known(monkeypatch):
     assert [asked.count(w) for w in ("common", "words", "stay")] == [1, 1, 1]
     for text in ["it's don't x' 'tis", "a1 1a 22 a. .a a.. é! á ́a ́", "ǅx İ Σs", "ab² ²ab ª", "d'accord s' x'd"]:
         assert known.encode(text) == known._whole(text)
+
+
+def test_near_copies_find_a_leader_past_their_own_words(spark):
+    """Copies that each have six words of their own, rarer than all they share, in lines of 85 to 90 words: sizes of two classes."""
+    def copy(k):
+        return " ".join([f"own{k}x{i}" for i in range(6)] + [f"shared{i}" for i in range(79 + k % 6)])
+
+    table = docs(spark, *[(k, copy(k)) for k in range(60)]).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("twin"), "text")
+    lines = line_dedup._lines(table, line_dedup._rarity(table))
+    led = line_dedup._leaders(lines.withColumn("times", F.lit(1)))
+    assert led.select("sb").distinct().count() >= 55
+    out = line_dedup.dedup_lines(table.select("doc_id", "text")).where("n_removed = 0").collect()
+    assert [r.doc_id for r in out] == [0]
