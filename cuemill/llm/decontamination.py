@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.shared import keep, rows_and_texts
+from cuemill.llm.shared import keep, rows_and_texts, take_over
 
 WINDOW = 10
 _OUT = ["n_words", "spans", "items"]
@@ -89,6 +89,10 @@ def matcher_of(key: str, items: Broadcast, window: int) -> Matcher:
     return _automata[key]
 
 
+def forget() -> None:
+    _automata.clear()
+
+
 def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     """Runs of hit words, with their offsets in the original text."""
     change = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
@@ -102,6 +106,7 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], window: int, names: lis
     key = uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("decontamination", forget)
         matcher = matcher_of(key, shared, window)
         for batch in batches:
             texts = texts_of(batch)

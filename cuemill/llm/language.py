@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuemill.llm.shared import rows_and_texts
+from cuemill.llm.shared import rows_and_texts, take_over
 
 FEATURES = 4096
 MAX_ROWS = 2000
@@ -183,6 +183,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_cols
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("language")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from cuemill.llm.shared import take_over
+
 WINDOW = 4096
 END_ID = 2
 #: Words and pieces whose ids a Python worker remembers, in about 125 MB; none longer than LONG_WORD. Half are those met
@@ -129,6 +131,10 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    _encoders.clear()
+
+
 class Packer:
     """Windows of one task. A piece is (doc_id, start, ids, doc_tokens)."""
 
@@ -240,6 +246,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     end = int(end_id).to_bytes(4, "little")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("packing", forget)
         encode = encoder(tokenizer_path).encode
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         for batch in batches:

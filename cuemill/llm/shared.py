@@ -21,6 +21,17 @@ def drop_finished_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_holders: list[tuple[str, Callable[[], None]]] = []
+
+
+def take_over(name: str, forget: Callable[[], None] | None = None) -> None:
+    """Told by a task as it begins: what other operators remember in this Python worker goes, as Spark gives a worker to one after the other."""
+    while _holders and _holders[-1][0] != name:
+        _holders.pop()[1]()
+    if not _holders and forget:
+        _holders.append((name, forget))
+
+
 def rows_and_texts(docs: DataFrame, kept: list[str], text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
     """(row[, text]) of docs for a task: the kept columns in one, so that no name meets another, and how a batch gives its texts.
 

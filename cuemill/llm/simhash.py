@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cuemill.llm import golay
 from cuemill.llm.buckets import bucket_edges, within
 from cuemill.llm.components import components
-from cuemill.llm.shared import keep
+from cuemill.llm.shared import keep, take_over
 
 SEED = 42
 MOST_BITS = 4
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp): the fingerprint as a signed long. A null text, or one with no word, has 0."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("simhash")
         for batch in batches:
             made = np.array([fingerprint(x.as_py() or b"", shingle) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", "fp"])

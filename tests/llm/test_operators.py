@@ -467,6 +467,22 @@ def test_words_met_again_stay_known(monkeypatch):
         assert known.encode(text) == known._whole(text)
 
 
+def test_an_operator_leaves_nothing_to_the_next(spark):
+    """A Python worker that packs remembers words; when the next operator's task begins, they are gone."""
+    from cuemill.llm import shared
+
+    shared.take_over("packing", packing.forget)
+    packing.encoder(queries.tokenizer_path(queries.PACK_VOCABULARY)).encode("some words")
+    shared.take_over("packing", packing.forget)
+    assert packing._encoders
+    shared.take_over("language")
+    assert not packing._encoders
+    shared.take_over("decontamination", decontamination.forget)
+    decontamination._automata["k"] = None
+    shared.take_over("simhash")
+    assert not decontamination._automata
+
+
 def test_near_copies_find_a_leader_past_their_own_words(spark):
     """Copies that each have six words of their own, rarer than all they share, in lines of 85 to 90 words: sizes of two classes."""
     def copy(k):
