@@ -6,12 +6,13 @@ classifiers of that bit told the language on rows that they were not fitted on,
 smallest loss is chosen. A document is ambiguous if the second smallest is nearly as small.
 
 The classifiers are fitted (ridge regression in its dual form) on at most ``max_rows`` labelled rows,
-drawn by hash evenly over the languages; counts of labels cover all rows. Only feature vectors reach
-the driver: at most ``max_rows`` times ``FEATURES`` floats of 4 bytes, 32 MB by default.
+drawn by hash evenly over the languages; counts of labels cover all rows. One task fits them: at most ``max_rows``
+times ``FEATURES`` floats of 4 bytes, 32 MB by default. Only the model reaches the driver.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -160,15 +161,22 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [features(x.as_py()).tobytes() for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], ["x", "lang"])
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *batch.columns[1:]], ["x", "lang", "draw", "tie"])
 
-    drawn = rows.where(draw < share[F.col("lang")]).select("text", "lang").mapInArrow(task, "x binary, lang string").limit(max_rows).collect()
-    if not drawn:
-        return Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((FEATURES, 0)), np.zeros(0))
-    labels, x = [r.lang for r in drawn], np.empty((len(drawn), FEATURES), np.float32)
-    for k in range(len(labels) - 1, -1, -1):  # the rows go as they are taken over
-        x[k] = np.frombuffer(drawn.pop().x, np.float32)
-    return fit(x, labels)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("language")
+        x, labels = [np.empty((0, FEATURES), np.float32)], []
+        for batch in batches:
+            x += [np.frombuffer(v.as_buffer(), np.float32)[None] for v in batch.column(0)]
+            labels += batch.column(1).to_pylist()
+        if labels:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(np.concatenate(x), labels)))], pa.binary())], ["model"])
+
+    drawn = rows.where(draw < share[F.col("lang")]).select("text", "lang", draw.alias("draw"), F.xxhash64("text").alias("tie"))
+    vectors = drawn.mapInArrow(task, "x binary, lang string, draw double, tie long")
+    # In an order of its own, so that a task that is done again fits the same model.
+    model = vectors.orderBy("draw", "tie", "lang").limit(max_rows).select("x", "lang").mapInArrow(fitted, "model binary").collect()
+    return Model(**pickle.loads(model[0].model)) if model else Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((FEATURES, 0)), np.zeros(0))
 
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", keep_cols: list[str] | None = None) -> DataFrame:

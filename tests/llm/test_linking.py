@@ -308,3 +308,24 @@ def test_automaton_memory_at_its_bound():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": root}).stdout)
     assert grown < 600, f"{grown} MB"
+
+
+def test_language_is_not_fitted_on_the_driver(spark, monkeypatch):
+    """The driver gets the model; vectors and their products stay with a task, and come in the same order however rows are dealt."""
+    import os
+
+    from cuemill.llm import language
+
+    driver, fit = os.getpid(), language.fit
+
+    def elsewhere(x, labels):
+        assert os.getpid() != driver, "fitted on the driver"
+        return fit(x, labels)
+
+    texts = {"en": "the words of the other line and what was there", "de": "die Wörter der anderen Zeile und was dort war"}
+    rows = [(k, f"{texts[lang]} {k * 7919 % 101}", lang) for k in range(60) for lang in texts]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "fit", elsewhere)
+    one, other = language.train(table.repartition(1), max_rows=40), language.train(table.repartition(7), max_rows=40)
+    assert one.languages == ["de", "en"] and (one.linear == other.linear).all() and (one.weight == other.weight).all()
+    assert [p[0] for p in one.predict([texts["en"], texts["de"], "12"])] == ["en", "de", "und"]
