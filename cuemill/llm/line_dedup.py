@@ -16,6 +16,8 @@ of the last joins; they never decide anything.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ ORDERS = [0, 0x5A5A5A5A, 0x3C6699C3, -0x69696A]
 #: How many of the earliest sets of each of these words.
 LEADERS = 4
 #: The large join is done for so many parts of the words in turn, so that only a part's rows take disk.
-PASSES = 3
+PASSES = 2
 #: A line's place: its document, a digest of the document's text, its number.
 PLACE = ["doc_id", "twin", "line"]
 #: What lines with equal sets have in common.
@@ -63,13 +65,15 @@ def _literal(values: list[int], kind: str) -> Column:
 def _rarity(docs: DataFrame) -> Column:
     """For each bucket of word hashes a class that grows with its count, in a constant array."""
     bucket = F.xxhash64("word").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket")
+    k, inside = F.shiftright("bucket", 3).alias("k"), F.col("bucket").bitwiseAND(7)
     words = _words(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")))
-    counts = docs.select(F.explode(words).alias("word")).select(bucket).groupBy("bucket").count()
-    each = F.least(F.lit(127), F.floor(4 * F.log2("count"))).cast("long")
-    eight = counts.groupBy(F.shiftright("bucket", 3).alias("k")).agg(F.bit_or(F.call_function("shiftleft", each, (F.col("bucket").bitwiseAND(7) * 8).cast("int"))).alias("classes"))
+    # Eight buckets are one row: four times fewer rows to find and to shuffle than with a row for each.
+    counts = docs.select(F.explode(words).alias("word")).select(bucket).groupBy(k).agg(*[F.count_if(inside == j).alias(f"c{j}") for j in range(8)])
+    each = [F.least(F.lit(127), F.floor(4 * F.log2(F.greatest(F.col(f"c{j}"), F.lit(1))))).cast("long") for j in range(8)]
+    packed = functools.reduce(Column.bitwiseOR, [F.shiftleft(c, 8 * j) for j, c in enumerate(each)])
     classes = [0] * BUCKETS
-    for k, packed in eight.collect():
-        classes[8 * k : 8 * k + 8] = packed.to_bytes(8, "little")
+    for row in counts.select("k", packed.alias("classes")).collect():
+        classes[8 * row.k : 8 * row.k + 8] = row.classes.to_bytes(8, "little")
     return _literal(classes, "bigint")
 
 
@@ -96,8 +100,14 @@ def _once(column: Column) -> Column:
 
 def _lines(docs: DataFrame, rarity: Column) -> DataFrame:
     """One row per line with a word: its place, its set's name, size and digests, and its prefix, rarest first."""
-    hashed = F.array_remove(F.array_distinct(F.transform(_words(F.col("words")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-    ranked = F.sort_array(F.transform(hashed, lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+
+    def rank(word: Column) -> Column:
+        """Its class, then its hash; never null, so that Spark sorts plain numbers."""
+        h = F.xxhash64(word)
+        known = F.coalesce(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(known, 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    ranked = F.sort_array(F.array_remove(F.array_distinct(F.transform(_words(F.col("words")), rank)), rank(F.lit(""))))
     return (
         docs.select("doc_id", "twin", F.posexplode(F.split(_plain(F.col("text")), "\n")).alias("line", "words"))
         .where(F.btrim("words") != "")
@@ -141,18 +151,20 @@ def _size_at(settled: Column | None = None) -> Column:
 def _leaders(sets: DataFrame) -> DataFrame:
     """(sa, sb): for each set b the nearest, by digests, of the earliest sets of about its size with one of its words."""
     least = lambda c: F.array_min(F.transform("prefix", lambda h: h.bitwiseXOR(F.lit(c)))).bitwiseXOR(F.lit(c))
-    words = F.when(F.size("prefix") > 0, F.array_distinct(F.array(*map(least, ORDERS))))
-    # A set goes under its class of size and the next one, so that it meets those of neighbouring classes.
-    visit = F.explode(F.array(F.lit(0), F.lit(1)))
+    # Two classes of size are one key, and every second word pairs the classes the other way: sets of neighbouring classes meet by half of their words.
+    words = F.when(F.size("prefix") > 0, F.array_distinct(F.array(*[2 * least(c).cast("long") + k % 2 for k, c in enumerate(ORDERS)])))
     # Any of a set's places may be the word's: no pair is ruled out by it.
-    rows = sets.select("doc_id", *SET, F.lit(0).alias("at"), F.explode(words).alias("word")).select("*", visit.alias("visit")).select(F.xxhash64("word", _size_class() + F.col("visit")).alias("key"), "doc_id", "sig", _size_at(), "d0", "d1")
+    rows = sets.select("doc_id", *SET, F.lit(0).alias("at"), F.explode(words).alias("word"))
+    both = F.shiftright(_size_class() + F.pmod("word", F.lit(2)).cast("int"), 1)
+    rows = rows.select(F.xxhash64("word", both).alias("key"), "doc_id", "sig", _size_at(), "d0", "d1")
     own = F.struct("doc_id", "sig", "size_at", "d0", "d1")
-    sofar = Window.partitionBy("key").orderBy("doc_id", "sig")
+    sofar = Window.partitionBy("key").orderBy("doc_id", "sig").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = rows.select(own.alias("b"), *[F.nth_value(own, k).over(sofar).alias(f"a{k}") for k in range(1, LEADERS + 1)])
     of = lambda text, k: F.expr(text.replace("a.", f"a{k}."))
     near = [F.when(of(f"a.sig != b.sig and {_SIZES} and {_POSSIBLE}", k), F.struct(of(_DIFFER, k).alias("apart"), of("a.sig", k).alias("sa"))) for k in range(1, LEADERS + 1)]
-    later = met.where("a1.sig != b.sig").select(F.col("b.sig").alias("sb"), F.least(*near).alias("near"))
-    nearest = later.groupBy("sb").agg(F.min("near").alias("best")).where("best is not null")
+    # Most sets have none, and the least of structs is found by sorting: those go before it.
+    later = met.where("a1.sig != b.sig").select(F.col("b.sig").alias("sb"), F.least(*near).alias("near")).where("near is not null")
+    nearest = later.groupBy("sb").agg(F.min("near").alias("best"))
     return nearest.select("best.sa", "sb")
 
 
@@ -171,11 +183,12 @@ def _others(sets: DataFrame, part: int) -> DataFrame:
         "d1",
     )
     # Of two sets that are alike, the smaller one has a common word in its first ninth, the larger one in its first fifth.
-    a, b = dealt.where("9 * (size_at & 2147483647) <= shiftright(size_at, 32)").alias("a"), dealt.alias("b")
+    # Said of both sides (sizes are positive), as Spark then shuffles the rows once for both.
+    a, b, ninth = dealt.alias("a"), dealt.alias("b"), f"9 * {_AT} <= greatest({_N}, {_N} - {_M})"
     ordered = f"{_N} <= {_M} and ({_N} < {_M} or a.sig < b.sig)"
     # Within a document the lines decide which is earlier, and are looked up later.
     settled = [f"a.doc_id > b.doc_id and a.size_at & {_SETTLED}L != 0", f"b.doc_id > a.doc_id and b.size_at & {_SETTLED}L != 0", f"a.size_at & b.size_at & {_SETTLED}L != 0"]
-    met = a.join(b, F.expr(f"a.word = b.word and {ordered} and {_SIZES} and {_POSSIBLE} and not ({' or '.join(settled)})"))
+    met = a.join(b, F.expr(f"a.word = b.word and {ordered} and {ninth} and {_SIZES} and {_POSSIBLE} and not ({' or '.join(settled)})"))
     return met.select(F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb")).distinct()
 
 
@@ -235,18 +248,18 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     doc_id = F.coalesce(docs[id_col].cast("long"), F.lit(-(1 << 63)))
     work = docs.select(doc_id.alias("doc_id"), twin.alias("twin"), docs[text_col].alias("text"), F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
     removed = keep(removed_lines(work.select("doc_id", "twin", "text")), "removed-lines")
-    touched = _filter(removed, F.xxhash64("doc_id", "twin"))
     n_gone = removed.agg(F.sum(F.size("removed"))).first()[0] or 0
     removed = removed.select(F.col("doc_id").alias("r_doc"), F.col("twin").alias("r_twin"), "removed")
-    if n_gone <= 4 * MOST_BROADCAST:  # documents are no more than lines, so this bounds the rows too
-        removed = F.broadcast(removed)
+    same = (F.col("doc_id") == F.col("r_doc")) & (F.col("twin") == F.col("r_twin"))
 
     def out(text: Column, n_removed: Column) -> list[Column]:
         columns = [(text if c == text_col else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(docs.columns) if c not in ("n_lines", "n_removed")]
         n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
         return [*columns, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed")]
 
-    whole = work.where(~touched).select(*out(F.col("text"), F.lit(0)))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, k: F.array_contains("removed", k) == F.lit(False)), "\n")
-    cut = work.where(touched).join(removed, (work.doc_id == removed.r_doc) & (work.twin == removed.r_twin), "left")
-    return whole.union(cut.select(*out(F.when(F.col("removed").isNull(), F.col("text")).otherwise(left), F.coalesce(F.size("removed"), F.lit(0)))))
+    cut = out(F.when(F.col("removed").isNull(), F.col("text")).otherwise(left), F.coalesce(F.size("removed"), F.lit(0)))
+    if n_gone <= 4 * MOST_BROADCAST:  # documents are no more than lines, so this bounds the rows too
+        return work.join(F.broadcast(removed), same, "left").select(*cut)
+    touched = _filter(removed.withColumnsRenamed({"r_doc": "doc_id", "r_twin": "twin"}), F.xxhash64("doc_id", "twin"))
+    return work.where(~touched).select(*out(F.col("text"), F.lit(0))).union(work.where(touched).join(removed, same, "left").select(*cut))

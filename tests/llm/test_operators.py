@@ -494,3 +494,26 @@ def test_near_copies_find_a_leader_past_their_own_words(spark):
     assert led.select("sb").distinct().count() >= 55
     out = line_dedup.dedup_lines(table.select("doc_id", "text")).where("n_removed = 0").collect()
     assert [r.doc_id for r in out] == [0]
+
+
+def test_rows_of_the_set_join_are_shuffled_once(spark):
+    """Both sides of the join by rare words read one exchange, and what it finds is what all pairs give."""
+    draw = np.random.default_rng(5)
+    base = [[f"v{x}" for x in draw.integers(0, 400, 30)] for _ in range(20)]
+    rows = [(k, " ".join(w if draw.random() < 0.93 else f"own{k}" for w in base[k % 20])) for k in range(120)]
+    table = docs(spark, *rows).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("twin"), "text")
+    lines = line_dedup._lines(table, line_dedup._rarity(table)).withColumn("settled", F.lit(False))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, reused = set(), []
+        for part in range(line_dedup.PASSES):
+            pairs = line_dedup._others(lines, part)
+            found |= {frozenset(p) for p in pairs.collect()}
+            reused.append("ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert all(reused)
+    words, sig = {k: set(t.split()) for k, t in rows}, {r.doc_id: r.sig for r in lines.collect()}
+    alike = {frozenset((sig[a], sig[b])) for a, b in itertools.combinations(words, 2) if sig[a] != sig[b] and 5 * len(words[a] & words[b]) >= 4 * len(words[a] | words[b])}
+    assert len(alike) > 20 and alike <= found
