@@ -159,18 +159,21 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     draw = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("language")
         for batch in batches:
             made = [features(x.as_py()).tobytes() for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), *batch.columns[1:]], ["x", "lang", "draw", "tie"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("language")
-        x, labels = [np.empty((0, FEATURES), np.float32)], []
+        x, labels = np.empty((max_rows, FEATURES), np.float32), []
         for batch in batches:
-            x += [np.frombuffer(v.as_buffer(), np.float32)[None] for v in batch.column(0)]
-            labels += batch.column(1).to_pylist()
+            for k in range(batch.num_rows):
+                x[len(labels)] = np.frombuffer(batch.column(0)[k].as_buffer(), np.float32)
+                labels.append(batch.column(1)[k].as_py())
+            del batch  # else the last one stays while the model is fitted
         if labels:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(np.concatenate(x), labels)))], pa.binary())], ["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(fit(x[: len(labels)], labels)))], pa.binary())], ["model"])
 
     drawn = rows.where(draw < share[F.col("lang")]).select("text", "lang", draw.alias("draw"), F.xxhash64("text").alias("tie"))
     vectors = drawn.mapInArrow(task, "x binary, lang string, draw double, tie long")
