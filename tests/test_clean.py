@@ -219,3 +219,16 @@ def test_words_are_conserved_through_cleaning(spark, monkeypatch, tmp_path):
     short = lambda tracks: whole(tracks).withColumn("_stream", F.struct(F.slice("_stream.words", 2, 1_000_000).alias("words"), F.col("_stream.turn_starts").alias("turn_starts")))
     monkeypatch.setattr(track_queries, "word_streams", short)
     assert found() == {k: (1 if t else 0, 0) for k, t in rows}
+
+
+def documents(spark, folder, texts):
+    rows = [(k, t, "en", f"src{k}", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_documents_without_words_are_auto_tracks(spark, tmp_path):
+    from cuemill.plans import track_queries
+
+    found = track_queries.clean_tracks_query(spark, documents(spark, tmp_path, [None, "", " \n ", "a"])).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in found] == [("auto", "prose", 0, 0, 0)] * 3 + [("auto", "prose", 1, 1, 1)]
