@@ -232,3 +232,13 @@ def test_documents_without_words_are_auto_tracks(spark, tmp_path):
 
     found = track_queries.clean_tracks_query(spark, documents(spark, tmp_path, [None, "", " \n ", "a"])).orderBy("doc_id").collect()
     assert [tuple(r)[1:] for r in found] == [("auto", "prose", 0, 0, 0)] * 3 + [("auto", "prose", 1, 1, 1)]
+
+
+def test_documents_without_words_are_rendered_as_auto(spark, tmp_path):
+    from hashlib import md5
+
+    from cuemill.plans import track_queries
+
+    block = '---\ntitle: "Document {0} \\\\ \\"x\\""\nurl: https://www.youtube.com/watch?v={0}\nchannel: "src{0}"\nduration: "1:00"\nupload_date: 2020-05-17\nfetched: 2020-09-13T12:26:40Z\nsubtitles: auto\nlayout: prose\n---\n\n{1}\n'
+    found = {r.doc_id: r.contents_md5 for r in track_queries.render_transcripts(spark, documents(spark, tmp_path, [None, "", "a  b"])).collect()}
+    assert found == {k: md5(block.format(k, body).encode()).hexdigest() for k, body in enumerate(["", "", "w0_a w1_b"])}
