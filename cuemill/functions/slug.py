@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,9 +20,18 @@ UNKNOWN_CHANNEL, MEETINGS = "unknown-channel", "meetings"
 #: ISO 843, type 2.
 GREEK = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψω", "a v g d e z i th i k l m n x o p r s s t y f ch ps o".split(), strict=True))
 
+VOICED = frozenset("βγδζλμνραεηιουω")
+
+_LETTERS, _DIGRAPH = str.maketrans(GREEK), re.compile("[αεηο]υ|μπ|γ(?=[γξχ])")
+_WIDE = re.compile("[\U00010000-\U0010ffff]")
 _STRESS, _DIAERESIS = "̀́͂", "̈"
 
 
+#: Words that a Python worker remembers, and their length at most: texts are made of few.
+REMEMBERED, REMEMBERED_LENGTH = 1 << 16, 64
+
+
+@cache
 def _pattern():  # noqa: ANN202
     """One alternative for each rule, in order; they read a word in lower case, decomposed."""
     import regex
@@ -28,7 +39,7 @@ def _pattern():  # noqa: ANN202
     mark = r"\p{M}*+"
     ypsilon = rf"(?:(?![{_STRESS}])\p{{M}})*+υ(?:(?!{_DIAERESIS})\p{{M}})*+(?!{_DIAERESIS})"
     return regex.compile(
-        rf"(?P<voiced>[αεη])(?![{_STRESS}]){ypsilon}(?=[βγδζλμνραεηιουω])"
+        rf"(?P<voiced>[αεη])(?![{_STRESS}]){ypsilon}(?=[{''.join(sorted(VOICED))}])"
         rf"|(?P<voiceless>[αεη]){ypsilon}"
         rf"|(?P<ou>ο){ypsilon}"
         rf"|(?P<b>^μ{mark}π{mark}|μ{mark}π{mark}$)"
@@ -38,25 +49,54 @@ def _pattern():  # noqa: ANN202
     )
 
 
-def romanize(text: str) -> str:
-    """Greek words in Latin letters, anything else as it is."""
+@cache
+def _greek_words(wide: bool):  # noqa: ANN202
+    """Runs of Greek letters and marks, from a letter on; `re` reads a class faster than `regex` a property, if all is of two bytes."""
     import regex
 
-    rules = _pattern()
+    if wide:
+        return regex.compile(r"\p{Script=Greek}[\p{Script=Greek}\p{M}]*")
+    narrow = "".join(map(chr, range(1 << 16)))
+    greek, marks = ("".join(map(re.escape, regex.findall(f"\\p{{{p}}}", narrow))) for p in ("Script=Greek", "M"))
+    return re.compile(f"[{greek}][{greek}{marks}]*")
+
+
+def _letter(m) -> str:  # noqa: ANN001
+    kind = m.lastgroup
+    if kind == "voiced":
+        return GREEK[m["voiced"]] + "v"
+    if kind == "voiceless":
+        return GREEK[m["voiceless"]] + "f"
+    fixed = {"ou": "ou", "b": "b", "mp": "mp", "nasal": "n"}.get(kind)
+    return fixed or GREEK.get(m["letter"], m["letter"])
+
 
-    def letter(m) -> str:  # noqa: ANN001
-        kind = m.lastgroup
-        if kind == "voiced":
-            return GREEK[m["voiced"]] + "v"
-        if kind == "voiceless":
-            return GREEK[m["voiceless"]] + "f"
-        fixed = {"ou": "ou", "b": "b", "mp": "mp", "nasal": "n"}.get(kind)
-        return fixed or GREEK.get(m["letter"], m["letter"])
+def _digraph(m) -> str:  # noqa: ANN001
+    """Two letters without marks, or γ before another."""
+    found = m[0]
+    if found == "μπ":
+        return "b" if m.start() == 0 or m.end() == len(m.string) else "mp"
+    return {"ου": "ou", "γ": "n"}.get(found) or GREEK[found[0]] + ("v" if m.string[m.end() : m.end() + 1] in VOICED else "f")
 
-    def word(m) -> str:  # noqa: ANN001
-        return rules.sub(letter, unicodedata.normalize("NFKD", m[0]).lower().replace("ς", "σ"))
 
-    return regex.sub(r"\p{Script=Greek}[\p{Script=Greek}\p{M}]*", word, text)
+def _romanized_word(word: str) -> str:
+    low = unicodedata.normalize("NFKD", word).lower().replace("ς", "σ")
+    if low.isalpha():  # no marks, which are what takes the time
+        return _DIGRAPH.sub(_digraph, low).translate(_LETTERS)
+    return _pattern().sub(_letter, low)
+
+
+_remembered = lru_cache(REMEMBERED)(_romanized_word)
+
+
+def _word(m) -> str:  # noqa: ANN001
+    word = m[0]
+    return _remembered(word) if len(word) <= REMEMBERED_LENGTH else _romanized_word(word)
+
+
+def romanize(text: str) -> str:
+    """Greek words in Latin letters, anything else as it is."""
+    return _greek_words(_WIDE.search(text) is not None).sub(_word, text)
 
 
 def fold(text: str) -> str:

@@ -467,3 +467,28 @@ def test_workers_get_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
     assert "TURNS [['said here']]" in done.stdout, done.stderr[-2000:]
+
+
+def test_words_without_marks_are_romanized_alike():
+    """The short way of words without marks, the whole rules, and texts beyond two bytes; words that come again are remembered."""
+    import random
+
+    from cuemill.functions import slug
+
+    draw = random.Random(3)
+    words = ["".join(draw.choice("αβγεημοπξυχςγμυ") for _ in range(draw.randrange(1, 8))) for _ in range(3000)]
+    whole = [slug._pattern().sub(slug._letter, w.lower().replace("ς", "σ")) for w in words]
+    assert [romanize(w) for w in words] == whole
+    assert romanize(" ".join(words).upper() + " 𐅀x") == " ".join(whole) + " 𐅀x"
+    before = slug._remembered.cache_info().misses
+    romanize(" ".join(words * 3))
+    assert slug._remembered.cache_info().misses == before
+
+
+def test_greek_titles_are_romanized_once(spark, tmp_path):
+    from cuemill.plans.document_queries import greek_titles
+
+    spark.createDataFrame([(1, "At the oyster"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = greek_titles(spark, str(tmp_path))
+    calls = found._jdf.queryExecution().optimizedPlan().toString().count("_romanized(")
+    assert calls == 1 and [tuple(r) for r in found.orderBy("doc_id").collect()] == [(1, "at tie opsster", "at-tie-opsster"), (2, "", "")]
