@@ -27,10 +27,11 @@ def caption_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.filter(F.split(F.lower(F.coalesce("html", F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
     page, video = F.col("page_id"), F.floor(F.col("page_id") / 5)
     key = F.element_at(F.array(*map(F.lit, G.TRACK_KEYS)), (page % 7 + 1).cast("int"))
-    raw = F.encode(G.rolling_track(F.transform(words, lambda w, k: F.concat(F.lit("w"), k.cast("string"), F.lit("_"), w))), "UTF-8")
+    pages = G.table(spark, sf_dir, "pages").withColumn("track", G.rolling_track(F.array_join(words, " "), tagged=True))
+    raw = F.encode("track", "UTF-8")
     name = F.concat(F.lit("in/"), page.cast("string"), F.lit("/"), video.cast("string"), F.lit("."), key, F.lit(".vtt"))
     late = (video % 4 == 3) | (page % 5).isin(2, 3)
-    return G.table(spark, sf_dir, "pages").select(
+    return pages.select(
         F.when(late, 1).otherwise(0).alias("batch"), video.cast("string").alias("video_id"), name.alias("path"), F.timestamp_seconds(F.lit(1_600_000_000) + page * 60).alias("modificationTime"), F.octet_length(raw).cast("long").alias("length"), raw.alias("content")
     )
 

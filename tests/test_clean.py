@@ -242,3 +242,28 @@ def test_documents_without_words_are_rendered_as_auto(spark, tmp_path):
     block = '---\ntitle: "Document {0} \\\\ \\"x\\""\nurl: https://www.youtube.com/watch?v={0}\nchannel: "src{0}"\nduration: "1:00"\nupload_date: 2020-05-17\nfetched: 2020-09-13T12:26:40Z\nsubtitles: auto\nlayout: prose\n---\n\n{1}\n'
     found = {r.doc_id: r.contents_md5 for r in track_queries.render_transcripts(spark, documents(spark, tmp_path, [None, "", "a  b"])).collect()}
     assert found == {k: md5(block.format(k, body).encode()).hexdigest() for k, body in enumerate(["", "", "w0_a w1_b"])}
+
+
+def test_tracks_are_read_whole_as_cue_by_cue(spark):
+    """heard, which reads the text, against parse_cues and cue_text, which read cues; the tracks break all rules there are."""
+    import random
+
+    from cuemill.functions.speech import cue_text, heard, spoken
+
+    draw = random.Random(7)
+    times = ["00:00:01.000 --> 00:00:02.000", "00:00:01,000-->00:00:02,000 align:start position:0%", " x 00:00:01.000\u00a0 --> 00:00:02.000", "100:00:01.000 --> 100:00:02.000", "١٢:00:00.000 --> 00:00:02.000"]
+    words = ["a", "b", "A,", "...", "- c", "&gt;&gt; d", ">> e", "<c> g</c>", "<c", "h>", "&amp;lt;j&gt;", "[music]", "[one", "two]", "(x y)", "ΣΑΣ", "\u00a0", "\t", "\x0b", "\x1c", "\ufeff", "k\ue000l", "\ue000", "", "  ", " ", "Transcriber: n", "\r", "İ", "½", "-->"]
+    ends = ["\n", "\n", "\n\n", "\r\n", "\r\n\r\n", "\n\r\n", "\n \n", "\n\n\n", "\r\r\n"]
+    rows = []
+    for k in range(1500):
+        out, above = [draw.choice(["WEBVTT\n\n", "", "\n"])], ""
+        for _ in range(draw.randrange(9)):
+            line = " ".join(draw.choice(words) for _ in range(draw.randrange(5)))
+            out += [draw.choice(["", "", "", "id\n"]), draw.choice(times[:2] * 5 + times), draw.choice(ends[:2]), draw.choice(["", above + "\n"]) + line, draw.choice(["\n\n", *ends])]
+            above = line
+        rows.append((k, "".join(out) if k % 100 else None, draw.choice(["auto", "manual"]), draw.random() < 0.7))
+    tracks = spark.createDataFrame(rows, "k int, raw string, notation string, dedup boolean")
+    cut = tracks.select("*", F.explode(F.array(cue_text(F.transform(parse_cues(F.col("raw"), times=False), lambda c: c["lines"])))).alias("text"))
+    found = lambda frame, said: {r.k: (r.s.words, r.s.turn_starts) for r in frame.select("k", said.alias("s")).collect()}
+    whole = found(tracks, heard(F.col("raw"), F.col("notation"), F.col("dedup")))
+    assert len(whole) == 1500 and whole == found(cut, spoken(F.col("text"), F.col("notation"), F.col("dedup")))
