@@ -267,3 +267,15 @@ def test_tracks_are_read_whole_as_cue_by_cue(spark):
     found = lambda frame, said: {r.k: (r.s.words, r.s.turn_starts) for r in frame.select("k", said.alias("s")).collect()}
     whole = found(tracks, heard(F.col("raw"), F.col("notation"), F.col("dedup")))
     assert len(whole) == 1500 and whole == found(cut, spoken(F.col("text"), F.col("notation"), F.col("dedup")))
+
+
+def test_lines_that_come_again_are_read_once(monkeypatch):
+    from cuemill.functions import speech
+
+    read = []
+    whole = speech.lowered
+    monkeypatch.setattr(speech, "lowered", lambda text, kept: read.append(text) or whole(text, kept))
+    lines = [f"w{k} is, said" for k in range(50)]
+    rolled = [cue for k, line in enumerate(lines) for cue in ("\n".join(lines[max(k - 1, 0) : k + 1]), line)]
+    assert speech.stream(speech.CUE.join(rolled), "auto", True) == (" ".join(lines).split(" "), [])
+    assert read == ["\n".join(lines)]
