@@ -279,3 +279,12 @@ def test_lines_that_come_again_are_read_once(monkeypatch):
     rolled = [cue for k, line in enumerate(lines) for cue in ("\n".join(lines[max(k - 1, 0) : k + 1]), line)]
     assert speech.stream(speech.CUE.join(rolled), "auto", True) == (" ".join(lines).split(" "), [])
     assert read == ["\n".join(lines)]
+
+
+def test_repeated_runs_are_found_in_tracks_read_whole(spark, tmp_path):
+    from cuemill.plans import track_queries
+
+    run = "One two three four five six"
+    found = track_queries.residual_repetition(spark, documents(spark, tmp_path, [f"{run} {run.lower()} x", f"{run} x {run}", "so " * 40, None, ""]))
+    assert "_heard(" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.repeats for r in found.orderBy("doc_id").collect()] == [True, False, True, False, False]
