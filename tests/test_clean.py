@@ -288,3 +288,14 @@ def test_repeated_runs_are_found_in_tracks_read_whole(spark, tmp_path):
     found = track_queries.residual_repetition(spark, documents(spark, tmp_path, [f"{run} {run.lower()} x", f"{run} x {run}", "so " * 40, None, ""]))
     assert "_heard(" in found._jdf.queryExecution().optimizedPlan().toString()
     assert [r.repeats for r in found.orderBy("doc_id").collect()] == [True, False, True, False, False]
+
+
+def test_warnings_need_no_paragraphs(spark, tmp_path):
+    from cuemill.functions.text import SENTENCE_END
+    from cuemill.plans import document_queries, track_queries
+
+    folder = documents(spark, tmp_path, ["a b", None])
+    plan = lambda f: f(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert SENTENCE_END in plan(track_queries.clean_tracks_query) and SENTENCE_END not in plan(document_queries.asked_dialogs)
+    warnings = [r.warning for r in document_queries.asked_dialogs(spark, folder).orderBy("doc_id").collect()]
+    assert warnings == ["A dialog was asked for, but no change of speaker is marked in d0", ""]
