@@ -299,3 +299,14 @@ def test_warnings_need_no_paragraphs(spark, tmp_path):
     assert SENTENCE_END in plan(track_queries.clean_tracks_query) and SENTENCE_END not in plan(document_queries.asked_dialogs)
     warnings = [r.warning for r in document_queries.asked_dialogs(spark, folder).orderBy("doc_id").collect()]
     assert warnings == ["A dialog was asked for, but no change of speaker is marked in d0", ""]
+
+
+def test_words_are_counted_within_their_rows(spark, tmp_path):
+    from cuemill.operators import analytics
+    from cuemill.plans import track_queries
+
+    found = track_queries.word_conservation(spark, documents(spark, tmp_path, ["a b"]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    sides = [spark.createDataFrame(rows, "track int, words array<string>") for rows in ([(1, list("aab")), (2, ["x"]), (3, None), (4, ["y"])], [(1, list("bca")), (2, ["x"]), (3, ["z"])])]
+    assert {tuple(r) for r in analytics.word_conservation(*sides).collect()} == {(1, 1, 1), (2, 0, 0), (3, 0, 1), (4, 1, 0)}
