@@ -310,3 +310,14 @@ def test_words_are_counted_within_their_rows(spark, tmp_path):
     assert "Join" not in plan and "Aggregate" not in plan
     sides = [spark.createDataFrame(rows, "track int, words array<string>") for rows in ([(1, list("aab")), (2, ["x"]), (3, None), (4, ["y"])], [(1, list("bca")), (2, ["x"]), (3, ["z"])])]
     assert {tuple(r) for r in analytics.word_conservation(*sides).collect()} == {(1, 1, 1), (2, 0, 0), (3, 0, 1), (4, 1, 0)}
+
+
+def test_rendered_texts_are_not_sorted(spark, tmp_path):
+    from cuemill.plans import track_queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = track_queries.render_transcripts(spark, documents(spark, tmp_path, ["a b", None]))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortAggregate", "")
+    assert {(r.doc_id, r.filename, r.channel_folder) for r in found.collect()} == {(0, "document-0.md", "src0"), (1, "document-1.md", "src1")}
